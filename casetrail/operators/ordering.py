@@ -45,6 +45,7 @@ def ordered(
     *,
     row_number: str | None = None,
     key_rows: str | None = None,
+    key_last: Mapping[str, str] | None = None,
     lag: Mapping[str, str] | None = None,
     lead: Mapping[str, str] | None = None,
     running: Mapping[str, str] | None = None,
@@ -53,7 +54,8 @@ def ordered(
 ) -> DataFrame:
     """Add ordered columns per key.
 
-    ``row_number`` names a 1-based position, ``key_rows`` the row count of the key; ``lag`` / ``lead`` map output name to
+    ``row_number`` names a 1-based position, ``key_rows`` the row count of the key and ``key_last`` maps an output name
+    to the column read from the key's last row; ``lag`` / ``lead`` map output name to
     the column read from the previous / next row; ``running`` sums a column up to and including the row; ``carry`` is
     the last non-null value so far and ``carry_back`` the next non-null value from the row on.
 
@@ -61,6 +63,7 @@ def ordered(
     """
     lag, lead = dict(lag or {}), dict(lead or {})
     running, carry, carry_back = dict(running or {}), dict(carry or {}), dict(carry_back or {})
+    key_last = dict(key_last or {})
     keys, order = list(keys), list(order)
     base = df.withColumn("__chunk", chunk)
     inner = Window.partitionBy(*keys, "__chunk").orderBy(*order)
@@ -75,6 +78,8 @@ def ordered(
     for out, c in lead.items():
         local.append(F.lead(F.struct(c)).over(inner).alias(f"__lead_{out}"))
         summary.append(F.min_by(F.struct(F.col(c).alias("v")), rank).alias(f"__first_{out}"))
+    for out, c in key_last.items():
+        summary.append(F.max_by(F.struct(F.col(c).alias("v")), rank).alias(f"__end_{out}"))
     for out, c in running.items():
         local.append(F.sum(c).over(so_far).alias(f"__run_{out}"))
         summary.append(F.sum(c).alias(f"__sum_{out}"))
@@ -97,6 +102,8 @@ def ordered(
         offsets.append(F.lag(f"__last_{out}").over(across).alias(f"__plag_{out}"))
     for out in lead:
         offsets.append(F.lead(f"__first_{out}").over(across).alias(f"__nlead_{out}"))
+    for out in key_last:
+        offsets.append(F.last(f"__end_{out}").over(whole).alias(f"__klast_{out}"))
     for out in running:
         offsets.append(F.sum(f"__sum_{out}").over(before).alias(f"__poff_{out}"))
     for out in carry:
@@ -117,6 +124,8 @@ def ordered(
     for out, c in lead.items():
         result.append(F.when(last_row, F.col(f"__nlead_{out}")["v"])
                       .otherwise(F.col(f"__lead_{out}")[c]).alias(out))
+    for out in key_last:
+        result.append(F.col(f"__klast_{out}")["v"].alias(out))
     for out in running:
         total = F.coalesce(F.col(f"__run_{out}"), F.lit(0)) + F.coalesce(F.col(f"__poff_{out}"), F.lit(0))
         known = F.col(f"__run_{out}").isNotNull() | F.col(f"__poff_{out}").isNotNull()

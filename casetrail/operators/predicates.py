@@ -115,8 +115,8 @@ RED_FLAG_HISTORY = {
 }
 
 
-def red_flags(df: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
-    """Add one 0/1 column per trigger and ``any_flag``; a missing value never raises a flag.
+def red_flags(df: DataFrame, keep: Sequence[str] = (), names: Mapping[str, str] | None = None) -> DataFrame:
+    """The ``keep`` columns with one 0/1 column per trigger and ``any_flag``; a missing value never raises a flag.
 
     ``names`` maps the expected column names to the ones in ``df``.
     """
@@ -136,5 +136,5 @@ def red_flags(df: DataFrame, names: Mapping[str, str] | None = None) -> DataFram
         flags[label] = zero if col is None else yn(col, "not_negative")
     icu = column("has_ICU")
     flags["Post-op ICU stay"] = zero if icu is None else F.coalesce((icu > 0), F.lit(False)).cast("int")
-    return df.select("*", *[f.alias(label) for label, f in flags.items()],
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[f.alias(label) for label, f in flags.items()],
                      F.greatest(*flags.values()).alias("any_flag"))

@@ -80,11 +80,11 @@ def topk_vocab(train: DataFrame, df: DataFrame, column: str, k: int, out: str =
 def quantile_bins(df: DataFrame, value: str, n: int, out: str = "bin") -> DataFrame:
     """Bins 0..n-1 by quantile edges (right-closed, lowest included, repeated edges merged)."""
     names = {f"q{i}": i / n for i in range(n + 1)}
-    edges = grouped_quantiles(df, [], value, names).select(
-        F.array_sort(F.array_distinct(F.array(*names))).alias("e")).scalar()
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    above = F.size(F.filter(inner, lambda e: e < F.col(value)))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), above).cast("int"))
+    found = grouped_quantiles(df, [], value, names).select(F.struct(*names).alias("e")).scalar()
+    edges = [found[f"q{i}"] for i in range(n + 1)]
+    passed = sum(((edges[i] > edges[i - 1]) & (edges[i] > edges[0]) & (edges[i] < edges[n]) & (edges[i] < F.col(value))
+                  ).cast("int") for i in range(1, n))
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.lit(0) + passed))
 
 
 def rank_bins(df: DataFrame, value: str, ids: Sequence[str], n: int, seed: int = 42, out: str = "bin") -> DataFrame:

@@ -15,6 +15,7 @@ from casetrail.functions.clock import (boundaries, day_cycle, elapsed_bucket, fl
                                        seconds_between)
 from casetrail.operators.ordering import DAY, null_safe_join, ordered, time_chunk, with_key_totals
 from casetrail.operators.ranks import grouped_quantiles, top_k, value_band
+from casetrail.session import cut_lineage
 
 
 # ---- positions and gaps ----
@@ -77,16 +78,21 @@ def collapse_runs(events: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     ``order`` must start with the time column.
     """
-    numbered = runs(events, keys, order, token, time_chunk(order[0], chunk_seconds), "__run")
-    rank = F.struct(*order)
-    extra = [] if source is None else [F.min_by(F.struct(F.col(source).alias("v")), rank)["v"].alias(source)]
-    rows = numbered.groupBy(*keys, "__run").agg(
-        F.min_by(F.struct(F.col(token).alias("v")), rank)["v"].alias(token), *extra,
-        F.count(F.lit(1)).alias("RepeatCount"), F.min_by(at, rank).alias("RunStart"), F.max_by(at, rank).alias("RunEnd"))
-    line = ordered(rows, keys, ["__run"], F.floor(F.col("__run") / 100_000), lag={"__prev": "RunStart"})
-    return line.select(*keys, token, *([source] if source else []), "RepeatCount", "RunStart", "RunEnd",
-                       F.col("__run").cast("long").alias("SeqInEncounter"),
-                       (seconds_between(F.col("__prev"), F.col("RunStart")) / 60.0).alias("MinutesFromPrev"))
+    chunk = time_chunk(order[0], chunk_seconds)
+    line = ordered(events.withColumn("__at", F.col(at)), keys, order, chunk, row_number="__pos", key_rows="__rows",
+                   key_last={"__end": "__at"}, lag={"__prev": token, "__prev_at": "__at"})
+    # Only the first row of each run is kept; the row before the next run's first row ends this one.
+    same = F.coalesce(F.col("__prev") == F.col(token), F.lit(False))
+    starts = line.where((F.col("__pos") == 1) | ~same)
+    linked = ordered(starts, keys, order, chunk, row_number="__run", lag={"__prev_start": "__at"},
+                     lead={"__next": "__pos", "__last_at": "__prev_at"})
+    final = F.col("__next").isNull()
+    return linked.select(
+        *keys, token, *([source] if source else []),
+        (F.when(final, F.col("__rows") + 1).otherwise(F.col("__next")) - F.col("__pos")).alias("RepeatCount"),
+        F.col("__at").alias("RunStart"), F.when(final, F.col("__end")).otherwise(F.col("__last_at")).alias("RunEnd"),
+        F.col("__run").alias("SeqInEncounter"),
+        (seconds_between(F.col("__prev_start"), F.col("__at")) / 60.0).alias("MinutesFromPrev"))
 
 
 # ---- paths ----
@@ -112,11 +118,11 @@ def variants(paths: DataFrame, keys: Sequence[str], labels: DataFrame | None = N
              variant: str = "variant") -> DataFrame:
     """Cases, share and event rate per path; the rate counts labelled cases only."""
     rows = paths if labels is None else null_safe_join(paths, labels.select(*keys, label), keys)
-    total = paths.agg(F.count(F.lit(1))).scalar()
     aggregates = [F.count(F.lit(1)).alias("n")]
     if labels is not None:
         aggregates += [F.count(label).alias("n_labelled"), F.avg(label).alias("rate")]
-    return rows.groupBy(variant).agg(*aggregates).withColumn("share", F.col("n") / total)
+    counted = cut_lineage(rows.groupBy(variant).agg(*aggregates))
+    return counted.withColumn("share", F.col("n") / counted.agg(F.sum("n")).scalar())
 
 
 def directly_follows(collapsed: DataFrame, keys: Sequence[str], position: str, token: str) -> DataFrame:
@@ -138,11 +144,13 @@ def endpoints(collapsed: DataFrame, keys: Sequence[str], position: str, token: s
 
 
 def trace_lengths(collapsed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean, median, minimum and maximum number of stops."""
+    """Mean, median, minimum and maximum number of stops, from the table of how often each length occurs."""
     sizes = collapsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
-    middle = grouped_quantiles(sizes, [], "len", {"median_len": 0.5}).select("median_len").scalar()
-    return sizes.agg(F.count(F.lit(1)).alias("n_cases"), F.avg("len").alias("mean_len"), F.min("len").alias("min_len"),
-                     F.max("len").alias("max_len")).withColumn("median_len", middle)
+    cells = cut_lineage(sizes.groupBy("len").agg(F.count(F.lit(1)).alias("n")))
+    middle = cells.agg(F.percentile("len", 0.5, "n")).scalar()
+    total = F.sum(F.col("n"))
+    return cells.agg(total.alias("n_cases"), (F.sum(F.col("len") * F.col("n")) / total).alias("mean_len"),
+                     F.min("len").alias("min_len"), F.max("len").alias("max_len")).withColumn("median_len", middle)
 
 
 def first_path(events: DataFrame, case: str, sub: str, position: str, token: str, start: str, end: str, a: str, b: str,
@@ -180,8 +188,11 @@ def sequence_features(stays: DataFrame, collapsed: DataFrame, key: str, position
                       emergency: str = "ED", large: bool = False) -> DataFrame:
     """Long rows (key, feature, value) of one path: unit counts, stops, order tests, end unit and transition counts.
 
-    ``large`` adds start unit, event and transition counts and the emergency-before-surgery test.
+    ``large`` adds start unit, event and transition counts and the emergency-before-surgery test. The collapsed runs
+    are read several times, so they are stored first.
     """
+    collapsed = cut_lineage(collapsed.select(key, position, token))
+
     def rows(df: DataFrame, name: Column, value: Column) -> DataFrame:
         return df.select(key, name.alias("feature"), value.cast("double").alias("value"))
 

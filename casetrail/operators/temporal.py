@@ -119,6 +119,17 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
     return matched
 
 
+def covering_anchor(spans: DataFrame, anchors: DataFrame, keys: Sequence[str], start: str, end: str,
+                    anchor: str) -> DataFrame:
+    """Spans ``[start, end]`` that contain at least one anchor of their key (semi join).
+
+    Only the first anchor from the start on can be the nearest one, so every span is matched once, as of.
+    """
+    points = anchors.select(*keys, F.col(anchor).alias("__an")).distinct().withColumn("__hit", F.col("__an"))
+    found = asof(spans, points, keys, start, "__an", ["__hit"], "forward")
+    return found.where(F.col("__hit") <= F.col(end)).select(*spans.columns)
+
+
 def scd2_join(facts: DataFrame, dim: DataFrame, key: str, at: str, start: str, end: str,
               columns: Sequence[str], max_broadcast_rows: int = 100_000) -> DataFrame:
     """Left join of facts with the dimension version valid at ``at``: ``start <= at < end``.

@@ -16,9 +16,13 @@ from casetrail.operators.relational import (case_volume, flag_pivot, length_of_s
                                             union_distinct, value_pivot)
 from casetrail.operators.sampling import stratified_sample
 from casetrail.operators.sequences import first_last
-from casetrail.operators.temporal import (asof, interval_join, lookback, scd2_current, scd2_join, to_intervals,
+from casetrail.operators.temporal import (asof, covering_anchor, interval_join, lookback, scd2_current, scd2_join, to_intervals,
                                           window_counts)
 
+def open_end() -> Column:
+    """Time that stands for "not ended yet"."""
+    return F.lit("9999-12-31").cast("timestamp")
+
 
 # ---- cohort and label ----
 def build_cohort(cases: DataFrame, details: DataFrame, patients: DataFrame, links: DataFrame, sites: DataFrame,
@@ -182,20 +186,26 @@ def dx_history(cases: DataFrame, problems: DataFrame, encounter_codes: DataFrame
     """Distinct (key, code): problems active at the anchor, with encounter codes of the ``months`` before it.
 
     ``problems``: PAT_ID, code, noted, resolved. ``encounter_codes``: PAT_ID, code, at. Grouping by patient lets the
-    cases of one patient share their codes; grouping by case keeps each case's own window.
+    cases of one patient share their codes (and needs no case-code pairs); grouping by case keeps each case's own
+    window, and the pairs formed are the result.
     """
     if pattern is not None:
         problems, encounter_codes = (t.where(F.col("code").rlike(pattern)) for t in (problems, encounter_codes))
-    far = F.lit("9999-12-31").cast("timestamp")
-    base = cases.select(*dict.fromkeys([key, "PAT_ID"]), anchor).distinct()
-    # A problem is active over [noted, resolved]; an anchor is a point, so the anchor is looked up in each interval.
-    per_code = problems.where(F.col("noted").isNotNull()).select(
+    spans = problems.where(F.col("noted").isNotNull()).select(
         "PAT_ID", "code", F.col("noted").cast("timestamp").alias("__a"),
-        F.coalesce(F.col("resolved").cast("timestamp"), far).alias("__b")).distinct()
-    active = base.join(per_code, "PAT_ID").where(F.col(anchor).between(F.col("__a"), F.col("__b"))).select(key, "code")
-    recent = lookback(base, encounter_codes.select("PAT_ID", "code", "at").distinct(), ["PAT_ID"], anchor, "at", months,
-                      "month", include_anchor=True).select(key, "code")
-    return union_distinct(active, recent)
+        F.coalesce(F.col("resolved").cast("timestamp"), open_end()).alias("__b")).distinct()
+    dated = encounter_codes.where(F.col("at").isNotNull()).select("PAT_ID", "code", F.col("at").cast("timestamp").alias("at"))
+    if key == "PAT_ID":
+        # A code of [t, t + months] holds an anchor exactly when it lies in the months before that anchor.
+        recent = asof(dated, cases.select("PAT_ID", F.col(anchor).alias("__an")).distinct().withColumn(
+            "__hit", F.col("__an")), ["PAT_ID"], "at", "__an", ["__hit"], "forward").where(
+            F.col("at") >= shift(F.col("__hit"), "month", -months))
+        active = covering_anchor(spans, cases, ["PAT_ID"], "__a", "__b", anchor)
+        return union_distinct(active.select(key, "code"), recent.select(key, "code"))
+    base = cases.select(key, "PAT_ID", anchor).distinct()
+    active = base.join(spans, "PAT_ID").where(F.col(anchor).between(F.col("__a"), F.col("__b"))).select(key, "code")
+    recent = lookback(base, dated.distinct(), ["PAT_ID"], anchor, "at", months, "month", include_anchor=True)
+    return union_distinct(active, recent.select(key, "code"))
 
 
 def comorbidity_flags(history: DataFrame, key: str = "PAT_ID", draft: bool = False) -> DataFrame:
@@ -205,27 +215,30 @@ def comorbidity_flags(history: DataFrame, key: str = "PAT_ID", draft: bool = Fal
 
 def draft_comorbidities(cases: DataFrame, problems: DataFrame, anchor: str = "__at") -> DataFrame:
     """Draft variant: active problems noted up to the anchor, or without a noted date."""
-    joined = problems.where(F.col("status") == 1).join(cases.select("PAT_ID", anchor), "PAT_ID").where(
-        F.col("noted").isNull() | (F.col("noted") <= F.col(anchor)))
-    return comorbidity_flags(joined.select("PAT_ID", "code").distinct(), draft=True)
+    active = problems.where(F.col("status") == 1)
+    last = cases.groupBy("PAT_ID").agg(F.max(anchor).alias("__last"))
+    known = active.join(last, "PAT_ID").where(F.col("noted").isNull() | (F.col("noted") <= F.col("__last")))
+    return comorbidity_flags(known.select("PAT_ID", "code").distinct(), draft=True)
 
 
-def medication_flags(cases: DataFrame, medications: DataFrame, names: DataFrame | None = None, key: str = "PAT_ID",
+def medication_flags(cases: DataFrame, medications: DataFrame, names: DataFrame | None = None,
                      anchor: str = "__at") -> DataFrame:
-    """Families active at the anchor; some count only after 30 days of use.
+    """Medication families active at any of the patient's anchors; some count only after 30 days of use.
 
-    ``medications``: PAT_ID, GENERIC (or MEDICATION_ID with ``names``), START_DATE, END_DATE, DISCON_TIME.
+    ``medications``: PAT_ID, GENERIC (or MEDICATION_ID with ``names``), START_DATE, END_DATE, DISCON_TIME. Use lasts
+    to the earlier of end and discontinuation; an open one never ends. Long use looks for an anchor from day 30 on.
     """
     table = medications if names is None else medications.join(names, "MEDICATION_ID", "left")
-    at = F.col(anchor)
-    rows = (table.join(cases.select(*dict.fromkeys([key, "PAT_ID"]), anchor).distinct(), "PAT_ID")
-            .where((F.col("START_DATE") <= at) & (F.col("END_DATE").isNull() | (F.col("END_DATE") >= at))
-                   & (F.col("DISCON_TIME").isNull() | (F.col("DISCON_TIME") >= at))))
-    chronic = F.col("START_DATE") <= shift(at, "day", -30)
-    generic = F.upper("GENERIC")
-    return flag_pivot(rows, [key], {
-        n: (contains_any(generic, words) & chronic) if long_use else contains_any(generic, words)
-        for n, (words, long_use) in fixed.MED_FLAGS.items()})
+    ends = [F.coalesce(F.col(c).cast("timestamp"), open_end()) for c in ("END_DATE", "DISCON_TIME")]
+    spans = table.where(F.col("START_DATE").isNotNull()).select(
+        "PAT_ID", F.upper("GENERIC").alias("__g"), F.col("START_DATE").cast("timestamp").alias("__a"),
+        F.least(*ends).alias("__b"))
+    spans = spans.withColumn("__a30", shift(F.col("__a"), "day", 30))
+    used = covering_anchor(spans, cases, ["PAT_ID"], "__a", "__b", anchor).withColumn("__long", F.lit(0))
+    long_use = covering_anchor(spans, cases, ["PAT_ID"], "__a30", "__b", anchor).withColumn("__long", F.lit(1))
+    return flag_pivot(used.unionByName(long_use), ["PAT_ID"], {
+        n: contains_any(F.col("__g"), words) & (F.col("__long") == int(chronic))
+        for n, (words, chronic) in fixed.MED_FLAGS.items()})
 
 
 def smoking_status(cases: DataFrame, history: DataFrame, key: str = "PAT_ID", anchor: str = "__at") -> DataFrame:
