@@ -109,7 +109,7 @@ def _(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-_FLAGS_SQL = """f AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '1' END AS crna,
+FLAGS_SQL = """f AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN '1' END AS crna,
   CASE WHEN s_suppkey % 5 = 0 THEN 'Y' ELSE 'N' END AS res,
   CASE s_suppkey % 4 WHEN 0 THEN 'MD' WHEN 1 THEN 'DO, PhD' WHEN 2 THEN NULL ELSE 'RN' END AS deg,
   CASE s_suppkey % 3 WHEN 0 THEN 22 WHEN 1 THEN 52 END AS prof FROM supplier)"""
@@ -124,15 +124,15 @@ def provider_flags(t: Tables) -> DataFrame:
         F.when(k % 3 == 0, 22).when(k % 3 == 1, 52).alias("MCD_PROF_CD_C"))
 
 
-_SURGICAL_SQL = """CASE WHEN res = 'Y' THEN 'SurgicalTeam' WHEN crna = '1' THEN 'OtherClinician'
+SURGICAL_SQL = """CASE WHEN res = 'Y' THEN 'SurgicalTeam' WHEN crna = '1' THEN 'OtherClinician'
   WHEN deg LIKE '%MD%' OR deg LIKE '%DO%' THEN 'SurgicalTeam' WHEN prof = 22 THEN 'Nurse'
   WHEN prof IN (52, 53) THEN 'Technician' ELSE 'Other' END"""
-_STAFF_SQL = """CASE WHEN crna = '1' THEN 'OtherClinician' WHEN res = 'Y' THEN 'OtherClinician'
+STAFF_SQL = """CASE WHEN crna = '1' THEN 'OtherClinician' WHEN res = 'Y' THEN 'OtherClinician'
   WHEN deg LIKE '%MD%' OR deg LIKE '%DO%' THEN 'OtherClinician' WHEN prof = 22 THEN 'Nurse' ELSE 'OtherClinician' END"""
 
 
 @query("p05_classify_provider", f"""
-WITH {_FLAGS_SQL} SELECT s_suppkey, {_SURGICAL_SQL} AS surgical, {_STAFF_SQL} AS staff FROM f""")
+WITH {FLAGS_SQL} SELECT s_suppkey, {SURGICAL_SQL} AS surgical, {STAFF_SQL} AS staff FROM f""")
 def _(t: Tables) -> DataFrame:
     flags = [F.col(c) for c in ("EMPLOYED_CRNA_YN", "IS_RESIDENT", "DOCTORS_DEGREE", "MCD_PROF_CD_C")]
     return provider_flags(t).select("s_suppkey", P.classify_provider("surgical", *flags).alias("surgical"),
@@ -671,12 +671,12 @@ def edge_sources(t: Tables) -> DataFrame:
 
 
 @query("u01_provider_edges", f"""
-WITH {_FLAGS_SQL}, s AS (SELECT l_orderkey::VARCHAR AS log, l_suppkey AS k, l_linenumber AS role, 'surgical_team' AS src FROM lineitem
+WITH {FLAGS_SQL}, s AS (SELECT l_orderkey::VARCHAR AS log, l_suppkey AS k, l_linenumber AS role, 'surgical_team' AS src FROM lineitem
   WHERE l_linenumber <= 2 UNION ALL SELECT l_orderkey::VARCHAR, l_suppkey, NULL, 'anesthesia_lead' FROM lineitem WHERE l_linenumber = 3
   UNION ALL SELECT l_orderkey::VARCHAR, l_suppkey, NULL, 'anesthesia_staff' FROM lineitem WHERE l_linenumber = 4
   UNION ALL SELECT l_orderkey::VARCHAR, l_suppkey + 1, NULL, 'anesthesia_staff' FROM lineitem WHERE l_linenumber = 4)
 SELECT log AS "LogID", k::VARCHAR AS "ProvID", role AS "RoleCode", src AS "RoleSource", CASE WHEN src = 'surgical_team' THEN
- {_SURGICAL_SQL} WHEN src = 'anesthesia_lead' THEN 'OtherClinician' ELSE {_STAFF_SQL} END AS "ProviderType"
+ {SURGICAL_SQL} WHEN src = 'anesthesia_lead' THEN 'OtherClinician' ELSE {STAFF_SQL} END AS "ProviderType"
 FROM s LEFT JOIN f ON f.s_suppkey = s.k""")
 def _(t: Tables) -> DataFrame:
     return edge_sources(t)

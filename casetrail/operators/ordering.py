@@ -65,13 +65,13 @@ def ordered(
     running, carry, carry_back = dict(running or {}), dict(carry or {}), dict(carry_back or {})
     key_last = dict(key_last or {})
     keys, order = list(keys), list(order)
-    base = df.withColumn("__chunk", chunk)
-    inner = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    base = df.withColumn("__o_chunk", chunk)
+    inner = Window.partitionBy(*keys, "__o_chunk").orderBy(*order)
     so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
     from_here = inner.rowsBetween(0, Window.unboundedFollowing)
     rank = F.struct(*[F.col(c) for c in order])
 
-    local, summary = [F.row_number().over(inner).cast("long").alias("__pos")], [F.count(F.lit(1)).alias("__n")]
+    local, summary = [F.row_number().over(inner).cast("long").alias("__o_pos")], [F.count(F.lit(1)).alias("__o_n")]
     for out, c in lag.items():
         local.append(F.lag(F.struct(c)).over(inner).alias(f"__lag_{out}"))
         summary.append(F.max_by(F.struct(F.col(c).alias("v")), rank).alias(f"__last_{out}"))
@@ -91,13 +91,13 @@ def ordered(
         summary.append(F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"__bckf_{out}"))
 
     inside = base.select("*", *local)
-    per_chunk = base.groupBy(*keys, "__chunk").agg(*summary)
-    across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("__chunk")
+    per_chunk = base.groupBy(*keys, "__o_chunk").agg(*summary)
+    across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("__o_chunk")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     after = across.rowsBetween(1, Window.unboundedFollowing)
     whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
-               F.sum("__n").over(whole).alias("__total"), F.col("__n").alias("__rows")]
+    offsets = [F.coalesce(F.sum("__o_n").over(before), F.lit(0)).alias("__o_off"),
+               F.sum("__o_n").over(whole).alias("__o_total"), F.col("__o_n").alias("__o_rows")]
     for out in lag:
         offsets.append(F.lag(f"__last_{out}").over(across).alias(f"__plag_{out}"))
     for out in lead:
@@ -110,14 +110,14 @@ def ordered(
         offsets.append(F.last(f"__carl_{out}", ignorenulls=True).over(before).alias(f"__pcar_{out}"))
     for out in carry_back:
         offsets.append(F.first(f"__bckf_{out}", ignorenulls=True).over(after).alias(f"__nbck_{out}"))
-    joined = null_safe_join(inside, per_chunk.select(*keys, "__chunk", *offsets), [*keys, "__chunk"], "inner")
+    joined = null_safe_join(inside, per_chunk.select(*keys, "__o_chunk", *offsets), [*keys, "__o_chunk"], "inner")
 
-    first_row, last_row = F.col("__pos") == 1, F.col("__pos") == F.col("__rows")
+    first_row, last_row = F.col("__o_pos") == 1, F.col("__o_pos") == F.col("__o_rows")
     result = [F.col(f"`{c}`") for c in df.columns]
     if row_number:
-        result.append((F.col("__pos") + F.col("__off")).alias(row_number))
+        result.append((F.col("__o_pos") + F.col("__o_off")).alias(row_number))
     if key_rows:
-        result.append(F.col("__total").alias(key_rows))
+        result.append(F.col("__o_total").alias(key_rows))
     for out, c in lag.items():
         result.append(F.when(first_row, F.col(f"__plag_{out}")["v"])
                       .otherwise(F.col(f"__lag_{out}")[c]).alias(out))

@@ -36,19 +36,19 @@ def cumulative(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping
     keys = list(keys)
     cells = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
              .agg(*[expression.alias(name) for name, expression in measures.items()])
-             .withColumn("__band", value_band(F.col(value))))
+             .withColumn("__rk_band", value_band(F.col(value))))
     sort = F.desc if descending else F.asc
-    by_band = Window.partitionBy(*keys, "__band").orderBy(sort(value)).rowsBetween(Window.unboundedPreceding, -1)
+    by_band = Window.partitionBy(*keys, "__rk_band").orderBy(sort(value)).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     inside = cells.select("*", *[F.coalesce(F.sum(m).over(by_band), zero).alias(f"__in_{m}") for m in measures])
-    totals = cells.groupBy(*keys, "__band").agg(*[F.sum(m).alias(m) for m in measures])
-    across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(sort("__band"))
+    totals = cells.groupBy(*keys, "__rk_band").agg(*[F.sum(m).alias(m) for m in measures])
+    across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(sort("__rk_band"))
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = totals.select(*keys, "__band",
+    offsets = totals.select(*keys, "__rk_band",
                             *[F.coalesce(F.sum(m).over(before), zero).alias(f"__off_{m}") for m in measures],
                             *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
-    joined = null_safe_join(inside, offsets, [*keys, "__band"], "inner")
+    joined = null_safe_join(inside, offsets, [*keys, "__rk_band"], "inner")
     return joined.select(*keys, value, *measures,
                          *[(F.col(f"__in_{m}") + F.col(f"__off_{m}")).alias(f"{m}_before") for m in measures],
                          *[f"{m}_total" for m in measures])
@@ -87,19 +87,19 @@ def hashed_rank(df: DataFrame, strata: Sequence[str], ids: Sequence[str], seed:
     The first hex digits of the hash split every stratum into evenly sized bands, so one stratum may hold most rows.
     """
     strata = list(strata)
-    hashed = df.withColumn("__h", hashed_order(seed, *ids)).withColumn("__band", F.substring("__h", 1, 3))
+    hashed = df.withColumn("__hr_h", hashed_order(seed, *ids)).withColumn("__rk_band", F.substring("__hr_h", 1, 3))
     inside = hashed.withColumn(
-        "__pos", F.row_number().over(Window.partitionBy(*strata, "__band").orderBy("__h", *ids)).cast("long"))
-    across = (Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(1))).orderBy("__band")
-    sizes = hashed.groupBy(*strata, "__band").agg(F.count(F.lit(1)).alias("__n"))
+        "__hr_pos", F.row_number().over(Window.partitionBy(*strata, "__rk_band").orderBy("__hr_h", *ids)).cast("long"))
+    across = (Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(1))).orderBy("__rk_band")
+    sizes = hashed.groupBy(*strata, "__rk_band").agg(F.count(F.lit(1)).alias("__hr_n"))
     offsets = sizes.select(
-        *strata, "__band",
-        F.coalesce(F.sum("__n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-        F.sum("__n").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__tot"))
-    joined = null_safe_join(inside, offsets, [*strata, "__band"], "inner")
-    columns = [F.col(f"`{c}`") for c in df.columns] + [(F.col("__pos") + F.col("__off")).alias(rank_as)]
+        *strata, "__rk_band",
+        F.coalesce(F.sum("__hr_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__hr_off"),
+        F.sum("__hr_n").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__hr_tot"))
+    joined = null_safe_join(inside, offsets, [*strata, "__rk_band"], "inner")
+    columns = [F.col(f"`{c}`") for c in df.columns] + [(F.col("__hr_pos") + F.col("__hr_off")).alias(rank_as)]
     if total_as:
-        columns.append(F.col("__tot").alias(total_as))
+        columns.append(F.col("__hr_tot").alias(total_as))
     return joined.select(*columns)
 
 

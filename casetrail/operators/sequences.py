@@ -147,7 +147,7 @@ def trace_lengths(collapsed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mean, median, minimum and maximum number of stops, from the table of how often each length occurs."""
     sizes = collapsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
     cells = cut_lineage(sizes.groupBy("len").agg(F.count(F.lit(1)).alias("n")))
-    middle = cells.agg(F.percentile("len", 0.5, "n")).scalar()
+    middle = cells.agg(F.percentile("len", 0.5, F.col("n"))).scalar()
     total = F.sum(F.col("n"))
     return cells.agg(total.alias("n_cases"), (F.sum(F.col("len") * F.col("n")) / total).alias("mean_len"),
                      F.min("len").alias("min_len"), F.max("len").alias("max_len")).withColumn("median_len", middle)

@@ -465,7 +465,7 @@ def unit_nodes(trajectory: DataFrame, departments: DataFrame, lookup: DataFrame)
             .withColumn("UnitType", F.coalesce("GNNUnitType", F.lit("Other"))).drop("GNNUnitType"))
 
 
-def patient_case_view(patient: str, cases: DataFrame, surgical: DataFrame, leads: DataFrame, staff: DataFrame,
+def patient_case_view(patient: str | int, cases: DataFrame, surgical: DataFrame, leads: DataFrame, staff: DataFrame,
                       providers: DataFrame, adt: DataFrame, departments: DataFrame) -> dict[str, DataFrame]:
     """On-demand tables of one patient: provider edges and unit stays of the patient's cases.
 
