@@ -184,12 +184,12 @@ WITH h AS (SELECT DISTINCT 's' || l_suppkey AS e, l_orderkey AS k FROM lineitem
 dv AS (SELECT k, count(*)::DOUBLE AS d FROM h GROUP BY 1), de AS (SELECT e, count(*)::DOUBLE AS d FROM h GROUP BY 1),
 x0 AS (SELECT o_orderkey AS k, o_totalprice / 1000 AS x FROM orders),
 m AS (SELECT e, sum(x / sqrt(dv.d)) / any_value(de.d) AS z FROM h JOIN x0 USING (k) JOIN dv USING (k) JOIN de USING (e) GROUP BY 1)
-SELECT k, round(sum(z) / sqrt(any_value(dv.d)), 4) AS x FROM h JOIN m USING (e) JOIN dv USING (k) GROUP BY 1""")
+SELECT k, round(sum(z) / sqrt(any_value(dv.d)) + 1e-7, 4) AS x FROM h JOIN m USING (e) JOIN dv USING (k) GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     loops = t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("edge"), F.col("o_orderkey").alias("k"))
     inc = t.lineitem.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("edge"), F.col("l_orderkey").alias("k")).distinct().unionByName(loops)
     values = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 1000).alias("x"))
-    return G.hyper_propagate(inc, values, "k", ["x"]).select("k", F.round("x", 4).alias("x"))
+    return G.hyper_propagate(inc, values, "k", ["x"]).select("k", F.round(F.col("x") + 1e-7, 4).alias("x"))
 
 
 @query("g16_hyper_propagate_lazy")

@@ -583,16 +583,18 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
               .withColumn("block", F.explode(F.sequence(F.lit(0), (block_of - 1).cast("int"))))
               .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")))
     wanted = visits.select("pivot", "block", "chunk").distinct()
-    targets = placed.select("id", "v", "pivot", "block").join(wanted, ["pivot", "block"])
+    targets = placed.select("id", "v", "pivot", "block").join(wanted, ["pivot", "block"]).select(
+        F.col("id").alias("t_id"), F.col("v").alias("t_v"), F.col("pivot").alias("t_pivot"), F.col("block").alias("t_block"),
+        F.col("chunk").alias("t_chunk"))
 
     def compare(left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"src": [], "dst": [], "distance": []})
-        d = exact(np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()))
-        return best(left["id"].to_numpy(), right["id"].to_numpy(), d)
+        d = exact(np.stack(left["v"].to_numpy()), np.stack(right["t_v"].to_numpy()))
+        return best(left["id"].to_numpy(), right["t_id"].to_numpy(), d)
 
     by = ["pivot", "block", "chunk"]
-    partial = visits.groupBy(*by).cogroup(targets.groupBy(*by)).applyInPandas(
+    partial = visits.groupBy(*by).cogroup(targets.groupBy(*[f"t_{c}" for c in by])).applyInPandas(
         compare, "src string, dst string, distance double")
     own = base.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("distance"))
     near = partial.unionByName(own).withColumnRenamed("dst", "id").join(heads, "id").select(
