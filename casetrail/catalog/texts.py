@@ -65,9 +65,9 @@ _PLAIN_SQL = ", ".join(f"max(regexp_matches(text, '{p}', 'i')::INT)::INT AS {n}"
 
 
 @query("x02_regex_flags", f"""
-WITH f AS (SELECT source, {_PLAIN_SQL} FROM documents GROUP BY 1) SELECT *, (sdoh_a + sdoh_b)::INT AS sdoh_total, (med_a + med_b)::INT AS med_total, 1 AS has_notes FROM f""")
+WITH j AS (SELECT source, string_agg(text, ' ' ORDER BY doc_id) AS text FROM documents GROUP BY 1), f AS (SELECT source, {_PLAIN_SQL} FROM j GROUP BY 1) SELECT *, (sdoh_a + sdoh_b)::INT AS sdoh_total, (med_a + med_b)::INT AS med_total, 1 AS has_notes FROM f""")
 def _(t: Tables) -> DataFrame:
-    return X.regex_flags(t.documents, "source", "text", _PLAIN)
+    return X.regex_flags(t.documents, "source", "text", _PLAIN, order=["doc_id"])
 
 
 @query("x02_all_patterns", f"""

@@ -528,6 +528,14 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
     chosen = np.array([r["v"] for r in base.orderBy(F.md5("id"), "id").limit(pivots).collect()])
     shared = spark.sparkContext.broadcast(chosen)
 
+    def text(values):
+        """Object series, as an Arrow-backed one may come in several or no chunks."""
+        return pd.Series(list(values), dtype=object)
+
+    def table(rows):
+        return pd.DataFrame({"src": text(r[0] for r in rows), "dst": text(r[1] for r in rows),
+                             "distance": pd.Series([r[2] for r in rows], dtype="float64")})
+
     def distances(a, b):
         square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
         return np.sqrt(np.maximum(square, 0.0))
@@ -536,7 +544,8 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
         for pdf in batches:
             if len(pdf):
                 d = distances(np.stack(pdf["v"].to_numpy()), shared.value)
-                yield pdf.assign(pivot=d.argmin(1), dist=d.min(1), all=list(d))
+                yield pd.DataFrame({"id": text(pdf["id"]), "v": list(pdf["v"]), "pivot": d.argmin(1), "dist": d.min(1),
+                                    "all": list(d)})
 
     placed = cut_lineage(base.mapInPandas(locate, "id string, v array<double>, pivot int, dist double, all array<double>"))
     stats = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()
@@ -556,7 +565,7 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
             near = np.flatnonzero(d[i] <= kth)
             ranked = sorted(((d[i, j], others[j]) for j in near if others[j] != ids[i]))[:k]
             rows += [(ids[i], o, float(x)) for x, o in ranked]
-        return pd.DataFrame(rows, columns=["src", "dst", "distance"])
+        return table(rows)
 
     def exact(a, b):
         """Distances by differences in slices: no cancellation, so equal vectors are exactly 0 apart."""
@@ -570,7 +579,7 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
         d = exact(np.stack(pdf["v"].to_numpy()), np.stack(pdf["v"].to_numpy()))
         np.fill_diagonal(d, np.inf)
         bound = np.sort(d, axis=1)[:, k - 1] if len(pdf) > k else np.full(len(pdf), np.inf)
-        return pd.DataFrame({"id": pdf["id"], "bound": bound})
+        return pd.DataFrame({"id": text(pdf["id"]), "bound": bound})
 
     bounds = placed.select("id", "v", "pivot", "block").groupBy("pivot", "block").applyInPandas(
         first_pass, "id string, bound double")
@@ -589,7 +598,7 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
 
     def compare(left, right):
         if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "dst": [], "distance": []})
+            return table([])
         d = exact(np.stack(left["v"].to_numpy()), np.stack(right["t_v"].to_numpy()))
         return best(left["id"].to_numpy(), right["t_id"].to_numpy(), d)
 

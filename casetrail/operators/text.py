@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from casetrail.functions import fixed
 from casetrail.functions.clock import boundaries
 from casetrail.functions.scalars import try_code_in
-from casetrail.operators.ranks import grouped_quantiles
+from casetrail.operators.ordering import ordered, time_chunk
+from casetrail.operators.ranks import grouped_quantiles, value_band
 from casetrail.operators.relational import assemble_text
 from casetrail.operators.temporal import interval_join
 
@@ -38,16 +39,39 @@ def notes(scope: DataFrame, headers: DataFrame, lines: DataFrame, types: Sequenc
         {"MinutesAfterSurgeryStart": after, "HoursBeforeDischarge": before})
 
 
+def _joints(texts: DataFrame, key: str, text: str, order: Sequence[str], reach: int) -> DataFrame:
+    """Short texts around the places where a key's consecutive texts meet.
+
+    The outermost word of either side is dropped, as cutting it could fake a word boundary.
+    """
+    ends = texts.select(key, *order, F.regexp_replace(F.right(F.coalesce(text, F.lit("")), F.lit(reach)), r"^\S*", "").alias("__tail"),
+                        F.regexp_replace(F.left(F.coalesce(text, F.lit("")), F.lit(reach)), r"\S*$", "").alias("__cut"),
+                        F.length(F.coalesce(text, F.lit(""))).alias("__len"), F.coalesce(text, F.lit("")).alias("__all"))
+    # A text shorter than the reach is taken whole.
+    short = F.col("__len") < reach
+    ends = ends.select(key, *order, F.when(short, F.col("__all")).otherwise(F.col("__tail")).alias("__tail"),
+                       F.when(short, F.col("__all")).otherwise(F.col("__cut")).alias("__head"))
+    kind = texts.schema[order[0]].dataType
+    chunk = time_chunk(order[0]) if kind.typeName().startswith(("timestamp", "date")) else F.coalesce(
+        value_band(F.col(order[0])), F.lit(-(2 ** 62)))
+    lined = ordered(ends, [key], order, chunk, lead={"__next": "__head"})
+    return lined.where(F.col("__next").isNotNull()).select(key, F.concat("__tail", F.lit(" "), "__next").alias(text))
+
+
 def regex_flags(texts: DataFrame, key: str, text: str, patterns: Mapping[str, str] | None = None,
-                totals: Mapping[str, str] | None = None) -> DataFrame:
+                totals: Mapping[str, str] | None = None, order: Sequence[str] = (), reach: int = 128) -> DataFrame:
     """0/1 per pattern over all texts of a key, prefix totals and ``has_notes``.
 
-    Each text is matched whole, and the key takes the maximum, so texts of one key are never joined into one string.
-    (A pattern that would only match across the end of one text and the start of the next does not fire.)
+    Each text is matched whole and the key takes the maximum, so the texts of a key never become one string. With
+    ``order`` the texts count as joined by a blank in that order: ``reach`` characters on both sides of each joint are
+    matched too, which covers every pattern that spans two texts.
     """
     patterns = patterns or fixed.TEXT_PATTERNS
     totals = {"sdoh_total": "sdoh_", "med_total": "med_"} if totals is None else totals
-    flags = texts.groupBy(key).agg(*[
+    rows = texts.select(key, text)
+    if order:
+        rows = rows.unionByName(_joints(texts, key, text, order, reach))
+    flags = rows.groupBy(key).agg(*[
         F.max(F.coalesce(F.col(text).rlike(f"(?i){p}"), F.lit(False)).cast("int")).alias(n) for n, p in patterns.items()])
     sums = {t: sum((F.col(n) for n in patterns if n.startswith(prefix)), F.lit(0)) for t, prefix in totals.items()}
     return flags.withColumns(sums | {"has_notes": F.lit(1)})
