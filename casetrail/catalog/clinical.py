@@ -21,8 +21,9 @@ _COHORT_SQL = """inc AS (SELECT o_orderkey::VARCHAR AS log, o_orderkey AS k, o_c
   round(date_diff('day', DATE '1970-06-15' + (o_custkey % 4000)::INT, o_orderdate::DATE) / 365.25, 2)::DOUBLE AS age FROM orders
   WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-12-31' AND o_orderstatus <> 'O'
   AND year(o_orderdate) - year(DATE '1970-06-15' + (o_custkey % 4000)::INT) >= 18),
-top AS (SELECT l_orderkey AS k, arg_max(l_partkey, (l_extendedprice, -l_partkey)) AS part FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1),
-cand AS (SELECT inc.*, part FROM inc JOIN top USING (k)),
+top AS (SELECT l_orderkey AS k, p_brand AS code FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN
+  ('Brand#1', 'Brand#3', 'Brand#7', 'Brand#12', 'Brand#19', 'Brand#22') QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, p_brand) = 1),
+cand AS (SELECT inc.*, code FROM inc JOIN top USING (k)),
 cohort AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY yr ORDER BY md5('42:' || log)) AS rn FROM cand) WHERE rn <= 400)"""
 
 
@@ -30,32 +31,29 @@ def cohort(t: Tables) -> DataFrame:
     o, c = t.orders, t.customer
     cases = o.select(F.col("o_orderkey").alias("LOG_ID"), F.col("o_custkey").alias("PAT_ID"), F.col("o_orderdate").alias("SURGERY_DATE"),
                      F.when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("STATUS_C"),
-                     F.lit(None).cast("int").alias("PROC_NOT_PERF_C"), F.lit(1).alias("LOC_ID"))
+                     F.lit(None).cast("int").alias("PROC_NOT_PERF_C"), (F.col("o_custkey") % 5).alias("LOC_ID"))
     details = o.select(F.col("o_orderkey").alias("LOG_ID"), F.lit(None).cast("int").alias("PROC_NOT_DONE_RSN_C"))
     patients = c.select(F.col("c_custkey").alias("PAT_ID"), F.date_add(
         F.lit("1970-06-15").cast("date"), (F.col("c_custkey") % 4000).cast("int")).alias("BIRTH_DATE"))
     links = o.select(F.col("o_orderkey").alias("LOG_ID"), F.lit(None).cast("bigint").alias("OR_LINK_CSN"),
                      F.col("o_orderkey").alias("PAT_ENC_CSN_ID"))
-    sites = t.region.where("r_regionkey = 1").select(F.col("r_regionkey").alias("LOC_ID"), F.lit(9).alias("HOSP_PARENT_LOC_ID"))
+    sites = t.region.select(F.col("r_regionkey").cast("long").alias("LOC_ID"), F.lit(9).alias("HOSP_PARENT_LOC_ID"))
     keys = o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("PAT_ID"))
-    # Codes are the parts divisible by three; the pad keeps number order for the tie-break.
-    billing = t.lineitem.where("l_partkey % 3 = 0").join(keys, "l_orderkey").select(
-        F.col("l_orderkey").alias("EncounterCSN"), "PAT_ID", F.lpad(F.col("l_partkey").cast("string"), 10, "0").alias("CPT_CODE"),
-        F.col("l_extendedprice").alias("RVU_WORK"))
-    included = C.cohort_filter(cases, details, patients, links, sites, "1996-01-01", "2000-12-31", 9)
-    top = C.top_k(billing, ["EncounterCSN"], [F.desc("RVU_WORK"), F.asc("CPT_CODE")], 1).select(
-        "EncounterCSN", F.col("CPT_CODE").cast("long").alias("PrimaryCPT"))
-    return C.stratified_sample(included.join(top, "EncounterCSN"), "SurgeryYear", ["LogID"], 400)
+    brands = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("CPT_CODE"))
+    billing = t.lineitem.join(keys, "l_orderkey").join(brands, "l_partkey").select(
+        F.col("l_orderkey").alias("EncounterCSN"), "PAT_ID", "CPT_CODE", F.col("l_extendedprice").alias("RVU_WORK"))
+    codes = ["Brand#1", "Brand#3", "Brand#7", "Brand#12", "Brand#19", "Brand#22"]
+    return C.build_cohort(cases, details, patients, links, sites, billing, "1996-01-01", "2000-12-31", 9, codes, 400)
 
 
 @query("c01_build_cohort", f"""
-WITH {_COHORT_SQL} SELECT log AS "LogID", pat AS "PAT_ID", yr AS "SurgeryYear", age AS "AgeYears", part AS "PrimaryCPT" FROM cohort""")
+WITH {_COHORT_SQL} SELECT log AS "LogID", pat AS "PAT_ID", yr AS "SurgeryYear", age AS "AgeYears", code AS "PrimaryCPT" FROM cohort""")
 def _(t: Tables) -> DataFrame:
     return cohort(t).select("LogID", "PAT_ID", "SurgeryYear", F.col("AgeYears").cast("double"), "PrimaryCPT")
 
 
 @query("c22_primary_code", f"""
-WITH {_COHORT_SQL} SELECT log AS "LogID", part AS "PrimaryCPT" FROM cohort ORDER BY 1""")
+WITH {_COHORT_SQL} SELECT log AS "LogID", code AS "PrimaryCPT" FROM cohort ORDER BY 1""")
 def _(t: Tables) -> DataFrame:
     return C.primary_code(cohort(t))
 

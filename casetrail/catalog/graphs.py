@@ -192,11 +192,23 @@ def _(t: Tables) -> DataFrame:
     return G.hyper_propagate(inc, values, "k", ["x"]).select("k", F.round(F.col("x") + 1e-7, 4).alias("x"))
 
 
-@query("g16_hyper_propagate_lazy")
+_LAZY_SQL = """h AS (SELECT e, k FROM hm JOIN (SELECT e FROM hm GROUP BY 1 HAVING count(*) > 1) USING (e) UNION ALL SELECT 'self|' || o_orderkey, o_orderkey FROM orders),
+dv AS (SELECT k, count(*)::DOUBLE AS d FROM h GROUP BY 1), de AS (SELECT e, count(*)::DOUBLE AS d FROM h GROUP BY 1),
+x0 AS (SELECT o_orderkey AS k, o_totalprice / 1000 AS x FROM orders)"""
+
+
+def _lazy_step(source: str, target: str) -> str:
+    return (f", m{target} AS (SELECT e, sum(x) / any_value(de.d) AS z FROM h JOIN {source} USING (k) JOIN de USING (e) GROUP BY 1), "
+            f"n{target} AS (SELECT k, sum(z) / any_value(dv.d) AS z FROM h JOIN m{target} USING (e) JOIN dv USING (k) GROUP BY 1), "
+            f"{target} AS (SELECT k, 0.5::DOUBLE * x + 0.5::DOUBLE * z AS x FROM {source} JOIN n{target} USING (k))")
+
+
+@query("g16_hyper_propagate_lazy", f"""
+WITH {_HYPER_SQL}, {_LAZY_SQL}{_lazy_step("x0", "x1")}{_lazy_step("x1", "x2")} SELECT k, round(x + 1e-7, 4) AS x FROM x2""")
 def _(t: Tables) -> DataFrame:
     inc = G.hyperedges(hyper_rows(t), "k", ["c_nationkey", "o_orderpriority"], None, t.orders.select(F.col("o_orderkey").alias("k")))
     values = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 1000).alias("x"))
-    return rounded(G.hyper_propagate(inc, values, "k", ["x"], 2, lazy=True), "x")
+    return G.hyper_propagate(inc, values, "k", ["x"], 2, lazy=True).select("k", F.round(F.col("x") + 1e-7, 4).alias("x"))
 
 
 def walk_edges(t: Tables) -> DataFrame:

@@ -192,7 +192,12 @@ def _(t: Tables) -> DataFrame:
     return got.select("user_id", F.array_join(F.transform("tokens", lambda x: x.cast("string")), ",").alias("toks"), "length")
 
 
-@query("q13_step_numbers")
+@query("q13_step_numbers", f"""
+WITH {RUNS_SQL}, g AS (SELECT *, lag(run_start) OVER (PARTITION BY user_id ORDER BY seq) AS prev FROM runs), n AS (SELECT user_id, ln(1 + reps::DOUBLE) AS a,
+ ln(1 + coalesce((epoch_us(run_start) - epoch_us(prev)) / 60000000::DOUBLE, 0)) AS b, seq / 64::DOUBLE AS c,
+ 2 * pi() * (hour(run_start) + minute(run_start) / 60::DOUBLE) / 24 AS t FROM g WHERE seq <= 64)
+SELECT user_id, count(*)::INT AS length, round(sum(a), 6) AS sum_0, round(sum(b), 6) AS sum_1, round(sum(c), 6) AS sum_2, round(sum(sin(t)), 6) AS sum_3, round(sum(cos(t)), 6) AS sum_4
+FROM n GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     c = collapsed(t)
     numbers = Q.step_numbers(F.col("RepeatCount"), F.col("MinutesFromPrev"), F.col("RunStart"), F.col("SeqInEncounter"), 64)

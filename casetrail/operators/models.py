@@ -12,13 +12,14 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetrail.operators import stats
 from casetrail.operators.prep import perturb
 from casetrail.operators.ranks import top_k
 from casetrail.operators.sampling import class_weights, kfold, rank_bins, stratified_split
+from casetrail.operators.temporal import bounded
 from casetrail.session import cut_lineage
 
 
@@ -252,9 +253,10 @@ def smd_tiers(df: DataFrame, ids: Sequence[str], p: str = "p", y: str = "y", bin
 def rank_clusters(df: DataFrame, cluster: str, y: str, train: str, out: str = "tier") -> DataFrame:
     """Clusters numbered by rising train event rate (no train rows: last); train and held-out rows get the number."""
     rates = df.groupBy(cluster).agg(F.avg(F.when(F.col(train) == 1, F.col(y))).alias("__r"))
-    count = 100_000
-    ranked = top_k(rates, [], [F.asc_nulls_last("__r"), F.asc(cluster)], count, "__i").select(
-        cluster, (F.col("__i") - 1).cast("int").alias(out))
+    if not bounded(rates, 100_000):
+        raise ValueError("rank_clusters orders at most 100000 clusters")
+    order = Window.orderBy(F.asc_nulls_last("__r"), F.asc(cluster))
+    ranked = rates.select(cluster, (F.row_number().over(order) - 1).alias(out))
     return df.join(F.broadcast(ranked), cluster, "left")
 
 

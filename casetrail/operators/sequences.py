@@ -346,7 +346,7 @@ def token_lift(tokens: DataFrame, groups: DataFrame, key: str, token: str, group
     member = present.join(groups.select(key, group), key)
     overall = member.groupBy(token).agg(F.count_distinct(key).alias("__all"))
     within = member.groupBy(group, token).agg(F.count_distinct(key).alias("n")).where(F.col("n") >= minimum)
-    joined = within.join(F.broadcast(sizes), group).join(overall, token)
+    joined = within.join(sizes, group).join(overall, token)
     lift = (F.col("n") / F.col("__size")) / (F.col("__all") / cohort)
     scored = joined.select(group, token, "n", (F.col("n") / F.col("__size")).alias("share"), lift.alias("lift"))
     return top_k(scored, [group], [F.desc("lift"), F.asc(token)], k)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from casetrail.operators.ordering import null_safe_join, with_key_totals
 from casetrail.operators.ranks import cumulative, grouped_quantiles, hashed_rank
 from casetrail.operators.sequences import normal_two_sided
+from casetrail.operators.temporal import bounded
 
 
 def _counts(y: str) -> dict[str, Column]:
@@ -271,7 +272,9 @@ def smd(p1: Column, p2: Column, epsilon: float = 1e-6) -> Column:
 
 
 def pairwise_smd(rates: DataFrame, group: str, rate: str, epsilon: float = 1e-6) -> DataFrame:
-    """Standardised differences of all group pairs. One row per group goes in, a handful of groups at most."""
+    """Standardised differences of all pairs of groups; meant for tiers, so more than 1000 groups are refused."""
+    if not bounded(rates, 1000):
+        raise ValueError("pairwise_smd compares at most 1000 groups")
     a = rates.select(F.col(group).alias("group_a"), F.col(rate).alias("__pa"))
     b = rates.select(F.col(group).alias("group_b"), F.col(rate).alias("__pb"))
     pairs = a.join(F.broadcast(b), F.col("group_a") < F.col("group_b"))

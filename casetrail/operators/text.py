@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from casetrail.operators.ordering import ordered, time_chunk
 from casetrail.operators.ranks import grouped_quantiles, value_band
 from casetrail.operators.relational import assemble_text
 from casetrail.operators.temporal import interval_join
+from casetrail.session import spread
 
 
 def note_timing(start: Column, created: Column, discharge: Column) -> tuple[Column, Column]:
@@ -39,6 +41,11 @@ def notes(scope: DataFrame, headers: DataFrame, lines: DataFrame, types: Sequenc
         {"MinutesAfterSurgeryStart": after, "HoursBeforeDischarge": before})
 
 
+def lower_pattern(pattern: str) -> str:
+    """Pattern with its letters in lower case; escapes such as ``\\D`` keep theirs."""
+    return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0].startswith("\\") else m[0].lower(), pattern)
+
+
 def _joints(texts: DataFrame, key: str, text: str, order: Sequence[str], reach: int) -> DataFrame:
     """Short texts around the places where a key's consecutive texts meet.
 
@@ -68,11 +75,13 @@ def regex_flags(texts: DataFrame, key: str, text: str, patterns: Mapping[str, st
     """
     patterns = patterns or fixed.TEXT_PATTERNS
     totals = {"sdoh_total": "sdoh_", "med_total": "med_"} if totals is None else totals
-    rows = texts.select(key, text)
+    rows = spread(texts.select(key, text))
     if order:
         rows = rows.unionByName(_joints(texts, key, text, order, reach))
+    # Matching lower-case patterns on a lower-case text is faster than matching without regard to case.
+    rows = rows.withColumn(text, F.lower(text))
     flags = rows.groupBy(key).agg(*[
-        F.max(F.coalesce(F.col(text).rlike(f"(?i){p}"), F.lit(False)).cast("int")).alias(n) for n, p in patterns.items()])
+        F.max(F.coalesce(F.col(text).rlike(lower_pattern(p)), F.lit(False)).cast("int")).alias(n) for n, p in patterns.items()])
     sums = {t: sum((F.col(n) for n in patterns if n.startswith(prefix)), F.lit(0)) for t, prefix in totals.items()}
     return flags.withColumns(sums | {"has_notes": F.lit(1)})
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from casetrail.functions import fixed
 from casetrail.functions.clock import age_years, boundaries, shift
 from casetrail.functions.scalars import bmi, contains_any, inches_to_cm, number, ounces_to_kg, yn
-from casetrail.operators.predicates import classify_unit, cohort_filter, not_cancelled
+from casetrail.operators.predicates import classify_unit, cohort_filter, isin_codes, not_cancelled
 from casetrail.operators.ranks import top_k
 from casetrail.operators.relational import (case_volume, flag_pivot, length_of_stay, milestone_pair, provider_edges,
                                             union_distinct, value_pivot)
 from casetrail.operators.sampling import stratified_sample
 from casetrail.operators.sequences import first_last
-from casetrail.operators.temporal import (asof, covering_anchor, interval_join, lookback, scd2_current, scd2_join, to_intervals,
+from casetrail.operators.temporal import (asof, broadcast_if_bounded, covering_anchor, interval_join, lookback, scd2_current, scd2_join, to_intervals,
                                           window_counts)
 
 def open_end() -> Column:
@@ -33,7 +33,7 @@ def build_cohort(cases: DataFrame, details: DataFrame, patients: DataFrame, link
     ``billing``: EncounterCSN, PAT_ID, CPT_CODE, RVU_WORK.
     """
     included = cohort_filter(cases, details, patients, links, sites, first_day, last_day, parent_site)
-    listed = billing.where(F.col("CPT_CODE").isin(*codes)).join(
+    listed = isin_codes(billing, "CPT_CODE", codes).join(
         included.select("EncounterCSN", "PAT_ID").distinct(), ["EncounterCSN", "PAT_ID"], "left_semi")
     top = top_k(listed, ["EncounterCSN"], [F.desc_nulls_last("RVU_WORK"), F.asc("CPT_CODE")], 1).select(
         "EncounterCSN", F.col("CPT_CODE").alias("PrimaryCPT"))
@@ -461,7 +461,7 @@ def unit_nodes(trajectory: DataFrame, departments: DataFrame, lookup: DataFrame)
     current = scd2_current(lookup, "EndDate").select(
         F.col("Clarity_ID").alias("DEPARTMENT_ID"), F.col("GNNUnitType"), F.col("UnitType").alias("InstitutionType"))
     present = trajectory.select(F.col("DepartmentID").alias("DEPARTMENT_ID")).distinct()
-    return (departments.join(present, "DEPARTMENT_ID", "left_semi").join(F.broadcast(current), "DEPARTMENT_ID", "left")
+    return (departments.join(present, "DEPARTMENT_ID", "left_semi").join(broadcast_if_bounded(current), "DEPARTMENT_ID", "left")
             .withColumn("UnitType", F.coalesce("GNNUnitType", F.lit("Other"))).drop("GNNUnitType"))
 
 
@@ -472,11 +472,11 @@ def patient_case_view(patient: str | int, cases: DataFrame, surgical: DataFrame,
     The id is compared as a literal, so it cannot change the query, and it reaches the scans as a filter.
     """
     mine = cases.where(F.col("PAT_ID") == F.lit(patient))
-    keys = mine.select("LogID").distinct()
-    edges = provider_edges(*[t.join(F.broadcast(keys), "LogID", "left_semi") for t in (surgical, leads, staff)], providers)
+    keys = broadcast_if_bounded(mine.select("LogID").distinct())
+    edges = provider_edges(*[t.join(keys, "LogID", "left_semi") for t in (surgical, leads, staff)], providers)
     visits = mine.select(F.col("EncounterCSN").alias("PAT_ENC_CSN_ID"), "LogID").where(F.col("PAT_ENC_CSN_ID").isNotNull())
     moves = adt.where(F.col("EVENT_TYPE_C").isin(1, 3) & not_cancelled(F.col("EVENT_SUBTYPE_C"), keep_null=False)).join(
-        F.broadcast(visits), "PAT_ENC_CSN_ID")
+        broadcast_if_bounded(visits), "PAT_ENC_CSN_ID")
     stays = to_intervals(moves, ["PAT_ENC_CSN_ID"], "EFFECTIVE_TIME", ["EFFECTIVE_TIME", "EVENT_ID"])
     named = stays.join(departments, "DEPARTMENT_ID", "left").withColumn("UnitType", classify_unit(
         F.col("DEPARTMENT_NAME"), F.col("ADT_UNIT_TYPE_C"), F.col("OR_UNIT_TYPE_C"), F.col("INPATIENT_DEPT_YN")))
