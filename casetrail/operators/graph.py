@@ -108,8 +108,14 @@ def shared_counts(incidence: DataFrame, case: str, node: str, min_shared: int =
     links = _links(incidence, case, node, dedupe)
     degree = links.groupBy("n").agg(F.count(F.lit(1)).alias("d"), F.max("m").alias("mm"))
     ranked = links.join(degree, "n").withColumn("__most", F.col("m") * F.col("mm"))
-    tail = Window.partitionBy("c").orderBy(F.desc("d"), F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = ranked.withColumn("__rest", F.sum("__most").over(tail)).where(F.col("__rest") >= min_shared)
+    if min_shared > 1:
+        # Every link weighs at least 1, so no more than min_shared - 1 links of a case can form the suffix.
+        common = top_k(ranked, ["c"], [F.desc("d"), F.desc("n")], min_shared - 1)
+        tail = Window.partitionBy("c").orderBy(F.desc("d"), F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+        suffix = common.withColumn("__rest", F.sum("__most").over(tail)).where(F.col("__rest") < min_shared)
+        prefix = ranked.join(suffix.select("c", "n"), ["c", "n"], "left_anti")
+    else:
+        prefix = ranked
     left = prefix.select("n", "c")
     candidates = (_salted_pairs(left, prefix.select("n", F.col("c").alias("o")), "n")
                   .where(F.col("c") < F.col("o")).select("c", "o").distinct())

@@ -19,6 +19,10 @@ from casetrail.operators.sequences import first_last
 from casetrail.operators.temporal import (asof, broadcast_if_bounded, covering_anchor, interval_join, lookback, scd2_current, scd2_join, to_intervals,
                                           window_counts)
 
+# Shares a patient's cases are dealt into where they meet the patient's history.
+SALTS = 8
+
+
 def open_end() -> Column:
     """Time that stands for "not ended yet"."""
     return F.lit("9999-12-31").cast("timestamp")
@@ -203,7 +207,11 @@ def dx_history(cases: DataFrame, problems: DataFrame, encounter_codes: DataFrame
         active = covering_anchor(spans, cases, ["PAT_ID"], "__a", "__b", anchor)
         return union_distinct(active.select(key, "code"), recent.select(key, "code"))
     base = cases.select(key, "PAT_ID", anchor).distinct()
-    active = base.join(spans, "PAT_ID").where(F.col(anchor).between(F.col("__a"), F.col("__b"))).select(key, "code")
+    # Spans of one code that start together merge; cases of one patient are dealt over salts, so no task owns a patient.
+    merged = spans.groupBy("PAT_ID", "code", "__a").agg(F.max("__b").alias("__b")).withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = base.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    active = dealt.join(merged, ["PAT_ID", "__salt"]).where(F.col(anchor).between(F.col("__a"), F.col("__b"))).select(key, "code")
     recent = lookback(base, dated.distinct(), ["PAT_ID"], anchor, "at", months, "month", include_anchor=True)
     return union_distinct(active, recent.select(key, "code"))
 
