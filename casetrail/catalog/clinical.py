@@ -84,7 +84,7 @@ def label_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 @query("c02_readmission_label", f"""
-WITH {_LABEL_SQL} SELECT s.k AS "LogID", days AS "DaysToReadmission", coalesce((days BETWEEN 1 AND 30)::INT, 0) AS "ReadmittedWithin30Days"
+WITH {_LABEL_SQL} SELECT s.k AS "LogID", days::INT AS "DaysToReadmission", coalesce((days BETWEEN 1 AND 30)::INT, 0) AS "ReadmittedWithin30Days"
 FROM s LEFT JOIN label USING (k)""")
 def _(t: Tables) -> DataFrame:
     return C.readmission_label(*label_tables(t))
@@ -369,7 +369,7 @@ def _(t: Tables) -> DataFrame:
 WITH {_LABEL_SQL}, p AS (SELECT l_orderkey, count(DISTINCT CASE WHEN l_suppkey % 3 = 1 AND l_linenumber > 1 THEN l_partkey END) AS oth FROM lineitem GROUP BY 1)
 SELECT s.k AS "LogID", s.pat AS "PAT_ID", round(date_diff('day', DATE '1940-01-01', s.a::DATE) / 365.25, 2)::DOUBLE AS "AgeYears",
  CASE s.k % 3 WHEN 1 THEN 'F' WHEN 2 THEN 'M' END AS "Gender", CASE s.k % 4 WHEN 1 THEN 'I' WHEN 2 THEN 'O' WHEN 3 THEN 'O' ELSE 'I' END AS "PatientType",
- coalesce(oth, 0) AS other_procedures, days AS "DaysToReadmission", coalesce((days BETWEEN 1 AND 30)::INT, 0) AS "ReadmittedWithin30Days", 'No' AS "Heart Failure"
+ coalesce(oth, 0) AS other_procedures, days::INT AS "DaysToReadmission", coalesce((days BETWEEN 1 AND 30)::INT, 0) AS "ReadmittedWithin30Days", 'No' AS "Heart Failure"
 FROM s LEFT JOIN label USING (k) LEFT JOIN p ON p.l_orderkey = s.k""")
 def _(t: Tables) -> DataFrame:
     cases, adt, types = label_tables(t)
@@ -396,7 +396,7 @@ r AS (SELECT c.log, max(o.o_orderkey % 5) AS typ FROM c JOIN orders o ON o.o_cus
 @query("c15_referral_patterns", f"""
 WITH {_REFERRAL_SQL} SELECT c.log AS "LogID", g.ref AS "ReferringProvID", n_name AS "ReferringProvSpecialty",
  CASE WHEN g.ref IS NULL THEN 'Unknown' WHEN g.ref = c.pat THEN 'Self' WHEN s_suppkey IS NOT NULL THEN 'Internal' ELSE 'External' END AS "ReferralSource",
- coalesce(g.n, 0) AS n_preop_surg_clinic_visits_90d, days AS days_first_surg_clinic_to_surgery, g.first AS "FirstSurgeryConsultProvID",
+ coalesce(g.n, 0) AS n_preop_surg_clinic_visits_90d, days::INT AS days_first_surg_clinic_to_surgery, g.first AS "FirstSurgeryConsultProvID",
  CASE WHEN g.first IS NOT NULL THEN (g.first <> c.surg)::INT END AS within_service_handoff, (r.log IS NOT NULL)::INT AS "HasEpicReferralRecord", r.typ AS "EpicReferralTypeCode"
 FROM c LEFT JOIN g ON g.log = c.log LEFT JOIN r ON r.log = c.log LEFT JOIN supplier ON s_suppkey = g.ref LEFT JOIN nation ON n_nationkey = s_nationkey""")
 def _(t: Tables) -> DataFrame:

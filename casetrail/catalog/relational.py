@@ -426,7 +426,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("j15_merge_closure", """
 WITH e AS (SELECT c_custkey AS s, c_custkey + 1 AS t FROM customer WHERE c_custkey % 7 IN (0, 1, 2)),
-i AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3),
+i AS (SELECT c_custkey AS id FROM customer),
 f1 AS (SELECT id, t AS r FROM i JOIN e ON s = id), b1 AS (SELECT id, s AS r FROM i JOIN e ON t = id)
 SELECT id, id AS related, 'direct' AS dir FROM i UNION SELECT id, r, 'forward' FROM f1 UNION SELECT id, r, 'backward' FROM b1
 UNION SELECT f1.id, e.t, 'forward-2hop' FROM f1 JOIN e ON e.s = f1.r
@@ -434,7 +434,7 @@ UNION SELECT b1.id, e.s, 'backward-2hop' FROM b1 JOIN e ON e.t = b1.r""")
 def _(t: Tables) -> DataFrame:
     edges = t.customer.select(F.col("c_custkey").alias("s"), F.when(
         F.col("c_custkey") % 7 < 3, F.col("c_custkey") + 1).alias("t"))
-    ids = t.customer.where("c_nationkey = 3").select(F.col("c_custkey").alias("id"))
+    ids = t.customer.select(F.col("c_custkey").alias("id"))
     got = R.merge_closure(ids, edges, "s", "t", "id")
     return got.select("id", F.col("RelatedID").alias("related"), F.col("MergeDir").alias("dir"))
 

@@ -94,13 +94,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("x04_pool_notes", """
-WITH v AS (SELECT vec_id % 60 AS k, (label % 3)::VARCHAR AS t, embedding[1]::DOUBLE AS a FROM embeddings), c AS (SELECT range AS k FROM range(70))
-SELECT c.k, round(coalesce(avg(CASE WHEN t = '0' THEN a END), 0), 6) AS "0_emb_0", round(coalesce(avg(CASE WHEN t = '1' THEN a END), 0), 6) AS "1_emb_0",
- round(coalesce(avg(CASE WHEN t = '2' THEN a END), 0), 6) AS "2_emb_0" FROM c LEFT JOIN v ON v.k = c.k GROUP BY 1""")
+WITH v AS (SELECT vec_id % 900 AS k, (label % 3)::VARCHAR AS t, embedding[1]::DOUBLE AS a FROM embeddings)
+SELECT c_custkey AS k, round(coalesce(avg(CASE WHEN t = '0' THEN a END), 0), 6) AS "0_emb_0", round(coalesce(avg(CASE WHEN t = '1' THEN a END), 0), 6) AS "1_emb_0",
+ round(coalesce(avg(CASE WHEN t = '2' THEN a END), 0), 6) AS "2_emb_0" FROM customer LEFT JOIN v ON v.k = c_custkey GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    v = vector_columns(t.embeddings.select((F.col("vec_id") % 60).alias("k"), (F.col("label") % 3).cast("string").alias("t"), "embedding"),
+    v = vector_columns(t.embeddings.select((F.col("vec_id") % 900).alias("k"), (F.col("label") % 3).cast("string").alias("t"), "embedding"),
                        "embedding", 1)
-    cases = t.customer.where("c_custkey < 70").select(F.col("c_custkey").alias("k"))
+    cases = t.customer.select(F.col("c_custkey").alias("k"))
     return rounded(X.pool_notes(v, cases, "k", ["emb_0"], "t", ["0", "1", "2"]), "0_emb_0", "1_emb_0", "2_emb_0")
 
 

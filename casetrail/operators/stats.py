@@ -81,14 +81,15 @@ def threshold_counts(df: DataFrame, grid: Sequence[float], keys: Sequence[str] =
                      p: str = "p") -> DataFrame:
     """Confusion counts at every grid threshold.
 
-    Each score is counted once, under the number of thresholds it reaches, and the small table of those counts is
-    summed from the top. Rows are not repeated per threshold. Keys without a row above a threshold still get it.
+    Rows are first counted per distinct score, then per number of thresholds the score reaches, and only that small
+    table meets the grid. Rows are not repeated per threshold. Keys without a row above a threshold still get it.
     """
     grid = [float(t) for t in grid]
     reached = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: F.col(p) >= t))
     if grid != sorted(grid):
         raise ValueError("thresholds must ascend")
-    cells = df.groupBy(*keys, reached.alias("__r")).agg(*[v.alias(n) for n, v in _counts(y).items()])
+    distinct = df.groupBy(*keys, p).agg(*[v.alias(n) for n, v in _counts(y).items()])
+    cells = distinct.groupBy(*keys, reached.alias("__r")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     numbered = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)])
     spread = cells.withColumn("__g", F.explode(numbered))
     above = F.col("__r") >= F.col("__g")["i"]

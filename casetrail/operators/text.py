@@ -94,6 +94,7 @@ def align_flags(cases: DataFrame, flags: DataFrame, key: str) -> DataFrame:
 def last_numeric(texts: DataFrame, key: str, text: str, order: Sequence[str], patterns: Mapping[str, str] | None = None) -> DataFrame:
     """Last number that follows each keyword, over a key's texts in order; null where there is none."""
     patterns = patterns or fixed.TEXT_NUMBERS
+    texts = spread(texts.select(key, *order, text))
     rows = texts.select(key, *order, *[F.try_element_at(F.regexp_extract_all(F.col(text), F.lit(f"(?i){p}"), F.lit(1)),
                                                         F.lit(-1)).cast("double").alias(n) for n, p in patterns.items()])
     rank = F.struct(*order)

@@ -30,10 +30,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the input has fewer partitions than that (a few small files).
+def spread(df: DataFrame, split_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """Deal the rows of a small input over all cores.
 
-    Input in many partitions, the rule on a cluster, passes through without a shuffle.
+    Input too small to give every core a split (a few small files) would leave cores idle during costly per-row work.
+    The planner's size estimate decides, nothing runs for it; larger input passes through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * split_bytes else df
