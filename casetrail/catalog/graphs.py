@@ -216,7 +216,15 @@ def walk_edges(t: Tables) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-@query("g17_random_walks")
+@query("g17_random_walks", """
+WITH RECURSIVE e AS (SELECT 'u' || user_id AS src, 't' || floor(value)::BIGINT AS dst FROM events), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+c AS (SELECT src, dst, row_number() OVER (PARTITION BY src, dst) AS copy FROM b),
+nb AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5('42:' || src || ':' || dst || ':' || copy)) - 1 AS idx, count(*) OVER (PARTITION BY src) AS deg FROM c),
+dg AS (SELECT DISTINCT src AS node, deg FROM nb),
+w AS (SELECT node || '#' || rep AS walk, node AS start, 0 AS step, node, deg FROM dg, range(2) r(rep)
+  UNION ALL SELECT w.walk, w.start, w.step + 1, nb.dst, d.deg FROM w JOIN nb ON nb.src = w.node
+  AND nb.idx = ('0x' || substr(md5('42:' || w.walk || ':' || (w.step + 1)), 1, 15))::BIGINT % w.deg JOIN dg d ON d.node = nb.dst WHERE w.step < 5)
+SELECT walk, start, step, node FROM w""")
 def _(t: Tables) -> DataFrame:
     return G.random_walks(walk_edges(t), "src", "dst", length=6, per_node=2)
 
