@@ -12,14 +12,13 @@ from casetrail.functions import fixed
 from casetrail.operators import text as X
 from casetrail.operators.graph import vector_columns
 from casetrail.operators.relational import assemble_text
+from casetrail.session import checkpoint_folder
 from casetrail.sources import readers, sinks
 
 
 def scratch(t: Tables, name: str) -> str:
-    """New folder for files a query writes: shared storage of the cluster, or a temporary folder in tests."""
-    import tempfile
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="casetrail-")
-    return f"{root.rstrip('/')}/casetrail-{uuid.uuid4().hex}/{name}"
+    """New folder for files a query writes, in the shared storage of the cluster."""
+    return f"{checkpoint_folder(t.spark)}/casetrail-{uuid.uuid4().hex}/{name}"
 
 
 # ---- text ----
