@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetrail.llm import debruijn, suffixes
+import public_tokenizers
+
+from casetrail.llm import bpe, debruijn, lines, packing, shards, suffixes, topk
 from casetrail.llm.base import table
 from casetrail.session import configure
 
@@ -58,3 +60,54 @@ FROM t LEFT JOIN c USING (doc_id)""")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     cut = debruijn.remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op2_line_dedup", f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ls) - {lines.RUN - 2})) AS p, ls FROM t),
+k AS (SELECT doc_id, p, md5_number(array_to_string(ls[p:p + {lines.RUN - 1}], chr(10))) AS g FROM w),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM k),
+x AS (SELECT DISTINCT doc_id, unnest(range(p, p + {lines.RUN})) AS i FROM f WHERE n > 1),
+y AS (SELECT *, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) = i - 1 THEN 0 ELSE 1 END AS new FROM x),
+c AS (SELECT doc_id, count(*) AS gone, sum(new) AS runs, list(i) AS gone_at FROM y GROUP BY 1)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_runs,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ls ELSE list_transform(list_sort(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone_at, i))), lambda i: ls[i]) END, chr(10))) AS kept_sha256
+FROM t LEFT JOIN c USING (doc_id)""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    cut = lines.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op4_best_fit_packing")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op5_extendible_shards", f"""
+WITH t AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+  lpad(bin(('0x' || substr(md5(doc_id::VARCHAR || ':' || md5(coalesce(text, ''))), 1, {shards.CONTENT_BITS // 4}))::BIGINT), {shards.CONTENT_BITS}, '0') AS bits FROM documents),
+p AS (SELECT doc_id, n_bytes, d AS depth, substr(bits, 1, d) AS shard FROM t, (SELECT unnest(range(0, 41)) AS d)),
+b AS (SELECT depth, shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY ALL),
+l AS (SELECT doc_id, n_bytes, p.shard, p.depth, shard_bytes, shard_rows, row_number() OVER (PARTITION BY doc_id ORDER BY p.depth) AS n
+      FROM p JOIN b USING (depth, shard) WHERE shard_bytes <= {shards.LIMIT} OR shard_rows = 1)
+SELECT doc_id, n_bytes, shard, depth::INT AS depth, shard_bytes, shard_rows FROM l WHERE n = 1""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.assign(table(spark, folder, "documents"))
+
+
+@query("op7_exact_top_products", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+q AS (SELECT vec_id AS query_id, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS x FROM v WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS y FROM v),
+s AS (SELECT query_id, vec_id, sum(x * y)::BIGINT AS score FROM q JOIN c USING (i) WHERE query_id <> vec_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_bpe")
+def _(spark: SparkSession, folder: str, vocabulary: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    coded = bpe.encode(table(spark, folder, "documents"), vocabulary)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
