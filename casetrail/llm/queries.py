@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from casetrail.llm import bpe, debruijn, lines, packing, shards, suffixes, topk
+from casetrail.llm import bpe, debruijn, lines, minhash, packing, shards, suffixes, topk
 from casetrail.llm.base import table
 from casetrail.session import configure
 
@@ -111,3 +111,17 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _(spark: SparkSession, folder: str, vocabulary: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     coded = bpe.encode(table(spark, folder, "documents"), vocabulary)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op6_minhash_near_dedup", f"""
+WITH RECURSIVE t AS (SELECT doc_id, {WORDS_SQL.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+h AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: md5_number(array_to_string(ws[i:i + 3], ' ')))
+      WHEN len(ws) > 0 THEN [md5_number(array_to_string(ws, ' '))] ELSE [] END) AS s FROM t),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM h),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) + any_value(b.n) AS n FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (n - c)),
+r AS (SELECT doc_id, doc_id AS seen FROM h UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen),
+m AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM h JOIN m USING (doc_id)""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), shingle=4)
