@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from casetrail.llm import bpe, debruijn, lines, minhash, packing, shards, suffixes, topk
+from casetrail.llm import bpe, debruijn, lines, minhash, packing, quality, shards, suffixes, topk
 from casetrail.llm.base import table
 from casetrail.session import configure
 
@@ -125,3 +125,8 @@ m AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM h JOIN m USING (doc_id)""")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), shingle=4)
+
+
+@query("op3_quality_rules")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.rules(table(spark, folder, "documents"))
