@@ -20,6 +20,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def one_key(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str]:
+    """The rows with a column that names each of them: ``key`` itself, or where it repeats or is null a number in its order."""
+    if not docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
+        return docs, key
+    name = "row_in_order"
+    while name in docs.columns:
+        name += "_"
+    return store(docs.orderBy(key).withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``doc`` (key as an order, null first), ``alt`` (0, or a hash of the text where keys repeat), ``text`` (never null).
 
@@ -32,13 +42,27 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key), order.alias("doc"), alt.alias("alt"), texts.alias("text"))
 
 
+#: Folders that ``store`` has written in this process; results that are still to be computed read them.
+WRITTEN: list[str] = []
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts the lineage, survives lost executors, computed once."""
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored intermediates once nothing reads them any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+
+
 def partitions(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """Shuffle partitions for work on the texts of ``df``: the session's number, more where the tables below are larger."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from casetrail.llm import bpe, debruijn, lines, minhash, packing, quality, shards, suffixes, topk
+from casetrail.llm import bpe, debruijn, html, lines, minhash, packing, quality, shards, suffixes, topk
 from casetrail.llm.base import table
+from casetrail.llm.html_pages import labelled_pages
 from casetrail.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +131,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_quality_rules")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rules(table(spark, folder, "documents"))
+
+
+@query("op9_html_main_text")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"), html.train(labelled_pages()))

@@ -245,25 +245,34 @@ def _factors(window: int):
     return task
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        owner, start, end = base.list_bounds(batch.column("spans"))
-        owner, start, end = base.merged(owner, start, end)
-        bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
-        n_bytes, n_removed, kept = [], [], []
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            whole = text.encode("utf-8")
-            cut = list(zip(start[bounds[k]: bounds[k + 1]].tolist(), end[bounds[k]: bounds[k + 1]].tolist()))
-            kept.append(b"".join(whole[a:b] for a, b in zip([0, *(e for _, e in cut)], [*(s for s, _ in cut), len(whole)])))
-            n_bytes.append(len(whole))
-            n_removed.append(len(whole) - len(kept[-1]))
-        yield pa.RecordBatch.from_pydict({**{n: batch.column(n) for n in batch.schema.names if n not in ("text", "spans", "doc", "alt")},
-                                          "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
-                                          "n_spans": pa.array(np.diff(bounds), pa.int64()), "kept": pa.array(kept, pa.binary())})
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans (maximal removed runs) and ``kept`` (remaining bytes).
+def _cut(as_text: bool):
+    """Cut the spans out of the texts; as text, bytes of characters that a cut has split are left out."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _cut_batch(batch, as_text)
+    return task
+
+
+def _cut_batch(batch: pa.RecordBatch, as_text: bool) -> pa.RecordBatch:
+    owner, start, end = base.list_bounds(batch.column("spans"))
+    owner, start, end = base.merged(owner, start, end)
+    bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+    n_bytes, n_removed, kept = [], [], []
+    for k, text in enumerate(batch.column("text").to_pylist()):
+        whole = text.encode("utf-8")
+        cut = list(zip(start[bounds[k]: bounds[k + 1]].tolist(), end[bounds[k]: bounds[k + 1]].tolist()))
+        kept.append(b"".join(whole[a:b] for a, b in zip([0, *(e for _, e in cut)], [*(s for s, _ in cut), len(whole)])))
+        n_bytes.append(len(whole))
+        n_removed.append(len(whole) - len(kept[-1]))
+    result = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+    return pa.RecordBatch.from_pydict({**{n: batch.column(n) for n in batch.schema.names if n not in ("text", "spans", "doc", "alt")},
+                                       "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+                                       "n_spans": pa.array(np.diff(bounds), pa.int64()), "kept": result})
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """Per row: key, n_bytes, n_removed, n_spans (maximal removed runs) and ``kept``: the remaining bytes, or with
+    ``as_text`` the text they spell, without characters that a cut has split.
 
     Null text is empty. Rows with equal key and equal text are one document and get the same result; rows that share
     only the key are ordered by a hash of their text; a null key comes first. Texts under ``window`` bytes stay whole.
@@ -277,4 +286,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     compared = parts.repartitionById(buckets, F.col("bucket")).mapInArrow(_factors(window), _SPAN_SCHEMA)
     spans = certain.unionByName(compared)
     kind = dict(rows.dtypes)[key]
-    return base.with_spans(rows, spans).mapInArrow(_cut, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return base.with_spans(rows, spans).mapInArrow(
+        _cut(as_text), f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
