@@ -2,13 +2,14 @@
 
 Documents with the same shingle set are one class. Classes that share a band meet in a bucket; there each is first
 compared with the bucket's earliest class, so a large group of near copies costs one pair per member. Confirmed links
-give components. What remains are pairs of one bucket in different components; all of these are compared too, so no
-link is lost, and groups that already hang together are never compared among themselves.
+give components. What remains are pairs with a common leader in different components. Exact bounds on what two of them
+can share, given what each shares with the leader, leave few to compare; no link between them is lost, and groups
+that already hang together are never compared among themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,64 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _relate(size: int):
+    """What a class shares with its leader, and what it has besides."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [s for _, sets in shingle_sets(batch.column("text_a"), size) for s in sets]
+            right = [s for _, sets in shingle_sets(batch.column("text_b"), size) for s in sets]
+            own = [np.setdiff1d(y, x, assume_unique=True).view(np.int64) for x, y in zip(left, right)]
+            n = np.array([len(y) for y in right], np.int64)
+            yield pa.RecordBatch.from_pydict({"leader": batch.column("a"), "class": batch.column("b"), "n": n,
+                                              "common": n - np.array([len(x) for x in own], np.int64), "own": pa.array(own, pa.list_(pa.int64()))})
+    return task
+
+
+def _left_apart(members: DataFrame, groups: DataFrame, with_texts: Callable[[DataFrame], DataFrame], size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that may still be linked: classes with a common leader in different components.
+
+    Exact bounds leave out the others. Let x and y have a common leader; they share at most the less of what each has
+    in common with it, and the shingles that both have besides. A link needs percent * (|x| + |y|) / (100 + percent)
+    shared shingles. So either the first part alone reaches that (``near``), or x and y share so many of their own
+    shingles that, in any common order, early ones are among them (``prefix``); the order is rarest first. Within a
+    component nothing is compared: one side is always outside the leader's component.
+    """
+    placed = members.select("leader", "class").distinct().join(groups.withColumnRenamed("node", "class"), "class", "left").select(
+        "leader", "class", F.coalesce("component", "class").alias("component"))
+    placed = base.store(placed, "placed")
+    homes = placed.where("leader = class").select("leader", F.col("component").alias("home"))
+    mixed = base.store(placed.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").join(homes, "leader").select("leader", "home"), "mixed")
+    apart = base.store(placed.join(mixed, "leader").where("leader <> class").withColumn("away", F.col("component") != F.col("home")), "apart")
+    related = base.store(with_texts(apart.select(F.col("leader").alias("a"), F.col("class").alias("b"))).mapInArrow(
+        _relate(size), "leader long, class long, n long, common long, own array<long>"), "related")
+    related = related.join(apart.select("leader", "class", "component", "away"), ["leader", "class"])
+    smallest = base.store(related.groupBy("leader").agg(F.min("n").alias("least")), "smallest-sets")
+    related = base.store(related.join(smallest, "leader"), "bounded")
+    # The smallest partner a link of this class could have, and what it must share with that one.
+    partner = F.greatest(F.ceil(F.col("n") * percent / 100.0).cast("long"), F.col("least"))
+    need = F.ceil((F.col("n") + partner) * percent / (100.0 + percent) - 1e-9).cast("long")
+    flat = ["leader", "class", "component", "away", "n", "common"]
+    near = base.store(related.where(F.col("common") >= need).select(flat), "near")
+    keep = F.size("own") - F.greatest(need - F.col("common"), F.lit(1)) + 1
+    rows = related.where(keep > 0).select(*flat, keep.alias("keep"), F.size("own").alias("n_own"), F.explode("own").alias("shingle"))
+    often = base.store(rows.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    shared = rows.join(often, ["leader", "shingle"]).groupBy(*flat, "keep", "n_own").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
+    # Shingles that no other class of the leader has come first in the order and meet nothing.
+    early = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared"), F.col("keep") - (F.col("n_own") - F.size("shared")))))
+    prefix = base.store(shared.select(*flat, F.explode(early).alias("s")).select(*flat, F.col("s.shingle").alias("shingle")), "prefix")
+    fits = (100 + percent) * F.least("common_a", "common_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    once = (F.col("component_a") != F.col("component_b")) & (~F.col("away_b") | (F.col("a") < F.col("b")))
+    named = lambda df, side: df.select(*[c for c in ("leader", "shingle") if c in df.columns], F.col("class").alias(side),
+                                       *[F.col(c).alias(f"{c}_{side}") for c in flat[2:]])
+    pairs = None
+    for found, on, test in ((near, ["leader"], fits), (prefix, ["leader", "shingle"], F.lit(True))):
+        outside = base.store(found.where("away"), "outside")
+        inside = base.store(found.join(outside.select(on).distinct(), on, "left_semi"), "inside")
+        met = named(outside, "a").join(named(inside, "b"), on).where(once & test).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.distinct()
+
+
 _SIGNED = "doc long, alt long, n_shingles long, class long, signature binary, bands array<long>"
 
 
@@ -121,26 +180,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = base.store(rows.select("doc", "alt", "text").join(texts.hint("shuffle_hash"), ["doc", "alt"]).groupBy("class").agg(F.first("text").alias("text")), "texts")
     signatures = classes.select("class", "signature")
 
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        return pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(
+            texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b): enough equal minima, then enough common shingles of the whole texts."""
         both = pairs.join(signatures.select(F.col("class").alias("a"), F.col("signature").alias("sig_a")), "a").join(
             signatures.select(F.col("class").alias("b"), F.col("signature").alias("sig_b")), "b")
         alike = base.store(both.mapInArrow(_agree, "a long, b long"), "alike")
-        whole = alike.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(
-            texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-        return base.store(whole.mapInArrow(_confirm(shingle, percent), "a long, b long"), "confirmed")
+        return base.store(with_texts(alike).mapInArrow(_confirm(shingle, percent), "a long, b long"), "confirmed")
 
     stars = base.store(members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct(), "stars")
     links = confirmed(stars)
     groups = base.store(components(links), "components")
-    # Pairs of one bucket that the stars left apart.
-    placed = members.join(groups.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("component", "class").alias("component"))
-    placed = base.store(placed, "placed")
-    mixed = base.store(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "mixed")
-    apart = base.store(placed.join(mixed, "band"), "apart")
-    one, other = (apart.select("band", F.col("class").alias(n), F.col("component").alias(f"component_{n}")) for n in "ab")
-    rest = one.join(other, "band").where("component_a < component_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = _left_apart(members, groups, with_texts, shingle, percent)
     links = links.unionByName(confirmed(base.store(rest, "rest")))
     groups = base.store(components(links), "components")
     named = base.store(signed.select("doc", "alt", "n_shingles", "class").join(groups.withColumnRenamed("node", "class"), "class", "left")

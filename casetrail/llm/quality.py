@@ -200,7 +200,7 @@ def train(rows: DataFrame) -> Model:
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = kneser_ney(base.store(counts, "counts"))
     slotted = grams.mapInArrow(_slotted, "slot long, n long, size int, gram long, p double, g double")
-    kept = slotted.groupBy("slot").agg(F.max(F.struct("n", "size", "gram", "p", "g")).alias("m")).select("slot", F.log("m.p").cast("float").alias("p"), F.log("m.g").cast("float").alias("g"))
+    kept = slotted.groupBy("slot").agg(F.max(F.struct("n", "size", "gram", "p", "g")).alias("m")).select("slot", F.log("m.p").cast("float").alias("p"), F.log(F.greatest("m.g", F.lit(1e-12))).cast("float").alias("g"))
     table = base.store(kept, "model").toArrow().sort_by("slot")
     return Model(table["slot"].to_numpy().astype(np.uint32), table["p"].to_numpy(), table["g"].to_numpy())
 

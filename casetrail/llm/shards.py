@@ -82,6 +82,6 @@ def assign(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str =
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` as Parquet, one folder per shard; needs keys that name one row."""
-    shard = assign(docs, limit, key, text).select(key, "shard")
+    """Write ``docs`` as Parquet, one folder per shard (``shard=b`` and its bits); needs keys that name one row."""
+    shard = assign(docs, limit, key, text).select(key, F.concat(F.lit("b"), "shard").alias("shard"))
     docs.join(shard, key).repartition(F.col("shard")).write.partitionBy("shard").parquet(path)

@@ -170,7 +170,7 @@ def _verify(k: int):
                     out["query_own"] += [int(queries.own[i])] * len(best)
                     out["vec_id"] += block.ids[rows[best]].tolist()
                     out["vec_own"] += block.own[rows[best]].tolist()
-                    out["score"] += [int(s) for s in scores[best]]
+                    out["score"] += [max(-(2**63), min(2**63 - 1, int(s))) for s in scores[best]]
             yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in out.items()})
     return task
 
@@ -179,7 +179,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     """For every row that ``is_query`` selects: its k highest integer products with all other rows.
 
     Columns ``query_id, rank`` (from 1), ``vec_id, score``; ties go to the smaller id. Vectors that are null, have a
-    null, NaN or infinite component, a component of 2**50 or more, or no id take no part; scores must fit a long.
+    null, NaN or infinite component, a component of 2**50 or more, or no id take no part; scores beyond a long are cut to its ends.
     Missing trailing components count as 0. Rows are told apart even if ids repeat: a query is compared with every
     row but itself, and a repeated query id gets the ranks of each of its rows. Empty tables give no rows.
     """
