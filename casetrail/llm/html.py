@@ -91,6 +91,14 @@ def parse(html: str) -> Page:
         paragraphs.append(int(tag == "p"))
         open_.append(len(tags) - 1)
 
+    def in_body() -> None:
+        """Pages without html or body tags get them, so that every page has the same root."""
+        for tag in ("html", "body"):
+            if tag not in tags[:2]:
+                add(tag, "")
+        if not open_:
+            open_.append(1)
+
     def flush() -> None:
         """End the block that inline text has been gathered for."""
         nonlocal run_linked
@@ -99,8 +107,7 @@ def parse(html: str) -> Page:
         links, run_linked = run_linked, 0
         if not text:
             return
-        if not open_:
-            add("body", "")
+        in_body()
         up, size = open_[-1], len(text)
         page.parent.append(up)
         page.depth.append(page.depth[up] + 1)
@@ -158,7 +165,10 @@ def parse(html: str) -> Page:
                     if tags[open_[k]] in ended.split():
                         del open_[k:]
                         break
-            if not (tag in ("html", "body") and tag in tags):
+            if tag == "html" and not tags or tag == "body" and tags == ["html"]:
+                add(tag, attributes)
+            elif tag not in ("html", "body"):
+                in_body()
                 add(tag, attributes)
     if at < len(html):
         say(html[at:])

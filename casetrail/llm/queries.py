@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
 from casetrail.llm import bpe, debruijn, html, lines, minhash, packing, quality, shards, suffixes, topk
 from casetrail.llm.base import table
 from casetrail.llm.html_pages import labelled_pages
@@ -109,7 +107,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("op10_bpe")
-def _(spark: SparkSession, folder: str, vocabulary: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+def _(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """``vocabulary`` is the path of a tokenizer file, by default the installed public one."""
+    if vocabulary is None:
+        import public_tokenizers
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.encode(table(spark, folder, "documents"), vocabulary)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 

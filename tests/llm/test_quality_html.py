@@ -96,14 +96,16 @@ def test_rules(spark):
 
 
 def test_unseen_text_backs_off(spark):
-    rows = spark.createDataFrame([("", "abab abab abc")], "lang string, text string")
-    model = quality.train(rows)
-    pack = lambda s: np.array([(ord(s[0]) << 42) | (ord(s[1]) << 21) | ord(s[2])], np.uint64)
-    seen, unseen, strange = (float(model.log_probability("", pack(s))[0]) for s in ("aba", "bac", "☃☃☃"))
-    assert seen > unseen > strange and model.log_probability("other", pack("aba"))[0] == strange
-    # For every seen context the probabilities of all characters add up to one.
-    chars = sorted(set("ab c"))
-    assert sum(math.exp(float(model.log_probability("", pack("ab" + c))[0])) for c in chars) == pytest.approx(1.0)
+    rnd = random.Random(1)
+    texts = [("", "".join(rnd.choices("abcdef ", [9, 5, 3, 2, 1, 1, 4], k=60))) for _ in range(12)]
+    model = quality.train(spark.createDataFrame(texts, "lang string, text string"))
+    log_p = lambda s, lang="": float(model.log_probability(lang, np.array([(ord(s[0]) << 42) | (ord(s[1]) << 21) | ord(s[2])], np.uint64))[0])
+    seen = {re.sub(" +", " ", t)[k:k + 3] for _, t in texts for k in range(len(t) - 2)}
+    unseen = [a + b + c for a in "abcdef " for b in "abcdef " for c in "abcdef " if a + b + c not in seen]
+    assert unseen and all(log_p("\u2603" * 3) < log_p(u) < 0 for u in unseen) and log_p("aba", "other") == log_p("\u2603" * 3)
+    # For every context, seen or not, the probabilities of all characters add up to one.
+    for context in ("ab", "fe", "a ", "xa"):
+        assert sum(math.exp(log_p(context + c)) for c in "abcdef ") == pytest.approx(1.0, abs=1e-4)
 
 
 def test_empty(spark):
