@@ -293,12 +293,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("c11_transfusion_flag", """
 WITH b AS (SELECT o_custkey AS pat, l_shipdate AS ot, l_shipdate + to_hours((l_quantity * 2)::INT) AS st, 'E033' || CASE WHEN l_linenumber % 2 = 0 THEN '2' ELSE '6' END || 'V' AS cd
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 4)
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 SELECT o.o_orderkey AS "LogID", max((b.st BETWEEN o.o_orderdate - INTERVAL 72 HOUR + INTERVAL 8 HOUR AND o.o_orderdate + INTERVAL 8 HOUR)::INT)::INT AS "RBC_Yes"
 FROM orders o JOIN b ON b.pat = o.o_custkey AND b.ot >= o.o_orderdate - INTERVAL 7 DAY AND b.ot < o.o_orderdate + INTERVAL 1 DAY GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     keys = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("PAT_ID"))
-    rows = t.lineitem.where("l_linenumber <= 4").join(keys, "l_orderkey").withColumn("ORDER_ID", F.md5(F.concat_ws(
+    rows = t.lineitem.join(keys, "l_orderkey").withColumn("ORDER_ID", F.md5(F.concat_ws(
         "|", *[F.col(c).cast("string") for c in t.lineitem.columns])))
     orders = rows.select("PAT_ID", "ORDER_ID", F.col("l_shipdate").alias("ORDER_TIME"))
     blood = rows.select("ORDER_ID", F.lit("Y").alias("IS_BLOOD_YN"), F.concat(
@@ -310,14 +310,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("c12_room_anchor", """
-WITH m AS (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 60 WHEN 2 THEN 80 WHEN 3 THEN 390 END AS ev, min(l_shipdate) + to_minutes((l_orderkey % 50)::BIGINT) AS tm
-  FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber)
+WITH m AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 1 THEN 60 WHEN 2 THEN 80 ELSE 390 END AS ev, min(l_shipdate) + to_minutes((l_orderkey % 50)::BIGINT) AS tm
+  FROM lineitem GROUP BY l_orderkey, l_linenumber % 3)
 SELECT o.o_orderkey AS "LogID", epoch_us(coalesce(r.tm, o.o_orderdate)) AS room_us, date_diff('minute', s.tm, e.tm) AS "CutToClose" FROM orders o
 LEFT JOIN m r ON r.l_orderkey = o.o_orderkey AND r.ev = 60 LEFT JOIN m s ON s.l_orderkey = o.o_orderkey AND s.ev = 80
 LEFT JOIN m e ON e.l_orderkey = o.o_orderkey AND e.ev = 390""")
 def _(t: Tables) -> DataFrame:
-    n = F.col("l_linenumber")
-    times = t.lineitem.where(n <= 3).groupBy(F.col("l_orderkey").alias("LogID"), F.when(n == 1, 60).when(n == 2, 80).otherwise(390).alias(
+    n = F.col("l_linenumber") % 3
+    times = t.lineitem.groupBy(F.col("l_orderkey").alias("LogID"), F.when(n == 1, 60).when(n == 2, 80).otherwise(390).alias(
         "TRACKING_EVENT_C")).agg(F.min("l_shipdate").alias("m")).withColumn("TRACKING_TIME_IN", F.timestamp_micros(
             F.unix_micros("m") + (F.col("LogID") % 50) * 60_000_000))
     cases = t.orders.select(F.col("o_orderkey").alias("LogID"), F.to_date("o_orderdate").alias("SurgeryDate"))
@@ -457,8 +457,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("c17_provider_nodes", """
-WITH e AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_linenumber <= 3 UNION SELECT l_suppkey FROM lineitem WHERE l_linenumber = 4
- UNION SELECT l_suppkey + 1 FROM lineitem WHERE l_linenumber = 4),
+WITH e AS (SELECT DISTINCT l_suppkey AS k FROM lineitem UNION SELECT l_suppkey + 1 FROM lineitem WHERE l_linenumber % 4 = 0),
 v AS (SELECT l_suppkey AS k, count(DISTINCT CASE WHEN o_orderdate >= TIMESTAMP '1999-08-01' THEN o_orderkey END) AS v2, count(DISTINCT o_orderkey) AS v5
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
 SELECT s_suppkey::VARCHAR AS "ProvID", s_name, coalesce(v2, 0) AS "CaseVolume2yr", coalesce(v5, 0) AS "CaseVolume5yr" FROM supplier JOIN e ON e.k = s_suppkey LEFT JOIN v ON v.k = s_suppkey""")

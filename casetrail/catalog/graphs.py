@@ -138,17 +138,17 @@ def _(t: Tables) -> DataFrame:
     return rounded(got, "share")
 
 
-_EMB = [f"emb_{i}" for i in range(4)]
-_EMB_SQL = "em AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(4)) + " FROM embeddings)"
+_EMB = [f"emb_{i}" for i in range(64)]
+_EMB_SQL = "em AS (SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(64)) + " FROM embeddings)"
 
 
 @query("g13_pool_embeddings", f"""
 WITH {_EMB_SQL}, lk AS (SELECT l_orderkey AS c, l_partkey % 700 AS v, l_partkey % 13 AS typ, (l_quantity - 5) AS w FROM lineitem),
-ty AS (SELECT label, {", ".join(f"avg(e{i}) AS e{i}" for i in range(4))} FROM em GROUP BY 1),
-j AS (SELECT c, w, {", ".join(f"coalesce(em.e{i}, ty.e{i}) AS e{i}" for i in range(4))} FROM lk LEFT JOIN em ON em.vec_id = lk.v LEFT JOIN ty ON ty.label = lk.typ)
-SELECT c, {", ".join(f"round(coalesce(sum(CASE WHEN w > 0 THEN w * e{i} END) / nullif(sum(CASE WHEN w > 0 AND e0 IS NOT NULL THEN w END), 0), 0), 6) AS emb_{i}" for i in range(4))} FROM j GROUP BY 1""")
+ty AS (SELECT label, {", ".join(f"avg(e{i}) AS e{i}" for i in range(64))} FROM em GROUP BY 1),
+j AS (SELECT c, w, {", ".join(f"coalesce(em.e{i}, ty.e{i}) AS e{i}" for i in range(64))} FROM lk LEFT JOIN em ON em.vec_id = lk.v LEFT JOIN ty ON ty.label = lk.typ)
+SELECT c, {", ".join(f"round(coalesce(sum(CASE WHEN w > 0 THEN w * e{i} END) / nullif(sum(CASE WHEN w > 0 AND e0 IS NOT NULL THEN w END), 0), 0), 6) AS emb_{i}" for i in range(64))} FROM j GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    vectors = G.vector_columns(t.embeddings.select("vec_id", "embedding"), "embedding", 4)
+    vectors = G.vector_columns(t.embeddings.select("vec_id", "embedding"), "embedding", 64)
     averages = G.type_average(vectors, t.embeddings.select("vec_id", F.col("label").alias("typ")), "vec_id", "typ", _EMB)
     lk = t.lineitem.select(F.col("l_orderkey").alias("c"), (F.col("l_partkey") % 700).alias("vec_id"), (F.col("l_partkey") % 13).cast(
         "int").alias("typ"), (F.col("l_quantity") - 5).alias("w"))
@@ -156,9 +156,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("g14_type_average", f"""
-WITH {_EMB_SQL} SELECT label AS typ, {", ".join(f"round(avg(e{i}), 6) AS emb_{i}" for i in range(4))} FROM em GROUP BY 1""")
+WITH {_EMB_SQL} SELECT label AS typ, {", ".join(f"round(avg(e{i}), 6) AS emb_{i}" for i in range(64))} FROM em GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    vectors = G.vector_columns(t.embeddings.select("vec_id", "embedding"), "embedding", 4)
+    vectors = G.vector_columns(t.embeddings.select("vec_id", "embedding"), "embedding", 64)
     types = t.embeddings.select("vec_id", F.col("label").alias("typ"))
     return rounded(G.type_average(vectors, types, "vec_id", "typ", _EMB), *_EMB)
 
@@ -221,36 +221,36 @@ WITH RECURSIVE e AS (SELECT 'u' || user_id AS src, 't' || floor(value)::BIGINT A
 c AS (SELECT src, dst, row_number() OVER (PARTITION BY src, dst) AS copy FROM b),
 nb AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY md5('42:' || src || ':' || dst || ':' || copy)) - 1 AS idx, count(*) OVER (PARTITION BY src) AS deg FROM c),
 dg AS (SELECT DISTINCT src AS node, deg FROM nb),
-w AS (SELECT node || '#' || rep AS walk, node AS start, 0 AS step, node, deg FROM dg, range(2) r(rep)
+w AS (SELECT node || '#' || rep AS walk, node AS start, 0 AS step, node, deg FROM dg, range(5) r(rep)
   UNION ALL SELECT w.walk, w.start, w.step + 1, nb.dst, d.deg FROM w JOIN nb ON nb.src = w.node
-  AND nb.idx = ('0x' || substr(md5('42:' || w.walk || ':' || (w.step + 1)), 1, 15))::BIGINT % w.deg JOIN dg d ON d.node = nb.dst WHERE w.step < 5)
+  AND nb.idx = ('0x' || substr(md5('42:' || w.walk || ':' || (w.step + 1)), 1, 15))::BIGINT % w.deg JOIN dg d ON d.node = nb.dst WHERE w.step < 9)
 SELECT walk, start, step, node FROM w""")
 def _(t: Tables) -> DataFrame:
-    return G.random_walks(walk_edges(t), "src", "dst", length=6, per_node=2)
+    return G.random_walks(walk_edges(t), "src", "dst", length=10, per_node=5)
 
 
 @query("g18_biased_walks")
 def _(t: Tables) -> DataFrame:
-    return G.biased_walks(walk_edges(t), "src", "dst", p=2.0, q=0.5, length=4, per_node=1)
+    return G.biased_walks(walk_edges(t), "src", "dst", p=2.0, q=0.5, length=10, per_node=5)
 
 
 @query("g19_walk_embeddings")
 def _(t: Tables) -> DataFrame:
-    walks = G.random_walks(walk_edges(t), "src", "dst", length=5, per_node=2)
-    return G.walk_embeddings(walks, dim=8, window=3, iterations=1)
+    walks = G.random_walks(walk_edges(t), "src", "dst", length=10, per_node=5)
+    return G.walk_embeddings(walks)
 
 
 @query("g20_inductive_embed")
 def _(t: Tables) -> DataFrame:
     inc = t.events.select(F.col("user_id").alias("c"), F.floor(F.col("value")).alias("n"))
     train = t.events.select(F.col("user_id").alias("c")).distinct().where(F.pmod(F.col("c"), F.lit(5)) != 0)
-    return G.inductive_embed(inc, train, "c", "n", dim=8, length=5, per_node=2, window=3)
+    return G.inductive_embed(inc, train, "c", "n", dim=64, length=10, per_node=5)
 
 
 @query("g21_svd_embed")
 def _(t: Tables) -> DataFrame:
     inc = t.events.select(F.col("user_id").alias("c"), F.floor(F.col("value")).alias("n"))
-    got = G.svd_embed(inc, "c", "n", F.count(F.lit(1)), 4, iterations=3, oversample=4)
+    got = G.svd_embed(inc, "c", "n", F.count(F.lit(1)), 4, iterations=6, oversample=4)
     # Singular vectors are defined up to sign.
     return got.select("c", *[r6(F.abs(f"svd_{i}")).alias(f"svd_{i}") for i in range(4)])
 

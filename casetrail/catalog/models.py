@@ -109,7 +109,7 @@ _X = ["p", "q", "price", "late"]
 @query("m09_forest")
 def _(t: Tables) -> DataFrame:
     f = cut_lineage(model_frame(t))
-    model = M.train_model(f, _X, "forest", numTrees=20, maxDepth=5)
+    model = M.train_model(f, _X, "forest")
     return M.score(model, f, "p_hat").select("id", "y", "p_hat")
 
 
@@ -128,7 +128,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("m10_oof_scores")
 def _(t: Tables) -> DataFrame:
-    return M.oof_scores(model_frame(t), _X, ["id"], k=3, maxIter=20)
+    return M.oof_scores(model_frame(t), _X, ["id"], maxIter=20)
 
 
 @query("m11_ensemble", f"""
@@ -141,7 +141,7 @@ def _(t: Tables) -> DataFrame:
 @query("m12_search")
 def _(t: Tables) -> DataFrame:
     f = cut_lineage(model_frame(t))
-    return M.search(f, _X, "logistic", {"regParam": [0.0, 0.1]}, folds=2, maxIter=20)[1]
+    return M.search(f, _X, "logistic", {"regParam": [0.0, 0.01, 0.1, 1.0]}, folds=3, maxIter=20)[1]
 
 
 @query("m13_select_vars")
@@ -156,7 +156,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     f = cut_lineage(model_frame(t))
     model = M.train_model(f, _X, "logistic")
-    return M.permutation_importance(model, f, {"scores": ["p", "q"], "price": ["price"]}, ["id"], repeats=2)
+    return M.permutation_importance(model, f, {"scores": ["p", "q"], "price": ["price"]}, ["id"])
 
 
 @query("m15_perturb_median", f"""
@@ -183,8 +183,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("m16_within_group_kmeans")
 def _(t: Tables) -> DataFrame:
-    v = vector_columns(t.embeddings.select("vec_id", (F.col("label") % 2).alias("tier"), "embedding"), "embedding", 8)
-    return M.within_group_kmeans(v, "tier", [f"emb_{i}" for i in range(8)], ["vec_id"], (1, 2, 3), 20)
+    v = vector_columns(t.embeddings.select("vec_id", (F.col("label") % 2).alias("tier"), "embedding"), "embedding", 64)
+    return M.within_group_kmeans(v, "tier", [f"emb_{i}" for i in range(64)], ["vec_id"], (1, 2, 3), 20)
 
 
 @query("m17_smd_tiers", f"""
@@ -199,7 +199,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("m17_smd_tier_rows")
 def _(t: Tables) -> DataFrame:
-    return M.smd_tiers(scores(t).select("id", "p", "y"), ["id"])[0].select("id", "tier")
+    return M.smd_tiers(scores(t).select("id", "p", "y"), ["id"], closest=True)[0].select("id", "tier")
 
 
 @query("m18_rank_clusters", f"""
@@ -237,6 +237,65 @@ def _(t: Tables) -> DataFrame:
     return M.batch_score(path, f.drop("y")).select("id", "p", "flag")
 
 
+@query("m22_scores_after_reload", f"WITH {SCORES_SQL} SELECT id, true AS same FROM scores")
+def _(t: Tables) -> DataFrame:
+    """A model scores the same before it is saved and after it is read back."""
+    from casetrail.catalog.texts import scratch
+    f = cut_lineage(model_frame(t))
+    path, model = scratch(t, "model"), M.train_model(f, _X, "logistic")
+    M.save_model(model, path)
+    again = M.batch_score(path, f).select("id", F.col("p").alias("after"))
+    return M.score(model, f, "before").select("id", "before").join(again, "id").select("id", (F.col("before") == F.col("after")).alias("same"))
+
+
+@query("m10_oof_rows", f"""
+WITH {SCORES_SQL}, r AS (SELECT id, y, (row_number() OVER (PARTITION BY y ORDER BY md5('42:' || id::VARCHAR), id) - 1) % 5 AS fold FROM scores)
+SELECT id, y, fold::INT AS fold, true AS is_probability FROM r""")
+def _(t: Tables) -> DataFrame:
+    """Every row is scored once, in its own fold."""
+    found = M.oof_scores(model_frame(t), _X, ["id"], calibrate=False, maxIter=20)
+    return found.select("id", "y", "fold", F.col("p").between(0.0, 1.0).alias("is_probability"))
+
+
+@query("m26_pca_variance", "WITH v AS (" + " UNION ALL ".join(f"SELECT var_pop(embedding[{i + 1}]::DOUBLE) AS x FROM embeddings" for i in range(64)) + ") SELECT round(sum(x), 4) AS variance, 0::BIGINT AS unordered FROM v")
+def _(t: Tables) -> DataFrame:
+    """All components together hold the variance of the columns, and none holds more than the one before."""
+    v = vector_columns(t.embeddings.select("vec_id", "embedding"), "embedding", 64)
+    parts = M.pca(v, [f"emb_{i}" for i in range(64)], 64, ["vec_id"]).agg(*[F.var_pop(f"pc_{i}").alias(f"v{i}") for i in range(64)])
+    rising = sum(((F.col(f"v{i}") > F.col(f"v{i - 1}") * (1 + 1e-9)).cast("long") for i in range(1, 64)), F.lit(0).cast("long"))
+    return parts.select(F.round(sum((F.col(f"v{i}") for i in range(64)), F.lit(0.0)), 4).alias("variance"), rising.alias("unordered"))
+
+
+@query("m04_sparse_one_hot", """
+SELECT o_orderkey AS id, 'prio_' || o_orderpriority AS feature FROM orders UNION ALL SELECT o_orderkey, 'cust_' || o_custkey FROM orders
+WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 <> 0)""")
+def _(t: Tables) -> DataFrame:
+    """A column of many levels next to one of few, in long form."""
+    o = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("prio"), F.col("o_custkey").alias("cust"))
+    return prep.sparse_one_hot(o.where("id % 5 <> 0"), o, ["prio", "cust"], ["id"])
+
+
+@query("m20_agreement", f"""
+WITH {SCORES_SQL}, x AS (SELECT floor(p * 3)::INT AS a, floor(q * 3)::INT AS b FROM scores), n AS (SELECT count(*)::DOUBLE AS n, sum((a = b)::INT) AS same, max(a) AS ma, max(b) AS mb FROM x),
+e AS (SELECT sum(ca.c::DOUBLE * cb.c) AS e FROM (SELECT a AS k, count(*) AS c FROM x GROUP BY 1) ca JOIN (SELECT b AS k, count(*) AS c FROM x GROUP BY 1) cb USING (k)),
+h AS (SELECT sum((a = ma AND b = mb)::INT)::BIGINT AS high_both, sum((a = ma OR b = mb)::INT)::BIGINT AS high_any, sum((a = ma AND b = 0)::INT)::BIGINT AS a_high_b_low, sum((b = mb AND a = 0)::INT)::BIGINT AS b_high_a_low FROM x, n)
+SELECT round((same / n - e / n / n) / (1 - e / n / n), 6) AS kappa, high_both, high_any, round(high_both / greatest(high_any, 1)::DOUBLE, 6) AS jaccard, a_high_b_low, b_high_a_low FROM n, e, h""")
+def _(t: Tables) -> DataFrame:
+    from casetrail.operators.stats import agreement
+    tiers = scores(t).select(F.floor(F.col("p") * 3).cast("int").alias("a"), F.floor(F.col("q") * 3).cast("int").alias("b"))
+    return rounded(agreement(tiers, "a", "b"), "kappa", "jaccard")
+
+
+@query("m23_lead_units", f"""
+WITH {SCORES_SQL}, k AS (SELECT id, status FROM scores), s AS (SELECT DISTINCT l_orderkey AS id, l_returnflag || (l_suppkey % 7)::VARCHAR AS unit FROM lineitem), j AS (SELECT status, unit, id FROM s JOIN k USING (id)),
+z AS (SELECT status, count(*) AS size FROM k GROUP BY 1), w AS (SELECT unit, count(*) AS whole FROM j GROUP BY 1), c AS (SELECT status, unit, count(*) AS n FROM j GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT status, unit AS lead_unit FROM (SELECT status, unit, row_number() OVER (PARTITION BY status ORDER BY n::DOUBLE / size / whole DESC, unit) AS rn FROM c JOIN z USING (status) JOIN w USING (unit)) WHERE rn = 1""")
+def _(t: Tables) -> DataFrame:
+    from casetrail.operators.relational import lead_units
+    stays = t.lineitem.select(F.col("l_orderkey").alias("id"), F.concat("l_returnflag", (F.col("l_suppkey") % 7).cast("string")).alias("unit"))
+    return lead_units(stays, scores(t).select("id", "status"), "id", "status", "unit")
+
+
 @query("m23_name_clusters", f"""
 WITH {SCORES_SQL}, g AS (SELECT status, 100.0::DOUBLE * avg((p >= 0.6)::INT) AS icu, 100.0::DOUBLE * avg((q >= 0.5)::INT) AS o, 100.0::DOUBLE * avg((patient % 2 = 0)::INT) AS inp,
  100.0::DOUBLE * avg((patient % 3 = 0)::INT) AS asa FROM scores GROUP BY 1)
@@ -261,14 +320,14 @@ def _(t: Tables) -> DataFrame:
 @query("m25_ablate")
 def _(t: Tables) -> DataFrame:
     blocks = {"base": ["price", "late"], "p": ["p"], "q": ["q"]}
-    return M.ablate(model_frame(t), blocks, [("base",), ("base", "p"), ("base", "p", "q")], ["id"], k=2, maxIter=10)
+    return M.ablate(model_frame(t), blocks, [("base",), ("base", "p"), ("base", "p", "q")], ["id"], maxIter=20)
 
 
 @query("m26_pca")
 def _(t: Tables) -> DataFrame:
     v = vector_columns(t.embeddings.select("vec_id", "embedding"), "embedding", 64)
-    got = M.pca(v, [f"emb_{i}" for i in range(64)], 4, ["vec_id"])
-    return got.select("vec_id", *[r6(F.abs(f"pc_{i}")).alias(f"pc_{i}") for i in range(4)])
+    got = M.pca(v, [f"emb_{i}" for i in range(64)], 32, ["vec_id"])
+    return got.select("vec_id", *[r6(F.abs(f"pc_{i}")).alias(f"pc_{i}") for i in range(32)])
 
 
 @query("m27_outcome_panel", f"""

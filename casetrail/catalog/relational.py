@@ -334,6 +334,17 @@ def _(t: Tables) -> DataFrame:
     return J.scd2_join(facts, unit_lookup(t), "k", "d", "s", "e", ["name", "kind"]).select("o_orderkey", "name", "kind")
 
 
+@query("j06_scd2_join_large", """
+WITH v AS (SELECT o_custkey AS k, o_orderkey AS name, o_orderdate AS s, o_orderdate + to_days((o_orderkey % 400)::INT) AS e FROM orders)
+SELECT o.o_orderkey, v.name FROM orders o LEFT JOIN v ON v.k = o.o_custkey AND v.s <= o.o_orderdate AND o.o_orderdate < v.e""")
+def _(t: Tables) -> DataFrame:
+    """Overlapping versions in a dimension that is never broadcast: every version that holds the time counts."""
+    version = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("name"), F.col("o_orderdate").alias("s"),
+                              F.expr("o_orderdate + make_dt_interval(o_orderkey % 400)").alias("e"))
+    facts = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("d"))
+    return J.scd2_join(facts, version, "k", "d", "s", "e", ["name"], max_broadcast_rows=0).select("o_orderkey", "name")
+
+
 @query("j07_scd2_current", f"""
 WITH {LOOKUP_SQL} SELECT n_name, name FROM nation LEFT JOIN lookup ON k = n_nationkey AND e = DATE '2050-01-01'""")
 def _(t: Tables) -> DataFrame:
@@ -648,22 +659,22 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a20_weighted_vector_mean", """
-WITH v AS (SELECT vec_id % 40 AS k, 1 + vec_id % 3 AS w, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)
-SELECT k, round(sum(a * w) / sum(w), 6) AS emb_0, round(sum(b * w) / sum(w), 6) AS emb_1 FROM v GROUP BY 1""")
+WITH v AS (SELECT vec_id % 40 AS k, 1 + vec_id % 3 AS w, embedding AS e FROM embeddings)
+SELECT k, """ + ", ".join(f"round(sum(e[{i + 1}]::DOUBLE * w) / sum(w), 6) AS emb_{i}" for i in range(64)) + " FROM v GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     from casetrail.operators.graph import pool_embeddings, vector_columns
-    vectors = vector_columns(t.embeddings.select("vec_id", "embedding"), "embedding", 2)
+    vectors = vector_columns(t.embeddings.select("vec_id", "embedding"), "embedding", 64)
     links = t.embeddings.select("vec_id", (F.col("vec_id") % 40).alias("k"), (1 + F.col("vec_id") % 3).alias("w"))
-    return rounded(pool_embeddings(links, vectors, "k", "vec_id", ["emb_0", "emb_1"], "w"), "emb_0", "emb_1")
+    return rounded(pool_embeddings(links, vectors, "k", "vec_id", [f"emb_{i}" for i in range(64)], "w"), *[f"emb_{i}" for i in range(64)])
 
 
 # ---- set operations ----
 def edge_sources(t: Tables) -> DataFrame:
     line = t.lineitem.select(F.col("l_orderkey").cast("string").alias("LogID"), "l_suppkey", "l_linenumber")
-    surgical = line.where("l_linenumber <= 2").select("LogID", F.col("l_suppkey").alias("ProvID"),
+    surgical = line.where("l_linenumber % 4 IN (1, 2)").select("LogID", F.col("l_suppkey").alias("ProvID"),
                                                       F.col("l_linenumber").alias("RoleCode"))
-    leads = line.where("l_linenumber = 3").select("LogID", F.col("l_suppkey").alias("ProvID"))
-    staff = line.where("l_linenumber = 4").select("LogID", F.concat(
+    leads = line.where("l_linenumber % 4 = 3").select("LogID", F.col("l_suppkey").alias("ProvID"))
+    staff = line.where("l_linenumber % 4 = 0").select("LogID", F.concat(
         F.lit(" "), F.col("l_suppkey").cast("string"), F.lit(";; "), (F.col("l_suppkey") + 1).cast("string"), F.lit(";")).alias(
         "ProvList"))
     people = provider_flags(t).withColumn("ProvID", F.col("s_suppkey").cast("string"))
@@ -672,9 +683,9 @@ def edge_sources(t: Tables) -> DataFrame:
 
 @query("u01_provider_edges", f"""
 WITH {FLAGS_SQL}, s AS (SELECT l_orderkey::VARCHAR AS log, l_suppkey AS k, l_linenumber AS role, 'surgical_team' AS src FROM lineitem
-  WHERE l_linenumber <= 2 UNION ALL SELECT l_orderkey::VARCHAR, l_suppkey, NULL, 'anesthesia_lead' FROM lineitem WHERE l_linenumber = 3
-  UNION ALL SELECT l_orderkey::VARCHAR, l_suppkey, NULL, 'anesthesia_staff' FROM lineitem WHERE l_linenumber = 4
-  UNION ALL SELECT l_orderkey::VARCHAR, l_suppkey + 1, NULL, 'anesthesia_staff' FROM lineitem WHERE l_linenumber = 4)
+  WHERE l_linenumber % 4 IN (1, 2) UNION ALL SELECT l_orderkey::VARCHAR, l_suppkey, NULL, 'anesthesia_lead' FROM lineitem WHERE l_linenumber % 4 = 3
+  UNION ALL SELECT l_orderkey::VARCHAR, l_suppkey, NULL, 'anesthesia_staff' FROM lineitem WHERE l_linenumber % 4 = 0
+  UNION ALL SELECT l_orderkey::VARCHAR, l_suppkey + 1, NULL, 'anesthesia_staff' FROM lineitem WHERE l_linenumber % 4 = 0)
 SELECT log AS "LogID", k::VARCHAR AS "ProvID", role AS "RoleCode", src AS "RoleSource", CASE WHEN src = 'surgical_team' THEN
  {SURGICAL_SQL} WHEN src = 'anesthesia_lead' THEN 'OtherClinician' ELSE {STAFF_SQL} END AS "ProviderType"
 FROM s LEFT JOIN f ON f.s_suppkey = s.k""")

@@ -65,26 +65,27 @@ def _(t: Tables) -> DataFrame:
     return rounded(E.best_threshold(scores(t)), "f1")
 
 
-# Bootstrap: slot i of replicate b draws the row whose hash rank is md5(seed:b:i) mod n.
-_DRAW_SQL = SCORES_SQL + """, numbered AS (SELECT *, row_number() OVER (ORDER BY md5('0:' || id::VARCHAR), id) AS rw, count(*) OVER () AS n FROM scores),
-draws AS (SELECT b, 1 + ('0x' || substr(md5('0:' || b::VARCHAR || ':' || rw::VARCHAR), 1, 15))::BIGINT % n AS rw FROM numbered, range(6) r(b)),
-picked AS (SELECT b, y, p, q FROM draws JOIN numbered USING (rw))"""
+# Bootstrap: copies of a row in replicate b by a Poisson law of its hash; rows are summed to distinct scores per replicate.
+_COPIES_SQL = " + ".join(f"(u >= '{c}')::INT" for c in E.poisson_limits())
+_DRAW_SQL = SCORES_SQL + f""", shares AS (SELECT b, y, p, q, substr(md5('0:' || (b // 4)::VARCHAR || ':' || id::VARCHAR), (8 * (b % 4) + 1)::INT, 8) AS u FROM scores, range({{0}}) r(b)),
+picked AS (SELECT b, y, p, q, {_COPIES_SQL} AS w FROM shares WHERE u >= '{E.poisson_limits(1)[0]}')"""
+REPLICATES = 1000
 
 
 @query("e06_bootstrap_ci", f"""
-WITH {_DRAW_SQL}, pts AS (SELECT b AS g, y, p AS s, 1 AS w FROM picked), {_AREA_SQL}, m AS (SELECT 'auroc' AS metric, auroc AS v FROM area UNION ALL SELECT 'auprc', auprc FROM area)
+WITH {_DRAW_SQL.format(REPLICATES)}, pts AS (SELECT b AS g, y, p AS s, sum(w) AS w FROM picked GROUP BY ALL), {_AREA_SQL}, m AS (SELECT 'auroc' AS metric, auroc AS v FROM area UNION ALL SELECT 'auprc', auprc FROM area)
 SELECT metric, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(*) AS n_replicates FROM m GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    return rounded(E.bootstrap_ci(scores(t), ["id"], replicates=6), "lo", "hi")
+    return rounded(E.bootstrap_ci(scores(t), ["id"], replicates=REPLICATES), "lo", "hi")
 
 
 @query("e07_paired_bootstrap", f"""
-WITH {_DRAW_SQL}, pts AS (SELECT b::VARCHAR || 'p' AS g, y, p AS s, 1 AS w FROM picked UNION ALL SELECT b::VARCHAR || 'q', y, q, 1 FROM picked), {_AREA_SQL},
-gap AS (SELECT left(a.g, 1) AS b, c.auroc - a.auroc AS au, c.auprc - a.auprc AS ap FROM area a JOIN area c ON left(a.g, 1) = left(c.g, 1) AND a.g LIKE '%p' AND c.g LIKE '%q'),
+WITH {_DRAW_SQL.format(REPLICATES)}, pts AS (SELECT b::VARCHAR || 'p' AS g, y, p AS s, sum(w) AS w FROM picked GROUP BY ALL UNION ALL SELECT b::VARCHAR || 'q', y, q, sum(w) FROM picked GROUP BY ALL), {_AREA_SQL},
+gap AS (SELECT a.g AS b, c.auroc - a.auroc AS au, c.auprc - a.auprc AS ap FROM area a JOIN area c ON c.g = replace(a.g, 'p', 'q') WHERE a.g LIKE '%p'),
 m AS (SELECT 'auroc' AS metric, au AS v FROM gap UNION ALL SELECT 'auprc', ap FROM gap)
 SELECT metric, round(avg(v), 6) AS mean_gap, avg((v > 0)::INT) AS p_gt0, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM m GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    return rounded(E.paired_bootstrap(scores(t), ["id"], "p", "q", replicates=6), "mean_gap", "p_gt0", "lo", "hi")
+    return rounded(E.paired_bootstrap(scores(t), ["id"], "p", "q", replicates=REPLICATES), "mean_gap", "p_gt0", "lo", "hi")
 
 
 @query("e08_decision_curve", f"""

@@ -77,14 +77,33 @@ def _(t: Tables) -> DataFrame:
     return X.regex_flags(t.documents, "doc_id", "text")
 
 
+@query("x02_joined", """
+WITH d AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations GROUP BY 1)
+SELECT conv_id AS k, regexp_matches(t, '[.?!] [a-z]+ [a-z]+ [a-z]+', 'i')::INT AS med_a, regexp_matches(t, '^.{200,}[.?!] \\w+.{50,}$', 'is')::INT AS sdoh_a,
+ regexp_matches(t, '^.{200,}[.?!] \\w+.{50,}$', 'is')::INT AS sdoh_total, regexp_matches(t, '[.?!] [a-z]+ [a-z]+ [a-z]+', 'i')::INT AS med_total, 1 AS has_notes FROM d""")
+def _(t: Tables) -> DataFrame:
+    """Patterns that span two or more turns of a conversation, some of them hundreds of characters long."""
+    patterns = {"sdoh_a": r"(?s)^.{200,}[.?!] \w+.{50,}$", "med_a": r"[.?!] [a-z]+ [a-z]+ [a-z]+"}
+    return X.regex_flags(t.conversations.select(F.col("conv_id").alias("k"), "turn", "text"), "k", "text", patterns, order=["turn"])
+
+
 @query("x03_last_numeric", """
-WITH d AS (SELECT doc_id % 50 AS k, doc_id, regexp_extract_all(text, '(?:page|nr|no|id)\\D{0,3}(\\d{1,3})', 1, 'i') AS v FROM documents),
-n AS (SELECT k, doc_id, v[-1]::DOUBLE AS x FROM d WHERE len(v) > 0) SELECT d.k, any_value(l.x) AS x FROM d LEFT JOIN (SELECT k, arg_max(x, doc_id) AS x FROM n GROUP BY 1) l ON l.k = d.k GROUP BY 1""")
+WITH d AS (SELECT doc_id % 50 AS k, string_agg(text, ' ' ORDER BY doc_id) AS t FROM documents GROUP BY 1)
+SELECT k, (regexp_extract_all(t, '(?:page|nr|no|id)\\D{0,3}(\\d{1,3})', 1, 'i')[-1])::DOUBLE AS x FROM d""")
 def _(t: Tables) -> DataFrame:
     docs = t.documents.withColumn("k", F.col("doc_id") % 50)
     return X.last_numeric(docs, "k", "text", ["doc_id"], {"x": r"(?:page|nr|no|id)\D{0,3}(\d{1,3})"})
 
 
+@query("x03_joined", """
+WITH d AS (SELECT conv_id AS k, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations GROUP BY 1)
+SELECT k, (regexp_extract_all(t, '[.?!] \\w+\\D{0,400}(\\d{1,3})', 1, 'i')[-1])::DOUBLE AS x FROM d""")
+def _(t: Tables) -> DataFrame:
+    """A number and the word before it that may stand in an earlier turn."""
+    turns = t.conversations.select(F.col("conv_id").alias("k"), "turn", "text")
+    return X.last_numeric(turns, "k", "text", ["turn"], {"x": r"[.?!] \w+\D{0,400}(\d{1,3})"})
+
+
 @query("x03_median_fill", """
 WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN n_chars END AS x FROM documents) SELECT doc_id, coalesce(x, (SELECT quantile_cont(x::DOUBLE, 0.5) FROM d)) AS x FROM d""")
 def _(t: Tables) -> DataFrame:
@@ -92,15 +111,18 @@ def _(t: Tables) -> DataFrame:
     return X.fill_with_median(d, ["x"])
 
 
+_POOLED = [f"{k}_emb_{i}" for k in range(3) for i in range(64)]
+
+
 @query("x04_pool_notes", """
-WITH v AS (SELECT vec_id % 900 AS k, (label % 3)::VARCHAR AS t, embedding[1]::DOUBLE AS a FROM embeddings)
-SELECT c_custkey AS k, round(coalesce(avg(CASE WHEN t = '0' THEN a END), 0), 6) AS "0_emb_0", round(coalesce(avg(CASE WHEN t = '1' THEN a END), 0), 6) AS "1_emb_0",
- round(coalesce(avg(CASE WHEN t = '2' THEN a END), 0), 6) AS "2_emb_0" FROM customer LEFT JOIN v ON v.k = c_custkey GROUP BY 1""")
+WITH v AS (SELECT vec_id % 900 AS k, (label % 3)::VARCHAR AS t, embedding AS e FROM embeddings) SELECT c_custkey AS k, """ + ", ".join(
+    f"round(coalesce(avg(CASE WHEN t = '{k}' THEN e[{i + 1}]::DOUBLE END), 0), 6) AS \"{k}_emb_{i}\"" for k in range(3) for i in range(64)) + """
+FROM customer LEFT JOIN v ON v.k = c_custkey GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     v = vector_columns(t.embeddings.select((F.col("vec_id") % 900).alias("k"), (F.col("label") % 3).cast("string").alias("t"), "embedding"),
-                       "embedding", 1)
+                       "embedding", 64)
     cases = t.customer.select(F.col("c_custkey").alias("k"))
-    return rounded(X.pool_notes(v, cases, "k", ["emb_0"], "t", ["0", "1", "2"]), "0_emb_0", "1_emb_0", "2_emb_0")
+    return rounded(X.pool_notes(v, cases, "k", [f"emb_{i}" for i in range(64)], "t", ["0", "1", "2"]), *_POOLED)
 
 
 @query("x05_note_timing", """

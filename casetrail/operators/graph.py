@@ -425,17 +425,13 @@ def biased_walks(edges: DataFrame, src: str, dst: str, p: float, q: float, lengt
     return result.drop("deg", "prev")
 
 
-def walk_embeddings(walks: DataFrame, dim: int = 64, window: int = 5, seed: int = 42, iterations: int = 5,
-                    max_cells: int = 500_000_000) -> DataFrame:
+def walk_embeddings(walks: DataFrame, dim: int = 64, window: int = 5, seed: int = 42, iterations: int = 5) -> DataFrame:
     """Skip-gram vectors of walk nodes: (node, emb_0 ..).
 
-    MLlib keeps the vocabulary matrix on the driver and on every executor, so its size is checked first.
+    MLlib keeps two vocabulary matrices of 4-byte numbers on the driver and on every executor: 8 * dim bytes a node.
     """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
-    cells = walks.select("node").distinct().count() * dim
-    if cells > max_cells:
-        raise ValueError(f"{cells} vector cells exceed max_cells={max_cells}; lower dim or raise the limit knowingly")
     sentences = walks.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("s")).select(
         F.transform("s", lambda x: x["node"]).alias("sentence"))
     parts = max(1, sentences.sparkSession.sparkContext.defaultParallelism // 4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -12,14 +13,14 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.operators import stats
+from casetrail.operators.ordering import ordered
 from casetrail.operators.prep import perturb
 from casetrail.operators.ranks import top_k
 from casetrail.operators.sampling import class_weights, kfold, rank_bins, stratified_split
-from casetrail.operators.temporal import bounded
 from casetrail.session import cut_lineage
 
 
@@ -102,16 +103,25 @@ def ensemble(scores: DataFrame, ids: Sequence[str], p: str = "p") -> DataFrame:
 
 
 def search(train: DataFrame, columns: Sequence[str], kind: str, grid: Mapping[str, Sequence], label: str = "y", folds: int = 3,
-           parallelism: int = 2, seed: int = 42, **parameters) -> tuple[PipelineModel, DataFrame]:
-    """Cross-validated grid search by AUROC: the best model and the table of mean scores."""
+           parallelism: int = 2, seed: int = 42, ids: Sequence[str] = ("id",), draws: int | None = None, **parameters) -> tuple[PipelineModel, DataFrame]:
+    """Cross-validated grid search by AUROC: the best model and the table of mean scores.
+
+    ``train`` may bring its folds as a column ``fold`` (0 up to folds - 1); without one they are dealt in hash order of ``ids``, stratified
+    by the label. ``draws`` tries so many combinations of the grid, in hash order, instead of all.
+    """
     estimator = learner(kind, label, "weight", **parameters)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(getattr(estimator, name), list(values))
     maps = builder.build()
+    if draws is not None:
+        named = {", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)): m for m in maps}
+        maps = [named[n] for n in sorted(named, key=lambda n: hashlib.md5(f"{seed}:{n}".encode()).hexdigest())[:draws]]
+    if "fold" not in train.columns:
+        train = cut_lineage(kfold(train, label, ids, folds, seed))
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     cv = CrossValidator(estimator=Pipeline(stages=[assembler(columns), estimator]), estimatorParamMaps=maps,
-                        evaluator=evaluator, numFolds=folds, parallelism=parallelism, seed=seed)
+                        evaluator=evaluator, numFolds=folds, parallelism=parallelism, foldCol="fold")
     model = cv.fit(class_weights(train, label))
     rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(a))
             for m, a in zip(maps, model.avgMetrics, strict=True)]
@@ -172,13 +182,12 @@ def permutation_importance(model: PipelineModel, df: DataFrame, groups: Mapping[
 
 
 def within_group_kmeans(df: DataFrame, group: str, columns: Sequence[str], ids: Sequence[str],
-                        ks: Sequence[int] = (1, 2, 3, 4), minimum: int = 50, seed: int = 42) -> DataFrame:
-    """Sub-clusters inside each group (a handful of tiers): features standardised per group, the ``k`` with the best
-    silhouette whose clusters all reach ``minimum`` rows; one cluster when none does.
+                        ks: Sequence[int] = (1, 2, 3, 4), minimum: int = 50, seed: int = 42, starts: int = 10) -> DataFrame:
+    """Sub-clusters inside each group: features standardised per group, the ``k`` with the best silhouette (of squared
+    distances) whose clusters all reach ``minimum`` rows; one cluster when none does. Each ``k`` starts from ``starts``
+    seeds and keeps the fit of least cost. Groups are tiers: their models are fitted one after another.
     """
-    names = sorted(r[0] for r in df.select(group).distinct().limit(1001).collect())
-    if len(names) > 1000:
-        raise ValueError("within_group_kmeans is for a small number of groups")
+    names = sorted(r[0] for r in df.select(group).distinct().collect())
     scale = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="__raw"),
                              StandardScaler(inputCol="__raw", outputCol="features", withMean=True)])
     total = None
@@ -190,7 +199,8 @@ def within_group_kmeans(df: DataFrame, group: str, columns: Sequence[str], ids:
         for k in ks:
             if k == 1 or size < k * minimum:
                 continue
-            labelled = KMeans(k=k, seed=seed, predictionCol="sub", initSteps=2).fit(scaled).transform(scaled)
+            fits = [KMeans(k=k, seed=seed + s, predictionCol="sub", initSteps=2).fit(scaled) for s in range(starts)]
+            labelled = min(fits, key=lambda fit: fit.summary.trainingCost).transform(scaled)
             smallest = labelled.groupBy("sub").count().agg(F.min("count"), F.count(F.lit(1))).first()
             if smallest[1] < k or smallest[0] < minimum:
                 continue
@@ -204,12 +214,13 @@ def within_group_kmeans(df: DataFrame, group: str, columns: Sequence[str], ids:
 
 
 def smd_tiers(df: DataFrame, ids: Sequence[str], p: str = "p", y: str = "y", bins: int = 6, target: float = 0.30,
-              relaxed: float = 0.20, minimum: int = 50) -> tuple[DataFrame, dict]:
+              relaxed: float = 0.20, minimum: int = 50, closest: bool = False) -> tuple[DataFrame, dict]:
     """Risk tiers whose event rates differ by a standardised difference of at least ``target``.
 
     Equal-frequency score bins are aggregated in Spark; merging works on those few rows: first a tier below
     ``minimum`` joins its closer neighbour, then the closest adjacent pair. ``relaxed`` is tried when ``target`` fails.
-    Returns rows with ``tier`` (0 lowest rate) and what was reached.
+    Returns rows with ``tier`` (0 lowest rate) and what was reached. If neither target is met, the tier is null, or
+    with ``closest`` the last merge is returned all the same.
     """
     binned = rank_bins(df, p, ids, bins, out="__bin")
     found = [(r["__bin"], r["n"], r["x"]) for r in binned.groupBy("__bin").agg(
@@ -245,6 +256,8 @@ def smd_tiers(df: DataFrame, ids: Sequence[str], p: str = "p", y: str = "y", bin
         used = relaxed
         tiers, feasible, smallest = merge(relaxed)
     tier_of = F.create_map(*[F.lit(v) for i, t in enumerate(tiers) for b in sorted(t[0]) for v in (b, i)])
+    if not feasible and not closest:
+        tier_of = F.create_map(F.lit(-1), F.lit(None).cast("int"))
     info = {"target": used, "feasible": feasible, "min_smd": smallest, "sizes": [t[1] for t in tiers],
             "rates": [t[2] / t[1] for t in tiers]}
     return binned.withColumn("tier", tier_of[F.col("__bin")]).drop("__bin"), info
@@ -253,11 +266,10 @@ def smd_tiers(df: DataFrame, ids: Sequence[str], p: str = "p", y: str = "y", bin
 def rank_clusters(df: DataFrame, cluster: str, y: str, train: str, out: str = "tier") -> DataFrame:
     """Clusters numbered by rising train event rate (no train rows: last); train and held-out rows get the number."""
     rates = df.groupBy(cluster).agg(F.avg(F.when(F.col(train) == 1, F.col(y))).alias("__r"))
-    if not bounded(rates, 100_000):
-        raise ValueError("rank_clusters orders at most 100000 clusters")
-    order = Window.orderBy(F.asc_nulls_last("__r"), F.asc(cluster))
-    ranked = rates.select(cluster, (F.row_number().over(order) - 1).alias(out))
-    return df.join(F.broadcast(ranked), cluster, "left")
+    # Rates lie in [0, 1]; bands of them keep the order, so no task orders all clusters.
+    band = F.coalesce(F.floor(F.col("__r") * 4096).cast("long"), F.lit(2**40))
+    ranked = ordered(rates.withColumn("__none", F.col("__r").isNull()), [], ["__none", "__r", cluster], band, row_number="__n")
+    return df.join(ranked.select(cluster, (F.col("__n") - 1).cast("int").alias(out)), cluster, "left")
 
 
 def consensus(labels: DataFrame, ids: Sequence[str], label: str) -> DataFrame:

@@ -77,12 +77,17 @@ def iqr_clip(train: DataFrame, df: DataFrame, columns: Sequence[str], k: float =
     return df.withColumns({c: clip(F.col(f"`{c}`").cast("double"), bounds.get(c)) for c in columns})
 
 
-def levels_of(train: DataFrame, columns: Sequence[str], maximum: int = 10_000) -> dict[str, list[str]]:
-    """Sorted category levels per column; refuses tables whose levels would not fit a column each."""
-    rows = (_long(train, columns, "string").select("column", F.coalesce("value", F.lit(UNKNOWN)).alias("value"))
-            .distinct().limit(maximum + 1).collect())
-    if len(rows) > maximum:
-        raise ValueError(f"more than {maximum} category levels; drop or group high-cardinality columns first")
+def level_rows(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Category levels as rows (column, value), for any number of levels."""
+    return _long(train, columns, "string").select("column", F.coalesce("value", F.lit(UNKNOWN)).alias("value")).distinct()
+
+
+def levels_of(train: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted category levels per column: fitted parameters, each of which becomes an output column.
+
+    A column with more levels than a table can have columns belongs into ``sparse_one_hot``.
+    """
+    rows = level_rows(train, columns).collect()
     return {c: sorted(r["value"] for r in rows if r["column"] == c) for c in columns}
 
 
@@ -133,6 +138,15 @@ def impute(train: DataFrame, df: DataFrame, continuous: Sequence[str], categoric
     return df.withColumns(filled | {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(UNKNOWN)) for c in categorical})
 
 
+def sparse_one_hot(train: DataFrame, df: DataFrame, columns: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    """One-hot encoding in long form, for any number of levels: (ids, feature) where the value is 1.
+
+    Features are named as in ``one_hot``; values that the train rows do not have give no row.
+    """
+    values = df.select(*ids, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(UNKNOWN)).alias(c) for c in columns]).unpivot(list(ids), list(columns), "column", "value")
+    return values.join(level_rows(train, columns), ["column", "value"], "left_semi").select(*ids, F.concat_ws("_", "column", "value").alias("feature"))
+
+
 def one_hot(train: DataFrame, df: DataFrame, column: str) -> DataFrame:
     state = Prepared([], [column], levels=levels_of(train, [column]))
     return apply_preprocess(df, state, keep=[c for c in df.columns if c != column])

@@ -232,10 +232,15 @@ def prolonged_stay(stays: DataFrame, value: str = "los_days", p: float = 0.75) -
 def turnaround(df: DataFrame, keys: Sequence[str], measures: Sequence[str], count_as: str = "n") -> DataFrame:
     """Row count, median and 95th percentile of each measure per group."""
     result = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_as))
-    for m in measures:
-        part = grouped_quantiles(df, keys, m, {f"med_{m}": 0.5, f"p95_{m}": 0.95})
-        result = null_safe_join(result, part, keys)
-    return result
+    return null_safe_join(result, quantiles_of(df, keys, measures, {"med": 0.5, "p95": 0.95}), keys)
+
+
+def quantiles_of(df: DataFrame, keys: Sequence[str], measures: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+    """Quantiles of several measures per group as columns ``name_measure``; all measures share one pass."""
+    keys, measures = list(keys), list(measures)
+    long = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in measures]).unpivot(keys, measures, "__measure", "__value")
+    found = grouped_quantiles(long, [*keys, "__measure"], "__value", dict(shares))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__measure") == m, F.col(n))).alias(f"{n}_{m}") for m in measures for n in shares])
 
 
 def pct(flag: Column) -> Column:
@@ -302,13 +307,26 @@ def cluster_profile(df: DataFrame, label: str, medians: Sequence[str], shares: M
     result = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[
         (F.lit(100.0) * F.avg(F.coalesce(test, F.lit(False)).cast("int"))).alias(name) for name, test in shares.items()])
     result = result.withColumn("pct", F.lit(100.0) * F.col("n") / total)
-    for m in medians:
-        result = result.join(grouped_quantiles(df, [label], m, {f"med_{m}": 0.5}), label, "left")
-    return result
+    return result.join(quantiles_of(df, [label], medians, {"med": 0.5}), label, "left") if medians else result
+
+
+def lead_units(stays: DataFrame, clusters: DataFrame, case: str, label: str, unit: str, minimum: int = 20) -> DataFrame:
+    """Per cluster the unit most typical of it: the highest share of its cases over the share in the cohort.
+
+    Units with under ``minimum`` cases of the cluster do not count; ties go to the first name. Columns: label, lead_unit.
+    """
+    seen = stays.select(case, unit).where(F.col(unit).isNotNull()).distinct().join(clusters.select(case, label), case)
+    sizes = clusters.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
+    whole = seen.groupBy(unit).agg(F.count(F.lit(1)).alias("__all"))
+    cells = seen.groupBy(label, unit).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= minimum)
+    lift = F.col("__n").cast("double") / F.col("__size") / F.col("__all")
+    rated = cells.join(whole, unit).join(sizes, label).withColumn("__lift", lift)
+    return rated.groupBy(label).agg(F.min(F.struct((-F.col("__lift")).alias("l"), F.col(unit).alias("u")))["u"].alias("lead_unit"))
 
 
 def name_clusters(profile: DataFrame) -> Column:
-    """Readable name of a care-delivery profile from its percentages (columns as produced by ``cluster_profile``)."""
+    """Readable name of a care-delivery profile from its percentages (columns as produced by ``cluster_profile``), with
+    the lead unit if the profile has a column ``lead_unit``."""
     unit = (F.when(F.col("pct_icu") >= 25, "ICU/critical-care").when(F.col("pct_or_only") >= 40, "ambulatory/procedural")
             .when(F.col("pct_ed") >= 40, "ED-origin").otherwise("inpatient-ward"))
     acuity = (F.when(F.col("asa_ge3") >= 55, "high-acuity").when(F.col("asa_ge3") <= 35, "low-acuity")
@@ -317,4 +335,5 @@ def name_clusters(profile: DataFrame) -> Column:
                .otherwise("mixed"))
     team = (F.when(F.col("pct_highvol") >= 55, "; high-vol attendings")
             .when(F.col("pct_resident") >= 55, "; teaching (resident/fellow)").otherwise(""))
-    return F.concat(unit, F.lit(", "), setting, F.lit(", "), acuity, team)
+    lead = F.coalesce(F.concat(F.lit("; lead unit: "), F.nullif(F.col("lead_unit"), F.lit(""))), F.lit("")) if "lead_unit" in profile.columns else F.lit("")
+    return F.concat(unit, F.lit(", "), setting, F.lit(", "), acuity, team, lead)

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from casetrail.operators.ordering import null_safe_join, with_key_totals
 from casetrail.operators.ranks import cumulative, grouped_quantiles, hashed_rank
 from casetrail.operators.sequences import normal_two_sided
-from casetrail.operators.temporal import bounded
 
 
 def _counts(y: str) -> dict[str, Column]:
@@ -180,6 +179,43 @@ def bootstrap_replicates(df: DataFrame, ids: Sequence[str], replicates: int, see
     return copies.join(numbered.select("__row", *columns), "__row").drop("__row")
 
 
+def poisson_limits(steps: int = 12) -> list[str]:
+    """Limits for 8 hexadecimal digits of a hash: it has more than k copies if they are at or over limit k.
+
+    Copies follow a Poisson law with mean 1, as often as a bootstrap draws one row of many.
+    """
+    total, term, out = 0.0, math.exp(-1.0), []
+    for k in range(steps):
+        total += term
+        out.append(f"{min(2**32 - 1, math.ceil(total * 2**32)):08x}")
+        term /= k + 1
+    return out
+
+
+def poisson_replicates(df: DataFrame, ids: Sequence[str], replicates: int, seed: int = 0,
+                       columns: Sequence[str] = ("y", "p")) -> DataFrame:
+    """Bootstrap weights without drawing rows: each row's copies in a replicate follow a Poisson law with mean 1.
+
+    The copies of a row depend on the hash of (seed, replicate // 4, ids) alone, 8 of its digits for each of the four
+    replicates. So rows are weighted where they are read and summed to (replicate, columns) before any shuffle: what is
+    shuffled grows with distinct values, not with rows.
+    """
+    name = F.concat_ws(":", *[F.col(c).cast("string") for c in ids])
+    rows = df.select(name.alias("__name"), *columns).withColumn("__four", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__four").cast("string"), F.col("__name")))
+    rows = rows.select("__four", *columns, digest.alias("__digest"))
+    parts = F.array(*[F.struct((F.col("__four") * 4 + i).alias("replicate"), F.substring("__digest", 8 * i + 1, 8).alias("digits")) for i in range(4)])
+    limits = poisson_limits()
+    copies = sum(((F.col("__digits") >= limit).cast("int") for limit in limits), F.lit(0))
+    drawn = rows.select(*columns, F.explode(parts).alias("__part")).select(F.col("__part.replicate").alias("replicate"), *columns, F.col("__part.digits").alias("__digits"))
+    drawn = drawn.where((F.col("__digits") >= limits[0]) & (F.col("replicate") < replicates))
+    return drawn.groupBy("replicate", *columns).agg(F.sum(copies).alias("copies"))
+
+
+def _draws(df: DataFrame, ids: Sequence[str], replicates: int, seed: int, columns: Sequence[str], exact: bool) -> DataFrame:
+    return (bootstrap_replicates if exact else poisson_replicates)(df, ids, replicates, seed, columns)
+
+
 def _replicated_panel(draws: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFrame:
     """AUROC and average precision of weighted draws per replicate and key; single-class samples drop out."""
     weights = {"pos": F.sum(F.when(F.col(y) == 1, F.col("copies")).otherwise(0)),
@@ -195,18 +231,18 @@ def _replicated_panel(draws: DataFrame, keys: Sequence[str], y: str, p: str) ->
 
 
 def bootstrap_ci(df: DataFrame, ids: Sequence[str], replicates: int = 1000, seed: int = 0, alpha: float = 0.05,
-                 y: str = "y", p: str = "p") -> DataFrame:
-    """Percentile interval of AUROC and average precision."""
-    draws = bootstrap_replicates(df, ids, replicates, seed, [y, p])
+                 y: str = "y", p: str = "p", exact: bool = False) -> DataFrame:
+    """Percentile interval of AUROC and average precision over weighted replicates (``exact``: over drawn samples of n rows)."""
+    draws = _draws(df, ids, replicates, seed, [y, p], exact)
     metrics = _replicated_panel(draws, ["replicate"], y, p)
     long = metrics.unpivot(["replicate"], ["auroc", "auprc"], "metric", "value")
     return grouped_quantiles(long, ["metric"], "value", {"lo": alpha / 2, "hi": 1 - alpha / 2}, "n_replicates")
 
 
 def paired_bootstrap(df: DataFrame, ids: Sequence[str], base: str, other: str, replicates: int = 1000, seed: int = 0,
-                     y: str = "y") -> DataFrame:
+                     y: str = "y", exact: bool = False) -> DataFrame:
     """Mean, percentile interval and share above 0 of the gap between two scores on the same draws."""
-    draws = bootstrap_replicates(df, ids, replicates, seed, [y, base, other])
+    draws = _draws(df, ids, replicates, seed, [y, base, other], exact)
     long = draws.unpivot(["replicate", y, "copies"], [base, other], "model", "p")
     metrics = _replicated_panel(long, ["replicate", "model"], y, "p")
     is_other = F.col("model") == other
@@ -273,12 +309,16 @@ def smd(p1: Column, p2: Column, epsilon: float = 1e-6) -> Column:
 
 
 def pairwise_smd(rates: DataFrame, group: str, rate: str, epsilon: float = 1e-6) -> DataFrame:
-    """Standardised differences of all pairs of groups; meant for tiers, so more than 1000 groups are refused."""
-    if not bounded(rates, 1000):
-        raise ValueError("pairwise_smd compares at most 1000 groups")
-    a = rates.select(F.col(group).alias("group_a"), F.col(rate).alias("__pa"))
-    b = rates.select(F.col(group).alias("group_b"), F.col(rate).alias("__pb"))
-    pairs = a.join(F.broadcast(b), F.col("group_a") < F.col("group_b"))
+    """Standardised differences of all pairs of groups (the result has a row per pair, whatever their number).
+
+    Groups are dealt into blocks and blocks meet pairwise by an equal-key join, so the pairs spread over tasks.
+    """
+    blocks = max(1, math.ceil(rates.count() / 500))
+    block = F.pmod(F.xxhash64(group), F.lit(blocks))
+    others = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    a = rates.select(F.col(group).alias("group_a"), F.col(rate).alias("__pa"), block.alias("__i"), F.explode(others).alias("__j"))
+    b = rates.select(F.col(group).alias("group_b"), F.col(rate).alias("__pb"), block.alias("__j"), F.explode(others).alias("__i"))
+    pairs = a.join(b, ["__i", "__j"]).where(F.col("group_a") < F.col("group_b"))
     return pairs.select("group_a", "group_b", smd(F.col("__pa"), F.col("__pb"), epsilon).alias("smd"))
 
 
@@ -339,6 +379,24 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
                                  F.lit(1.0)).alias("ari"))
 
 
+def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Two tierings of the same rows (0 lowest risk): Cohen's kappa, Jaccard index of the high tiers, and how many rows
+    are high in one and low in the other."""
+    cells = df.groupBy(F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    n = df.agg(F.count(F.lit(1))).scalar()
+    sides = [cells.groupBy(F.col(s).alias("__t")).agg(F.sum("__n").alias(f"{s}n")) for s in ("__a", "__b")]
+    chance = sides[0].join(sides[1], "__t").agg(F.coalesce(F.sum(F.col("__an").cast("double") * F.col("__bn")), F.lit(0.0))).scalar()
+    top_a, top_b = (df.agg(F.max(c)).scalar() for c in (a, b))
+    high_a, high_b, count = F.col("__a") == top_a, F.col("__b") == top_b, F.col("__n")
+    of = lambda test: F.coalesce(F.sum(F.when(test, count)), F.lit(0))
+    observed = of(F.col("__a") == F.col("__b")) / n
+    expected = chance / n / n
+    return cells.agg(F.coalesce(F.try_divide(observed - expected, F.nullif(1 - expected, F.lit(0.0))), F.lit(1.0)).alias("kappa"),
+                     of(high_a & high_b).alias("high_both"), of(high_a | high_b).alias("high_any"),
+                     (of(high_a & high_b) / F.greatest(of(high_a | high_b), F.lit(1))).alias("jaccard"),
+                     of(high_a & (F.col("__b") == 0)).alias("a_high_b_low"), of(high_b & (F.col("__a") == 0)).alias("b_high_a_low"))
+
+
 def high_overlap(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """Sizes of the high tiers of several labellings, their union and their intersection."""
     flags = list(tests.values())

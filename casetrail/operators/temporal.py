@@ -132,19 +132,16 @@ def covering_anchor(spans: DataFrame, anchors: DataFrame, keys: Sequence[str], s
 
 def scd2_join(facts: DataFrame, dim: DataFrame, key: str, at: str, start: str, end: str,
               columns: Sequence[str], max_broadcast_rows: int = 100_000) -> DataFrame:
-    """Left join of facts with the dimension version valid at ``at``: ``start <= at < end``.
+    """Left join of facts with every dimension version valid at ``at``: ``start <= at < end``.
 
-    A dimension of checked size is broadcast; a larger one is matched as of its start, then tested against its end
-    (versions of one key do not overlap).
+    Versions may overlap, then a fact appears once per version that holds its time. Both sides meet on the key; the
+    size of the dimension only decides whether it is broadcast, never the result.
     """
-    columns = list(columns)
+    versions = dim.select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), *columns)
+    valid = ((F.col(key) == F.col("__k")) & (F.col("__s") <= F.col(at)) & (F.col(at) < F.col("__e")))
     if bounded(dim, max_broadcast_rows):
-        small = dim.select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), *columns)
-        valid = ((F.col(key) == F.col("__k")) & (F.col("__s") <= F.col(at)) & (F.col(at) < F.col("__e")))
-        return facts.join(F.broadcast(small), valid, "left").drop("__k", "__s", "__e")
-    found = asof(facts, dim.withColumn("__e", F.col(end)), [key], at, start, [*columns, "__e"])
-    live = F.col(at) < F.col("__e")
-    return found.select(*facts.columns, *[F.when(live, F.col(c)).alias(c) for c in columns])
+        versions = F.broadcast(versions)
+    return facts.join(versions, valid, "left").drop("__k", "__s", "__e")
 
 
 def scd2_current(dim: DataFrame, end: str, open_end: str = "2050-01-01") -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from casetrail.functions import fixed
 from casetrail.functions.clock import boundaries
 from casetrail.functions.scalars import try_code_in
-from casetrail.operators.ordering import ordered, time_chunk
-from casetrail.operators.ranks import grouped_quantiles, value_band
+from casetrail.operators.ranks import grouped_quantiles
 from casetrail.operators.relational import assemble_text
 from casetrail.operators.temporal import interval_join
 from casetrail.session import spread
@@ -46,38 +45,25 @@ def lower_pattern(pattern: str) -> str:
     return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0].startswith("\\") else m[0].lower(), pattern)
 
 
-def _joints(texts: DataFrame, key: str, text: str, order: Sequence[str], reach: int) -> DataFrame:
-    """Short texts around the places where a key's consecutive texts meet.
+def joined_texts(texts: DataFrame, key: str, text: str, order: Sequence[str]) -> DataFrame:
+    """All texts of a key as one, in order and with a blank between; null texts are left out.
 
-    The outermost word of either side is dropped, as cutting it could fake a word boundary.
+    The result is one value per key, so its length is what one task must hold.
     """
-    ends = texts.select(key, *order, F.regexp_replace(F.right(F.coalesce(text, F.lit("")), F.lit(reach)), r"^\S*", "").alias("__tail"),
-                        F.regexp_replace(F.left(F.coalesce(text, F.lit("")), F.lit(reach)), r"\S*$", "").alias("__cut"),
-                        F.length(F.coalesce(text, F.lit(""))).alias("__len"), F.coalesce(text, F.lit("")).alias("__all"))
-    # A text shorter than the reach is taken whole.
-    short = F.col("__len") < reach
-    ends = ends.select(key, *order, F.when(short, F.col("__all")).otherwise(F.col("__tail")).alias("__tail"),
-                       F.when(short, F.col("__all")).otherwise(F.col("__cut")).alias("__head"))
-    kind = texts.schema[order[0]].dataType
-    chunk = time_chunk(order[0]) if kind.typeName().startswith(("timestamp", "date")) else F.coalesce(
-        value_band(F.col(order[0])), F.lit(-(2 ** 62)))
-    lined = ordered(ends, [key], order, chunk, lead={"__next": "__head"})
-    return lined.where(F.col("__next").isNotNull()).select(key, F.concat("__tail", F.lit(" "), "__next").alias(text))
+    parts = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(*order, F.col(text).alias("__text")))))
+    return texts.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["__text"]), " ").alias(text))
 
 
 def regex_flags(texts: DataFrame, key: str, text: str, patterns: Mapping[str, str] | None = None,
-                totals: Mapping[str, str] | None = None, order: Sequence[str] = (), reach: int = 128) -> DataFrame:
-    """0/1 per pattern over all texts of a key, prefix totals and ``has_notes``.
+                totals: Mapping[str, str] | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """0/1 per pattern over the text of a key, prefix totals and ``has_notes``.
 
-    Each text is matched whole and the key takes the maximum, so the texts of a key never become one string. With
-    ``order`` the texts count as joined by a blank in that order: ``reach`` characters on both sides of each joint are
-    matched too, which covers every pattern that spans two texts.
+    With ``order`` the texts of a key are joined by a blank in that order and matched as one, so a match may span any
+    number of them. Without it each key has one text (several are matched one by one, and none across them).
     """
     patterns = patterns or fixed.TEXT_PATTERNS
     totals = {"sdoh_total": "sdoh_", "med_total": "med_"} if totals is None else totals
-    rows = spread(texts.select(key, text))
-    if order:
-        rows = rows.unionByName(_joints(texts, key, text, order, reach))
+    rows = spread(joined_texts(texts, key, text, order) if order else texts.select(key, text))
     # Matching lower-case patterns on a lower-case text is faster than matching without regard to case.
     rows = rows.withColumn(text, F.lower(text))
     flags = rows.groupBy(key).agg(*[
@@ -92,21 +78,26 @@ def align_flags(cases: DataFrame, flags: DataFrame, key: str) -> DataFrame:
 
 
 def last_numeric(texts: DataFrame, key: str, text: str, order: Sequence[str], patterns: Mapping[str, str] | None = None) -> DataFrame:
-    """Last number that follows each keyword, over a key's texts in order; null where there is none."""
+    """Last number that follows each keyword in a key's texts, joined in order by a blank; null where there is none.
+
+    Keyword and number may stand in different texts.
+    """
     patterns = patterns or fixed.TEXT_NUMBERS
-    texts = spread(texts.select(key, *order, text))
-    rows = texts.select(key, *order, *[F.try_element_at(F.regexp_extract_all(F.col(text), F.lit(f"(?i){p}"), F.lit(1)),
-                                                        F.lit(-1)).cast("double").alias(n) for n, p in patterns.items()])
-    rank = F.struct(*order)
-    return rows.groupBy(key).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), rank)).alias(n) for n in patterns])
+    rows = spread(joined_texts(texts, key, text, order))
+    return rows.select(key, *[F.try_element_at(F.regexp_extract_all(F.col(text), F.lit(f"(?i){p}"), F.lit(1)), F.lit(-1)).cast("double").alias(n)
+                              for n, p in patterns.items()])
 
 
 def fill_with_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing numbers replaced by the column's median."""
-    for c in columns:
-        middle = grouped_quantiles(df, [], c, {"m": 0.5}).select("m").scalar()
-        df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), middle))
-    return df
+    """Missing numbers replaced by the column's median; one pass finds the medians of all columns."""
+    columns = list(columns)
+    if not columns:
+        return df
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    long = doubles.unpivot([], columns, "__column", "__value")
+    middles = grouped_quantiles(long, ["__column"], "__value", {"m": 0.5}).agg(
+        F.map_from_entries(F.collect_list(F.struct("__column", "m"))).alias("m")).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.try_element_at(middles, F.lit(c))) for c in columns})
 
 
 def pool_notes(vectors: DataFrame, cases: DataFrame, key: str, columns: Sequence[str], kind: str | None = None,

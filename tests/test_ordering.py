@@ -150,6 +150,15 @@ def test_scd2_small_and_large_dimension_agree(spark):
     assert [r["v"] for r in J.scd2_current(dim, "e").collect()] == ["new"]
 
 
+def test_scd2_overlapping_versions_at_both_limits(spark):
+    """A fact meets every version that holds its time, whether or not the dimension is broadcast."""
+    dim = spark.createDataFrame([("u", 0, 100, "wide"), ("u", 10, 20, "closed"), ("u", 40, 60, "inner")], "k string, s int, e int, v string")
+    facts = spark.createDataFrame([(1, "u", 30), (2, "u", 50), (3, "u", 200), (4, None, 5)], "i int, k string, d int")
+    for limit in (100_000, 0):
+        got = sorted((r["i"], r["v"] or "") for r in J.scd2_join(facts, dim, "k", "d", "s", "e", ["v"], limit).collect())
+        assert got == [(1, "wide"), (2, "inner"), (2, "wide"), (3, ""), (4, "")]
+
+
 def test_top_k_limits_before_the_shuffle(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 2)
     best = top_k(df, ["k"], [F.desc("id")], 2)

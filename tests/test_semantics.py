@@ -193,6 +193,16 @@ def test_flags_over_joined_texts(spark):
     assert {r["k"]: r["sdoh_transp"] for r in X.regex_flags(df, "k", "t").collect()} == {"a": 0, "b": 0}
 
 
+def test_matches_span_any_number_of_texts(spark):
+    rows = [("a", 1, "patient has chronic"), ("a", 2, "kidney"), ("a", 3, "disease stage"), ("b", 1, "hemoglobin"), ("b", 2, "9.1 today"), ("b", 3, None),
+            ("c", 2, "y" * 500), ("c", 1, "begin " + "x" * 500), ("c", 3, "end")]
+    df = spark.createDataFrame(rows, "k string, o int, t string")
+    flags = X.regex_flags(df, "k", "t", {"ckd": "chronic kidney disease", "far": "begin x+ y+ end"}, {}, order=["o"]).collect()
+    assert {r["k"]: (r["ckd"], r["far"]) for r in flags} == {"a": (1, 0), "b": (0, 0), "c": (0, 1)}
+    last = X.last_numeric(df, "k", "t", ["o"], {"hb": r"hemoglobin\s+(\d+\.?\d*)"}).collect()
+    assert {r["k"]: r["hb"] for r in last} == {"a": None, "b": 9.1, "c": None}
+
+
 def test_first_path_takes_the_earliest_sub_encounter(spark):
     def at(h):
         return ts("2024-01-01 00:00:00") + dt.timedelta(hours=h)
