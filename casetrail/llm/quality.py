@@ -266,7 +266,7 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     kind = dict(rows.dtypes)["key"]
     schema = f"key {kind}, lang string, " + ", ".join(f"{n} long" for n in _FIGURES) + ", n_grams long, loss double"
     scored = base.store(rows.mapInArrow(_score(shared), schema).withColumn("base_failed", base_failed()), "scored")
-    limits = bands(scored)
+    limits = base.store(bands(scored), "bands")  # a row per language; written, so that the join can split a language that has most rows
     width = DEVIATIONS * F.sqrt(F.col("deviation") * F.col("deviation") + SHORT * SHORT / F.greatest("n_grams", F.lit(1)))
     inside = F.coalesce(F.abs(F.col("loss") - F.col("median")) <= width, F.lit(False))
     return scored.join(limits, "lang", "left").select(
