@@ -34,10 +34,13 @@ def stage(work: Callable[[DataFrame, str], DataFrame]) -> Callable[[SparkSession
 
 def _with_text(docs: DataFrame, cut: DataFrame, key: str) -> DataFrame:
     """Documents with their new text; those of which nothing is left go, those that were empty before stay."""
-    new = cut.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept", "[\\x09-\\x0D]", " ")) != "")).select(key, F.col("kept").alias("new_text"))
-    joined = docs.join(new, key)
-    changed = {"text": F.when(F.col("text").isNotNull(), F.col("new_text")), "n_chars": F.length("new_text").cast("long")}
-    return joined.withColumns({c: v for c, v in changed.items() if c in docs.columns}).select(docs.columns)
+    left = cut.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept", "[\\x09-\\x0D]", " ")) != ""))
+    # The old texts stay out of the join; where the text was null it stays null.
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    slim = docs.select(*others, F.struct(F.col("text").isNull().alias("null")).alias("n_chars"))
+    joined = slim.join(left.select(key, F.col("kept").alias("text")), key)
+    changed = {"text": F.when(~F.col("n_chars.null"), F.col("text")), "n_chars": F.length("text").cast("long")}
+    return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 @stage
