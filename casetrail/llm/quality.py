@@ -2,7 +2,7 @@
 
 Spark counts the character trigrams of every document by language and derives a modified Kneser-Ney model from the
 counts with joins and sums. The model is stored as sorted arrays of hashed n-grams, at most 2**24 of them whatever the
-corpus, which every task gets. Perplexities of all documents give each language its upper and lower band: median and
+corpus, which every task gets. Perplexities of all distinct texts give each language its upper and lower band: median and
 median deviation, widened for short texts. Documents outside their band are rejected.
 """
 
@@ -205,6 +205,8 @@ def train(rows: DataFrame) -> Model:
     return Model(table["slot"].to_numpy().astype(np.uint32), table["p"].to_numpy(), table["g"].to_numpy())
 
 
+#: Two hashes that tell the texts of a language apart.
+_PRINT = ("print", "print2")
 _FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -236,12 +238,21 @@ def _median(counts: DataFrame, value: str, name: str) -> DataFrame:
             .where(2 * F.col("upto") >= F.col("whole")).groupBy("lang").agg(F.min(value).alias(name)))
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """``lang, median, deviation`` of the logarithmic perplexity of documents that pass the base rules.
+def distinct(rows: DataFrame) -> DataFrame:
+    """``lang, text`` of each distinct text of a language; tasks drop their own copies first."""
+    return rows.dropDuplicates(["lang", *_PRINT]).select("lang", "text")
+
+
+def bands(scored: DataFrame, copies: bool = True) -> DataFrame:
+    """``lang, median, deviation`` of the logarithmic perplexity of documents that pass the base rules; without
+    ``copies`` of distinct texts.
 
     Values are counted in steps first, so a language needs a row per step and not one per document.
     """
-    counts = base.store(scored.where(~F.col("base_failed")).groupBy("lang", F.round(F.col("loss") * STEPS).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n")), "steps")
+    steps = scored.where(~F.col("base_failed")).select("lang", *_PRINT, F.round(F.col("loss") * STEPS).cast("long").alias("step"))
+    if not copies:
+        steps = steps.groupBy("lang", *_PRINT).agg(F.min("step").alias("step"))
+    counts = base.store(steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")), "steps")
     middle = _median(counts, "step", "median")
     apart = counts.join(middle, "lang").groupBy("lang", F.abs(F.col("step") - F.col("median")).alias("step")).agg(F.sum("n").alias("n"))
     spread = _median(apart, "step", "deviation")
@@ -252,21 +263,23 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", copies: bool = True) -> DataFrame:
     """Per row: key, ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity``.
 
     kept is false if the base rules fail, else whether the text's perplexity lies in its language's band. Null text
     has no words and fails; its perplexity is null. Null languages make one language of their own. Counts and medians
-    take in every row, repeated rows as often as they come. Other columns are not looked at.
+    take in every row, repeated rows as often as they come; without ``copies`` each distinct text of a language counts
+    once, so that a large group of copies does not narrow the band around itself. Other columns are not looked at.
     """
     base.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    model = train(rows)
+    rows = rows.withColumns({"print": F.xxhash64("text"), "print2": F.xxhash64(F.lit(1), "text")})
+    model = train(rows if copies else distinct(rows))
     shared = docs.sparkSession.sparkContext.broadcast((model.slot, model.log_p, model.log_g))
     kind = dict(rows.dtypes)["key"]
-    schema = f"key {kind}, lang string, " + ", ".join(f"{n} long" for n in _FIGURES) + ", n_grams long, loss double"
+    schema = f"key {kind}, lang string, print long, print2 long, " + ", ".join(f"{n} long" for n in _FIGURES) + ", n_grams long, loss double"
     scored = base.store(rows.mapInArrow(_score(shared), schema).withColumn("base_failed", base_failed()), "scored")
-    limits = base.store(bands(scored), "bands")  # a row per language; written, so that the join can split a language that has most rows
+    limits = base.store(bands(scored, copies), "bands")  # a row per language; written, so that the join can split a language that has most rows
     width = DEVIATIONS * F.sqrt(F.col("deviation") * F.col("deviation") + SHORT * SHORT / F.greatest("n_grams", F.lit(1)))
     inside = F.coalesce(F.abs(F.col("loss") - F.col("median")) <= width, F.lit(False))
     return scored.join(limits, "lang", "left").select(

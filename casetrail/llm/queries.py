@@ -132,7 +132,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_quality_rules")
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.rules(table(spark, folder, "documents"))
+    return quality.rules(table(spark, folder, "documents"), copies=False)
 
 
 @query("op9_html_main_text")

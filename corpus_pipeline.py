@@ -46,7 +46,7 @@ def _with_text(docs: DataFrame, cut: DataFrame, key: str) -> DataFrame:
 @stage
 def quality_rules(docs: DataFrame, key: str) -> DataFrame:
     """Documents that the base rules and their language's perplexity band accept."""
-    return docs.join(quality.rules(docs, key=key).where("kept").select(key), key, "left_semi")
+    return docs.join(quality.rules(docs, key=key, copies=False).where("kept").select(key), key, "left_semi")
 
 
 @stage

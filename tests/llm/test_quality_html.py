@@ -7,9 +7,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from casetrail.llm import html, quality
 from casetrail.llm.html_pages import labelled_pages
+from casetrail.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, perplexity string, loss int"
 
@@ -95,6 +98,24 @@ def test_rules(spark):
         assert g[8] is w[8] is None or g[8] == pytest.approx(w[8], rel=1e-5)
 
 
+def test_copies_count_once(spark, tmp_path):
+    """A group of copies that is most of a language leaves the verdicts as they are without the copies."""
+    rnd = random.Random(8)
+    vocab = ["".join(rnd.choice(["the", "an", "ing", "ou", "tion", "er", "st"]) for _ in range(rnd.randint(1, 3))) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(30, 400))), "es", None, None) for i in range(200)]
+    more = rows + [(1000 + i, *rows[7][1:]) for i in range(600)]
+    got = []
+    for k, some in enumerate((rows, more)):
+        spark.createDataFrame(some, SCHEMA).repartition(5).write.parquet(str(tmp_path / f"{k}" / "documents.parquet"))
+        got.append({r.doc_id: (r.kept, r.perplexity) for r in QUERIES["op3_quality_rules"](spark, str(tmp_path / f"{k}")).collect()})
+    assert sum(kept for kept, _ in got[0].values()) > 180 and len(got[1]) == len(more)
+    for i, (kept, perplexity) in got[1].items():
+        want = got[0][7 if i >= 1000 else i]
+        assert kept == want[0] and perplexity == pytest.approx(want[1], rel=1e-5), i
+    shown = spark.read.parquet(str(tmp_path / "1" / "documents.parquet")).withColumn("n_chars", F.length("text").cast("long"))
+    assert corpus_pipeline.quality_rules(spark, shown, "").where("doc_id < 1000").count() == sum(kept for kept, _ in got[0].values())
+
+
 def test_unseen_text_backs_off(spark):
     rnd = random.Random(1)
     texts = [("", "".join(rnd.choices("abcdef ", [9, 5, 3, 2, 1, 1, 4], k=60))) for _ in range(12)]
