@@ -1,14 +1,13 @@
 """Quality rules: word figures and a perplexity band per language.
 
 Spark counts the character trigrams of every document by language and derives a modified Kneser-Ney model from the
-counts with joins and sums. The model is stored as sorted arrays of hashed n-grams, at most 2**24 of them whatever the
-corpus, which every task gets. Perplexities of all distinct texts give each language its upper and lower band: median and
+counts with joins and sums. Every n-gram of the corpus stays in the model under its own packed value. Tasks hold the
+most frequent trigrams as sorted arrays; what a document has of the others is joined to the model on Spark. Perplexities of all distinct texts give each language its upper and lower band: median and
 median deviation, widened for short texts. Documents outside their band are rejected.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +21,10 @@ from casetrail.llm import base
 from casetrail.llm.symbols import WHITE, Chunk, chunks, mix, prefix_sums, span_hash, starts_of, words
 
 ORDER = 3
-#: Width of a code point in a packed n-gram, and of the hash under which the model keeps one.
-POINT_BITS, SLOT_BITS = 21, 24
+#: Width of a code point in a packed n-gram.
+POINT_BITS = 21
+#: Trigrams that each task holds at most; documents meet the rest of the model in a join.
+HELD = 2**22
 #: Bands: so many deviations around the language's median; the deviation of a text of n trigrams has SHORT / sqrt(n) added in squares.
 DEVIATIONS, SHORT = 3.5, 0.5
 #: Perplexity logarithms are counted in steps of 1/STEPS to find medians.
@@ -145,64 +146,73 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def slots(lang: str, size: int, grams: np.ndarray) -> np.ndarray:
-    """Hash of n-grams of one language under which the model keeps them."""
-    own = int.from_bytes(hashlib.blake2b(f"{size}:{lang}".encode(), digest_size=8).digest(), "little")
-    return (mix(grams + np.uint64(own)) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
-
-
-def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = np.zeros(batch.num_rows, np.int64)
-        names, language = _languages(batch)
-        size = np.asarray(batch.column("size"), np.int64)
-        grams = np.asarray(batch.column("gram"), np.int64).view(np.uint64)
-        for k, s in {(k, s) for k, s in zip(language.tolist(), size.tolist())}:
-            own = (language == k) & (size == s)
-            out[own] = slots(names[k], s, grams[own])
-        yield pa.RecordBatch.from_pydict({"slot": out, **{n: batch.column(n) for n in ("n", "size", "gram", "p", "g")}})
-
-
 @dataclass
 class Model:
-    """Sorted hashes with the logarithms of probability and back-off weight."""
-
-    slot: np.ndarray
-    log_p: np.ndarray
-    log_g: np.ndarray
-
-    def find(self, lang: str, size: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        wanted = slots(lang, size, grams)
-        at = np.minimum(np.searchsorted(self.slot, wanted), max(len(self.slot) - 1, 0))
-        return at, self.slot[at] == wanted if len(self.slot) else np.zeros(len(grams), bool)
+    """Per language and size: sorted n-grams with the logarithms of probability and back-off weight."""
+
+    parts: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def of(grams: DataFrame) -> Model:
+        """All rows of ``grams`` (``lang, size, gram, log_p, log_g``)."""
+        table = grams.toArrow().combine_chunks()
+        coded = pc.dictionary_encode(table["lang"]).combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        names, lang = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64)
+        size, gram = table["size"].to_numpy().astype(np.int64), table["gram"].to_numpy().astype(np.uint64)
+        order = np.lexsort((gram, size, lang))
+        both = (lang * (ORDER + 1) + size)[order]
+        head = np.flatnonzero(np.diff(both, prepend=-1))
+        gram, log_p, log_g = (x[order] for x in (gram, table["log_p"].to_numpy(), table["log_g"].to_numpy()))
+        return Model({(names[both[a] // (ORDER + 1)], int(both[a] % (ORDER + 1))): (gram[a:b], log_p[a:b], log_g[a:b]) for a, b in zip(head, [*head[1:], len(both)])})
+
+    def find(self, lang: str, size: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logarithms of probability and back-off weight (0 where unknown), and what is known."""
+        if (lang, size) not in self.parts:
+            return np.zeros(len(grams)), np.zeros(len(grams)), np.zeros(len(grams), bool)
+        own, log_p, log_g = self.parts[lang, size]
+        at = np.minimum(np.searchsorted(own, grams), len(own) - 1)
+        known = own[at] == grams
+        return np.where(known, log_p[at], 0.0).astype(np.float64), np.where(known, log_g[at], 0.0).astype(np.float64), known
 
     def log_probability(self, lang: str, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Of the last character of each packed n-gram after the others; unseen n-grams back off."""
-        if not len(self.slot):
-            return np.full(len(grams), -np.log(2.0**POINT_BITS))
-        at, seen = self.find(lang, order, grams)
-        out = np.where(seen, self.log_p[at], 0.0).astype(np.float64)
+        out, _, seen = self.find(lang, order, grams)
         left, weight = np.flatnonzero(~seen), np.zeros(int((~seen).sum()))
         for size in range(order - 1, 0, -1):
             if not len(left):
                 break
-            at, known = self.find(lang, size, grams[left] >> np.uint64(POINT_BITS) & np.uint64((1 << (POINT_BITS * size)) - 1))
-            weight += np.where(known, self.log_g[at], 0.0)
-            at, seen = self.find(lang, size, grams[left] & np.uint64((1 << (POINT_BITS * size)) - 1))
-            out[left[seen]] = weight[seen] + self.log_p[at[seen]]
+            weight += self.find(lang, size, grams[left] >> np.uint64(POINT_BITS) & np.uint64((1 << (POINT_BITS * size)) - 1))[1]
+            found, _, seen = self.find(lang, size, grams[left] & np.uint64((1 << (POINT_BITS * size)) - 1))
+            out[left[seen]] = weight[seen] + found[seen]
             left, weight = left[~seen], weight[~seen]
         out[left] = weight - np.log(2.0**POINT_BITS)
         return out
 
 
-def train(rows: DataFrame) -> Model:
-    """Model of all texts (``lang, text``, neither null). What reaches the driver is at most 2**24 slots."""
+def estimate(rows: DataFrame) -> DataFrame:
+    """All n-grams of all texts (``lang, text``, neither null): ``lang, size, gram, n, log_p, log_g``."""
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = kneser_ney(base.store(counts, "counts"))
-    slotted = grams.mapInArrow(_slotted, "slot long, n long, size int, gram long, p double, g double")
-    kept = slotted.groupBy("slot").agg(F.max(F.struct("n", "size", "gram", "p", "g")).alias("m")).select("slot", F.log("m.p").cast("float").alias("p"), F.log(F.greatest("m.g", F.lit(1e-12))).cast("float").alias("g"))
-    table = base.store(kept, "model").toArrow().sort_by("slot")
-    return Model(table["slot"].to_numpy().astype(np.uint32), table["p"].to_numpy(), table["g"].to_numpy())
+    return kneser_ney(base.store(counts, "counts")).select(
+        "lang", "size", "gram", "n", F.log("p").cast("float").alias("log_p"), F.log(F.greatest("g", F.lit(1e-12))).cast("float").alias("log_g"))
+
+
+def train(rows: DataFrame) -> Model:
+    """Whole model of texts few enough for their n-grams to fit in memory."""
+    return Model.of(base.store(estimate(rows), "model"))
+
+
+def split(grams: DataFrame, held: int) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent n-grams, at most ``held``, and the others (None if there are none), cut where ``n`` gains a binary digit."""
+    digits = F.length(F.bin("n"))
+    least, total = 65, 0
+    classes = grams.groupBy(digits.alias("digits")).count().orderBy(F.desc("digits")).collect()
+    for r in classes:
+        total += r["count"]
+        if total > held:
+            return grams.where(digits >= least), grams.where(digits < least)
+        least = r["digits"]
+    return grams, None
 
 
 #: Two hashes that tell the texts of a language apart.
@@ -210,26 +220,46 @@ _PRINT = ("print", "print2")
 _FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _apart(grams: np.ndarray, text: np.ndarray, n_texts: int) -> pa.Array:
+    """Per text a list of its different n-grams with their numbers."""
+    order = np.lexsort((grams, text))
+    grams, text = grams[order], text[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
+    head = np.flatnonzero(new)
+    items = pa.StructArray.from_arrays([pa.array(grams[head].view(np.int64)), pa.array(np.diff(np.append(head, len(grams))))], ["gram", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[head], np.arange(n_texts + 1)).astype(np.int32)), items)
+
+
 def _score(shared):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
+        model = Model(shared.value)
         for batch in batches:
             names, language = _languages(batch)
             for chunk in chunks(batch.column("text")):
                 grams, text = trigrams(chunk)
-                logs = np.zeros(len(grams))
+                logs, known = np.zeros(len(grams)), np.zeros(len(grams), bool)
                 own = language[chunk.first + text]
                 for k in np.unique(own).tolist():
-                    logs[own == k] = model.log_probability(names[k], grams[own == k])
+                    logs[own == k], _, known[own == k] = model.find(names[k], ORDER, grams[own == k])
                 bounds = np.searchsorted(text, np.arange(len(chunk) + 1))
                 total = np.diff(np.concatenate(([0.0], np.cumsum(logs)))[bounds])
                 n = np.diff(bounds)
                 rows = slice(chunk.first, chunk.first + len(chunk))
                 kept = {c: batch.column(c)[rows] for c in batch.schema.names if c != "text"}
-                yield pa.RecordBatch.from_pydict({**kept, **figures(chunk), "n_grams": n, "loss": -total / np.maximum(n, 1)})
+                yield pa.RecordBatch.from_pydict({**kept, **figures(chunk), "n_grams": n, "loss": -total / np.maximum(n, 1), "open": _apart(grams[~known], text[~known], len(chunk))})
     return task
 
 
+def closed(scored: DataFrame, rest: DataFrame) -> DataFrame:
+    """Losses with the n-grams that tasks do not hold (``open``) added; equal texts are looked up once."""
+    texts = scored.where(F.size("open") > 0).groupBy("lang", *_PRINT).agg(F.first("open").alias("open"))
+    found = texts.select("lang", *_PRINT, F.explode("open").alias("o")).select("lang", *_PRINT, F.col("o.gram").alias("gram"), F.col("o.n").alias("times"))
+    more = found.join(rest.select("lang", "gram", "log_p"), ["lang", "gram"]).groupBy("lang", *_PRINT).agg(F.sum(F.col("times") * F.col("log_p").cast("double")).alias("more"))
+    joined = scored.drop("open").join(base.store(more, "more"), ["lang", *_PRINT], "left")
+    return joined.withColumn("loss", F.col("loss") - F.coalesce("more", F.lit(0.0)) / F.greatest("n_grams", F.lit(1))).drop("more")
+
+
 def _median(counts: DataFrame, value: str, name: str) -> DataFrame:
     """Least value with at least half of a language's documents at or under it; ``counts`` has one row per value."""
     upto = Window.partitionBy("lang").orderBy(value)
@@ -274,11 +304,14 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     base.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"print": F.xxhash64("text"), "print2": F.xxhash64(F.lit(1), "text")})
-    model = train(rows if copies else distinct(rows))
-    shared = docs.sparkSession.sparkContext.broadcast((model.slot, model.log_p, model.log_g))
+    # Every trigram that is looked up has been counted, so no shorter n-gram is needed.
+    grams = base.store(estimate(rows if copies else distinct(rows)).where(F.col("size") == ORDER), "model")
+    near, rest = split(grams, HELD)
+    shared = docs.sparkSession.sparkContext.broadcast(Model.of(near).parts)
     kind = dict(rows.dtypes)["key"]
-    schema = f"key {kind}, lang string, print long, print2 long, " + ", ".join(f"{n} long" for n in _FIGURES) + ", n_grams long, loss double"
+    schema = f"key {kind}, lang string, print long, print2 long, " + ", ".join(f"{n} long" for n in _FIGURES) + ", n_grams long, loss double, open array<struct<gram: long, n: long>>"
     scored = base.store(rows.mapInArrow(_score(shared), schema).withColumn("base_failed", base_failed()), "scored")
+    scored = scored.drop("open") if rest is None else base.store(closed(scored, rest), "closed")
     limits = base.store(bands(scored, copies), "bands")  # a row per language; written, so that the join can split a language that has most rows
     width = DEVIATIONS * F.sqrt(F.col("deviation") * F.col("deviation") + SHORT * SHORT / F.greatest("n_grams", F.lit(1)))
     inside = F.coalesce(F.abs(F.col("loss") - F.col("median")) <= width, F.lit(False))

@@ -116,6 +116,14 @@ def test_copies_count_once(spark, tmp_path):
     assert corpus_pipeline.quality_rules(spark, shown, "").where("doc_id < 1000").count() == sum(kept for kept, _ in got[0].values())
 
 
+@pytest.mark.parametrize("held", [0, 60])
+def test_model_keeps_every_ngram(spark, monkeypatch, held):
+    """Figures do not depend on how many n-grams tasks hold; a model of few hash slots gets them wrong."""
+    monkeypatch.setattr(quality, "HELD", held, raising=False)
+    monkeypatch.setattr(quality, "SLOT_BITS", 8, raising=False)
+    test_rules(spark)
+
+
 def test_unseen_text_backs_off(spark):
     rnd = random.Random(1)
     texts = [("", "".join(rnd.choices("abcdef ", [9, 5, 3, 2, 1, 1, 4], k=60))) for _ in range(12)]
