@@ -22,11 +22,12 @@ from casetrail.llm import base
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|title|head)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
     r"|<[!?/][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-y|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"']|^[^=]+)/\s*\Z")  # a slash that does not belong to an unquoted value
 _NAME_PARTS = re.compile(r"[a-z]+")
 
 GROUPS = {
@@ -36,6 +37,9 @@ GROUPS = {
 }
 _GROUP = {tag: name for name, tags in GROUPS.items() for tag in tags.split()}
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+#: Elements that are skipped with what they hold, and those that may stand in a head.
+SKIPPED = frozenset("noscript template svg iframe object canvas title".split())
+IN_HEAD = frozenset("title meta link base noscript template basefont bgsound".split())
 # An opening tag ends open elements of these kinds, up to the nearest of the second set.
 _CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}),
            "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
@@ -62,6 +66,47 @@ class Page:
     label: list[int] = field(default_factory=list)
 
 
+def _named(m: re.Match) -> tuple[str, bool]:
+    """Name of a tag in lower case (empty for comments, scripts and styles), and if it is an end tag."""
+    return (m[3] or m[6] or "").lower(), (m[2] or m[5]) == "/"
+
+
+def skipped(html: str, tokens: list[re.Match]) -> dict[int, int]:
+    """Tokens that begin a skipped part, and the last token of the part.
+
+    Elements without an end tag lose only their tag. A head ends at its end tag or, if none comes before, at the first
+    text or element that cannot stand in a head.
+    """
+    open_: dict[str, list[int]] = {}
+    last: dict[int, int] = {}
+    heads = []
+    for k, m in enumerate(tokens):
+        tag, closing = _named(m)
+        if tag == "head" and not closing:
+            heads.append(k)
+        elif tag in SKIPPED:
+            if closing:
+                if open_.get(tag):
+                    last[open_[tag].pop()] = k
+            elif not _SELF_CLOSED.search(m[4] or m[7] or ""):
+                open_.setdefault(tag, []).append(k)
+    for head in heads:
+        k, before_text = head, None
+        while True:
+            begin, k = tokens[k].end(), k + 1
+            if before_text is None and html[begin: tokens[k].start() if k < len(tokens) else len(html)].strip():
+                before_text = k - 1
+            tag, closing = _named(tokens[k]) if k < len(tokens) else ("body", False)
+            if closing and tag == "head":
+                last[head] = k
+                break
+            if tag and (tag not in IN_HEAD and not closing or tag in ("body", "html")):
+                last[head] = k - 1 if before_text is None else before_text
+                break
+            k = last.get(k, k)
+    return last
+
+
 def parse(html: str) -> Page:
     """Nodes with their features. Tolerates unclosed and stray tags; scripts, styles, comments and the head give nothing."""
     page, tags, paragraphs, chars, linked, ends = Page(), [], [], [], [], []
@@ -129,14 +174,18 @@ def parse(html: str) -> Page:
             run_linked += len(run[-1].strip())
 
     at = 0
-    for m in _TOKEN.finditer(html):
+    tokens = list(_TOKEN.finditer(html))
+    last = skipped(html, tokens)
+    for k, m in enumerate(tokens):
+        if m.start() < at:
+            continue
         if m.start() > at:
             say(html[at: m.start()])
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
+        at = tokens[last[k]].end() if k in last else m.end()
+        tag, closing = _named(m)
+        if not tag or k in last:
             continue
-        closing, attributes = (m[2] or m[5]) == "/", m[4] or m[7] or ""
+        attributes = m[4] or m[7] or ""
         if tag == "br" or tag == "wbr":
             run.append(" " if tag == "br" else "")
         elif tag in VOID:

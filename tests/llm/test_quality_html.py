@@ -184,6 +184,30 @@ def test_blocks_and_references(potentials):
     assert html.extract_all([page], potentials) == ["Title & more &am\nFirst line two x é <b>\nSecond bits.\none\ntwo\nEnd"]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>t</title><meta charset=utf-8><body><article><p>one two.</p></article>", "one two."),
+    ("<html><head><title>t</title><!-- c --><script>var a = '</head>'</script><article><p>one two.</p></article>", "one two."),
+    ("<head><title>t</title>\n<noscript><img src=x></noscript><link href=y></head><body><article><p>one two.</p></article>", "one two."),
+    ("<head>odd <title>t</title></head><article><p>one two.</p></article>", "one two."),
+    ("<article><p>one</p><p><svg width=1 /> two</p><p>three</p></article>", "one\ntwo\nthree"),
+    ("<article><p>one</p><object data=x /><p>three</p></article>", "one\nthree"),
+    ("<article><p>one</p><svg/><canvas id='c'/><p>two</p><svg><text>no</text></svg><p>three</p></article>", "one\ntwo\nthree"),
+    ("<article><p>one</p><iframe src=x><p>two</p><template><p>three</p></article>", "one\ntwo\nthree"),
+    ("<article><p>one</p><svg><p>two</p><svg><text>no</text></svg><p>three</p></article>", "one\ntwo\nthree"),
+    ("<article><p>one</p><object><p>no</p><object>no</object>no</object><p>three</p></article>", "one\nthree"),
+    ("<article><p>one</p><svg-icon>sign</svg-icon><p>three</p></article>", "one\nsign\nthree"),
+    ("<article><p>one</p><p>two</p><script src=x /><p>no</p></article>", "one\ntwo"),
+])
+def test_skipped_parts_end(potentials, page, want):
+    assert html.extract_all([page], potentials) == [want]
+    plain = html.parse("<head><title>t</title>Text without any tag").text
+    assert [t for t in plain if t is not None] == ["Text without any tag"]
+
+
+def test_many_open_parts_take_linear_time():
+    assert len(html.parse("<article>" + "<svg><p>x</p><head>" * 20000 + "</article>").text) > 20000
+
+
 def test_odd_pages(spark, potentials):
     odd = [None, "", "plain text only", "<", "<p", "</div></div>", "<script>never closed <p>x</p>", "<article><p>" + "<div>" * 3000 + "deep text here.</article>", "<!-- open", "<article><p>" + "word " * 50000 + "</p></article>", "a <b 'x> y"]
     rows = [(i, f"u{i}", h, "clash") for i, h in enumerate(odd)] + [(0, None, None, "x"), (None, "u", "<article><p>Some text.</p></article>", None)]
