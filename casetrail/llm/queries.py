@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetrail.llm import bpe, debruijn, html, lines, minhash, packing, quality, shards, suffixes, topk
+from casetrail.llm import bpe, debruijn, html, lines, minhash, packing, quality, shards, suffixes, tokens, topk
 from casetrail.llm.base import table
 from casetrail.llm.html_pages import labelled_pages
 from casetrail.session import configure
@@ -138,3 +138,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_html_main_text")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"), html.train(labelled_pages()))
+
+
+@query("op12_token_counts")
+def _(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """``vocabulary`` is the path of a tokenizer file, by default the installed public one."""
+    if vocabulary is None:
+        import public_tokenizers
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.count(table(spark, folder, "documents"), vocabulary)
