@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, how: str = "left") -> DataFram
 def list_bounds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, start and end of a list<struct<start, end>> column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    owner = np.asarray(pa.compute.list_parent_indices(column), np.int64)
+    owner = np.asarray(pc.list_parent_indices(column), np.int64)
     flat = column.flatten()
     return owner, np.asarray(flat.field("start"), np.int64), np.asarray(flat.field("end"), np.int64)
 

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,7 +190,7 @@ def _of(shared) -> Merges:
 
 def portions(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about ``limit`` bytes together (one text at least), with the number of the first."""
-    sizes = np.asarray(pa.compute.binary_length(texts), np.int64)
+    sizes = np.asarray(pc.binary_length(texts), np.int64)
     part = (np.cumsum(sizes) - sizes) // limit
     for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1):
         if len(at):
@@ -211,7 +212,7 @@ def count(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
         for batch in batches:
             texts = batch.column("text")
             found = [n for _, part in portions(texts) for n in merges.count_all(part)]
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "n_bytes": pa.compute.binary_length(texts).cast(pa.int64()),
+            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "n_bytes": pc.binary_length(texts).cast(pa.int64()),
                                               "n_tokens": pa.array(found, pa.int64()), "over_limit": pa.array([n > limit for n in found], pa.bool_())})
 
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
