@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casetrail.llm import bpe, debruijn, html, lines, minhash, packing, quality, shards, suffixes, tokens, topk, whitening
+from casetrail.llm import bpe, conversations, debruijn, html, lines, minhash, packing, quality, shards, suffixes, tokens, topk, whitening
 from casetrail.llm.base import table
 from casetrail.llm.html_pages import labelled_pages
 from casetrail.session import configure
@@ -152,3 +152,8 @@ def _(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFr
 @query("op13_embedding_whitening")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op11_conversation_repair")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, folder, "conversations"))
