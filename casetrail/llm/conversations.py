@@ -136,14 +136,19 @@ def moved(state: int, code: int, letters: str) -> int:
     return state
 
 
+def backward(codes: bytes, ends: list[int]) -> list[list[int]]:
+    """Prices of all stretches, the last stretch first."""
+    prices: list[list[int]] = []
+    for k in reversed(range(0, len(codes), STRETCH)):
+        prices.append(auction(codes[k:k + STRETCH], ends))
+        ends = prices[-1][:4]
+    return prices
+
+
 def plan(codes: bytes, ends: list[int], entries: list[int]) -> dict[int, tuple[list[str], list[int]]]:
     """For each entry state: the letters of each row, and the state before each row and after the last."""
     parts = [codes[k:k + STRETCH] for k in range(0, len(codes), STRETCH)]
-    prices: list[list[int]] = []
-    for part in reversed(parts):
-        prices.append(auction(part, ends))
-        ends = prices[-1][:4]
-    prices.reverse()
+    prices = backward(codes, ends)[::-1]
     known: dict[tuple[int, int], list[str]] = {}
     out = {}
     for entry in entries:
@@ -189,20 +194,28 @@ class _Run:
         self.low = self.high = self.seen = turn
         self.turns = int(turn is not None)
         self.counts = [0, 0, 0, 0]  # blank, duplicate, truncated, illegal
-        self.costs = [[INF if a != b else 0 for b in range(4)] for a in range(4)]
+        self.codes = bytearray()
+
+    def summary(self, whole: bool) -> list[int]:
+        """Initials, counts and costs from state to state. A whole conversation only needs its own cost from START on."""
+        if whole:
+            to = [[INF] * 4 for _ in range(4)]
+            to[START][ASSISTANT] = backward(bytes(self.codes), FINAL)[-1][START]
+        else:
+            to = costs(bytes(self.codes))
+        return [self.first, self.last, *self.counts, self.turns, *(x for row in to for x in row)]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ordered rows to blocks of one conversation; the last block of each run carries the run's summary."""
     part = TaskContext.get().partitionId()
     held: dict[str, list] = {}
-    conv, seq, size, run = None, 0, 0, None
+    conv, seq, size, run, edge = None, 0, 0, None, True
 
     def block(last: bool) -> pa.RecordBatch:
         codes = bytes(held["codes"])
-        to = costs(codes)
-        run.costs = [[min(min(run.costs[a][m] + to[m][b] for m in range(4)), INF) for b in range(4)] for a in range(4)]
-        about = [run.first, run.last, *run.counts, run.turns] + [x for row in run.costs for x in row] if last else None
+        run.codes += codes
+        about = run.summary(not edge) if last else None
         return pa.RecordBatch.from_pylist([{"conv": conv, "part": part, "seq": seq, "codes": codes, "roles": held["roles"], "texts": held["texts"],
                                             "about": about, "low": run.low if last else None, "high": run.high if last else None}], _BLOCK)
 
@@ -211,7 +224,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = initial(role)
             if run is None or name != conv:
                 if run is not None:
+                    # The partition's first and last conversation may go on in others.
                     yield block(True)
+                    edge = False
                 conv, seq, size, run, held = name, 0, 0, _Run(at, turn), {"codes": [], "roles": [], "texts": []}
             else:
                 run.counts[3] += (run.last, at) not in _LEGAL
@@ -234,6 +249,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held["texts"].append(text)
             size += len(text) + len(role)
     if run is not None:
+        edge = True
         yield block(True)
 
 

@@ -154,6 +154,34 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
-@query("op11_conversation_repair")
+#: The same repair as a forward search over (row, state) that carries the cheapest audit and text of each state.
+@query("op11_conversation_repair", """
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce("role", ' ') AS ro, coalesce("text", ' ') AS te,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, 4 * length(hex(encode(k)))), lambda i:
+      ((('0x' || substr(hex(encode(k)), 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 20 AS roll FROM r),
+d AS (SELECT conv_id, turn, CASE WHEN roll = 4 THEN 'user' ELSE ro END AS ro, unnest(range(0, CASE WHEN roll = 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE roll WHEN 1 THEN '' WHEN 2 THEN regexp_replace(te, '[.!?]', '', 'g') ELSE te END AS te FROM h WHERE roll <> 0),
+n AS (SELECT *, row_number() OVER w AS p, row_number() OVER (PARTITION BY conv_id, ro, te ORDER BY turn NULLS FIRST, copy) AS nth, substr(ro, 1, 1) AS i,
+    rtrim(te, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, lag(substr(ro, 1, 1)) OVER w || substr(ro, 1, 1) AS two
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, ro, sha256(length(ro) || ':' || ro || te), copy)),
+f AS (SELECT *, bare = '' AS blank, bare <> '' AND nth > 1 AS dup, bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS trunc FROM n),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum(blank::INT)::BIGINT AS blank, sum(dup::INT)::BIGINT AS duplicate, sum(trunc::INT)::BIGINT AS truncated,
+    (count(*) - 1 - count(*) FILTER (WHERE two IN ('su', 'ua', 'au')))::BIGINT AS illegal, count(*) AS n FROM f GROUP BY 1),
+m(q, z) AS (VALUES (0, 'user'), (1, 'user'), (2, 'assistant'), (3, 'user')),
+b AS (SELECT conv_id, 0::BIGINT AS p, q, cost, a, t FROM c, (VALUES (0, 0::BIGINT, '', ''), (2, 5, 'I', chr(10) || 'user:'), (3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')) AS s(q, cost, a, t)
+  UNION ALL
+  SELECT conv_id, p, q, best.cost, best.a, best.t FROM (SELECT conv_id, p, q, min({'cost': cost, 'a': a, 't': t}) AS best FROM (
+    SELECT conv_id, p, unnest([q, CASE WHEN z = 'user' THEN 2 ELSE 3 END, 5 - CASE WHEN z = 'user' THEN 2 ELSE 3 END]) AS q, unnest([cost, cost + 5, cost + 10]) AS cost, unnest([a, a || 'I', a || 'II']) AS a,
+        unnest([t, t || chr(10) || z || ':', t || chr(10) || z || ':' || chr(10) || CASE WHEN z = 'user' THEN 'assistant:' ELSE 'user:' END]) AS t
+    FROM (SELECT conv_id, p, q, best.cost AS cost, best.a AS a, best.t AS t FROM (SELECT conv_id, p, q, min({'cost': cost, 'a': a, 't': t}) AS best FROM (
+      SELECT b.conv_id, f.p, unnest(CASE WHEN f.blank OR f.dup THEN [b.q] ELSE [b.q, CASE WHEN i = 's' AND b.q = 0 THEN 1 WHEN i = substr(m.z, 1, 1) THEN CASE WHEN i = 'u' THEN 2 ELSE 3 END END, CASE WHEN m.z = 'user' THEN 2 ELSE 3 END] END) AS q,
+        unnest(CASE WHEN f.blank OR f.dup THEN [cost + 2] ELSE [cost + 2, cost + 5 * trunc::INT, cost + 1 + 5 * trunc::INT] END) AS cost,
+        unnest([a || 'D', a || 'K', a || 'R']) AS a, unnest([t, t || chr(10) || ro || ':' || te, t || chr(10) || m.z || ':' || te]) AS t
+      FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.p = b.p + 1 JOIN m ON m.q = b.q) WHERE cost IS NOT NULL AND q IS NOT NULL GROUP BY ALL)) JOIN m USING (q)) GROUP BY conv_id, p, q)),
+e AS (SELECT conv_id, min({'cost': cost, 'a': a, 't': t}) AS best FROM b JOIN c USING (conv_id) WHERE p = n AND q IN (0, 3) GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.damaged_and_repaired(table(spark, folder, "conversations"))

@@ -113,13 +113,13 @@ def test_equals_search(spark):
 
 def test_long_conversation_over_partitions(spark):
     """One conversation holds most rows: it lies in several partitions and blocks, and the answer is that of the whole."""
-    rows = [(7, t, ("user", "assistant")[t % 2] if t % 11 else "system", f"t{t % 900}" + ("." if t % 7 else "")) for t in range(9000)]
+    rows = [(7000, t, ("user", "assistant")[t % 2] if t % 11 else "system", f"t{t % 900}" + ("." if t % 7 else "")) for t in range(9000)]
     frame = spark.createDataFrame([(*r, "c", 1, 2) for r in rows + chats(2, 20, 9)], SCHEMA)
     found, pieces = conversations.repair(conversations.damage(frame))
-    assert pieces.where("conv = 'c7'").select("part").distinct().count() > 3
+    assert pieces.where("conv = 'c7000'").select("part").distinct().count() > 3
     got = {r.conv: tuple(r[f] for f in FIELDS) for r in found.collect()}
-    want = brute(rows)[7]
-    assert got["c7"] == want
+    want = brute(rows)[7000]
+    assert got["c7000"] == want
 
 
 @pytest.mark.parametrize("seed", range(3))
