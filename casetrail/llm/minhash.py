@@ -2,9 +2,9 @@
 
 Documents with the same shingle set are one class. Classes that share a band meet in a bucket; there each is first
 compared with the bucket's earliest class, so a large group of near copies costs one pair per member. Confirmed links
-give components. What remains are pairs with a common leader in different components. Exact bounds on what two of them
-can share, given what each shares with the leader, leave few to compare; no link between them is lost, and groups
-that already hang together are never compared among themselves.
+give components. What remains are pairs with a common leader in different components: blocks of classes are compared
+exactly by what each of them has and lacks against the leader. No link between them is lost, no row is formed for a
+pair, and the classes that already hang on the leader are never compared among themselves.
 """
 
 from __future__ import annotations
@@ -55,27 +55,96 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _relate(size: int):
-    """What a class shares with its leader, and what it has besides."""
+#: Classes and differing shingles of one side of a block.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Differing shingles that one product of a block takes at a time.
+_PRODUCT = 4096
+
+
+def _differ(size: int):
+    """In which shingles a class differs from its leader (those that only one of the two has)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = [s for _, sets in shingle_sets(batch.column("text_a"), size) for s in sets]
             right = [s for _, sets in shingle_sets(batch.column("text_b"), size) for s in sets]
-            own = [np.setdiff1d(y, x, assume_unique=True).view(np.int64) for x, y in zip(left, right)]
-            n = np.array([len(y) for y in right], np.int64)
-            yield pa.RecordBatch.from_pydict({"leader": batch.column("a"), "class": batch.column("b"), "n": n,
-                                              "common": n - np.array([len(x) for x in own], np.int64), "own": pa.array(own, pa.list_(pa.int64()))})
+            apart = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(left, right)]
+            yield pa.RecordBatch.from_pydict({"leader": batch.column("a"), "class": batch.column("b"), "n": np.array([len(y) for y in right], np.int64),
+                                              "apart": pa.array(apart, pa.list_(pa.int64()))})
     return task
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set on the left shares with each on the right."""
+    values, owner = (np.concatenate(x) for x in (left, [np.full(len(v), k) for k, v in enumerate(left)]))
+    others, other = (np.concatenate(x) for x in (right, [np.full(len(v), k) for k, v in enumerate(right)]))
+    both = np.intersect1d(values, others)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
+        return out
+    sides = []
+    for v, o in ((values, owner), (others, other)):
+        at = np.minimum(np.searchsorted(both, v), len(both) - 1)
+        known = both[at] == v
+        order = np.argsort(at[known], kind="stable")
+        sides.append((at[known][order], o[known][order]))
+    for low in range(0, len(both), _PRODUCT):
+        tables = []
+        for (at, o), count in zip(sides, (len(left), len(right))):
+            part = slice(*np.searchsorted(at, (low, low + _PRODUCT)))
+            table = np.zeros((count, min(_PRODUCT, len(both) - low)), np.float32)
+            table[o[part], at[part] - low] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _link_blocks(percent: int):
+    """Links between the two sides of a block (one side with itself if they are the same), in different components."""
+    def task(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        first = np.asarray(block.column("block")) == block.column("low")[0].as_py()
+        sets = [np.asarray(v) for v in block.column("apart").to_pylist()]
+        columns = {c: np.asarray(block.column(c)) for c in ("class", "component", "n")}
+        left = np.flatnonzero(first)
+        right = left if first.all() else np.flatnonzero(~first)
+        found = []
+        if len(left) and len(right):
+            size = np.array([len(v) for v in sets], np.int64)
+            shared = _common([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+            # Both differ from the leader; they differ from each other where just one of them does.
+            differ = size[left][:, None] + size[right][None, :] - 2 * shared
+            both = columns["n"][left][:, None] + columns["n"][right][None, :]
+            linked = (100 * (both - differ) >= percent * (both + differ)) & (both > differ)
+            linked &= columns["component"][left][:, None] != columns["component"][right][None, :]
+            x, y = np.nonzero(linked)
+            found = np.stack([columns["class"][left[x]], columns["class"][right[y]]])
+            found = np.unique(np.sort(found, axis=0), axis=1)
+        a, b = found if len(found) else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return task
+
+
+def in_blocks(related: DataFrame) -> DataFrame:
+    """``related`` (``leader, class, component, away, n, apart``) with a row for each block it takes part in: ``block`` is its
+    side, (``low``, ``high``) the pair of sides. Sides hold about ``BLOCK_ROWS`` classes, those in the leader's component
+    apart from the others: no side of them meets another such side, as nothing is left to be linked there.
+    """
+    most = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / BLOCK_ROWS), F.ceil(F.sum(F.when(which, F.size("apart"))) / BLOCK_SHINGLES), F.lit(1))
+    sides = base.store(related.groupBy("leader").agg(most(~F.col("away")).alias("inside"), most(F.col("away")).alias("outside")), "sides")
+    dealt = related.join(sides, "leader").withColumn("block", F.when(F.col("away"), F.col("inside") + F.pmod(F.xxhash64("class"), F.col("outside"))).otherwise(F.pmod(F.xxhash64("class"), F.col("inside"))))
+    every = F.sequence(F.lit(0), F.col("inside") + F.col("outside") - 1)
+    met = F.when(F.col("away"), every).otherwise(F.filter(every, lambda k: k >= F.col("inside")))
+    dealt = dealt.select("leader", "class", "component", "n", "apart", "block", F.explode(met).alias("other"))
+    return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+
+
 def _left_apart(members: DataFrame, groups: DataFrame, with_texts: Callable[[DataFrame], DataFrame], size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that may still be linked: classes with a common leader in different components.
+    """Links (a, b) between classes with a common leader in different components.
 
-    Exact bounds leave out the others. Let x and y have a common leader; they share at most the less of what each has
-    in common with it, and the shingles that both have besides. A link needs percent * (|x| + |y|) / (100 + percent)
-    shared shingles. So either the first part alone reaches that (``near``), or x and y share so many of their own
-    shingles that, in any common order, early ones are among them (``prefix``); the order is rarest first. Within a
-    component nothing is compared: one side is always outside the leader's component.
+    Every class of such a leader keeps the shingles in which it differs from the leader. Two classes differ from each
+    other where just one of them differs from the leader, so the sizes of two such sets and of their common part tell
+    exactly whether the classes are linked. The common parts of a block of classes are one product of 0/1 matrices;
+    only links leave the task, and no row is formed for a pair.
     """
     placed = members.select("leader", "class").distinct().join(groups.withColumnRenamed("node", "class"), "class", "left").select(
         "leader", "class", F.coalesce("component", "class").alias("component"))
@@ -83,34 +152,9 @@ def _left_apart(members: DataFrame, groups: DataFrame, with_texts: Callable[[Dat
     homes = placed.where("leader = class").select("leader", F.col("component").alias("home"))
     mixed = base.store(placed.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").join(homes, "leader").select("leader", "home"), "mixed")
     apart = base.store(placed.join(mixed, "leader").where("leader <> class").withColumn("away", F.col("component") != F.col("home")), "apart")
-    related = base.store(with_texts(apart.select(F.col("leader").alias("a"), F.col("class").alias("b"))).mapInArrow(
-        _relate(size), "leader long, class long, n long, common long, own array<long>"), "related")
-    related = related.join(apart.select("leader", "class", "component", "away"), ["leader", "class"])
-    smallest = base.store(related.groupBy("leader").agg(F.min("n").alias("least")), "smallest-sets")
-    related = base.store(related.join(smallest, "leader"), "bounded")
-    # The smallest partner a link of this class could have, and what it must share with that one.
-    partner = F.greatest(F.ceil(F.col("n") * percent / 100.0).cast("long"), F.col("least"))
-    need = F.ceil((F.col("n") + partner) * percent / (100.0 + percent) - 1e-9).cast("long")
-    flat = ["leader", "class", "component", "away", "n", "common"]
-    near = base.store(related.where(F.col("common") >= need).select(flat), "near")
-    keep = F.size("own") - F.greatest(need - F.col("common"), F.lit(1)) + 1
-    rows = related.where(keep > 0).select(*flat, keep.alias("keep"), F.size("own").alias("n_own"), F.explode("own").alias("shingle"))
-    often = base.store(rows.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
-    shared = rows.join(often, ["leader", "shingle"]).groupBy(*flat, "keep", "n_own").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
-    # Shingles that no other class of the leader has come first in the order and meet nothing.
-    early = F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.least(F.size("shared"), F.col("keep") - (F.col("n_own") - F.size("shared")))))
-    prefix = base.store(shared.select(*flat, F.explode(early).alias("s")).select(*flat, F.col("s.shingle").alias("shingle")), "prefix")
-    fits = (100 + percent) * F.least("common_a", "common_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    once = (F.col("component_a") != F.col("component_b")) & (~F.col("away_b") | (F.col("a") < F.col("b")))
-    named = lambda df, side: df.select(*[c for c in ("leader", "shingle") if c in df.columns], F.col("class").alias(side),
-                                       *[F.col(c).alias(f"{c}_{side}") for c in flat[2:]])
-    pairs = None
-    for found, on, test in ((near, ["leader"], fits), (prefix, ["leader", "shingle"], F.lit(True))):
-        outside = base.store(found.where("away"), "outside")
-        inside = base.store(found.join(outside.select(on).distinct(), on, "left_semi"), "inside")
-        met = named(outside, "a").join(named(inside, "b"), on).where(once & test).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = met if pairs is None else pairs.unionByName(met)
-    return pairs.distinct()
+    related = with_texts(apart.select(F.col("leader").alias("a"), F.col("class").alias("b"))).mapInArrow(_differ(size), "leader long, class long, n long, apart array<long>")
+    related = base.store(related.join(apart.select("leader", "class", "component", "away"), ["leader", "class"]), "related")
+    return in_blocks(related).groupBy("leader", "low", "high").applyInArrow(_link_blocks(percent), "a long, b long").distinct()
 
 
 _SIGNED = "doc long, alt long, n_shingles long, class long, signature binary, bands array<long>"
@@ -194,8 +238,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     stars = base.store(members.where("class <> leader").select(F.col("leader").alias("a"), F.col("class").alias("b")).distinct(), "stars")
     links = confirmed(stars)
     groups = base.store(components(links), "components")
-    rest = _left_apart(members, groups, with_texts, shingle, percent)
-    links = links.unionByName(confirmed(base.store(rest, "rest")))
+    links = links.unionByName(base.store(_left_apart(members, groups, with_texts, shingle, percent), "links-apart"))
     groups = base.store(components(links), "components")
     named = base.store(signed.select("doc", "alt", "n_shingles", "class").join(groups.withColumnRenamed("node", "class"), "class", "left")
                        .select("doc", "alt", "n_shingles", F.coalesce("component", "class").alias("component")), "named")

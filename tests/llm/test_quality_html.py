@@ -39,11 +39,15 @@ def words_of(text):
     return text.encode().split()
 
 
-def brute(rows):
-    n, grams, texts = quality.ORDER, collections.defaultdict(collections.Counter), []
+def brute(rows, copies=True):
+    """Without ``copies`` the model and the bands count each text of a language once."""
+    n, grams, texts, seen = quality.ORDER, collections.defaultdict(collections.Counter), [], set()
     for r in rows:
         t = re.sub(r"[ \t-\r]+", " ", r[1] or "")
         texts.append(t)
+        if not copies and (r[1] or "", r[2] or "") in seen:
+            continue
+        seen.add((r[1] or "", r[2] or ""))
         grams[r[2] or ""].update(t[k:k + n] for k in range(len(t) - n + 1))
     model = {}
     for lang, g in grams.items():
@@ -74,10 +78,11 @@ def brute(rows):
         m = len(t) - n + 1
         loss = -sum(math.log(model[r[2] or ""][t[k:k + n]]) for k in range(m)) / m if m > 0 else None
         failed = len(ws) < 20 or 100 * len(mark) > 30 * len(ws)
-        out.append([r[0], len(ws), sum(len(w.decode()) for w in ws), sum(c in "#*$%&|<>" for c in raw), len(lines) - len(set(lines)), len(mark), failed, loss, max(m, 0), r[2] or ""])
+        out.append([r[0], len(ws), sum(len(w.decode()) for w in ws), sum(c in "#*$%&|<>" for c in raw), len(lines) - len(set(lines)), len(mark), failed, loss, max(m, 0), r[2] or "", raw])
+    counted = out if copies else list({(o[9], o[10]): o for o in out}.values())
     limits = {}
     for lang in {o[9] for o in out}:
-        steps = sorted(math.floor(o[7] * quality.STEPS + 0.5) for o in out if o[9] == lang and not o[6])
+        steps = sorted(math.floor(o[7] * quality.STEPS + 0.5) for o in counted if o[9] == lang and not o[6])
         if steps:
             middle = steps[(len(steps) + 1) // 2 - 1]
             spread = sorted(abs(s - middle) for s in steps)[(len(steps) + 1) // 2 - 1]
@@ -87,10 +92,16 @@ def brute(rows):
         yield (*o[:7], kept, None if o[7] is None else math.exp(o[7]))
 
 
-def test_rules(spark):
+@pytest.mark.parametrize("way", ["copies", "distinct", "query"])
+def test_rules(spark, tmp_path, way):
+    """Counting rows, counting distinct texts, and the registered query, which counts distinct texts of a table."""
     rows = rows_of()
-    got = [tuple(r) for r in quality.rules(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()]
-    want = list(brute(rows))
+    if way == "query":
+        spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+        found = QUERIES["op3_quality_rules"](spark, str(tmp_path))
+    else:
+        found = quality.rules(spark.createDataFrame(rows, SCHEMA).repartition(4), copies=way == "copies")
+    got, want = [tuple(r) for r in found.collect()], list(brute(rows, way == "copies"))
     key = lambda r: (str(r[0]), r[1])
     assert len(got) == len(want) and 0 < sum(r[7] for r in want) < sum(not r[6] for r in want)
     for g, w in zip(sorted(got, key=key), sorted(want, key=key)):

@@ -120,5 +120,34 @@ def test_near(spark, size):
     assert sorted(map(tuple, got.collect()), key=str) == brute_near(rows, size)
 
 
+@pytest.mark.parametrize("rows_a_side", [minhash.BLOCK_ROWS, 40])
+def test_rows_of_a_group_grow_in_proportion(spark, monkeypatch, rows_a_side):
+    """Classes that share most of their shingles and hang together little: no rows for pairs, and every link is found."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows_a_side)
+    deal, formed = minhash.in_blocks, {}
+
+    def counted(related):
+        out = deal(related)
+        formed[n] = formed.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "in_blocks", counted)
+    rnd = random.Random(3)
+    common = [f"w{i}" for i in range(90)]
+    for n in (200, 800) if rows_a_side > 40 else (200,):
+        rows = []
+        for i in range(n):
+            words = list(common)
+            for _ in range(rnd.choice([1, 2, 2, 3])):
+                words[rnd.randrange(0, len(words), 6)] = f"own{rnd.randrange(60)}"
+            rows.append((i, " ".join(words)))
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        found = sorted(map(tuple, got.collect()), key=str)
+        if n == 200:
+            assert found == brute_near(rows, 5) and 10 < sum(r[3] for r in found) < 190
+    if rows_a_side > 40:
+        assert 0 < formed[800] <= 6 * formed[200]
+
+
 def test_near_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
