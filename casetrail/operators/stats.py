@@ -6,15 +6,21 @@ that needs an order works on distinct scores and value bands, never on one sorte
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.operators.ordering import null_safe_join, with_key_totals
 from casetrail.operators.ranks import cumulative, grouped_quantiles, hashed_rank
 from casetrail.operators.sequences import normal_two_sided
+from casetrail.session import cut_lineage
 
 
 def _counts(y: str) -> dict[str, Column]:
@@ -192,30 +198,6 @@ def poisson_limits(steps: int = 12) -> list[str]:
     return out
 
 
-def poisson_replicates(df: DataFrame, ids: Sequence[str], replicates: int, seed: int = 0,
-                       columns: Sequence[str] = ("y", "p")) -> DataFrame:
-    """Bootstrap weights without drawing rows: each row's copies in a replicate follow a Poisson law with mean 1.
-
-    The copies of a row depend on the hash of (seed, replicate // 4, ids) alone, 8 of its digits for each of the four
-    replicates. So rows are weighted where they are read and summed to (replicate, columns) before any shuffle: what is
-    shuffled grows with distinct values, not with rows.
-    """
-    name = F.concat_ws(":", *[F.col(c).cast("string") for c in ids])
-    rows = df.select(name.alias("__name"), *columns).withColumn("__four", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__four").cast("string"), F.col("__name")))
-    rows = rows.select("__four", *columns, digest.alias("__digest"))
-    parts = F.array(*[F.struct((F.col("__four") * 4 + i).alias("replicate"), F.substring("__digest", 8 * i + 1, 8).alias("digits")) for i in range(4)])
-    limits = poisson_limits()
-    copies = sum(((F.col("__digits") >= limit).cast("int") for limit in limits), F.lit(0))
-    drawn = rows.select(*columns, F.explode(parts).alias("__part")).select(F.col("__part.replicate").alias("replicate"), *columns, F.col("__part.digits").alias("__digits"))
-    drawn = drawn.where((F.col("__digits") >= limits[0]) & (F.col("replicate") < replicates))
-    return drawn.groupBy("replicate", *columns).agg(F.sum(copies).alias("copies"))
-
-
-def _draws(df: DataFrame, ids: Sequence[str], replicates: int, seed: int, columns: Sequence[str], exact: bool) -> DataFrame:
-    return (bootstrap_replicates if exact else poisson_replicates)(df, ids, replicates, seed, columns)
-
-
 def _replicated_panel(draws: DataFrame, keys: Sequence[str], y: str, p: str) -> DataFrame:
     """AUROC and average precision of weighted draws per replicate and key; single-class samples drop out."""
     weights = {"pos": F.sum(F.when(F.col(y) == 1, F.col("copies")).otherwise(0)),
@@ -230,11 +212,146 @@ def _replicated_panel(draws: DataFrame, keys: Sequence[str], y: str, p: str) ->
         F.sum(F.when(pos > 0, (pos / F.col("pos_total")) * (tp / (tp + fp))).otherwise(0.0)).alias("auprc"))
 
 
+#: Rows of one score in an Arrow batch from which they travel as one weighted sum; rows weighted at a time.
+_TIED, _STEP = 256, 256
+#: Most ranges of scores; totals of each range and replicate (16 bytes) pass through the driver.
+_RANGES = 1000
+
+
+class _Weights:
+    """Copies of rows in all replicates: Poisson with mean 1, from the hash of (seed, replicate // 4, ids) alone."""
+
+    def __init__(self, replicates: int, seed: int):
+        self.replicates, self.starts = replicates, [f"{seed}:{four}:".encode() for four in range((replicates + 3) // 4)]
+        self.tied, self.step = _TIED, _STEP
+        self.limits = np.array([int(limit, 16) for limit in poisson_limits()], np.uint32)
+
+    def of(self, names: Sequence[str]) -> np.ndarray:
+        """A row per name and a column per replicate."""
+        digests = b"".join(hashlib.md5(start + name).digest() for name in (n.encode() for n in names) for start in self.starts)
+        drawn = np.searchsorted(self.limits, np.frombuffer(digests, ">u4").astype(np.uint32), side="right")
+        return drawn.reshape(len(names), -1)[:, :self.replicates].astype(np.int64)
+
+
+_RANGED = "p double, y int, name string, pos binary, neg binary"
+
+
+def _tied_together(weights: _Weights):
+    """Many rows of one score become one row that carries their summed copies, so that a frequent score is no hot range."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score, label = np.asarray(batch.column("p")), np.asarray(batch.column("y").fill_null(-1))
+            values, place, counts = np.unique(score, return_inverse=True, return_counts=True)
+            single = pa.array(counts[place] < weights.tied)
+            rows = batch.filter(single)
+            yield pa.RecordBatch.from_pydict({"p": rows.column("p"), "y": rows.column("y"), "name": rows.column("name"),
+                                              "pos": pa.nulls(len(rows), pa.binary()), "neg": pa.nulls(len(rows), pa.binary())})
+            for k in np.flatnonzero(counts >= weights.tied):
+                sums = np.zeros((2, weights.replicates), np.int64)
+                at = np.flatnonzero(place == k)
+                for low in range(0, len(at), weights.step):
+                    part = at[low:low + weights.step]
+                    copies = weights.of(batch.column("name").take(pa.array(part)).to_pylist())
+                    for side in (0, 1):
+                        sums[side] += copies[label[part] == 1 - side].sum(axis=0)
+                yield pa.RecordBatch.from_pydict({"p": pa.array(values[k:k + 1]), "y": pa.nulls(1, pa.int32()), "name": pa.nulls(1, pa.string()),
+                                                  "pos": pa.array([sums[0].tobytes()], pa.binary()), "neg": pa.array([sums[1].tobytes()], pa.binary())})
+    return task
+
+
+def _cells(batches: Iterator[pa.RecordBatch], weights: _Weights) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ordered rows as copies of positives and negatives (a row per distinct score, a column per replicate), a few at a time."""
+    last, pos, neg = None, None, None
+    for batch in batches:
+        for low in range(0, len(batch), weights.step):
+            part = batch.slice(low, weights.step)
+            score, label = np.asarray(part.column("p")), np.asarray(part.column("y").fill_null(-1))
+            copies = weights.of([n or "" for n in part.column("name").to_pylist()])
+            sides = [copies * (label == side)[:, None] for side in (1, 0)]
+            for k in np.flatnonzero(np.asarray(part.column("pos").is_valid())):
+                for side, column in zip(sides, ("pos", "neg")):
+                    side[k] = np.frombuffer(part.column(column)[int(k)].as_py(), np.int64)
+            heads = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+            sides = [np.add.reduceat(side, heads, axis=0) for side in sides]
+            # The last score of what came before may go on here.
+            if last is not None and score[0] == last:
+                sides[0][0] += pos[0]
+                sides[1][0] += neg[0]
+            elif last is not None:
+                yield pos, neg
+            if len(heads) > 1:
+                yield sides[0][:-1], sides[1][:-1]
+            last, pos, neg = score[-1], sides[0][-1:], sides[1][-1:]
+    if last is not None:
+        yield pos, neg
+
+
+def replicated_areas(df: DataFrame, ids: Sequence[str], replicates: int, seed: int = 0, y: str = "y", p: str = "p") -> DataFrame:
+    """AUROC and average precision of every Poisson replicate: ``replicate, auroc, auprc``; single-class replicates drop out.
+
+    Rows are shuffled once, by ranges of the score; no row is formed for a pair of row and replicate. A range's task
+    holds the copies of a few rows in all replicates as one array. A first pass sums them per range, a second one finds
+    the areas with the sums of the ranges before it. Rows without a score are left out. The number of ranges is the
+    session's number of shuffle partitions, ``_RANGES`` at most: their sums (16 bytes a range and replicate) pass
+    through the driver.
+    """
+    weights = _Weights(replicates, seed)
+    name = F.concat_ws(":", *[F.col(c).cast("string") for c in ids])
+    rows = df.where(F.col(p).isNotNull()).select(F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y"), name.alias("name"))
+    ranges = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _RANGES)
+    dealt = rows.mapInArrow(_tied_together(weights), _RANGED).repartitionByRange(ranges, "p").sortWithinPartitions("p")
+    # Written once: both passes see the same ranges.
+    dealt = cut_lineage(dealt.withColumn("part", F.spark_partition_id()))
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, part = np.zeros((2, replicates), np.int64), TaskContext.get().partitionId()
+        for pos, neg in _cells(batches, weights):
+            sums += pos.sum(axis=0), neg.sum(axis=0)
+        if sums.any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    found = {r.part: np.frombuffer(bytes(r.sums), np.int64).reshape(2, -1) for r in dealt.mapInArrow(totals, "part int, sums binary").collect()}
+    before, total = {}, np.zeros((2, replicates), np.int64)
+    for part in sorted(found):
+        before[part] = total
+        total = total + found[part]
+    shared = df.sparkSession.sparkContext.broadcast((before, total))
+
+    def areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        starts, (all_pos, all_neg) = shared.value
+        if part not in starts:
+            return
+        pos_before, neg_before = starts[part]
+        wins, precision = np.zeros(replicates, np.int64), np.zeros(replicates)
+        for pos, neg in _cells(batches, weights):
+            above = [now + np.cumsum(side, axis=0) - side for now, side in ((pos_before, pos), (neg_before, neg))]
+            wins += (pos * (2 * above[1] + neg)).sum(axis=0)  # twice the pairs won, whole numbers in any order
+            hits, flagged = all_pos - above[0], all_pos - above[0] + all_neg - above[1]
+            precision += np.divide(pos * hits, flagged * np.maximum(all_pos, 1), out=np.zeros(pos.shape), where=pos > 0).sum(axis=0)
+            pos_before, neg_before = pos_before + pos.sum(axis=0), neg_before + neg.sum(axis=0)
+        both = np.flatnonzero((all_pos > 0) & (all_neg > 0))
+        yield pa.RecordBatch.from_pydict({"replicate": pa.array(both, pa.int32()), "wins": pa.array(wins[both]), "auprc": pa.array(precision[both]),
+                                          "pairs": pa.array(2.0 * all_pos[both] * all_neg[both])})
+
+    summed = dealt.mapInArrow(areas, "replicate int, wins long, auprc double, pairs double").groupBy("replicate").agg(
+        F.sum(F.col("wins").cast("decimal(20,0)")).cast("double").alias("wins"), F.sum("auprc").alias("auprc"), F.max("pairs").alias("pairs"))
+    return summed.select("replicate", (F.col("wins") / F.col("pairs")).alias("auroc"), "auprc")
+
+
+def _areas(df: DataFrame, ids: Sequence[str], replicates: int, seed: int, y: str, columns: Sequence[str], exact: bool) -> DataFrame:
+    """``replicate, model, auroc, auprc`` for each score column."""
+    if exact:
+        long = bootstrap_replicates(df, ids, replicates, seed, [y, *columns]).unpivot(["replicate", y, "copies"], list(columns), "model", "__p")
+        return _replicated_panel(long, ["replicate", "model"], y, "__p")
+    parts = [replicated_areas(df, ids, replicates, seed, y, c).withColumn("model", F.lit(c)) for c in columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bootstrap_ci(df: DataFrame, ids: Sequence[str], replicates: int = 1000, seed: int = 0, alpha: float = 0.05,
                  y: str = "y", p: str = "p", exact: bool = False) -> DataFrame:
     """Percentile interval of AUROC and average precision over weighted replicates (``exact``: over drawn samples of n rows)."""
-    draws = _draws(df, ids, replicates, seed, [y, p], exact)
-    metrics = _replicated_panel(draws, ["replicate"], y, p)
+    metrics = _areas(df, ids, replicates, seed, y, [p], exact)
     long = metrics.unpivot(["replicate"], ["auroc", "auprc"], "metric", "value")
     return grouped_quantiles(long, ["metric"], "value", {"lo": alpha / 2, "hi": 1 - alpha / 2}, "n_replicates")
 
@@ -242,9 +359,7 @@ def bootstrap_ci(df: DataFrame, ids: Sequence[str], replicates: int = 1000, seed
 def paired_bootstrap(df: DataFrame, ids: Sequence[str], base: str, other: str, replicates: int = 1000, seed: int = 0,
                      y: str = "y", exact: bool = False) -> DataFrame:
     """Mean, percentile interval and share above 0 of the gap between two scores on the same draws."""
-    draws = _draws(df, ids, replicates, seed, [y, base, other], exact)
-    long = draws.unpivot(["replicate", y, "copies"], [base, other], "model", "p")
-    metrics = _replicated_panel(long, ["replicate", "model"], y, "p")
+    metrics = _areas(df, ids, replicates, seed, y, [base, other], exact)
     is_other = F.col("model") == other
     gaps = metrics.groupBy("replicate").agg(*[
         (F.max(F.when(is_other, F.col(m))) - F.max(F.when(~is_other, F.col(m)))).alias(m) for m in ("auroc", "auprc")])

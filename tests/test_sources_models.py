@@ -1,5 +1,7 @@
 """Files, streaming and models."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,41 @@ def test_bootstrap_is_repeatable_and_complete(frame):
     assert a == b and a[0][1] < a[0][2]
 
 
+def brute_areas(rows, replicates, seed):
+    """Areas of each replicate from its weighted rows, one after another."""
+    limits, out = [int(x, 16) for x in E.poisson_limits()], {}
+    for b in range(replicates):
+        weighted = []
+        for i, y, p in rows:
+            digits = hashlib.md5(f"{seed}:{b // 4}:{i}".encode()).hexdigest()[8 * (b % 4):8 * (b % 4) + 8]
+            if p is not None and y is not None:
+                weighted.append((p, y, sum(int(digits, 16) >= x for x in limits)))
+        pos, neg = (sum(w for _, y, w in weighted if y == side) for side in (1, 0))
+        if pos and neg:
+            wins, precision = 0, 0.0
+            for score in {p for p, _, w in weighted}:
+                here = sum(w for p, y, w in weighted if p == score and y == 1)
+                wins += here * (sum(w for p, y, w in weighted if p < score and y == 0) + sum(w for p, y, w in weighted if p == score and y == 0) / 2)
+                hits, flagged = (sum(w for p, y, w in weighted if p >= score and y in side) for side in ((1,), (0, 1)))
+                precision += here / pos * hits / flagged if here else 0
+            out[b] = wins / (pos * neg), precision
+    return out
+
+
+@pytest.mark.parametrize("tied", [E._TIED, 5])
+def test_replicated_areas_equal_plain_sums(spark, monkeypatch, tied):
+    """Half of the rows share one score; some have no score or label; ranges and steps cut everywhere."""
+    monkeypatch.setattr(E, "_STEP", 7)
+    monkeypatch.setattr(E, "_TIED", tied)
+    rows = [(i, None if i % 17 == 3 else int(i % 5 == 0 or i % 7 == 1), None if i % 19 == 4 else 0.5 if i % 2 else round((i * 37 % 101) / 40 - 1, 3)) for i in range(160)]
+    frame = spark.createDataFrame(rows, "id long, y int, p double").repartition(3)
+    got = {r.replicate: (r.auroc, r.auprc) for r in E.replicated_areas(frame, ["id"], 10, seed=2).collect()}
+    want = brute_areas(rows, 10, 2)
+    assert got.keys() == want.keys() and all(got[b] == pytest.approx(want[b], rel=1e-12) for b in want)
+    single = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.2)], "id long, y int, p double")
+    assert E.replicated_areas(single, ["id"], 5).collect() == E.replicated_areas(single.limit(0), ["id"], 5).collect() == []
+
+
 def test_scenarios_damage_only_their_block(frame):
     blocks = {"demographics": ["x"], "geocode": ["z"]}
     rows = {r["id"]: r for r in frame.collect()}
