@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from casetrail.catalog.frames import SCORES_SQL, scores
 from casetrail.catalog.registry import Tables, query, r6, rounded
+from casetrail.catalog.statistics import _AREA_SQL
 from casetrail.operators import models as M
 from casetrail.operators import prep
+from casetrail.operators import stats as E
 from casetrail.operators.graph import vector_columns
 from casetrail.operators.sampling import kfold
 from casetrail.session import cut_lineage
@@ -181,6 +183,34 @@ def _(t: Tables) -> DataFrame:
     return prep.perturb(c, ["bal"], "keep_only", c, ["id"]).select("id", F.round("price", 4).alias("price"), "bal", "asa")
 
 
+@query("m15_perturb_mean", f"""
+WITH {_CASES_SQL} SELECT id, round((SELECT avg(price) FROM cases WHERE train), 4) AS price, round((SELECT avg(bal) FROM cases WHERE train), 4) AS bal FROM cases""")
+def _(t: Tables) -> DataFrame:
+    c = cases(t)
+    return prep.perturb(c, ["price", "bal"], "mean", c.where("train")).select("id", F.round("price", 4).alias("price"), F.round("bal", 4).alias("bal"))
+
+
+@query("m15_scenarios", f"""
+WITH {SCORES_SQL}, f AS (SELECT id, y, p, q, o_totalprice / 100000 AS price, (status = 'F')::INT::DOUBLE AS late FROM scores JOIN orders ON o_orderkey = id),
+md AS (SELECT quantile_cont(p, 0.5) AS p, quantile_cont(q, 0.5) AS q, quantile_cont(price, 0.5) AS price, quantile_cont(late, 0.5) AS late FROM f WHERE id % 5 <> 0),
+a AS (SELECT *, row_number() OVER (ORDER BY md5('42:to:' || id::VARCHAR), id) AS r FROM f), b AS (SELECT p, q, price, late, row_number() OVER (ORDER BY md5('42:from:' || id::VARCHAR), id) AS r FROM f),
+sc(scenario, p, q, price, late) AS (VALUES ('baseline_clean', 'n', 'n', 'n', 'n'), ('missing_charlson', 'n', 'n', 'n', 'z'), ('missing_utilization', 'n', 'n', 'm', 'n'), ('missing_geocode_sdoh', 'n', 'm', 'n', 'n'),
+ ('missing_cpt', 'n', 'n', 'n', 'z'), ('missing_dispo', 'n', 'z', 'n', 'n'), ('missing_order_sequence', 'z', 'n', 'n', 'n'), ('missing_provider_roles', 'n', 'n', 'z', 'z'), ('missing_seq_scalars', 'm', 'n', 'n', 'n'),
+ ('wrong_demographics', 's', 'n', 'n', 'n'), ('wrong_sdoh', 'n', 's', 'n', 'n'), ('wrong_cpt', 'n', 'n', 'n', 's'), ('wrong_order_sequence', 's', 'n', 'n', 'n'), ('wrong_provider_roles', 'n', 'n', 's', 's'),
+ ('wrong_charlson', 'n', 'n', 'n', 's'), ('wrong_utilization', 'n', 'n', 's', 'n'), ('bare_bones_demog_only', 'n', 'n', 'm', 'm')),
+v AS (SELECT scenario, y, {", ".join(f"CASE sc.{c} WHEN 'n' THEN a.{c} WHEN 'z' THEN 0 WHEN 'm' THEN md.{c} ELSE b.{c} END AS {c}" for c in _X)} FROM a JOIN b USING (r), md, sc),
+pts AS (SELECT scenario AS g, y, round(p + 0.5 * q + 0.2 * price + 0.3 * late, 6) AS s, count(*) AS w FROM v GROUP BY ALL), {_AREA_SQL}
+SELECT g AS scenario, round(auroc, 6) AS auroc FROM area""")
+def _(t: Tables) -> DataFrame:
+    """Areas of a fixed score under all 17 scenarios, with medians of the rows that are not in fold 0."""
+    frame = model_frame(t)
+    blocks = {"charlson": ["late"], "utilization": ["price"], "geocode": ["q"], "cpt": ["late"], "dispo": ["q"], "sequence": ["p"],
+              "role": ["price", "late"], "seq_scalars": ["p"], "demographics": ["p"]}
+    damaged = prep.scenarios(frame, blocks, frame.where("id % 5 <> 0"), ["id"])
+    score = F.round(F.col("p") + 0.5 * F.col("q") + 0.2 * F.col("price") + 0.3 * F.col("late"), 6)
+    return rounded(E.auroc(damaged.select("scenario", "y", score.alias("s")), ["scenario"], p="s"), "auroc")
+
+
 @query("m16_within_group_kmeans")
 def _(t: Tables) -> DataFrame:
     v = vector_columns(t.embeddings.select("vec_id", (F.col("label") % 2).alias("tier"), "embedding"), "embedding", 64)

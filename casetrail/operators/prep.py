@@ -261,3 +261,48 @@ def scenario(df: DataFrame, name: str, blocks: Mapping[str, Sequence[str]], trai
     if mode == "none" or not columns:
         return df
     return perturb(df, columns, mode, train, ids, seed)
+
+
+def scenarios(df: DataFrame, blocks: Mapping[str, Sequence[str]], train: DataFrame, ids: Sequence[str], seed: int = 42,
+              named: Sequence[tuple[str, str, str | None]] = SCENARIOS) -> DataFrame:
+    """All rows under every named damage scenario, told apart by the column ``scenario``.
+
+    One pass: rows are dealt once by a rank join, whose shuffled columns serve all scenarios (each shuffle is the same
+    permutation of its block); train medians and means of all columns come from one pass each; rows are then repeated
+    per scenario and each block column picks its value. ``keep_only`` sets the columns of all other blocks to their
+    medians. Block columns become doubles; scenarios whose blocks have no columns repeat the frame as it is.
+    """
+    every = list(dict.fromkeys(c for columns in blocks.values() for c in columns))
+    damage: dict[str, dict[str, list[str]]] = {c: {} for c in every}
+    for name, mode, block in named:
+        columns = [c for b in (block or "").split("+") for c in blocks.get(b, ())]
+        if mode == "keep_only" and columns:
+            mode, columns = "median", [c for c in every if c not in columns]
+        for c in columns:
+            damage[c].setdefault(mode, []).append(name)
+    used = {mode for found in damage.values() for mode in found}
+    if unknown := used - {"none", "zero", "median", "mean", "shuffle"}:
+        raise ValueError(f"unknown modes {sorted(unknown)}")
+    fill: dict[tuple[str, str], float] = {}
+    if "median" in used:
+        fill |= {("median", r["column"]): r["m"] for r in grouped_quantiles(_long(train, every), ["column"], "value", {"m": 0.5}).collect()}
+    if "mean" in used:
+        row = train.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(every)]).first()
+        fill |= {("mean", c): row[f"m{i}"] for i, c in enumerate(every)}
+    moved = [c for c in every if "shuffle" in damage[c]]
+    rows = df
+    if moved:
+        target = hashed_rank(df, [], ids, f"{seed}:to", "__r")
+        source = hashed_rank(df, [], ids, f"{seed}:from", "__r").select("__r", *[F.col(f"`{c}`").alias(f"__s_{c}") for c in moved])
+        rows = target.join(source, "__r").drop("__r")
+    rows = rows.withColumn("scenario", F.explode(F.array(*[F.lit(name) for name, _, _ in named])))
+
+    def value(c: str) -> Column:
+        out = F.col(f"`{c}`").cast("double")
+        for mode, names in damage[c].items():
+            if mode != "none":
+                new = F.lit(0.0) if mode == "zero" else F.col(f"`__s_{c}`").cast("double") if mode == "shuffle" else F.lit(fill.get((mode, c))).cast("double")
+                out = F.when(F.col("scenario").isin(names), new).otherwise(out)
+        return out.alias(c)
+
+    return rows.select("scenario", *[value(c) if c in every else F.col(f"`{c}`") for c in df.columns])

@@ -141,6 +141,20 @@ def test_replicated_areas_equal_plain_sums(spark, monkeypatch, tied):
     assert E.replicated_areas(single, ["id"], 5).collect() == E.replicated_areas(single.limit(0), ["id"], 5).collect() == []
 
 
+def test_all_scenarios_at_once_equal_one_by_one(frame):
+    blocks = {"demographics": ["x"], "geocode": ["z"], "charlson": ["x", "z"]}
+    train = frame.where("id % 3 > 0")
+    got = {}
+    for r in prep.scenarios(frame, blocks, train, ["id"]).collect():
+        got.setdefault(r["scenario"], {})[r["id"]] = (r["x"], r["z"], r["y"])
+    assert len(got) == len(prep.SCENARIOS) == 17 and all(len(rows) == 200 for rows in got.values())
+    for name in ("baseline_clean", "missing_charlson", "missing_geocode_sdoh", "missing_cpt", "wrong_demographics", "wrong_charlson", "bare_bones_demog_only"):
+        want = {r["id"]: (r["x"], r["z"], r["y"]) for r in prep.scenario(frame, name, blocks, train, ["id", "y"] if "bare" in name else ["id"]).collect()}
+        assert got[name] == want, name
+    with pytest.raises(ValueError):
+        prep.scenarios(frame, blocks, train, ["id"], named=[("odd", "sideways", "geocode")])
+
+
 def test_scenarios_damage_only_their_block(frame):
     blocks = {"demographics": ["x"], "geocode": ["z"]}
     rows = {r["id"]: r for r in frame.collect()}
