@@ -211,6 +211,8 @@ def perturb(df: DataFrame, columns: Sequence[str], mode: str, train: DataFrame |
     if mode == "keep_only":
         others = [c for c in df.columns if c not in columns and c not in ids and _is_numeric(df, c)]
         return perturb(df, others, "median", train, ids, seed)
+    if not columns:
+        return df
     if mode == "shuffle":
         target = hashed_rank(df, [], ids, f"{seed}:to", "__r")
         source = hashed_rank(df, [], ids, f"{seed}:from", "__r").select("__r", *[
