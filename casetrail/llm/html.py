@@ -9,7 +9,7 @@ The potentials are trained by gradient on the likelihood of labelled pages, with
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -71,6 +71,11 @@ def _named(m: re.Match) -> tuple[str, bool]:
     return (m[3] or m[6] or "").lower(), (m[2] or m[5]) == "/"
 
 
+def _unended(m: re.Match) -> bool:
+    """A comment, script or style that goes on to the end of the page."""
+    return m[0].startswith("<!--") and not m[0][4:].endswith("-->") or bool(m[1]) and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I)
+
+
 def skipped(html: str, tokens: list[re.Match]) -> dict[int, int]:
     """Tokens that begin a skipped part, and the last token of the part.
 
@@ -111,6 +116,7 @@ def parse(html: str) -> Page:
     """Nodes with their features. Tolerates unclosed and stray tags; scripts, styles, comments and the head give nothing."""
     page, tags, paragraphs, chars, linked, ends = Page(), [], [], [], [], []
     open_: list[int] = []
+    places: dict[str, list[int]] = {}  # of open elements by name
     inline = 0  # depth of open links
     run: list[str] = []
     run_linked = 0
@@ -134,7 +140,20 @@ def parse(html: str) -> Page:
         chars.append(0)
         linked.append(0)
         paragraphs.append(int(tag == "p"))
-        open_.append(len(tags) - 1)
+        enter(len(tags) - 1)
+
+    def enter(node: int) -> None:
+        places.setdefault(tags[node], []).append(len(open_))
+        open_.append(node)
+
+    def shut(place: int) -> None:
+        """Close the open elements from a place on."""
+        while len(open_) > place:
+            places[tags[open_.pop()]].pop()
+
+    def nearest(names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, -1 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     def in_body() -> None:
         """Pages without html or body tags get them, so that every page has the same root."""
@@ -142,7 +161,7 @@ def parse(html: str) -> Page:
             if tag not in tags[:2]:
                 add(tag, "")
         if not open_:
-            open_.append(1)
+            enter(1)
 
     def flush() -> None:
         """End the block that inline text has been gathered for."""
@@ -174,7 +193,13 @@ def parse(html: str) -> Page:
             run_linked += len(run[-1].strip())
 
     at = 0
-    tokens = list(_TOKEN.finditer(html))
+    # Nothing after the last ">" can be a tag, and a comment that begins there takes the rest.
+    end = html.rfind(">") + 1
+    if (comment := html.find("<!--", end)) >= 0:
+        html = html[:comment]
+    tokens = list(_TOKEN.finditer(html, 0, end))
+    if tokens and tokens[-1].end() == end and _unended(tokens[-1]):
+        html = html[:end]
     last = skipped(html, tokens)
     for k, m in enumerate(tokens):
         if m.start() < at:
@@ -197,23 +222,18 @@ def parse(html: str) -> Page:
         elif closing:
             flush()
             inline = 0
-            for k in range(len(open_) - 1, -1, -1):
-                if tags[open_[k]] == tag:
-                    del open_[k:]
-                    break
+            if places.get(tag):
+                shut(places[tag][-1])
         else:
             flush()
             inline = 0
             if open_ and tags[open_[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                open_.pop()
+                shut(len(open_) - 1)
             if tag in _CLOSES:
                 ended, fence = _CLOSES[tag]
-                for k in range(len(open_) - 1, -1, -1):
-                    if tags[open_[k]] in fence:
-                        break
-                    if tags[open_[k]] in ended.split():
-                        del open_[k:]
-                        break
+                place = nearest(ended.split())
+                if place > nearest(fence):
+                    shut(place)
             if tag == "html" and not tags or tag == "body" and tags == ["html"]:
                 add(tag, attributes)
             elif tag not in ("html", "body"):

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -215,6 +216,20 @@ def test_skipped_parts_end(potentials, page, want):
     assert [t for t in plain if t is not None] == ["Text without any tag"]
 
 
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>" * 80_000 + "</ul>" * 80_000, "<div>" * 80_000 + "</p>" * 80_000, "<li><ul>" + "<div>" * 60_000 + "<li></li>" * 60_000,
+                                  '<a "' * 200_000 + ">", "<!--" * 200_000, "<script " * 100_000 + ">"])
+def test_odd_pages_of_a_megabyte_take_seconds(page):
+    start = time.perf_counter()
+    html.parse(page)
+    assert time.perf_counter() - start < 20
+
+
+def test_unended_comments_and_scripts_take_the_rest():
+    texts = lambda page: [t for t in html.parse(page).text if t]
+    assert texts("a <!-- b") == ["a"] and texts("<p>x<!-- y > z") == ["x"] and texts("<p>x<script>var a; </p> b") == ["x"]
+    assert texts("<p>x<!-- y --> z") == ["x z"] and texts("<p>x<script>a</script > b") == ["x b"] and texts("x > y < z") == ["x > y < z"]
+
+
 def test_many_open_parts_take_linear_time():
     assert len(html.parse("<article>" + "<svg><p>x</p><head>" * 20000 + "</article>").text) > 20000
 
