@@ -527,6 +527,39 @@ def _(t: Tables) -> DataFrame:
     return rounded(got, "med_mi", "p95_mi")
 
 
+@query("c20_case_intervals", """
+WITH k AS (SELECT l_orderkey, min(l_shipdate) AS recv, max(l_shipdate) AS sign FROM lineitem GROUP BY 1),
+x AS (SELECT year(o_orderdate)::INT AS yr, c_nationkey AS code, date_diff('hour', o_orderdate, recv) AS ar, date_diff('hour', recv, sign) AS rs, date_diff('hour', o_orderdate, sign) AS s
+  FROM orders LEFT JOIN k ON l_orderkey = o_orderkey LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 11 <> 0) ON c_custkey = o_custkey WHERE sign IS NOT NULL AND o_orderdate IS NOT NULL)
+SELECT yr, coalesce(n_name, code::VARCHAR, '(none)') AS unit, count(*) AS n_cases, round(quantile_cont(ar::DOUBLE, 0.5), 6) AS med_acc_to_recv_hrs, round(quantile_cont(ar::DOUBLE, 0.95), 6) AS p95_acc_to_recv_hrs,
+ round(quantile_cont(rs::DOUBLE, 0.5), 6) AS med_recv_to_sign_hrs, round(quantile_cont(rs::DOUBLE, 0.95), 6) AS p95_recv_to_sign_hrs, round(quantile_cont(s::DOUBLE, 0.5), 6) AS med_acc_to_sign_hrs,
+ round(quantile_cont(s::DOUBLE, 0.95), 6) AS p95_acc_to_sign_hrs FROM x LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = code GROUP BY yr, code, n_name""")
+def _(t: Tables) -> DataFrame:
+    """Case milestones (order, first and last shipment) by year and unit; some units have no name, some cases no unit."""
+    milestones = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("recv"), F.max("l_shipdate").alias("sign"))
+    units = t.customer.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("unit"))
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", F.year("o_orderdate").alias("yr")).join(milestones, "o_orderkey", "left").join(units, "o_custkey", "left")
+    spans = {"acc_to_recv_hrs": ("hour", "o_orderdate", "recv"), "recv_to_sign_hrs": ("hour", "recv", "sign"), "acc_to_sign_hrs": ("hour", "o_orderdate", "sign")}
+    got = C.interval_report(rows, ["yr", "unit"], spans, ["sign", "o_orderdate"], {"unit": (t.nation.where("n_nationkey < 20"), "n_nationkey", "n_name")}, count_as="n_cases")
+    return rounded(got, *[f"{q}_{s}" for s in spans for q in ("med", "p95")])
+
+
+@query("c20_task_intervals", """
+WITH x AS (SELECT l_linenumber AS task, l_returnflag AS action, date_diff('minute', o_orderdate, l_shipdate) AS mi FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  WHERE l_linestatus = 'O' AND o_orderdate IS NOT NULL AND l_shipdate IS NOT NULL), z(code, name) AS (VALUES ('A', 'confirmed'), ('R', 'redone'))
+SELECT CASE task WHEN 1 THEN 'block' WHEN 2 THEN 'slide' ELSE coalesce(task::VARCHAR, '(none)') END AS task, coalesce(name, action, '(none)') AS action, count(*) AS n_tasks,
+ round(quantile_cont(mi::DOUBLE, 0.5), 6) AS med_ord_to_comp_min, round(quantile_cont(mi::DOUBLE, 0.95), 6) AS p95_ord_to_comp_min FROM x LEFT JOIN z ON code = action GROUP BY 1, 2""")
+def _(t: Tables) -> DataFrame:
+    """Tasks that were not taken back, by kind and action, from order to completion in minutes."""
+    rows = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate").join(t.lineitem.where("l_linestatus = 'O'").select(
+        "l_orderkey", "l_shipdate", F.col("l_linenumber").alias("task"), F.col("l_returnflag").alias("action")), "l_orderkey")
+    tasks = t.spark.createDataFrame([(1, "block"), (2, "slide")], "code int, name string")
+    actions = t.spark.createDataFrame([("A", "confirmed"), ("R", "redone")], "code string, name string")
+    got = C.interval_report(rows, ["task", "action"], {"ord_to_comp_min": ("minute", "o_orderdate", "l_shipdate")}, ["o_orderdate", "l_shipdate"],
+                            {"task": (tasks, "code", "name"), "action": (actions, "code", "name")}, count_as="n_tasks")
+    return rounded(got, "med_ord_to_comp_min", "p95_ord_to_comp_min")
+
+
 @query("c21_gold_override", """
 SELECT o.o_orderkey, coalesce(CASE WHEN o.o_orderkey % 4 = 0 THEN (o.o_totalprice > 250000)::INT END, (o.o_orderstatus = 'F')::INT) AS y FROM orders o""")
 def _(t: Tables) -> DataFrame:

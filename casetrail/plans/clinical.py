@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from casetrail.functions import fixed
 from casetrail.functions.clock import age_years, boundaries, shift
 from casetrail.functions.scalars import bmi, contains_any, inches_to_cm, number, ounces_to_kg, yn
+from casetrail.operators.ordering import null_safe_join
 from casetrail.operators.predicates import classify_unit, cohort_filter, isin_codes, not_cancelled
 from casetrail.operators.ranks import top_k
-from casetrail.operators.relational import (case_volume, flag_pivot, length_of_stay, milestone_pair, provider_edges,
-                                            union_distinct, value_pivot)
+from casetrail.operators.relational import (case_volume, decode, flag_pivot, length_of_stay, milestone_pair, pct, provider_edges,
+                                            turnaround, union_distinct, value_pivot)
 from casetrail.operators.sampling import stratified_sample
 from casetrail.operators.sequences import first_last
 from casetrail.operators.temporal import (asof, broadcast_if_bounded, covering_anchor, interval_join, lookback, scd2_current, scd2_join, to_intervals,
@@ -495,3 +497,24 @@ def patient_case_view(patient: str | int, cases: DataFrame, surgical: DataFrame,
 def structure_features(stays: DataFrame, key: str = "LogID") -> DataFrame:
     """Length of stay and first-unit flag side by side, the inputs both scores share."""
     return length_of_stay(stays, key).join(first_unit_flag(stays, key), key)
+
+
+def interval_report(rows: DataFrame, keys: Sequence[str], intervals: Mapping[str, tuple[str, str, str]], required: Sequence[str],
+                    lookups: Mapping[str, tuple[DataFrame, str, str]] | None = None, overdue: tuple[str, str] | None = None,
+                    count_as: str = "n") -> DataFrame:
+    """Turnaround report: row count, median and 95th percentile of each interval per group of ``keys``.
+
+    ``intervals`` maps an output name to (unit, start column, end column), counted in unit boundaries; rows lacking a
+    ``required`` column are left out. ``lookups`` maps a key to (table, code column, name column) with one row per code: the key becomes the
+    name, the code as text where it has none, '(none)' without a code. Rows are grouped by code, so codes of equal name
+    stay apart. ``overdue`` (end column, limit column) adds ``pct_overdue``; a missing limit is not overdue.
+    """
+    known = rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required]))
+    late = [] if overdue is None else [F.coalesce((F.col(overdue[0]) > F.col(overdue[1])).cast("int"), F.lit(0)).alias("__late")]
+    measured = known.select(*keys, *[boundaries(unit, F.col(a), F.col(b)).alias(n) for n, (unit, a, b) in intervals.items()], *late)
+    report = turnaround(measured, keys, list(intervals), count_as)
+    if overdue is not None:
+        report = null_safe_join(report, measured.groupBy(*keys).agg(pct(F.col("__late")).alias("pct_overdue")), list(keys))
+    for key, (table, code, name) in (lookups or {}).items():
+        report = decode(report, table, key, code, name, key)
+    return report

@@ -210,3 +210,16 @@ def test_first_path_takes_the_earliest_sub_encounter(spark):
     df = spark.createDataFrame([(a, b, c, d, at(e), at(f)) for a, b, c, d, e, f in rows], "c string, s int, pos int, tok string, i timestamp, o timestamp")
     got = Q.first_path(df, "c", "s", "pos", "tok", "i", "o", "ED", "OR").collect()
     assert [(r["s"], r["hrs_arrival"], r["hrs_departure"]) for r in got] == [(3, 1.0, 0.0)]
+
+
+def test_interval_report(spark):
+    """Hours in boundaries, rows lacking the end left out, codes without a name, no code at all, a missing limit is not overdue."""
+    at = "2024-01-01 {}"
+    rows = spark.createDataFrame([(1, at.format("00:59:00"), at.format("01:01:00"), at.format("01:00:00")), (1, at.format("00:00:00"), at.format("03:59:00"), None),
+                                  (2, at.format("00:00:00"), at.format("02:00:00"), at.format("02:00:00")), (2, at.format("00:00:00"), None, None),
+                                  (None, at.format("05:00:00"), at.format("04:00:00"), at.format("03:00:00"))], "unit int, a string, b string, cap string")
+    rows = rows.select("unit", *[F.col(c).cast("timestamp").alias(c) for c in ("a", "b", "cap")])
+    names = spark.createDataFrame([(1, "ward")], "code int, name string")
+    got = C.interval_report(rows, ["unit"], {"h": ("hour", "a", "b")}, ["a", "b"], {"unit": (names, "code", "name")}, ("b", "cap"))
+    assert {r["unit"]: (r["n"], r["med_h"], round(r["p95_h"], 6), r["pct_overdue"]) for r in got.collect()} == {
+        "ward": (2, 2.0, 2.9, 50.0), "2": (1, 2.0, 2.0, 0.0), "(none)": (1, -1.0, -1.0, 100.0)}
