@@ -63,10 +63,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_line_dedup", f"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, unnest(range(1, len(ls) - {lines.RUN - 2})) AS p, ls FROM t),
-k AS (SELECT doc_id, p, md5_number(array_to_string(ls[p:p + {lines.RUN - 1}], chr(10))) AS g FROM w),
-f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM k),
-x AS (SELECT DISTINCT doc_id, unnest(range(p, p + {lines.RUN})) AS i FROM f WHERE n > 1),
+w AS (SELECT doc_id, unnest(range(1, len(ls) - size + 2)) AS p, size, ls FROM t, (SELECT unnest(range(1, {lines.RUN + 1})) AS size)),
+k AS (SELECT doc_id, p, size, md5_number(array_to_string(ls[p:p + size - 1], chr(10))) AS g FROM w
+  WHERE size = {lines.RUN} OR length(array_to_string(ls[p:p + size - 1], '')) >= {lines.LONG}),
+f AS (SELECT doc_id, p, size, row_number() OVER (PARTITION BY size, g ORDER BY doc_id, p) AS n FROM k),
+x AS (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS i FROM f WHERE n > 1),
 y AS (SELECT *, CASE WHEN lag(i) OVER (PARTITION BY doc_id ORDER BY i) = i - 1 THEN 0 ELSE 1 END AS new FROM x),
 c AS (SELECT doc_id, count(*) AS gone, sum(new) AS runs, list(i) AS gone_at FROM y GROUP BY 1)
 SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_runs,

@@ -25,16 +25,19 @@ def rows_of(seed=4, n=80):
     return rows + [rows[0], rows[0], (None, rows[1][1], None, None, None, None, None), (900, None, "hot", None, 1, None, 1), (901, "", None, None, 1, None, 1), (902, long, "hot", "de", 1, "c", 1)]
 
 
-def brute_lines(rows, run):
+def brute_lines(rows, run, long=lines.LONG):
     seen, out = {}, {}
     for key, text in sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
         ls = text.split("\n")
         gone = set()
-        for p in range(len(ls) - run + 1):
-            w = tuple(ls[p:p + run])
-            if w in seen:
-                gone |= set(range(p, p + run))
-            seen.setdefault(w, (key, p))
+        for size in range(1, run + 1):
+            for p in range(len(ls) - size + 1):
+                w = tuple(ls[p:p + size])
+                if size < run and sum(map(len, w)) < long:
+                    continue
+                if w in seen:
+                    gone |= set(range(p, p + size))
+                seen.setdefault(w, (key, p))
         out[key] = (len(ls), len(gone), sum(g - 1 not in gone for g in gone), "\n".join(x for i, x in enumerate(ls) if i not in gone))
     return out
 
@@ -49,6 +52,18 @@ def test_lines(spark):
             assert (r.n_lines, r.n_removed, r.n_runs, r.kept) == want[r.doc_id], r.doc_id
 
 
+def test_long_lines_are_runs(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    half = passage[: lines.LONG // 2]
+    rows = rows_of(9) + [(2000 + i, t, "s", "en", 1, "x", 1) for i, t in enumerate(
+        [passage, passage, f"a\n{passage}\nb", f"c\n{half}\n{half}\nd", f"e\n{half}\n{half}\nf", f"{half}\ng", half, half])]
+    for long in (25, 40, lines.LONG):
+        want = brute_lines(rows, 3, long)
+        got = {r.doc_id: r for r in lines.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4), long=long).collect()}
+        assert {k: (r.n_lines, r.n_removed, r.n_runs, r.kept) for k, r in got.items()} == want
+    assert [got[2000 + i].kept for i in range(8)] == [passage, "", "a\nb", f"c\n{half}\n{half}\nd", "e\nf", f"{half}\ng", half, half]
+
+
 def test_lines_plan_has_no_python(spark):
     df = lines.remove_repeats(spark.createDataFrame(rows_of(), SCHEMA))
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
