@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.catalog.frames import SCORES_SQL, STAYS_SQL, scores, stays
-from casetrail.catalog.registry import Tables, query, r6, rounded
+from casetrail.catalog.registry import SQL, Tables, day, query, r6, rounded
 from casetrail.catalog.relational import FLAGS_SQL, STAFF_SQL, SURGICAL_SQL, edge_sources, provider_flags, unit_lookup
 from casetrail.functions import fixed
 from casetrail.functions.clock import shift
@@ -256,6 +256,19 @@ _MEDS = ("insulin glargine", "Lisinopril 10", "prednisone", "warfarin", "metopro
 _MED_SQL = "CASE l_suppkey % 8 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MEDS)) + " END"
 
 
+def medication_table(t: Tables) -> DataFrame:
+    """Lines as prescriptions; the supplier gives the drug, quantity and line number the ends of use."""
+    g = F.when(F.lit(False), "")
+    for i, m in enumerate(_MEDS):
+        g = g.when(F.col("l_suppkey") % 8 == i, m)
+    at, q = F.col("l_shipdate"), F.col("l_quantity").cast("long")
+    keys = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("PAT_ID"))
+    return t.lineitem.join(keys, "l_orderkey").select(
+        "PAT_ID", g.alias("GENERIC"), at.alias("START_DATE"),
+        F.when(q > 20, F.timestamp_micros(F.unix_micros(at) + q * 3 * 86_400_000_000)).alias("END_DATE"),
+        F.when(F.col("l_linenumber") % 3 == 0, shift(at, "day", 60)).alias("DISCON_TIME"))
+
+
 @query("c09_medication_flags", f"""
 WITH m AS (SELECT o_custkey AS pat, upper({_MED_SQL}) AS g, l_shipdate AS a, CASE WHEN l_quantity > 20 THEN l_shipdate + to_days((l_quantity * 3)::INT) END AS e,
   CASE WHEN l_linenumber % 3 = 0 THEN l_shipdate + INTERVAL 60 DAY END AS d FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
@@ -265,16 +278,7 @@ SELECT pat AS "PAT_ID", max((g LIKE '%INSULIN%')::INT)::INT AS "Insulin_Rx", max
  max((chronic = 1 AND regexp_matches(g, 'PREDNISONE|TACROLIMUS'))::INT)::INT AS "Immunosuppressant_Rx",
  max((chronic = 1 AND regexp_matches(g, 'WARFARIN|APIXABAN'))::INT)::INT AS "Anticoagulant_Rx" FROM j GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    g = F.when(F.lit(False), "")
-    for i, m in enumerate(_MEDS):
-        g = g.when(F.col("l_suppkey") % 8 == i, m)
-    at, q = F.col("l_shipdate"), F.col("l_quantity").cast("long")
-    keys = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("PAT_ID"))
-    meds = t.lineitem.join(keys, "l_orderkey").select(
-        "PAT_ID", g.alias("GENERIC"), at.alias("START_DATE"),
-        F.when(q > 20, F.timestamp_micros(F.unix_micros(at) + q * 3 * 86_400_000_000)).alias("END_DATE"),
-        F.when(F.col("l_linenumber") % 3 == 0, shift(at, "day", 60)).alias("DISCON_TIME"))
-    return C.medication_flags(history_tables(t)[0], meds)
+    return C.medication_flags(history_tables(t)[0], medication_table(t))
 
 
 @query("c10_smoking_status", """
@@ -296,7 +300,7 @@ WITH b AS (SELECT o_custkey AS pat, l_shipdate AS ot, l_shipdate + to_hours((l_q
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 SELECT o.o_orderkey AS "LogID", max((b.st BETWEEN o.o_orderdate - INTERVAL 72 HOUR + INTERVAL 8 HOUR AND o.o_orderdate + INTERVAL 8 HOUR)::INT)::INT AS "RBC_Yes"
 FROM orders o JOIN b ON b.pat = o.o_custkey AND b.ot >= o.o_orderdate - INTERVAL 7 DAY AND b.ot < o.o_orderdate + INTERVAL 1 DAY GROUP BY 1""")
-def _(t: Tables) -> DataFrame:
+def transfusions(t: Tables) -> DataFrame:
     keys = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("PAT_ID"))
     rows = t.lineitem.join(keys, "l_orderkey").withColumn("ORDER_ID", F.md5(F.concat_ws(
         "|", *[F.col(c).cast("string") for c in t.lineitem.columns])))
@@ -309,6 +313,14 @@ def _(t: Tables) -> DataFrame:
     return C.transfusion_flag(cases, orders, blood)
 
 
+def room_times(t: Tables) -> DataFrame:
+    """Milestones 60, 80 and 390 of each order, from the first shipment of a third of its lines."""
+    n = F.col("l_linenumber") % 3
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("LogID"), F.when(n == 1, 60).when(n == 2, 80).otherwise(390).alias(
+        "TRACKING_EVENT_C")).agg(F.min("l_shipdate").alias("m")).withColumn("TRACKING_TIME_IN", F.timestamp_micros(
+            F.unix_micros("m") + (F.col("LogID") % 50) * 60_000_000))
+
+
 @query("c12_room_anchor", """
 WITH m AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 1 THEN 60 WHEN 2 THEN 80 ELSE 390 END AS ev, min(l_shipdate) + to_minutes((l_orderkey % 50)::BIGINT) AS tm
   FROM lineitem GROUP BY l_orderkey, l_linenumber % 3)
@@ -316,22 +328,30 @@ SELECT o.o_orderkey AS "LogID", epoch_us(coalesce(r.tm, o.o_orderdate)) AS room_
 LEFT JOIN m r ON r.l_orderkey = o.o_orderkey AND r.ev = 60 LEFT JOIN m s ON s.l_orderkey = o.o_orderkey AND s.ev = 80
 LEFT JOIN m e ON e.l_orderkey = o.o_orderkey AND e.ev = 390""")
 def _(t: Tables) -> DataFrame:
-    n = F.col("l_linenumber") % 3
-    times = t.lineitem.groupBy(F.col("l_orderkey").alias("LogID"), F.when(n == 1, 60).when(n == 2, 80).otherwise(390).alias(
-        "TRACKING_EVENT_C")).agg(F.min("l_shipdate").alias("m")).withColumn("TRACKING_TIME_IN", F.timestamp_micros(
-            F.unix_micros("m") + (F.col("LogID") % 50) * 60_000_000))
     cases = t.orders.select(F.col("o_orderkey").alias("LogID"), F.to_date("o_orderdate").alias("SurgeryDate"))
-    return C.room_anchor(cases, times).select("LogID", F.unix_micros("InRoomTime").alias("room_us"), "CutToClose")
+    return C.room_anchor(cases, room_times(t)).select("LogID", F.unix_micros("InRoomTime").alias("room_us"), "CutToClose")
 
 
 @query("c12_procedure_counts", """
 SELECT l_orderkey AS "LogID", count(DISTINCT CASE WHEN l_suppkey % 3 = 1 AND l_linenumber > 1 THEN l_partkey END) AS "OtherProcedures",
  count(DISTINCT CASE WHEN l_suppkey % 3 > 1 THEN l_partkey END) AS "ConcurrentProcedures" FROM lineitem GROUP BY 1""")
-def _(t: Tables) -> DataFrame:
+def procedures(t: Tables) -> DataFrame:
     return C.procedure_counts(t.lineitem.select(F.col("l_orderkey").alias("LogID"), (F.col("l_suppkey") % 3).alias("panel"),
                                                 F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("procedure")))
 
 
+def people(t: Tables) -> DataFrame:
+    """Race, ethnicity, language and postal code of the customers."""
+    k = F.col("c_custkey")
+    patients = t.customer.select(k.alias("PAT_ID"), (F.col("c_nationkey") % 2).alias("ETHNIC_GROUP_C"), (k % 7).cast("int").alias(
+        "LANGUAGE_C"), k.cast("string").alias("ZIP"))
+    races = t.customer.select(k.alias("PAT_ID"), F.lit(1).alias("LINE"), F.col("c_nationkey").alias("PATIENT_RACE_C"))
+    names = t.nation.select(F.col("n_nationkey").alias("PATIENT_RACE_C"), F.col("n_name").alias("Race"))
+    ethnic = t.region.where("r_regionkey = 0").select(F.col("r_regionkey").alias("ETHNIC_GROUP_C"), F.lit("eth0").alias("Ethnicity"))
+    langs = t.region.select(F.col("r_regionkey").alias("LANGUAGE_C"), F.col("r_name").alias("Language"))
+    return C.demographics(patients, races, names, ethnic, langs)
+
+
 @query("c13_demographics_social", f"""
 WITH d AS (SELECT c_custkey AS "PAT_ID", n_name AS "Race", CASE WHEN c_nationkey % 2 = 0 THEN 'eth0' ELSE NULL END AS "Ethnicity", r_name AS "Language",
   c_custkey::VARCHAR AS "ZIP" FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = c_custkey % 7),
@@ -340,17 +360,10 @@ s AS (SELECT o_custkey, {", ".join(f"max(regexp_matches({_CODE_SQL}, '{p}')::INT
 SELECT d.*, coalesce("SDOH_Housing_Z", 0) AS "SDOH_Housing_Z", coalesce("SDOH_Food_Z", 0) AS "SDOH_Food_Z", coalesce("SDOH_Financial_Z", 0) AS "SDOH_Financial_Z",
  coalesce("SDOH_Any_Z", 0) AS "SDOH_Any_Z" FROM d LEFT JOIN s ON s.o_custkey = d."PAT_ID" """)
 def _(t: Tables) -> DataFrame:
-    k = F.col("c_custkey")
-    patients = t.customer.select(k.alias("PAT_ID"), (F.col("c_nationkey") % 2).alias("ETHNIC_GROUP_C"), (k % 7).cast("int").alias(
-        "LANGUAGE_C"), k.cast("string").alias("ZIP"))
-    races = t.customer.select(k.alias("PAT_ID"), F.lit(1).alias("LINE"), F.col("c_nationkey").alias("PATIENT_RACE_C"))
-    names = t.nation.select(F.col("n_nationkey").alias("PATIENT_RACE_C"), F.col("n_name").alias("Race"))
-    ethnic = t.region.where("r_regionkey = 0").select(F.col("r_regionkey").alias("ETHNIC_GROUP_C"), F.lit("eth0").alias("Ethnicity"))
-    langs = t.region.select(F.col("r_regionkey").alias("LANGUAGE_C"), F.col("r_name").alias("Language"))
     keys = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("HSP_ACCOUNT_ID"))
     codes = t.lineitem.join(keys, "l_orderkey").select("HSP_ACCOUNT_ID", code().alias("code"))
     social = C.social_flags(keys, codes).withColumnRenamed("HSP_ACCOUNT_ID", "PAT_ID")
-    return C.demographics(patients, races, names, ethnic, langs).join(social, "PAT_ID", "left").na.fill(0)
+    return people(t).join(social, "PAT_ID", "left").na.fill(0)
 
 
 @query("a06_latest_labs", """
@@ -365,22 +378,101 @@ def _(t: Tables) -> DataFrame:
     return C.latest_labs(cases, results, components={"a": ["A"], "nr": ["N", "R"]})
 
 
+# ---- the wide row: all thirteen blocks ----
+_LAB_IDS = [i for ids in fixed.LAB_COMPONENTS.values() for i in ids]
+_LAB_SQL = "CASE l_partkey % 24 " + " ".join(f"WHEN {n} THEN '{i}'" for n, i in enumerate(_LAB_IDS)) + " END"
+_PIVOT_SQL = ", ".join("max(CASE WHEN comp IN ({}) THEN v END) AS {}".format(", ".join(f"'{i}'" for i in ids), f"lab_{n}") for n, ids in fixed.LAB_COMPONENTS.items())
+# Histories look back from every case here; two codes become dependence on a ventilator and low income, which the other queries lack.
+_ALL_DX_SQL = SQL["c08_comorbidity_flags"].replace("FROM orders WHERE o_orderstatus = 'F'", "FROM orders").replace("'B20'", "'Z99.11'")
+_SOCIAL_SQL = _CODE_SQL.replace("'K72'", "'Z59.6'")
+_ALL_RX_SQL = SQL["c09_medication_flags"].replace("FROM orders WHERE o_orderstatus = 'F'", "FROM orders")
+
+
+def _yes_sql(name: str, *flags: str) -> str:
+    return "CASE WHEN " + " OR ".join(f'"{f}" = 1' for f in flags) + f" THEN 'Yes' ELSE 'No' END AS \"{name}\""
+
+
+_YES_SQL = ",\n ".join(_yes_sql(*names) for names in (
+    ("Current Smoker within 1 year", "Smoker_Yes"), ("Ventilator Dependent", "VentDep_Dx"), ("History of Severe COPD", "COPD_Dx"), ("Ascites", "Ascites_Dx"),
+    ("Heart Failure", "HF_Dx"), ("Hypertension requiring medication", "HTN_Dx", "Antihypertensive_Rx"), ("Preop Acute Kidney Injury", "AKI_Dx"),
+    ("Preop Dialysis", "Dialysis_Dx"), ("Disseminated Cancer", "DisseminatedCa_Dx"),
+    ("Immunosuppressive Therapy", "Steroid_Dx", "Immunosuppressant_Rx"), ("Bleeding Disorder", "Bleeding_Dx", "Anticoagulant_Rx"),
+    ("Preop RBC Transfusions (72h)", "RBC_Yes")))
+
+
 @query("c14_bulk_features", f"""
-WITH {_LABEL_SQL}, p AS (SELECT l_orderkey, count(DISTINCT CASE WHEN l_suppkey % 3 = 1 AND l_linenumber > 1 THEN l_partkey END) AS oth FROM lineitem GROUP BY 1)
-SELECT s.k AS "LogID", s.pat AS "PAT_ID", round(date_diff('day', DATE '1940-01-01', s.a::DATE) / 365.25, 2)::DOUBLE AS "AgeYears",
- CASE s.k % 3 WHEN 1 THEN 'F' WHEN 2 THEN 'M' END AS "Gender", CASE s.k % 4 WHEN 1 THEN 'I' WHEN 2 THEN 'O' WHEN 3 THEN 'O' ELSE 'I' END AS "PatientType",
- coalesce(oth, 0) AS other_procedures, days::INT AS "DaysToReadmission", coalesce((days BETWEEN 1 AND 30)::INT, 0) AS "ReadmittedWithin30Days", 'No' AS "Heart Failure"
-FROM s LEFT JOIN label USING (k) LEFT JOIN p ON p.l_orderkey = s.k""")
-def _(t: Tables) -> DataFrame:
-    cases, adt, types = label_tables(t)
-    k = F.col("LogID")
-    wide = cases.withColumns({"BirthDate": F.lit("1940-01-01").cast("date"), "SEX_C": (k % 3).cast("int"), "PAT_TYPE_C": F.lit(1),
-                              "ACCT_BASECLS_HA_C": (k % 4).cast("int"), "HSP_ACCOUNT_ID": k})
-    procs = C.procedure_counts(t.lineitem.select(F.col("l_orderkey").alias("LogID"), (
-        F.col("l_suppkey") % 3).alias("panel"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("procedure")))
-    got = C.bulk_features(wide, {"procedures": procs, "label": C.readmission_label(cases, adt, types).drop("ReadmittedWithin30Days")})
-    return got.select("LogID", "PAT_ID", F.col("AgeYears").cast("double"), "Gender", "PatientType", F.col("`# of Other Procedures`").alias(
-        "other_procedures"), "DaysToReadmission", "ReadmittedWithin30Days", "Heart Failure")
+WITH room AS ({SQL["c12_room_anchor"]}), procs AS ({SQL["c12_procedure_counts"]}), label AS ({SQL["c02_readmission_label"]}), dx AS ({_ALL_DX_SQL}),
+rx AS ({_ALL_RX_SQL}), rbc AS ({SQL["c11_transfusion_flag"]}), who AS (SELECT "PAT_ID", "Race", "Ethnicity", "Language", "ZIP" FROM ({SQL["c13_demographics_social"]})),
+contacts AS (SELECT o_custkey AS pat, o_orderdate - INTERVAL 100 DAY AS tm, max(CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 5 END) AS tob FROM orders GROUP BY 1, 2),
+met AS (SELECT o_custkey AS pat, tob, (tob = 1 OR (tob = 4 AND contacts.tm - INTERVAL 200 DAY >= o_orderdate - INTERVAL 1 YEAR))::INT AS "Smoker_Yes",
+  row_number() OVER (PARTITION BY o_custkey ORDER BY contacts.tm DESC, o_orderdate) AS n FROM orders JOIN contacts ON pat = o_custkey AND contacts.tm <= o_orderdate),
+smoke AS (SELECT pat, "Smoker_Yes" FROM met WHERE n = 1),
+anes AS (SELECT a.o_orderkey AS k, max(b.o_orderpriority) AS typ, max(CASE WHEN b.o_orderkey % 5 > 0 THEN b.o_orderkey % 5 END)::INT AS asa,
+  max((b.o_orderkey % 40 = 0)::INT) AS arrest, max((b.o_orderkey % 50 = 1)::INT * 2) AS stroke, coalesce(max(CASE WHEN b.o_orderkey % 3 > 0 THEN (b.o_orderkey % 60 = 2)::INT END), 0) AS tube
+  FROM orders a JOIN orders b ON b.o_custkey = a.o_custkey AND b.o_orderdate::DATE = a.o_orderdate::DATE AND b.o_orderkey % 4 < 3 GROUP BY 1),
+res AS (SELECT o_custkey AS pat, {_LAB_SQL} AS comp, l_shipdate AS tm, CASE WHEN l_linenumber = 5 THEN 'pending' ELSE l_quantity::INT::VARCHAR END AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+newest AS (SELECT room."LogID" AS k, comp, v, dense_rank() OVER (PARTITION BY room."LogID", comp ORDER BY tm DESC) AS n FROM room JOIN orders ON o_orderkey = room."LogID"
+  JOIN res ON res.pat = o_custkey AND tm BETWEEN make_timestamp(room_us) - INTERVAL 180 DAY AND make_timestamp(room_us)),
+labs AS (SELECT k, {_PIVOT_SQL} FROM newest WHERE n = 1 GROUP BY 1),
+soc AS (SELECT l_orderkey AS k, {", ".join(f"max(regexp_matches({_SOCIAL_SQL}, '{p}')::INT)::INT AS {chr(34)}{n}{chr(34)}" for n, p in fixed.SOCIAL_FLAGS.items())} FROM lineitem GROUP BY 1),
+enc AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'n/a' ELSE (CASE WHEN o_orderkey % 19 = 0 THEN 0 ELSE 50 + o_orderkey % 30 END)::VARCHAR END AS h,
+  CASE WHEN o_orderkey % 13 > 0 THEN (1500 + o_orderkey % 3000)::VARCHAR END AS w FROM orders)
+SELECT o_orderkey AS "LogID", o_custkey AS "PAT_ID", o_orderkey AS "EncounterCSN", strftime(o_orderdate, '%Y-%m-%d') AS "SurgeryDate", 'M' || o_custkey AS "PAT_MRN_ID",
+ round(date_diff('day', DATE '1940-01-01' + (o_custkey % 4000)::INT, o_orderdate::DATE) / 365.25, 2)::DOUBLE AS "AgeYears",
+ CASE o_orderkey % 3 WHEN 1 THEN 'F' WHEN 2 THEN 'M' END AS "Gender",
+ CASE WHEN o_orderkey % 4 = 1 THEN 'I' WHEN o_orderkey % 4 IN (2, 3) THEN 'O' WHEN o_orderkey % 6 IN (1, 3) THEN 'I' ELSE 'O' END AS "PatientType",
+ coalesce(asa, (o_orderkey % 7)::INT)::VARCHAR AS "ASAClass", typ AS "AnesType", r_name AS "Discharge Disposition",
+ round(TRY_CAST(h AS DECIMAL(6, 2))::DOUBLE * 2.54::DOUBLE, 1) AS "Height (cm)", round(TRY_CAST(w AS DECIMAL(7, 2))::DOUBLE * 0.0283495::DOUBLE, 1) AS "Weight (kg)",
+ CASE WHEN TRY_CAST(h AS DECIMAL(6, 2)) > 0 THEN round(w::DOUBLE * 0.0283495::DOUBLE / pow(TRY_CAST(h AS DOUBLE) * 2.54::DOUBLE / 100, 2), 6) END AS "BMI", "CutToClose",
+ coalesce("OtherProcedures", 0) AS "# of Other Procedures", coalesce("ConcurrentProcedures", 0) AS "# of Concurrent Procedures",
+ {", ".join(f'TRY_CAST("lab_{n}" AS DECIMAL(8, 2))::DOUBLE AS {chr(34)}{n}{chr(34)}' for n in fixed.LAB_COMPONENTS)},
+ CASE WHEN "Insulin_Rx" = 1 THEN 'Insulin' WHEN "Diabetes_Dx" = 1 THEN 'Non-insulin' ELSE 'No' END AS "Diabetes Mellitus",
+ {_YES_SQL},
+ coalesce(arrest, 0)::INT AS "# of Cardiac Arrest Requiring CPR", coalesce(stroke, 0)::INT AS "# of Stroke/Cerebral Vascular Acccident (CVA)",
+ coalesce(tube, 0)::INT AS "# of Postop Unplanned Intubation", "DaysToReadmission", "ReadmittedWithin30Days", 'C' || o_custkey % 90 AS "PrimaryCPT", "Race", "Ethnicity", "Language", "ZIP",
+ {", ".join(f'coalesce({chr(34)}{n}{chr(34)}, 0)::INT AS {chr(34)}{n}{chr(34)}' for n in fixed.SOCIAL_FLAGS)}
+FROM orders LEFT JOIN room ON room."LogID" = o_orderkey LEFT JOIN procs ON procs."LogID" = o_orderkey LEFT JOIN label ON label."LogID" = o_orderkey
+LEFT JOIN dx ON dx."PAT_ID" = o_custkey LEFT JOIN rx ON rx."PAT_ID" = o_custkey LEFT JOIN rbc ON rbc."LogID" = o_orderkey LEFT JOIN who ON who."PAT_ID" = o_custkey
+LEFT JOIN smoke ON smoke.pat = o_custkey LEFT JOIN anes ON anes.k = o_orderkey LEFT JOIN labs ON labs.k = o_orderkey LEFT JOIN soc ON soc.k = o_orderkey
+LEFT JOIN enc ON enc.k = o_orderkey LEFT JOIN region ON r_regionkey = o_orderkey % 8""")
+def _(t: Tables) -> DataFrame:
+    """Every case with all thirteen blocks and all columns."""
+    stays, adt, types = label_tables(t)
+    k, pat = F.col("LogID"), F.col("PAT_ID")
+    cases = stays.withColumns({
+        "PAT_MRN_ID": F.concat(F.lit("M"), pat.cast("string")), "BirthDate": F.date_add(F.lit("1940-01-01").cast("date"), (pat % 4000).cast("int")),
+        "SEX_C": (k % 3).cast("int"), "PAT_TYPE_C": (k % 6).cast("int"), "ACCT_BASECLS_HA_C": (k % 4).cast("int"), "ASA_RATE_C": (k % 7).cast("int"),
+        "HSP_ACCOUNT_ID": k, "PrimaryCPT": F.concat(F.lit("C"), (pat % 90).cast("string"))})
+    room = C.room_anchor(cases.select("LogID", "PAT_ID", "SurgeryDate"), room_times(t))
+    anchors = cases.select("LogID", "PAT_ID", F.col("SurgeryDate").cast("timestamp").alias("__at"))
+
+    o = F.col("o_orderkey")
+    inches = F.when(o % 17 == 0, "n/a").otherwise(F.when(o % 19 == 0, 0).otherwise(50 + o % 30).cast("string"))
+    encounters = t.orders.select(o.alias("EncounterCSN"), inches.alias("HEIGHT"), F.when(o % 13 > 0, (1500 + o % 3000).cast("string")).alias("WEIGHT"))
+    ends = t.orders.select(o.alias("EncounterCSN"), (o % 8).alias("DISCH_DISP_C"))
+    dispositions = t.region.select(F.col("r_regionkey").cast("long").alias("DISCH_DISP_C"), F.col("r_name").alias("NAME"))
+    records = t.orders.where(o % 4 < 3).select(
+        F.col("o_custkey").alias("PAT_ID"), F.col("o_orderdate").alias("RECORD_DATE"), F.col("o_orderpriority").alias("AN_TYPE"),
+        F.when(o % 5 > 0, (o % 5).cast("int")).alias("ASA_SCORE_C"), (o % 40 == 0).cast("int").alias("CARDIAC_ARREST"),
+        ((o % 50 == 1).cast("int") * 2).alias("CABG_STROKE"), F.when(o % 3 > 0, (o % 60 == 2).cast("int")).alias("REINTUBATION"))
+    keys = t.orders.select(o.alias("l_orderkey"), F.col("o_custkey").alias("PAT_ID"))
+    component = F.element_at(F.array(*map(F.lit, _LAB_IDS)), (F.col("l_partkey") % 24 + 1).cast("int"))
+    results = t.lineitem.join(keys, "l_orderkey").select("PAT_ID", component.alias("COMPONENT_ID"), F.when(F.col("l_linenumber") == 5, "pending").otherwise(
+        F.col("l_quantity").cast("int").cast("string")).alias("ORD_VALUE"), F.col("l_shipdate").alias("RESULT_TIME"))
+    _, problems, visits = (d if "code" not in d.columns else d.replace({"B20": "Z99.11"}, subset=["code"]) for d in history_tables(t))
+    third = o % 3
+    contacts = t.orders.groupBy(F.col("o_custkey").alias("PAT_ID"), shift(F.col("o_orderdate"), "day", -100).alias("CONTACT_DATE")).agg(
+        F.max(F.when(third == 0, 1).when(third == 1, 4).otherwise(5)).alias("TOBACCO_USER_C"))
+    contacts = contacts.withColumn("SMOKING_QUIT_DATE", shift(F.col("CONTACT_DATE"), "day", -200))
+    codes = t.lineitem.select(F.col("l_orderkey").alias("HSP_ACCOUNT_ID"), code().alias("code")).replace({"K72": "Z59.6"}, subset=["code"])
+    wide = C.bulk_features(cases, {
+        "room": room.select("LogID", "CutToClose"), "procedures": procedures(t), "vitals": C.encounter_vitals(cases, encounters),
+        "discharge": C.discharge_info(cases, ends, dispositions), "anesthesia": C.anesthesia_block(cases, records), "labs": C.latest_labs(room, results),
+        "dx": C.comorbidity_flags(C.dx_history(anchors, problems, visits)), "meds": C.medication_flags(anchors, medication_table(t)),
+        "smoking": C.smoking_status(anchors, contacts), "transfusion": transfusions(t),
+        "label": C.readmission_label(stays, adt, types).drop("ReadmittedWithin30Days"), "demographics": people(t), "social": C.social_flags(cases, codes)})
+    doubles = {c: F.col(c).cast("double") for c in ("AgeYears", *fixed.LAB_COMPONENTS)}
+    return wide.withColumns(doubles | {"BMI": r6("BMI"), "SurgeryDate": day("SurgeryDate")})
 
 
 # ---- referral: prior orders are clinic visits, suppliers are providers ----

@@ -316,6 +316,30 @@ def latest_labs(cases: DataFrame, results: DataFrame, anchor: str = "InRoomTime"
     return value_pivot(latest, [key], "COMPONENT_ID", "ORD_VALUE", components)
 
 
+def encounter_vitals(cases: DataFrame, encounters: DataFrame) -> DataFrame:
+    """Height and weight of the case's encounter as recorded. ``encounters``: EncounterCSN, HEIGHT, WEIGHT."""
+    return cases.select("LogID", "EncounterCSN").join(encounters, "EncounterCSN").select("LogID", "HEIGHT", "WEIGHT")
+
+
+def discharge_info(cases: DataFrame, stays: DataFrame, names: DataFrame) -> DataFrame:
+    """Name of the disposition the stay ended with. ``stays``: EncounterCSN, DISCH_DISP_C; ``names``: DISCH_DISP_C, NAME."""
+    named = stays.join(names, "DISCH_DISP_C").select("EncounterCSN", F.col("NAME").alias("DischargeDisposition"))
+    return cases.select("LogID", "EncounterCSN").join(named, "EncounterCSN").select("LogID", "DischargeDisposition")
+
+
+def anesthesia_block(cases: DataFrame, records: DataFrame) -> DataFrame:
+    """Type, ASA class and complication counts over the patient's anesthesia records of the day of surgery.
+
+    ``records``: PAT_ID, RECORD_DATE, AN_TYPE, ASA_SCORE_C, CARDIAC_ARREST, CABG_STROKE, REINTUBATION. Records meet their cases on
+    patient and day, so a patient with many records is spread over the days. A count that no record has is 0.
+    """
+    largest = {"AnesType": "AN_TYPE", "ASA_FromAnes": "ASA_SCORE_C", "CardiacArrestCount": "CARDIAC_ARREST", "CVAStrokeCount": "CABG_STROKE",
+               "ReintubationCount": "REINTUBATION"}
+    daily = records.groupBy("PAT_ID", F.to_date("RECORD_DATE").alias("SurgeryDate")).agg(*[F.max(c).alias(n) for n, c in largest.items()])
+    block = cases.select("LogID", "PAT_ID", "SurgeryDate").join(daily, ["PAT_ID", "SurgeryDate"])
+    return block.select("LogID", *largest).na.fill(0, ["CardiacArrestCount", "CVAStrokeCount", "ReintubationCount"])
+
+
 def demographics(patients: DataFrame, races: DataFrame, race_names: DataFrame, ethnicities: DataFrame,
                  languages: DataFrame) -> DataFrame:
     """Race (first line), ethnicity, language and postal code per patient."""

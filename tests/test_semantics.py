@@ -223,3 +223,43 @@ def test_interval_report(spark):
     got = C.interval_report(rows, ["unit"], {"h": ("hour", "a", "b")}, ["a", "b"], {"unit": (names, "code", "name")}, ("b", "cap"))
     assert {r["unit"]: (r["n"], r["med_h"], round(r["p95_h"], 6), r["pct_overdue"]) for r in got.collect()} == {
         "ward": (2, 2.0, 2.9, 50.0), "2": (1, 2.0, 2.0, 0.0), "(none)": (1, -1.0, -1.0, 100.0)}
+
+
+def test_wide_row(spark):
+    """One case with every block, one without any: literal values of all columns."""
+    day = dt.date(2024, 3, 1)
+    cases = spark.createDataFrame([(1, 10, 100, day, "m1", dt.date(1964, 3, 1), 1, 9, 1, 3, 7, "44204"), (2, 20, None, day, "m2", None, None, 3, None, None, None, None)],
+                                  "LogID int, PAT_ID int, EncounterCSN int, SurgeryDate date, PAT_MRN_ID string, BirthDate date, SEX_C int, PAT_TYPE_C int, "
+                                  "ACCT_BASECLS_HA_C int, ASA_RATE_C int, HSP_ACCOUNT_ID int, PrimaryCPT string")
+
+    def table(schema, *rows):
+        return spark.createDataFrame(list(rows), schema)
+    records = table("PAT_ID int, RECORD_DATE timestamp, AN_TYPE string, ASA_SCORE_C int, CARDIAC_ARREST int, CABG_STROKE int, REINTUBATION int",
+                    (10, ts("2024-03-01 09:00:00"), "general", 2, 1, None, None), (10, ts("2024-03-01 23:00:00"), None, 4, 0, None, 2),
+                    (10, ts("2024-03-02 00:00:00"), "spinal", 5, 9, 9, 9), (None, ts("2024-03-01 00:00:00"), "x", 1, 1, 1, 1))
+    dx = ["Diabetes_Dx", "HTN_Dx", "HF_Dx", "COPD_Dx", "Ascites_Dx", "DisseminatedCa_Dx", "Bleeding_Dx", "AKI_Dx", "Dialysis_Dx", "VentDep_Dx", "Steroid_Dx"]
+    rx = ["Insulin_Rx", "Antihypertensive_Rx", "Immunosuppressant_Rx", "Anticoagulant_Rx"]
+    blocks = {
+        "room": table("LogID int, CutToClose long", (1, 55)), "procedures": table("LogID int, OtherProcedures long, ConcurrentProcedures long", (1, 2, 3)),
+        "vitals": C.encounter_vitals(cases, table("EncounterCSN int, HEIGHT string, WEIGHT string", (100, "70", "2800"), (None, "1", "1"))),
+        "discharge": C.discharge_info(cases, table("EncounterCSN int, DISCH_DISP_C int", (100, 4)), table("DISCH_DISP_C int, NAME string", (4, "Home"))),
+        "anesthesia": C.anesthesia_block(cases, records), "labs": table("LogID int, NA string, WBC string", (1, "138.456", "pending")),
+        "dx": table("PAT_ID int, " + ", ".join(f"{c} int" for c in dx), (10, *[1 if c in ("Diabetes_Dx", "VentDep_Dx", "Steroid_Dx") else 0 for c in dx])),
+        "meds": table("PAT_ID int, " + ", ".join(f"{c} int" for c in rx), (10, 0, 1, 0, 0)), "smoking": table("PAT_ID int, Smoker_Yes int", (10, 1)),
+        "transfusion": table("LogID int, RBC_Yes int", (1, 0)), "label": table("LogID int, DaysToReadmission int", (1, 31)),
+        "demographics": table("PAT_ID int, Race string, Ethnicity string, Language string, ZIP string", (10, "r", "e", "l", "z")),
+        "social": table("HSP_ACCOUNT_ID int, SDOH_Housing_Z int, SDOH_Food_Z int, SDOH_Financial_Z int, SDOH_Any_Z int", (7, 0, 1, 0, 1))}
+    full, bare = C.bulk_features(cases, blocks).orderBy("LogID").collect()
+    yes = ("Current Smoker within 1 year", "Ventilator Dependent", "Hypertension requiring medication", "Immunosuppressive Therapy")
+    assert len(full) == 56 and {c for c, v in full.asDict().items() if v == "Yes"} == set(yes)
+    want = {"AgeYears": 60.0, "Gender": "F", "PatientType": "I", "ASAClass": "4", "AnesType": "general", "Discharge Disposition": "Home", "Height (cm)": 177.8,
+            "Weight (kg)": 79.4, "CutToClose": 55, "# of Other Procedures": 2, "# of Concurrent Procedures": 3, "NA": 138.46, "WBC": None, "Diabetes Mellitus": "Non-insulin",
+            "# of Cardiac Arrest Requiring CPR": 1, "# of Stroke/Cerebral Vascular Acccident (CVA)": 0, "# of Postop Unplanned Intubation": 2, "DaysToReadmission": 31,
+            "ReadmittedWithin30Days": 0, "Race": "r", "ZIP": "z", "SDOH_Food_Z": 1, "SDOH_Any_Z": 1, "SDOH_Housing_Z": 0}
+    assert {c: float(full[c]) if c in ("AgeYears", "NA") else full[c] for c in want} == want
+    assert full["BMI"] == pytest.approx(2800 * 0.0283495 / 1.778 ** 2)
+    zero = ["# of Other Procedures", "# of Concurrent Procedures", "# of Cardiac Arrest Requiring CPR", "# of Stroke/Cerebral Vascular Acccident (CVA)",
+            "# of Postop Unplanned Intubation", "ReadmittedWithin30Days", *fixed.SOCIAL_FLAGS]
+    assert all(bare[c] == 0 for c in zero) and bare["PatientType"] == "I" and bare["Diabetes Mellitus"] == "No" and "Yes" not in bare
+    known = {*zero, "LogID", "PAT_ID", "SurgeryDate", "PAT_MRN_ID", "PatientType"}
+    assert all(v in (None, "No") for c, v in bare.asDict().items() if c not in known)
