@@ -28,13 +28,19 @@ STEPS = 8
 _BLOCK = "level int, block long, top double, n int, dim int, ids binary, own binary, vectors binary"
 
 
-def integer_vector(vector: str, scale: int) -> Column:
-    """floor(scale * x) of each component as long."""
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+#: Components from here on would give lengths that a double cannot hold; no float reaches it.
+LARGEST = 2.0**480
+
+
+def whole_vector(vector: str, scale: int) -> Column:
+    """floor(scale * x) of each component, a whole number held by a double: from 2**53 on every double is whole."""
+    def whole(y: Column) -> Column:
+        return F.when(F.abs(y) < float(2**53), F.floor(y).cast("double")).otherwise(y)
+    return F.transform(vector, lambda x: whole(F.lit(float(scale)) * x.cast("double")))
 
 
 def _valid(vector: str) -> Column:
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(2**50)))
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < LARGEST))
     return F.col(vector).isNotNull() & F.coalesce(finite, F.lit(False))
 
 
@@ -66,9 +72,9 @@ def _packed(rows: int):
 
 def _block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     whole = pa.Table.from_batches(parts).combine_chunks()
-    vectors = [np.asarray(v, np.int64) for v in whole["v"].combine_chunks().to_numpy(zero_copy_only=False)]
+    vectors = [np.asarray(v, np.float64) for v in whole["v"].combine_chunks().to_numpy(zero_copy_only=False)]
     dim = max(map(len, vectors))
-    matrix = np.zeros((len(vectors), dim), np.int64)
+    matrix = np.zeros((len(vectors), dim))
     for k, v in enumerate(vectors):
         matrix[k, : len(v)] = v
     own = whole["own"].to_numpy()
@@ -81,18 +87,28 @@ def _block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 class _Block:
     def __init__(self, row: dict, prefix: str = ""):
         self.ids, self.own = (np.frombuffer(row[prefix + n], np.int64) for n in ("ids", "own"))
-        self.vectors = np.frombuffer(row[prefix + "vectors"], np.int64).reshape(len(self.ids), row[prefix + "dim"])
-        self.real = self.vectors.astype(np.float64)
+        self.real = np.frombuffer(row[prefix + "vectors"], np.float64).reshape(len(self.ids), row[prefix + "dim"])
         self.length = np.sqrt(np.einsum("ij,ij->i", self.real, self.real))
         self.largest = float(np.abs(self.real).max(initial=0))
 
 
-def products(block: _Block, rows: np.ndarray, query: np.ndarray, real: np.ndarray) -> np.ndarray:
+def products(block: _Block, rows: np.ndarray, real: np.ndarray) -> np.ndarray:
     """Exact integer products; floating point where every partial sum is a whole number under 2**53."""
-    dim = min(len(query), block.vectors.shape[1])
+    dim = min(len(real), block.real.shape[1])
     if dim * block.largest * float(np.abs(real).max(initial=0)) < 2**53:
         return (block.real[rows, :dim] @ real[:dim]).astype(np.int64)
-    return np.array([int(sum(int(a) * int(b) for a, b in zip(block.vectors[r, :dim], query[:dim]))) for r in rows], object)
+    query = [int(x) for x in real[:dim]]
+    return np.array([sum(int(a) * b for a, b in zip(block.real[r, :dim], query)) for r in rows], object)
+
+
+def _least(score: int | np.integer) -> float:
+    """A double at or just under a score."""
+    return float(score) if abs(int(score)) < 2**53 else float(np.nextafter(float(score), -np.inf))
+
+
+def _beyond(score: int) -> bytes:
+    """Bytes that sort like the scores a long cannot hold; empty for all others."""
+    return b"" if -(2**63) <= score < 2**63 else (score + 2**1023).to_bytes(129, "big")
 
 
 def candidates(block: _Block, real: np.ndarray, length: float, threshold: float) -> np.ndarray:
@@ -106,7 +122,7 @@ def candidates(block: _Block, real: np.ndarray, length: float, threshold: float)
     rows = np.flatnonzero(block.length * length >= slack)
     local = min(1.0, slack / top)
     if local >= COSINE:
-        dim = min(len(real), block.vectors.shape[1])
+        dim = min(len(real), block.real.shape[1])
         spread = np.sqrt(max(0.0, 1 - local * local))
         for c in np.argsort(-np.abs(real[:dim]))[:COORDINATES]:
             q = real[c] / length
@@ -138,8 +154,8 @@ def _first_thresholds(longest, k: int):
                 for i in range(len(queries.ids) if block else 0):
                     rows = np.flatnonzero(block.own != queries.own[i])
                     if len(rows) >= k:
-                        scores = products(block, rows, queries.vectors[i], queries.real[i])
-                        least[i] = float(np.sort(scores)[-k])
+                        scores = products(block, rows, queries.real[i])
+                        least[i] = _least(np.sort(scores)[-k])
                 # The cosine-free bound: a block whose top length is under this for every query can be left out.
                 need = np.where((least > 0) & (queries.length > 0), least * (1 - 1e-9) / np.maximum(queries.length, 1e-300), 0.0).min()
                 out.append({"q_block": row["block"], "q_dim": row["dim"], "q_ids": row["ids"], "q_own": row["own"],
@@ -154,6 +170,7 @@ def _verify(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"query_id": [], "query_own": [], "vec_id": [], "vec_own": [], "score": []}
+            beyond: list[bytes] = []
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
                 block, queries = _Block(row), _Block(row, "q_")
@@ -163,7 +180,7 @@ def _verify(k: int):
                     rows = rows[block.own[rows] != queries.own[i]]
                     if not len(rows):
                         continue
-                    scores = products(block, rows, queries.vectors[i], queries.real[i])
+                    scores = products(block, rows, queries.real[i])
                     best = _best(block.ids[rows], scores, k)
                     best = best[scores[best] >= least[i]]
                     out["query_id"] += [int(queries.ids[i])] * len(best)
@@ -171,7 +188,8 @@ def _verify(k: int):
                     out["vec_id"] += block.ids[rows[best]].tolist()
                     out["vec_own"] += block.own[rows[best]].tolist()
                     out["score"] += [max(-(2**63), min(2**63 - 1, int(s))) for s in scores[best]]
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in out.items()})
+                    beyond += [_beyond(int(s)) for s in scores[best]]
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in out.items()} | {"beyond": pa.array(beyond, pa.binary())})
     return task
 
 
@@ -179,15 +197,16 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     """For every row that ``is_query`` selects: its k highest integer products with all other rows.
 
     Columns ``query_id, rank`` (from 1), ``vec_id, score``; ties go to the smaller id. Vectors that are null, have a
-    null, NaN or infinite component, a component of 2**50 or more, or no id take no part; scores beyond a long are cut to its ends.
+    null, NaN or infinite component (or one of 2**480 or more, which only doubles reach), or no id take no part. Ranks follow the exact
+    scores; those beyond a long are then shown as its ends.
     Missing trailing components count as 0. Rows are told apart even if ids repeat: a query is compared with every
     row but itself, and a repeated query id gets the ranks of each of its rows. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     base.small_batches(spark, 4096)
     rows = vectors.where(F.col(key).isNotNull() & _valid(vector)).select(
-        F.col(key).cast("long").alias("id"), integer_vector(vector, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+        F.col(key).cast("long").alias("id"), whole_vector(vector, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     rows = base.store(rows.withColumn("own", F.monotonically_increasing_id()).withColumn("length", length).withColumn("level", _level(F.col("length"))), "vectors")
     parts = base.partitions(rows)
     dealt = rows.repartitionByRange(parts, "level", "own").sortWithinPartitions("level", F.desc("length"), "own")
@@ -204,6 +223,6 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     joined = pairs.join(blocks, "block").join(asking, "q_block")
     base.small_batches(spark, 16)  # a row holds two blocks
     found = joined.select("dim", "ids", "own", "vectors", "q_dim", "q_ids", "q_own", "q_vectors", "least").mapInArrow(
-        _verify(k), "query_id long, query_own long, vec_id long, vec_own long, score long")
-    order = Window.partitionBy("query_id", "query_own").orderBy(F.desc("score"), "vec_id", "vec_own")
+        _verify(k), "query_id long, query_own long, vec_id long, vec_own long, score long, beyond binary")
+    order = Window.partitionBy("query_id", "query_own").orderBy(F.desc("score"), F.desc("beyond"), "vec_id", "vec_own")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

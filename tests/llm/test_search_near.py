@@ -53,6 +53,17 @@ def test_top_large_numbers(spark):
     assert [r.score for r in topk.top_products(huge, F.col("vec_id") == 0).collect()] == [2**63 - 1]
 
 
+def test_top_huge_components(spark, monkeypatch):
+    """Components that a long cannot hold take part; ranks follow the exact products, also beyond a long."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rnd = random.Random(5)
+    rows = [(i, [rnd.gauss(0, 1) * rnd.choice([1, 2.0**30, 2.0**51, 2.0**100, 3e38]) for _ in range(5)]) for i in range(120)]
+    rows += [(300, [2.0**51, 1.0]), (303, [2.0**51, 2.0]), (306, [1.7e38] * 5), (309, [-1.7e38] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_products(df, F.col("vec_id") % 3 == 0).collect())
+    assert got == [(q, r, v, max(-(2**63), min(2**63 - 1, s))) for q, r, v, s in brute_top(rows, 10)]
+
+
 def test_top_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_products(none, F.col("vec_id") % 100 == 0).collect() == []
