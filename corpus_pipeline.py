@@ -51,7 +51,7 @@ def quality_rules(docs: DataFrame, key: str) -> DataFrame:
 
 @stage
 def line_dedup(docs: DataFrame, key: str) -> DataFrame:
-    """Runs of three or more lines that stand earlier are removed from the texts."""
+    """Runs of three lines, or of fewer with 100 characters, that stand earlier are removed from the texts."""
     return _with_text(docs, lines.remove_repeats(docs, key=key), key)
 
 
