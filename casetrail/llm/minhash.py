@@ -210,7 +210,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Documents are linked if 100 * common >= percent * all shingles; groups are the connected components. Shorter texts
     are one shingle, texts without words (or null) are linked with nothing. A row is kept if its key is its group's
     smallest; rows that repeat that key are all kept. A null key is never smallest unless its group has no other.
+    A ``percent`` under 80 is refused, as the bands would miss links.
     """
+    if not PERCENT <= percent <= 100:
+        raise ValueError(f"bands and signature check find links from {PERCENT} percent on; {percent} would lose some")
     base.small_batches(docs.sparkSession)
     rows = base.keyed(docs, key, text)
     signed = base.store(rows.select("doc", "alt", "text").mapInArrow(_sign(shingle), _SIGNED), "signed")

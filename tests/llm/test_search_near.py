@@ -162,3 +162,9 @@ def test_rows_of_a_group_grow_in_proportion(spark, monkeypatch, rows_a_side):
 
 def test_near_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_low_percentages_are_refused(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(docs, percent=60)
