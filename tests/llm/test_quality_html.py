@@ -129,11 +129,12 @@ def test_copies_count_once(spark, tmp_path):
 
 
 @pytest.mark.parametrize("held", [0, 60])
-def test_model_keeps_every_ngram(spark, monkeypatch, held):
+def test_model_keeps_every_ngram(spark, tmp_path, monkeypatch, held):
     """Figures do not depend on how many n-grams tasks hold; a model of few hash slots gets them wrong."""
     monkeypatch.setattr(quality, "HELD", held, raising=False)
     monkeypatch.setattr(quality, "SLOT_BITS", 8, raising=False)
-    test_rules(spark)
+    for way in ("copies", "distinct"):
+        test_rules(spark, tmp_path / way, way)
 
 
 def test_unseen_text_backs_off(spark):
