@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +205,42 @@ def test_matches_span_any_number_of_texts(spark):
     assert {r["k"]: r["hb"] for r in last} == {"a": None, "b": 9.1, "c": None}
 
 
+def test_windows_of_joined_texts_match_as_one(spark):
+    """Small windows against the joined text matched whole, one key holding most of the rows."""
+    rnd = random.Random(4)
+    words = ["hb", "no", "id", "9", "12.5", "7 7", "x" * 30, "no car", "", "\n", "id:", "1", "car", "é", "🙂"]
+    rows = [("hot" if rnd.random() < 0.8 else rnd.choice("abc"), rnd.randint(0, 60), rnd.choice([" ", "  ", ""]).join(rnd.choices(words, k=rnd.randint(0, 5))))
+            for _ in range(150)] + [("gone", 1, None), (None, 1, "no"), (None, 2, "car id 4"), ("a", None, "hb 3")]
+    df = spark.createDataFrame(rows, "k string, o int, t string").repartition(4)
+    patterns = {"car": r"\bno\s+car\b", "runs": r"x+ ?hb", "either": r"(id|hb)[: ]{1,3}9\b", "tail": r"car\s", "far": r"^.*é.*$", "gap": r"7 7 {2,}7"}
+    numbers = {"a": r"(?:hb|no|id)\s*:?\s*(\d{1,2}(?:\.\d)?)", "b": r"\d\D{0,3}(\d)", "c": r"[ho]\D{0,9}(\d+)", "d": r"hb.*(\d)"}
+    joined = {}
+    for k, o, t in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[1] is not None, r[1], r[2])):
+        joined[k] = f"{joined[k]} {t}" if k in joined else t
+    joined["gone"] = ""
+    for window in (1, 7, 64, 1 << 20):
+        got = {r["k"]: r for r in X.regex_flags(df, "k", "t", patterns, {}, ["o"], window).collect()}
+        assert got.keys() == joined.keys()
+        for k, whole in joined.items():
+            for n, p in patterns.items():
+                assert got[k][n] == int(bool(re.search(p, whole.lower(), re.ASCII))), (window, k, n)
+        last = {r["k"]: r for r in X.last_numeric(df, "k", "t", ["o"], numbers, window).collect()}
+        assert last.keys() == joined.keys()
+        for k, whole in joined.items():
+            for n, p in numbers.items():
+                want = [m[1] for m in re.finditer(p, whole, re.ASCII | re.I)]
+                assert last[k][n] == (float(want[-1]) if want else None), (window, k, n)
+
+
+def test_pieces_of_joined_texts_are_bounded(spark):
+    """One key with nearly all text: no piece is longer than its window and what it shows around it."""
+    df = spark.range(400).selectExpr("CASE WHEN id < 390 THEN 'hot' ELSE 'x' END AS k", "id AS o", "repeat('ab ', 50) AS t")
+    sizes = [len(r["t"]) for r in X.text_windows(df, "k", "t", ["o"], 20, 1000).collect()]
+    assert max(sizes) <= 1000 + 20 + 2 and len(sizes) > 55
+    assert X.longest_match(r"hb\s*(\d{1,2})") == (4, ["\\s"])
+    assert [X.longest_match(p) for p in (r"^a", r"a.*b", r"(ab)+", r"a(?=b)", r"(a)\1", r"a*", r"\p{Lu}")] == [None] * 7
+
+
 def test_first_path_takes_the_earliest_sub_encounter(spark):
     def at(h):
         return ts("2024-01-01 00:00:00") + dt.timedelta(hours=h)
