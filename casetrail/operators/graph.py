@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetrail.operators.ranks import grouped_quantiles, hashed_rank, top_k
+from casetrail.operators.ranks import hashed_rank, top_k
 from casetrail.session import cut_lineage
 
 
@@ -57,18 +57,42 @@ def concept_edges(case: str, tables: Mapping[str, tuple[DataFrame, str]], flags:
 
 
 def graph_stats(edges: DataFrame, cases: DataFrame, case: str, node: str) -> DataFrame:
-    """Cases, nodes, edge rows, distinct pairs, node degree (median, maximum) and the share of cases with a link."""
-    known = edges.where(F.col(node).isNotNull()).join(cases.select(case).distinct(), case, "left_semi")
-    pairs = known.groupBy(case, node).agg(F.count(F.lit(1)).alias("__m"))
-    degree = pairs.groupBy(node).agg(F.count(F.lit(1)).alias("degree"))
-    middle = grouped_quantiles(degree, [], "degree", {"m": 0.5}).select("m").scalar()
-    rows = pairs.agg(F.sum("__m")).scalar()
-    linked = known.agg(F.count_distinct(case)).scalar()
-    total = cases.agg(F.count_distinct(case)).scalar()
-    return degree.agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("degree").alias("n_pairs"),
-                      F.max("degree").alias("max_degree")).select(
-        total.alias("n_cases"), "n_nodes", rows.alias("n_rows"), "n_pairs", middle.alias("median_degree"), "max_degree",
-        (linked / total).alias("linked_share"))
+    """Cases, nodes, edge rows, distinct pairs, node degree (median, maximum) and the share of cases with a link.
+
+    Links and cases are read once. Each case becomes one row that knows its links' rows; all figures then follow from
+    the number of nodes per degree, which has few rows whatever the size of the graph.
+    """
+    slim = edges.where(F.col(node).isNotNull()).groupBy(F.col(case).alias("c"), F.col(node).alias("n")).agg(
+        F.count(F.lit(1)).alias("m"))
+    listed = cases.where(F.col(case).isNotNull()).select(F.col(case).alias("c")).distinct()
+    # One row per pair of a listed case, and one row without a node per case that has no link.
+    rows = listed.join(slim, "c", "left")
+    # Nodes and cases are counted side by side.
+    items = rows.select(F.inline(F.array(
+        F.struct(F.lit("node").alias("kind"), F.when(F.col("n").isNotNull(), F.col("n").cast("string")).alias("id"), F.col("m").alias("m")),
+        F.struct(F.lit("case").alias("kind"), F.col("c").cast("string").alias("id"), F.col("m")))))
+    items = items.where(F.col("id").isNotNull())
+    degree = items.groupBy("kind", "id").agg(F.count("m").alias("degree"), F.sum("m").alias("m"))
+    # Nodes per degree; a case only tells whether it has a link.
+    node_kind = F.col("kind") == "node"
+    sizes = degree.groupBy("kind", F.when(node_kind, F.col("degree")).otherwise((F.col("degree") > 0).cast("long")).alias("degree")).agg(
+        F.count(F.lit(1)).alias("items"), F.sum("m").alias("m"))
+    total = F.sum(F.when(node_kind, F.col("items"))).over(Window.partitionBy(F.lit(1)))
+    upto = F.sum(F.when(node_kind, F.col("items"))).over(Window.partitionBy(F.lit(1)).orderBy("kind", "degree"))
+    placed = sizes.select("*", total.alias("nodes"), upto.alias("upto"))
+
+    def at(place: Column) -> Column:
+        """Degree at a place, counted from 1, of the nodes in order of degree."""
+        return F.min(F.when(node_kind & (F.col("upto") >= place), F.col("degree")))
+
+    median = (at(F.floor((F.col("nodes") + 1) / 2)) + at(F.floor((F.col("nodes") + 2) / 2))) / F.lit(2.0)
+    n_cases = F.coalesce(F.sum(F.when(~node_kind, F.col("items"))), F.lit(0))
+    linked = F.coalesce(F.sum(F.when(~node_kind & (F.col("degree") > 0), F.col("items"))), F.lit(0))
+    return placed.agg(
+        n_cases.alias("n_cases"), F.coalesce(F.sum(F.when(node_kind, F.col("items"))), F.lit(0)).alias("n_nodes"),
+        F.sum(F.when(node_kind, F.col("m"))).alias("n_rows"), F.sum(F.when(node_kind, F.col("items") * F.col("degree"))).alias("n_pairs"),
+        median.alias("median_degree"), F.max(F.when(node_kind, F.col("degree"))).alias("max_degree"),
+        F.try_divide(linked, n_cases).alias("linked_share"))
 
 
 def degree_features(edges: DataFrame, case: str, kind: str, kinds: Sequence[str], distinct: str | None = None) -> DataFrame:

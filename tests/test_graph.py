@@ -164,3 +164,15 @@ def test_hyper_propagation_matches_matrices(spark):
     lazy = 0.5 * np.eye(3) + 0.5 * np.diag(1 / dv) @ h @ np.diag(1 / de) @ h.T
     got = [r["x"] for r in G.hyper_propagate(inc, x, "c", ["x"], 2, lazy=True).orderBy("c").collect()]
     assert got == pytest.approx((lazy @ lazy @ np.array([1.0, 2, 3])).tolist())
+
+
+def test_graph_figures_from_one_degree_table(spark):
+    edges = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "x"), ("c", None), ("z", "x"), ("b", "w"), ("b", "w")]
+    cases = [("a",), ("b",), ("b",), ("c",), (None,)]
+    df, known = spark.createDataFrame(edges, "c string, n string"), spark.createDataFrame(cases, "c string")
+    got = G.graph_stats(df, known, "c", "n").first().asDict()
+    assert got == {"n_cases": 3, "n_nodes": 3, "n_rows": 6, "n_pairs": 4, "median_degree": 1.0, "max_degree": 2, "linked_share": 2 / 3}
+    none = G.graph_stats(df.limit(0), known, "c", "n").first()
+    assert (none.n_cases, none.n_nodes, none.n_pairs, none.median_degree, none.linked_share) == (3, 0, None, None, 0.0)
+    plan = G.graph_stats(df, known, "c", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
