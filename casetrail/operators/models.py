@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetrail.operators import stats
-from casetrail.operators.ordering import ordered
+from casetrail.operators.ordering import null_safe_join, ordered
 from casetrail.operators.prep import perturb
 from casetrail.operators.ranks import top_k
 from casetrail.operators.sampling import class_weights, kfold, rank_bins, stratified_split
@@ -181,36 +182,149 @@ def permutation_importance(model: PipelineModel, df: DataFrame, groups: Mapping[
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance"))
 
 
+#: Rows of a group per block of vectors, and rows of a group from which its starts are drawn.
+_BLOCK_ROWS, _START_ROWS = 1024, 256
+
+
 def within_group_kmeans(df: DataFrame, group: str, columns: Sequence[str], ids: Sequence[str],
-                        ks: Sequence[int] = (1, 2, 3, 4), minimum: int = 50, seed: int = 42, starts: int = 10) -> DataFrame:
+                        ks: Sequence[int] = (1, 2, 3, 4), minimum: int = 50, seed: int = 42, starts: int = 10,
+                        rounds: int = 20) -> DataFrame:
     """Sub-clusters inside each group: features standardised per group, the ``k`` with the best silhouette (of squared
     distances) whose clusters all reach ``minimum`` rows; one cluster when none does. Each ``k`` starts from ``starts``
-    seeds and keeps the fit of least cost. Groups are tiers: their models are fitted one after another.
+    sets of centres, spread by squared distance over rows drawn by hash, and keeps the fit of least cost.
+
+    All groups, ``k`` and starts are fitted in the same passes, ``rounds`` at most: blocks of a group's vectors meet its
+    centres, tasks add up the blocks of a group first, and only sums per centre are shuffled. A silhouette follows from the sums
+    of a cluster, so no pairs of rows are formed. Rows with a null or non-finite feature are in cluster 0 of their
+    group and take no part in the fit. Rows without a group are a group. ``ids`` tell the rows of a group apart.
     """
-    names = sorted(r[0] for r in df.select(group).distinct().collect())
-    scale = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="__raw"),
-                             StandardScaler(inputCol="__raw", outputCol="features", withMean=True)])
-    total = None
-    for name in names:
-        rows = cut_lineage(df.where(F.col(group) == name))
-        scaled = scale.fit(rows).transform(rows).drop("__raw")
-        size = rows.count()
-        best, chosen = 0.0, None
-        for k in ks:
-            if k == 1 or size < k * minimum:
-                continue
-            fits = [KMeans(k=k, seed=seed + s, predictionCol="sub", initSteps=2).fit(scaled) for s in range(starts)]
-            labelled = min(fits, key=lambda fit: fit.summary.trainingCost).transform(scaled)
-            smallest = labelled.groupBy("sub").count().agg(F.min("count"), F.count(F.lit(1))).first()
-            if smallest[1] < k or smallest[0] < minimum:
-                continue
-            silhouette = ClusteringEvaluator(predictionCol="sub").evaluate(labelled)
-            if silhouette > best:
-                best, chosen = silhouette, labelled
-        part = scaled.withColumn("sub", F.lit(0)) if chosen is None else chosen
-        part = part.select(*ids, group, F.col("sub").cast("int").alias("sub"))
-        total = part if total is None else total.unionByName(part)
-    return total
+    columns, ids, dim = list(columns), list(ids), len(columns)
+    tried = sorted({k for k in ks if k > 1})
+    fits = [(k, s) for k in tried for s in range(starts)]
+    begins = np.concatenate([[0], np.cumsum([k for k, _ in fits])]).astype(int)  # first centre of each fit
+    data = df.select(group, *ids, F.array(*[F.col(c).cast("double") for c in columns]).alias("__x"))
+    if not tried:
+        return data.select(*ids, group, F.lit(0).alias("sub"))
+    # Written once: all that follows works on one array column instead of a plan over every feature.
+    data = cut_lineage(data)
+    fine = F.forall("__x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    per_feature = data.where(fine).select(F.col(group).alias("__g"), F.posexplode("__x").alias("__at", "__v")).groupBy("__g", "__at").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("__v").alias("m"), F.stddev_samp("__v").alias("s"))
+    moments = per_feature.groupBy("__g").agg(F.max("n").alias("__n"), F.array_sort(F.collect_list(F.struct("__at", "m", "s"))).alias("__all")).select(
+        "__g", "__n", F.col("__all.m").alias("__mean"), F.col("__all.s").alias("__sd"))
+    known = data.where(fine).join(moments.where(F.col("__n") >= tried[0] * minimum), F.col(group).eqNullSafe(F.col("__g")))
+    scaled = F.zip_with(F.zip_with("__x", "__mean", lambda x, m: x - m), "__sd", lambda x, s: F.when(s > 0, x / s).otherwise(0.0))
+    place = F.xxhash64(F.lit(seed), *ids)
+    # Blocks of about _BLOCK_ROWS vectors of one group; the hash also serves to draw the rows that starts come from.
+    rows = known.select(F.to_json(F.struct(F.col(group))).alias("__key"), F.struct(*ids).alias("__ids"), scaled.alias("__x"), place.alias("__h"), "__n")
+    blocks = cut_lineage(rows.groupBy("__key", F.pmod("__h", F.ceil(F.col("__n") / _BLOCK_ROWS)).alias("__b")).agg(
+        F.max("__n").alias("__n"), F.collect_list(F.struct("__h", "__ids", "__x")).alias("__rows")))
+    drawn = blocks.select("__key", F.slice(F.array_sort(F.transform("__rows", lambda r: F.struct(r["__h"].alias("h"), r["__x"].alias("x")))), 1, _START_ROWS).alias("r")).select(
+        "__key", F.inline("r"))
+    drawn = top_k(drawn, ["__key"], [F.asc("h"), F.asc("x")], _START_ROWS)
+
+    def first_centres(rows):
+        rows = rows.sort_values("h")
+        x = np.array(rows["x"].tolist(), float).reshape(-1, dim)
+        out = []
+        for k, s in fits:
+            rng = np.random.default_rng([seed, k, s])
+            chosen = [int(rng.integers(len(x)))]
+            away = ((x - x[chosen[0]]) ** 2).sum(1)
+            while len(chosen) < k:
+                total = away.sum()
+                chosen.append(int(rng.choice(len(x), p=away / total)) if total > 0 else chosen[0])
+                away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(1))
+            out.append(x[chosen])
+        return pd.DataFrame({"__key": [rows["__key"].iloc[0]], "centres": [np.concatenate(out).ravel()], "moved": [1.0]})
+
+    centre_schema = "__key string, centres array<double>, moved double"
+    centres = cut_lineage(drawn.groupBy("__key").applyInPandas(first_centres, centre_schema))
+
+    def nearest(x, c):
+        """Squared distance and number of each row's nearest centre, per fit."""
+        away = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :], 0)
+        for a, b in zip(begins, begins[1:]):
+            at = away[:, a:b].argmin(1)
+            yield a, b, at, away[np.arange(len(x)), a + at]
+
+    def sums_of(batches):
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for key, vectors, packed in zip(batch["__key"], batch["__x"], batch["centres"]):
+                x, c = np.array(list(vectors), float).reshape(-1, dim), np.asarray(packed).reshape(-1, dim)
+                total = held.setdefault(key, np.zeros((len(c), dim + 2)))
+                square = (x * x).sum(1)
+                for a, b, at, _ in nearest(x, c):
+                    member = np.zeros((b - a, len(x)))
+                    member[at, np.arange(len(x))] = 1
+                    total[a:b] += member @ np.column_stack([x, square, np.ones(len(x))])
+                if len(held) * total.nbytes > 64 << 20:
+                    yield pd.DataFrame({"__key": list(held), "sums": [v.ravel() for v in held.values()]})
+                    held = {}
+        if held:
+            yield pd.DataFrame({"__key": list(held), "sums": [v.ravel() for v in held.values()]})
+
+    def partial_sums(centres):
+        met = blocks.select("__key", F.transform("__rows", lambda r: r["__x"]).alias("__x")).join(centres.select("__key", "centres"), "__key")
+        return met.mapInPandas(sums_of, "__key string, sums array<double>").join(centres.select("__key", "centres"), "__key")
+
+    def moved_centres(parts):
+        old = np.asarray(parts["centres"].iloc[0]).reshape(-1, dim)
+        total = sum(np.asarray(v) for v in parts["sums"]).reshape(-1, dim + 2)
+        n = total[:, -1:]
+        new = np.where(n > 0, total[:, :dim] / np.maximum(n, 1), old)
+        return pd.DataFrame({"__key": [parts["__key"].iloc[0]], "centres": [new.ravel()], "moved": [float(np.abs(new - old).max())]})
+
+    def chosen_fit(parts):
+        """The best fit of a group: its centres, or none."""
+        total = sum(np.asarray(v) for v in parts["sums"]).reshape(-1, dim + 2)
+        c = np.asarray(parts["centres"].iloc[0]).reshape(-1, dim)
+        n = total[:, -1]
+        mean = total[:, :dim] / np.maximum(n, 1)[:, None]
+        inside = total[:, dim] - n * (mean * mean).sum(1)
+        best = []
+        for k in tried:
+            mine = [j for j, (other, _) in enumerate(fits) if other == k]
+            j = min(mine, key=lambda j: (inside[begins[j]: begins[j + 1]].sum(), j))
+            if n[begins[j]: begins[j + 1]].min() >= max(1, minimum):
+                best.append((k, c[begins[j]: begins[j + 1]].ravel(), mean[begins[j]: begins[j + 1]].ravel(), (total[begins[j]: begins[j + 1], dim]).copy(), n[begins[j]: begins[j + 1]].copy()))
+        return pd.DataFrame({"__key": [parts["__key"].iloc[0]] * len(best), **{name: [b[i] for b in best] for i, name in enumerate(("k", "c", "mean", "square", "n"))}})
+
+    for _ in range(rounds):
+        centres = cut_lineage(partial_sums(centres).groupBy("__key").applyInPandas(moved_centres, centre_schema))
+        if not centres.where("moved > 1e-4").limit(1).count():
+            break
+    candidates = cut_lineage(partial_sums(centres).groupBy("__key").applyInPandas(
+        chosen_fit, "__key string, k int, c array<double>, mean array<double>, square array<double>, n array<double>"))
+
+    def labels_of(batches):
+        for batch in batches:
+            subs, widths = [], []
+            for vectors, k, packed, mean, square, n in zip(*(batch[c] for c in ("__x", "k", "c", "mean", "square", "n"))):
+                x, c, mean = np.array(list(vectors), float).reshape(-1, dim), np.asarray(packed).reshape(k, dim), np.asarray(mean).reshape(k, dim)
+                at = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]).argmin(1)
+                # Mean squared distance of each row to the rows of each cluster; in its own, it does not count itself.
+                away = (x * x).sum(1)[:, None] + (np.asarray(square) / n)[None, :] - 2 * x @ mean.T
+                own = away[np.arange(len(x)), at]
+                size = np.asarray(n)[at]
+                own = own * size / np.maximum(size - 1, 1)
+                away[np.arange(len(x)), at] = np.inf
+                other = away.min(1)
+                top = np.maximum(own, other)
+                widths.append(float(np.where((size > 1) & (top > 0), (other - own) / np.where(top > 0, top, 1), 0.0).sum()))
+                subs.append(at.astype("int32"))
+            yield pd.DataFrame({"__key": batch["__key"], "__b": batch["__b"], "k": batch["k"], "subs": subs, "width": widths})
+
+    met = blocks.select("__key", "__b", F.transform("__rows", lambda r: r["__x"]).alias("__x")).join(candidates, "__key")
+    labelled = cut_lineage(met.mapInPandas(labels_of, "__key string, __b long, k int, subs array<int>, width double"))
+    widths = labelled.groupBy("__key", "k").agg(F.sum("width").alias("w")).where("w > 0")
+    best = widths.groupBy("__key").agg(F.max_by("k", F.struct("w", -F.col("k"))).alias("k"))
+    found = labelled.join(best, ["__key", "k"]).join(blocks, ["__key", "__b"]).select(
+        "__key", F.inline(F.transform("__rows", lambda r, k: F.struct(r["__ids"].alias("i"), F.get("subs", k).alias("s")))))
+    found = found.select("__key", "i.*", F.col("s").alias("sub"))
+    base = data.select(*ids, group, F.to_json(F.struct(F.col(group))).alias("__key"))
+    return null_safe_join(base, found, ["__key", *ids], "left").select(*ids, group, F.coalesce("sub", F.lit(0)).cast("int").alias("sub"))
 
 
 def smd_tiers(df: DataFrame, ids: Sequence[str], p: str = "p", y: str = "y", bins: int = 6, target: float = 0.30,

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,26 @@ def test_scenarios_damage_only_their_block(frame):
     assert len({r["z"] for r in zero}) == 1 and all(r["x"] == rows[r["id"]]["x"] for r in zero)
     dealt = prep.scenario(frame, "wrong_demographics", blocks, frame, ["id"]).collect()
     assert sorted(r["x"] for r in dealt) == sorted(r["x"] for r in rows.values()) and any(r["x"] != rows[r["id"]]["x"] for r in dealt)
+
+
+def test_clusters_of_many_groups_in_the_same_passes(spark):
+    """500 groups, one with a third of all rows: two planted clusters each, or none where rows are too few."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(500):
+        size = 4000 if g == 0 else 6 if g % 10 == 9 else 16
+        side = rng.permutation(np.arange(size) % 2)
+        points = rng.normal(0, 0.3, (size, 2)) + side[:, None] * 8
+        rows += [(g if g else None, i, float(x), float(y), int(s)) for i, ((x, y), s) in enumerate(zip(points, side))]
+    rows += [(1, 900, None, 1.0, 0), (1, 901, float("nan"), 1.0, 0)]
+    df = spark.createDataFrame(rows, "g int, id long, x double, y double, side int")
+    got = {(r["g"], r["id"]): r["sub"] for r in M.within_group_kmeans(df, "g", ["x", "y"], ["id"], (1, 2, 3), 5, starts=2, rounds=4).collect()}
+    assert len(got) == len(rows) and got[1, 900] == got[1, 901] == 0
+    kinds = {}
+    for g, i, _, _, side in rows[:-2]:
+        kinds.setdefault(g, set()).add((side, got[g, i]))
+    for g, pairs in kinds.items():
+        if g is not None and g % 10 == 9:
+            assert {sub for _, sub in pairs} == {0}, g
+        else:
+            assert len(pairs) == 2 and {sub for _, sub in pairs} == {0, 1}, g
