@@ -186,3 +186,12 @@ def test_clusters_of_many_groups_in_the_same_passes(spark):
             assert {sub for _, sub in pairs} == {0}, g
         else:
             assert len(pairs) == 2 and {sub for _, sub in pairs} == {0, 1}, g
+
+
+def test_class_weights_leave_rows_where_they_are(spark):
+    """A shuffle by class would put all rows in two tasks."""
+    from casetrail.operators.sampling import class_weights
+    rows = spark.range(0, 1000, 1, 8).selectExpr("id", "cast(id % 4 = 0 as int) y")
+    weighted = class_weights(rows, "y")
+    assert {(r["y"], r["weight"]) for r in weighted.collect()} == {(1, 2.0), (0, 1000 / 1500)}
+    assert weighted.rdd.getNumPartitions() == 8
