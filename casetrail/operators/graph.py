@@ -122,32 +122,65 @@ def _salted_pairs(left: DataFrame, right: DataFrame, node: str, salts: int = 8)
     return a.join(b, [node, "__salt"]).drop("__salt")
 
 
+#: Most links of a case that travel with each of them; longer lists would be repeated too often.
+_LISTED = 64
+
+
+def _listed(links: DataFrame, order: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """A row per case with its links (``n``, ``m`` and ``extra``) in order, and whether they are few enough to travel (``few``)."""
+    names = list(dict.fromkeys([*order, "n", "m", *extra]))  # a struct sorts by its first fields
+    lists = links.groupBy("c").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("all"))
+    return lists.withColumn("few", F.size("all") <= _LISTED)
+
+
+def _met(short: DataFrame, dedupe: bool, on: Sequence[str], carried: Sequence[str], wanted: Column, other: DataFrame | None = None) -> DataFrame:
+    """Unordered ``wanted`` pairs of cases that meet in a node, once each: ``c, o``, the number shared ``r`` and of different nodes ``nodes``.
+
+    Both cases' lists are at hand where they meet, so no pairs are shuffled. A pair counts at the first node its lists
+    share. ``carried`` columns come along, those of the other case as ``<name>_o``.
+    """
+    theirs = (short if other is None else other).select(*on, *[F.col(x).alias(f"{x}_o") for x in ("c", "ns", *([] if dedupe else ["ms"]), *carried)])
+    # A generator, so that the common nodes are found once.
+    pairs = short.join(theirs, list(on)).where((F.col("c") < F.col("c_o")) & wanted).withColumn(
+        "common", F.explode(F.array(F.array_intersect("ns", "ns_o")))).where(F.get("common", F.lit(0)) == F.col("n"))
+    nodes = F.size("common").cast("long")
+    ours, others = F.map_from_arrays("ns", "ms"), F.map_from_arrays("ns_o", "ms_o")
+    shared = nodes if dedupe else F.aggregate("common", F.lit(0).cast("long"), lambda total, n: total + ours[n] * others[n])
+    return pairs.select("c", F.col("c_o").alias("o"), shared.alias("r"), nodes.alias("nodes"), *[x for y in carried for x in (y, f"{y}_o")])
+
+
 def shared_counts(incidence: DataFrame, case: str, node: str, min_shared: int = 2, dedupe: bool = True) -> DataFrame:
     """Unordered case pairs that share at least ``min_shared`` nodes, with the number shared.
 
     Prefix filter: nodes are put in rarest-first order; two cases that share ``k`` nodes must share one that is not
     among the last ``k - 1`` of either. Candidates therefore never form through a case's most common nodes. With
     repeats counted (``dedupe=False``) a link weighs m * max(m) of its node, so the suffix stays below ``min_shared``.
+    A case's list travels with its links and candidates are counted where they meet; only pairs with a case of more than
+    ``_LISTED`` links are shuffled and counted by joins.
     """
     links = _links(incidence, case, node, dedupe)
     degree = links.groupBy("n").agg(F.count(F.lit(1)).alias("d"), F.max("m").alias("mm"))
-    ranked = links.join(degree, "n").withColumn("__most", F.col("m") * F.col("mm"))
-    if min_shared > 1:
-        # Every link weighs at least 1, so no more than min_shared - 1 links of a case can form the suffix.
-        common = top_k(ranked, ["c"], [F.desc("d"), F.desc("n")], min_shared - 1)
-        tail = Window.partitionBy("c").orderBy(F.desc("d"), F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-        suffix = common.withColumn("__rest", F.sum("__most").over(tail)).where(F.col("__rest") < min_shared)
-        prefix = ranked.join(suffix.select("c", "n"), ["c", "n"], "left_anti")
-    else:
-        prefix = ranked
-    left = prefix.select("n", "c")
-    candidates = (_salted_pairs(left, prefix.select("n", F.col("c").alias("o")), "n")
-                  .where(F.col("c") < F.col("o")).select("c", "o").distinct())
+    ranked = links.join(degree, "n").withColumn("w", F.col("m") * F.col("mm"))
+    lists = _listed(ranked, ["d", "n"], ["w"])
+    # Every link weighs at least 1, so sums from the list's end only grow.
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"))
+    last = F.aggregate(F.reverse("all"), start, lambda a, l: F.struct(
+        (a["sum"] + l["w"]).alias("sum"), (a["n"] + (a["sum"] + l["w"] < min_shared).cast("int")).alias("n")))
+    lists = cut_lineage(lists.withColumn("prefix", F.slice("all", F.lit(1), F.size("all") - last["n"])))
+    # Only nodes of high degree are dealt over salts.
+    salts = F.when(F.col("d") > 1000, 8).otherwise(1)
+    short = lists.where("few").select("c", F.col("all.n").alias("ns"), F.col("all.m").alias("ms"), F.inline(F.transform("prefix", lambda l: F.struct(l["n"].alias("n"), l["d"].alias("d")))))
+    left = short.withColumn("salt", F.pmod(F.xxhash64("c"), salts).cast("int"))
+    right = short.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    found = _met(left, dedupe, ["n", "salt"], [], F.lit(True), right).where(F.col("r") >= min_shared).select("c", "o", F.col("r").alias("shared"))
+    prefix = lists.select("c", "few", F.explode("prefix.n").alias("n"))
+    candidates = (_salted_pairs(prefix.where(~F.col("few")).select("n", "c"), prefix.select("n", F.col("c").alias("o"), "few"), "n")
+                  .where((F.col("few") & (F.col("c") != F.col("o"))) | (F.col("c") < F.col("o"))).select("c", "o").distinct())
     theirs = links.select(F.col("c").alias("o"), "n", F.col("m").alias("mo"))
     counted = (candidates.join(links, "c").join(theirs, ["o", "n"]).groupBy("c", "o")
-               .agg(F.sum(F.col("m") * F.col("mo")).alias("shared")))
-    return counted.where(F.col("shared") >= min_shared).select(
-        F.col("c").alias(f"{case}_a"), F.col("o").alias(f"{case}_b"), "shared")
+               .agg(F.sum(F.col("m") * F.col("mo")).alias("shared")).where(F.col("shared") >= min_shared))
+    found = found.unionByName(counted.select(F.least("c", "o").alias("c"), F.greatest("c", "o").alias("o"), "shared").distinct())
+    return found.select(F.col("c").alias(f"{case}_a"), F.col("o").alias(f"{case}_b"), "shared")
 
 
 def neighbour_rate(incidence: DataFrame, labels: DataFrame, case: str, node: str, y: str, train: str,
@@ -189,10 +222,28 @@ def _split_hubs(links: DataFrame, hub_degree: int) -> tuple[DataFrame, DataFrame
     return rare, member.select("c", "k"), overlap, class_links
 
 
-def _rare_pairs(rare: DataFrame) -> DataFrame:
-    """Ordered pairs (self included) over rare nodes with their shared count."""
-    other = rare.select("n", F.col("c").alias("o"), F.col("m").alias("mo"))
-    return rare.join(other, "n").groupBy("c", "o").agg(F.sum(F.col("m") * F.col("mo")).alias("r"))
+def _rare_pairs(rare: DataFrame, member: DataFrame, overlap: DataFrame, dedupe: bool, wanted: Column) -> DataFrame:
+    """Unordered pairs that meet in a rare node, once each: ``c, o``, rare nodes shared ``r`` and hubs shared ``h``.
+
+    ``wanted`` may leave out pairs of which at least one case touches no hub, by ``r``, ``nodes`` (different nodes shared)
+    and, at the pair's first node, the cases' places ``at`` and ``at_o`` by falling m and id. These columns are null
+    for the other pairs. Only pairs of cases that both touch hubs, and those of a case with more than ``_LISTED`` links,
+    are shuffled.
+    """
+    place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("m"), F.asc("c")))
+    lists = cut_lineage(_listed(rare.withColumn("at", place), ["n"], ["at"]).join(member, "c", "left"))
+    short = lists.where("few").select("c", "k", F.col("all.n").alias("ns"), F.col("all.m").alias("ms"), F.inline(F.transform("all", lambda l: F.struct(l["n"].alias("n"), l["at"].alias("at")))))
+    both = F.col("k").isNotNull() & F.col("k_o").isNotNull()
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("int")
+    plain = _met(short, dedupe, ["n"], ["at", "k"], ~both).where(wanted).select("c", "o", "r", zero.alias("h"), "nodes", "at", "at_o")
+    over = _met(short, dedupe, ["n"], ["k"], both).select("c", "o", "r", "k", F.col("k_o").alias("k2"))
+    links = lists.select("c", "k", "few", F.inline("all"))
+    other = links.select("n", F.col("c").alias("o"), F.col("k").alias("k2"), F.col("m").alias("mo"), "few")
+    longer = (links.where(~F.col("few")).drop("few", "at").join(other, "n").where((F.col("few") & (F.col("c") != F.col("o"))) | (F.col("c") < F.col("o")))
+              .groupBy("c", "o", "k", "k2").agg(F.sum(F.col("m") * F.col("mo")).alias("r")).select("c", "o", "r", "k", "k2"))
+    rest = over.unionByName(longer).join(overlap, ["k", "k2"], "left").select(
+        "c", "o", "r", F.coalesce("h", zero).alias("h"), none.cast("long").alias("nodes"), none.alias("at"), none.alias("at_o"))
+    return plain.unionByName(rest)
 
 
 def neighbour_rate_thr(incidence: DataFrame, labels: DataFrame, case: str, node: str, y: str, train: str, k: int,
@@ -211,12 +262,15 @@ def neighbour_rate_thr(incidence: DataFrame, labels: DataFrame, case: str, node:
     per_class = member.join(known, "c").groupBy("k").agg(F.sum("__y").alias("__cy"), F.sum("__t").alias("__ct"))
     by_class = (overlap.where(F.col("h") >= k).join(per_class.withColumnRenamed("k", "k2"), "k2").groupBy("k")
                 .agg(F.sum("__cy").alias("__by"), F.sum("__ct").alias("__bt")))
-    pairs = (_rare_pairs(rare).join(member, "c", "left")
-             .join(member.select(F.col("c").alias("o"), F.col("k").alias("k2")), "o", "left")
-             .join(overlap, ["k", "k2"], "left").withColumn("h", F.coalesce("h", F.lit(0))))
-    turned = pairs.where((F.col("h") < k) & (F.col("h") + F.col("r") >= k))
+    met = _rare_pairs(rare, member, overlap, dedupe, F.col("r") >= k)
+    turned = met.where((F.col("h") < k) & (F.col("h") + F.col("r") >= k)).select(F.inline(F.array(
+        F.struct("c", "o"), F.struct(F.col("o").alias("c"), F.col("c").alias("o")))))
+    # A case meets itself, too.
+    itself = (rare.groupBy("c").agg(F.sum(F.col("m") * F.col("m")).alias("r")).join(member, "c", "left")
+              .join(overlap.where(F.col("k") == F.col("k2")).select("k", "h"), "k", "left").withColumn("h", F.coalesce("h", F.lit(0))))
+    itself = itself.where((F.col("h") < k) & (F.col("h") + F.col("r") >= k)).select("c", F.col("c").alias("o"))
     theirs = known.select(F.col("c").alias("o"), F.col("__y").alias("__oy"), F.col("__t").alias("__ot"))
-    extra = turned.join(theirs, "o").groupBy("c").agg(F.sum("__oy").alias("__ey"), F.sum("__ot").alias("__et"))
+    extra = turned.unionByName(itself).join(theirs, "o").groupBy("c").agg(F.sum("__oy").alias("__ey"), F.sum("__ot").alias("__et"))
     own = links.groupBy("c").agg(F.sum(F.col("m") * F.col("m")).alias("__own"))
     rows = (known.join(member, "c", "left").join(by_class, "k", "left").join(extra, "c", "left").join(own, "c", "left"))
     self_hit = F.lit(0) if include_self else F.coalesce((F.col("__own") >= k).cast("int"), F.lit(0))
@@ -235,10 +289,12 @@ def cooccurrence_knn(incidence: DataFrame, case: str, node: str, k: int = 8, ded
     """
     links = _links(incidence, case, node, dedupe)
     rare, member, overlap, _ = _split_hubs(links, hub_degree)
-    scored = (_rare_pairs(rare).where(F.col("c") != F.col("o")).join(member, "c", "left")
-              .join(member.select(F.col("c").alias("o"), F.col("k").alias("k2")), "o", "left")
-              .join(overlap, ["k", "k2"], "left")
-              .select("c", "o", (F.col("r") + F.coalesce("h", F.lit(0))).alias("shared")))
+    # Of cases that share a single rare node, the first k + 1 there suffice: any later one has k rivals before it.
+    shared, ahead = (F.col("r") + F.col("h")).alias("shared"), lambda at: F.col("nodes").isNull() | (F.col("nodes") > 1) | (F.col(at) <= k + 1)
+    met = _rare_pairs(rare, member, overlap, dedupe, ahead("at") | ahead("at_o"))
+    scored = met.select(F.inline(F.array(
+        F.struct("c", "o", shared, ahead("at_o").alias("near")),
+        F.struct(F.col("o").alias("c"), F.col("c").alias("o"), shared, ahead("at").alias("near"))))).where("near").drop("near")
     heads = top_k(member, ["k"], [F.asc("c")], k + 1).select(F.col("k").alias("k2"), F.col("c").alias("o"))
     # Per class the k + 1 best hub-only partners suffice for all its members.
     per_class = top_k(overlap.join(heads, "k2").select("k", "o", F.col("h").alias("shared")), ["k"],

@@ -88,6 +88,18 @@ def test_knn_by_shared_nodes(tables, links, hub_degree):
     assert got == want
 
 
+@pytest.mark.parametrize("dedupe,k", [(True, 2), (False, 3)])
+def test_pairs_of_cases_with_long_lists(tables, links, monkeypatch, dedupe, k):
+    """Cases whose lists are too long to travel meet all others by joins."""
+    monkeypatch.setattr(G, "_LISTED", 2)
+    inc, lab = tables
+    every = shared(links, dedupe)
+    got = {(r["c_a"], r["c_b"]): r["shared"] for r in G.shared_counts(inc, "c", "n", k, dedupe).collect()}
+    assert got == {(a, b): s for (a, b), s in every.items() if a < b and s >= k}
+    got = {(r["src"], r["dst"], r["shared"]) for r in G.cooccurrence_knn(inc, "c", "n", 4, dedupe, 20, False).collect()}
+    assert got == {(c, b, -s) for c in range(60) for s, b in sorted((-s, b) for (a, b), s in every.items() if a == c != b and s > 0)[:4]}
+
+
 @pytest.mark.parametrize("block_rows", [7, 4096])
 def test_feature_knn_with_copies(spark, block_rows):
     rng = np.random.default_rng(2)
