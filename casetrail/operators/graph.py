@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetrail.operators.ranks import hashed_rank, top_k
+from casetrail.operators.temporal import bounded
 from casetrail.session import cut_lineage
 
 
@@ -340,6 +341,10 @@ def type_average(embeddings: DataFrame, types: DataFrame, key: str, kind: str, c
         *[F.avg(c).alias(c) for c in columns])
 
 
+#: Most values of a table of vectors that is broadcast.
+_VALUES = 2_000_000
+
+
 def pool_embeddings(links: DataFrame, embeddings: DataFrame, case: str, key: str, columns: Sequence[str],
                     weight: str | None = None, kind: str | None = None, averages: DataFrame | None = None,
                     unknown: str = "skip") -> DataFrame:
@@ -350,9 +355,13 @@ def pool_embeddings(links: DataFrame, embeddings: DataFrame, case: str, key: str
     averaged plainly (``zero_weighted``). Weights of 0 or less are left out. Cases with nothing known get zeros.
     """
     lut = embeddings.dropDuplicates([key]).select(F.col(key), *[F.col(c) for c in columns], F.lit(1).alias("__known"))
+    if bounded(embeddings, _VALUES // max(1, len(columns))):
+        # Narrow links are shuffled by case before they take up vectors, instead of vectors once per link.
+        links, lut = links.repartition(case), F.broadcast(lut)
     rows = links.join(lut, key, "left")
     if averages is not None and kind is not None:
         fallback = averages.select(kind, *[F.col(c).alias(f"__t_{c}") for c in columns], F.lit(1).alias("__typed"))
+        fallback = F.broadcast(fallback) if bounded(averages, _VALUES // max(1, len(columns))) else fallback
         rows = rows.join(fallback, kind, "left").select(
             case, *([weight] if weight else []), F.coalesce("__known", "__typed").alias("__known"),
             *[F.coalesce(c, f"__t_{c}").alias(c) for c in columns])

@@ -100,6 +100,14 @@ def test_pairs_of_cases_with_long_lists(tables, links, monkeypatch, dedupe, k):
     assert got == {(c, b, -s) for c in range(60) for s, b in sorted((-s, b) for (a, b), s in every.items() if a == c != b and s > 0)[:4]}
 
 
+def test_vectors_meet_links_that_lie_by_case(spark):
+    links = spark.createDataFrame([(1, 7), (1, 8), (2, 9)], "c int, id int")
+    vectors = spark.createDataFrame([(7, 1.0), (8, 3.0)], "id int, e double")
+    pooled = G.pool_embeddings(links, vectors, "c", "id", ["e"])
+    assert {r["c"]: r["e"] for r in pooled.collect()} == {1: 2.0, 2: 0.0}
+    assert "REPARTITION_BY_COL" in pooled._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("block_rows", [7, 4096])
 def test_feature_knn_with_copies(spark, block_rows):
     rng = np.random.default_rng(2)
