@@ -218,6 +218,54 @@ _TIED, _STEP = 256, 256
 _RANGES = 1000
 
 
+#: MD5 (RFC 1321): shifts of its rounds, constants, start values.
+_SHIFTS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_STARTS = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _words(texts: Sequence[bytes], at: int) -> list[np.ndarray]:
+    """The 16 words of 64-byte blocks that hold equally long texts from byte ``at`` on."""
+    block = np.zeros((len(texts), 64), np.uint8)
+    size = len(texts[0])
+    block[:, at:at + size] = np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), size)
+    return list(np.ascontiguousarray(block.view("<u4").T.astype(np.uint32)))
+
+
+def md5_grid(starts: Sequence[bytes], names: Sequence[bytes]) -> np.ndarray:
+    """The MD5 of every name behind every start, as 4 big-endian words: (names, starts, 4).
+
+    All names have one length, all starts have one, and together they fit one block (55 bytes).
+    """
+    length = len(starts[0]) + len(names[0])
+    head, tail = _words(starts, 0), _words([n + b"\x80" for n in names], len(starts[0]))
+    tail[14] = tail[14] + np.uint32(8 * length)
+    # A word is one number a start, one a name, or both.
+    words = [h[None, :] if not t.any() else t[:, None] if not h.any() else h[None, :] | t[:, None] for h, t in zip(head, tail)]
+    shape = (len(names), len(starts))
+    a, b, c, d, f, g = (np.empty(shape, np.uint32) for _ in range(6))
+    for x, start in zip((a, b, c, d), _STARTS):
+        x.fill(start)
+    for i in range(64):
+        kind = i // 16
+        if kind == 0:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        word = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16]
+        f += a
+        f += word + np.uint32(_SINES[i])
+        turn = _SHIFTS[kind][i % 4]
+        np.right_shift(f, np.uint32(32 - turn), out=g), np.left_shift(f, np.uint32(turn), out=f), np.bitwise_or(f, g, out=f)
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return np.stack([x + np.uint32(start) for x, start in zip((a, b, c, d), _STARTS)], axis=2).byteswap()
+
+
 class _Weights:
     """Copies of rows in all replicates: Poisson with mean 1, from the hash of (seed, replicate // 4, ids) alone."""
 
@@ -225,37 +273,64 @@ class _Weights:
         self.replicates, self.starts = replicates, [f"{seed}:{four}:".encode() for four in range((replicates + 3) // 4)]
         self.tied, self.step = _TIED, _STEP
         self.limits = np.array([int(limit, 16) for limit in poisson_limits()], np.uint32)
+        # Copies by the upper half of the hash; 255 where a limit lies inside.
+        low = np.arange(1 << 16, dtype=np.uint32) << np.uint32(16)
+        first, last = (np.searchsorted(self.limits, x, side="right") for x in (low, low | np.uint32(0xFFFF)))
+        self.copies = np.where(first == last, first, 255).astype(np.uint8)
 
     def of(self, names: Sequence[str]) -> np.ndarray:
         """A row per name and a column per replicate."""
-        digests = b"".join(hashlib.md5(start + name).digest() for name in (n.encode() for n in names) for start in self.starts)
-        drawn = np.searchsorted(self.limits, np.frombuffer(digests, ">u4").astype(np.uint32), side="right")
-        return drawn.reshape(len(names), -1)[:, :self.replicates].astype(np.int64)
+        coded = [n.encode() for n in names]
+        drawn = np.empty((len(coded), len(self.starts), 4), np.uint32)
+        for size in {len(n) for n in coded}:
+            rows = [k for k, n in enumerate(coded) if len(n) == size]
+            for width in {len(s) for s in self.starts}:
+                columns = [k for k, s in enumerate(self.starts) if len(s) == width]
+                starts, some = [self.starts[k] for k in columns], [coded[k] for k in rows]
+                if size + width <= 55:
+                    found = md5_grid(starts, some)
+                else:
+                    found = np.frombuffer(b"".join(hashlib.md5(s + n).digest() for n in some for s in starts), ">u4").reshape(len(some), -1, 4)
+                drawn[rows, columns[0]:columns[-1] + 1] = found
+        copies = self.copies[drawn >> np.uint32(16)]
+        unsure = copies == 255
+        copies[unsure] = np.searchsorted(self.limits, drawn[unsure], side="right")
+        return copies.reshape(len(coded), -1)[:, :self.replicates]
 
 
 _RANGED = "p double, y int, name string, pos binary, neg binary"
 
 
 def _tied_together(weights: _Weights):
-    """Many rows of one score become one row that carries their summed copies, so that a frequent score is no hot range."""
+    """Many rows of one score become one row that carries their summed copies; batches leave in order of the score.
+
+    Before the shuffle this keeps a frequent score from being a hot range; behind it, rows of one score have met, and
+    both passes read their sums in place of weighting them again.
+    """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score, label = np.asarray(batch.column("p")), np.asarray(batch.column("y").fill_null(-1))
-            values, place, counts = np.unique(score, return_inverse=True, return_counts=True)
-            single = pa.array(counts[place] < weights.tied)
-            rows = batch.filter(single)
-            yield pa.RecordBatch.from_pydict({"p": rows.column("p"), "y": rows.column("y"), "name": rows.column("name"),
-                                              "pos": pa.nulls(len(rows), pa.binary()), "neg": pa.nulls(len(rows), pa.binary())})
+            values, place = np.unique(score, return_inverse=True)
+            summed = np.asarray(batch.column("pos").is_valid())
+            counts = np.bincount(place[~summed], minlength=len(values))
+            single = (counts[place] < weights.tied) | summed
+            parts = [batch.filter(pa.array(single))]
             for k in np.flatnonzero(counts >= weights.tied):
                 sums = np.zeros((2, weights.replicates), np.int64)
-                at = np.flatnonzero(place == k)
+                at = np.flatnonzero((place == k) & ~summed)
                 for low in range(0, len(at), weights.step):
                     part = at[low:low + weights.step]
-                    copies = weights.of(batch.column("name").take(pa.array(part)).to_pylist())
-                    for side in (0, 1):
-                        sums[side] += copies[label[part] == 1 - side].sum(axis=0)
-                yield pa.RecordBatch.from_pydict({"p": pa.array(values[k:k + 1]), "y": pa.nulls(1, pa.int32()), "name": pa.nulls(1, pa.string()),
-                                                  "pos": pa.array([sums[0].tobytes()], pa.binary()), "neg": pa.array([sums[1].tobytes()], pa.binary())})
+                    copies = weights.of(batch.column("name").take(pa.array(part)).to_pylist()).astype(np.float32)
+                    # At most 12 copies of each of some hundred rows: whole numbers in single precision.
+                    sums += (np.stack([label[part] == 1, label[part] == 0]).astype(np.float32) @ copies).astype(np.int64)
+                parts.append(pa.RecordBatch.from_pydict({
+                    "p": pa.array(values[k:k + 1]), "y": pa.nulls(1, pa.int32()), "name": pa.nulls(1, pa.string()),
+                    "pos": pa.array([sums[0].tobytes()], pa.binary()), "neg": pa.array([sums[1].tobytes()], pa.binary())}, schema=parts[0].schema))
+            if len(parts) == 1:
+                yield parts[0]
+                continue
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            yield from whole.take(pa.array(np.argsort(np.asarray(whole.column("p")), kind="stable"))).combine_chunks().to_batches()
     return task
 
 
@@ -266,13 +341,16 @@ def _cells(batches: Iterator[pa.RecordBatch], weights: _Weights) -> Iterator[tup
         for low in range(0, len(batch), weights.step):
             part = batch.slice(low, weights.step)
             score, label = np.asarray(part.column("p")), np.asarray(part.column("y").fill_null(-1))
-            copies = weights.of([n or "" for n in part.column("name").to_pylist()])
-            sides = [copies * (label == side)[:, None] for side in (1, 0)]
-            for k in np.flatnonzero(np.asarray(part.column("pos").is_valid())):
-                for side, column in zip(sides, ("pos", "neg")):
-                    side[k] = np.frombuffer(part.column(column)[int(k)].as_py(), np.int64)
             heads = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
-            sides = [np.add.reduceat(side, heads, axis=0) for side in sides]
+            summed = np.asarray(part.column("pos").is_valid())
+            if summed.all():
+                sides = [np.zeros((len(heads), weights.replicates), np.int64) for _ in (1, 0)]
+            else:
+                copies = weights.of([n or "" for n in part.column("name").to_pylist()])
+                sides = [np.add.reduceat(copies * ((label == side) & ~summed)[:, None], heads, axis=0, dtype=np.int64) for side in (1, 0)]
+            for k in np.flatnonzero(summed):
+                for side, column in zip(sides, ("pos", "neg")):
+                    side[np.searchsorted(heads, k, side="right") - 1] += np.frombuffer(part.column(column)[int(k)].as_py(), np.int64)
             # The last score of what came before may go on here.
             if last is not None and score[0] == last:
                 sides[0][0] += pos[0]
@@ -297,10 +375,12 @@ def replicated_areas(df: DataFrame, ids: Sequence[str], replicates: int, seed: i
     """
     weights = _Weights(replicates, seed)
     name = F.concat_ws(":", *[F.col(c).cast("string") for c in ids])
-    rows = df.where(F.col(p).isNotNull()).select(F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y"), name.alias("name"))
+    rows = df.where(F.col(p).isNotNull()).select(F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y"), name.alias("name"),
+                                               F.lit(None).cast("binary").alias("pos"), F.lit(None).cast("binary").alias("neg"))
     ranges = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _RANGES)
     dealt = rows.mapInArrow(_tied_together(weights), _RANGED).repartitionByRange(ranges, "p").sortWithinPartitions("p")
-    # Written once: both passes see the same ranges.
+    dealt = dealt.mapInArrow(_tied_together(weights), _RANGED)
+    # Written once: both passes see the same ranges, and rows of a frequent score are weighted once.
     dealt = cut_lineage(dealt.withColumn("part", F.spark_partition_id()))
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

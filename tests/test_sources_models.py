@@ -142,6 +142,33 @@ def test_replicated_areas_equal_plain_sums(spark, monkeypatch, tied):
     assert E.replicated_areas(single, ["id"], 5).collect() == E.replicated_areas(single.limit(0), ["id"], 5).collect() == []
 
 
+def test_tied_rows_leave_in_order_and_are_weighted_once(monkeypatch):
+    """A sorted batch with a frequent score: its rows become one, in place; summed rows pass through as they are."""
+    import pyarrow as pa
+    monkeypatch.setattr(E, "_TIED", 4)
+    weights, names = E._Weights(10, 3), [str(i) for i in range(9)]
+    batch = pa.RecordBatch.from_pydict({
+        "p": pa.array([0.1, *[0.2] * 6, 0.3, 0.3]), "y": pa.array([1, 1, 0, 1, None, 1, 0, 0, 1], pa.int32()), "name": pa.array(names),
+        "pos": pa.nulls(9, pa.binary()), "neg": pa.nulls(9, pa.binary())})
+    once = pa.Table.from_batches(E._tied_together(weights)(iter([batch]))).to_pylist()
+    assert [r["p"] for r in once] == [0.1, 0.2, 0.3, 0.3]
+    copies = weights.of(names).astype(np.int64)
+    assert (np.frombuffer(once[1]["pos"], np.int64) == copies[[1, 3, 5]].sum(axis=0)).all()
+    assert (np.frombuffer(once[1]["neg"], np.int64) == copies[[2, 6]].sum(axis=0)).all()
+    again = pa.Table.from_batches(E._tied_together(weights)(iter([pa.RecordBatch.from_pylist(once, schema=batch.schema)]))).to_pylist()
+    assert again == once
+
+
+def test_md5_grid_equals_hashlib():
+    """Starts and names of several lengths, beyond one block and outside ASCII."""
+    weights = E._Weights(4200, 7)
+    names = ["", "1", "22", "é:3", *[str(10 ** 9 + i) for i in range(20)], "x" * 46, "x" * 50, "y" * 70]
+    digests = b"".join(hashlib.md5(s + n.encode()).digest() for n in names for s in weights.starts)
+    drawn = np.searchsorted(weights.limits, np.frombuffer(digests, ">u4").astype(np.uint32), side="right").reshape(len(names), -1)
+    assert (weights.of(names) == drawn[:, :4200]).all()
+    assert E.md5_grid([b"0:"], [b"a"]).astype(">u4").tobytes() == hashlib.md5(b"0:a").digest()
+
+
 def test_all_scenarios_at_once_equal_one_by_one(frame):
     blocks = {"demographics": ["x"], "geocode": ["z"], "charlson": ["x", "z"]}
     train = frame.where("id % 3 > 0")
