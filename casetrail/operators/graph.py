@@ -605,7 +605,7 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
     Vectors go to the nearest of a bounded number of pivots and, inside a pivot, to blocks of bounded size. A first
     pass inside each block bounds every vector's k-th distance. The second pass sends a vector only to the pivots that
     the triangle inequality cannot rule out and compares blocks of vectors with blocks of vectors; every task keeps
-    the k best per vector, so neither all pairs nor a whole group ever exists.
+    the k best per vector that its bound allows, so neither all pairs nor a whole group ever exists.
     """
     import numpy as np
     import pandas as pd
@@ -623,10 +623,6 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
         """Object series, as an Arrow-backed one may come in several or no chunks."""
         return pd.Series(list(values), dtype=object)
 
-    def table(rows):
-        return pd.DataFrame({"src": text(r[0] for r in rows), "dst": text(r[1] for r in rows),
-                             "distance": pd.Series([r[2] for r in rows], dtype="float64")})
-
     def distances(a, b):
         square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
         return np.sqrt(np.maximum(square, 0.0))
@@ -647,29 +643,49 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
     block_of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("pivot")]
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), block_of).cast("int"))
 
-    def best(ids, others, d):
-        """The k nearest others per row, ties included up to the k-th distance, by (distance, id)."""
-        rows = []
-        width = min(k + 1, d.shape[1])
-        for i in range(len(ids)):
-            kth = np.partition(d[i], width - 1)[width - 1]
-            near = np.flatnonzero(d[i] <= kth)
-            ranked = sorted(((d[i, j], others[j]) for j in near if others[j] != ids[i]))[:k]
-            rows += [(ids[i], o, float(x)) for x, o in ranked]
-        return table(rows)
-
     def exact(a, b):
-        """Distances by differences in slices: no cancellation, so equal vectors are exactly 0 apart."""
-        out = np.empty((len(a), len(b)))
-        step = max(1, 4_000_000 // max(1, b.size))
+        """Distances by differences: no cancellation, so equal vectors are exactly 0 apart."""
+        return np.sqrt(((a - b) ** 2).sum(-1))
+
+    def screened(a, b):
+        """Slices of the rows of ``a`` with their squared distances to ``b`` and how far these may be off.
+
+        A product of matrices screens the pairs; only the few that may be nearest are measured by differences.
+        """
+        tall, wide = (a * a).sum(1), (b * b).sum(1)
+        plain = np.isfinite(tall).all() and np.isfinite(wide).all()
+        slack = 8 * (a.shape[1] + 8) * np.finfo(float).eps * (tall.max() + wide.max()) if plain else 0.0
+        step = max(1, 4_000_000 // max(1, len(b) if plain else b.size))
         for i in range(0, len(a), step):
-            out[i:i + step] = np.sqrt(((a[i:i + step, None, :] - b[None, :, :]) ** 2).sum(2))
-        return out
+            part = a[i:i + step]
+            yield i, (tall[i:i + step, None] + wide[None, :] - 2.0 * (part @ b.T)) if plain else ((part[:, None, :] - b[None, :, :]) ** 2).sum(2), slack
+
+    def best(ids, others, a, b, limit):
+        """The k nearest others per row within its limit by (distance, id)."""
+        place = np.empty(len(others), np.int64)
+        place[np.argsort(others)] = np.arange(len(others))
+        width, found = min(k + 1, len(b)), []
+        for at, square, slack in screened(a, b):
+            kth, most = np.partition(square, width - 1, axis=1)[:, width - 1], limit[at:at + len(square)] ** 2
+            row, col = np.nonzero(square <= (np.where(most < kth, most, kth) + 2 * slack)[:, None])
+            other = ids[at + row] != others[col]
+            row, col = row[other], col[other]
+            d = exact(a[at + row], b[col])
+            order = np.lexsort((place[col], d, row))
+            row, col, d = row[order], col[order], d[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((ids[at + row[kept]], others[col[kept]], d[kept]))
+        src, dst, d = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"src": text(src), "dst": text(dst), "distance": pd.Series(d, dtype="float64")})
 
     def first_pass(pdf):
-        d = exact(np.stack(pdf["v"].to_numpy()), np.stack(pdf["v"].to_numpy()))
-        np.fill_diagonal(d, np.inf)
-        bound = np.sort(d, axis=1)[:, k - 1] if len(pdf) > k else np.full(len(pdf), np.inf)
+        bound = np.full(len(pdf), np.inf)
+        if len(pdf) > k:
+            v = np.stack(pdf["v"].to_numpy())
+            for at, square, slack in screened(v, v):
+                here = np.arange(len(square))
+                square[here, at + here] = np.inf
+                bound[at:at + len(square)] = np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0.0) + slack)
         return pd.DataFrame({"id": text(pdf["id"]), "bound": bound})
 
     bounds = placed.select("id", "v", "pivot", "block").groupBy("pivot", "block").applyInPandas(
@@ -679,7 +695,7 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
     counts = F.array(*[F.lit(int(blocks.get(i, 0))) for i in range(len(chosen))])
     reach = F.filter(F.sequence(F.lit(0), F.lit(len(chosen) - 1)), lambda i: (counts[i] > 0) & (
         F.element_at("all", i + 1) - radii[i] <= F.col("bound") * (1 + 1e-9) + 1e-9))
-    visits = (limits.select("id", "v", F.explode(reach).alias("pivot"))
+    visits = (limits.select("id", "v", (F.col("bound") * (1 + 1e-9) + 1e-9).alias("limit"), F.explode(reach).alias("pivot"))
               .withColumn("block", F.explode(F.sequence(F.lit(0), (block_of - 1).cast("int"))))
               .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")))
     wanted = visits.select("pivot", "block", "chunk").distinct()
@@ -689,9 +705,9 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
 
     def compare(left, right):
         if not len(left) or not len(right):
-            return table([])
-        d = exact(np.stack(left["v"].to_numpy()), np.stack(right["t_v"].to_numpy()))
-        return best(left["id"].to_numpy(), right["t_id"].to_numpy(), d)
+            return pd.DataFrame({"src": text([]), "dst": text([]), "distance": pd.Series([], dtype="float64")})
+        return best(left["id"].to_numpy(dtype=object), right["t_id"].to_numpy(dtype=object), np.stack(left["v"].to_numpy()),
+                    np.stack(right["t_v"].to_numpy()), left["limit"].to_numpy())
 
     by = ["pivot", "block", "chunk"]
     partial = visits.groupBy(*by).cogroup(targets.groupBy(*[f"t_{c}" for c in by])).applyInPandas(

@@ -123,6 +123,19 @@ def test_feature_knn_with_copies(spark, block_rows):
         assert [b for _, b in sorted(got[i])] == [b for _, b in want]
 
 
+def test_knn_edges_far_from_the_origin(spark):
+    """Squares of the lengths exceed the distances by 16 digits, so only differences can tell the neighbours apart."""
+    rng = np.random.default_rng(8)
+    x = 1e8 + rng.integers(0, 6, (80, 3)).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(80)], "id int, v array<double>")
+    got = defaultdict(list)
+    for r in G.knn_edges(df, "id", "v", 5, pivots=4, block_rows=16, symmetric=False).collect():
+        got[int(r["src"])].append((r["distance"], r["dst"]))
+    for i in range(80):
+        want = sorted((float(np.sqrt(((x[j] - x[i]) ** 2).sum())), str(j)) for j in range(80) if j != i)[:5]
+        assert sorted(got[i]) == want
+
+
 def test_svd_spans_the_same_space(spark):
     rng = np.random.default_rng(4)
     a = (rng.random((40, 20)) < 0.3) * rng.integers(1, 5, (40, 20))
