@@ -13,6 +13,7 @@ from casetrail.operators.ordering import null_safe_join, with_key_totals
 from casetrail.operators.predicates import classify_provider
 from casetrail.operators.ranks import grouped_quantiles, top_k
 from casetrail.operators.temporal import broadcast_if_bounded, interval_join
+from casetrail.session import in_parts
 
 
 # ---- joins ----
@@ -271,15 +272,19 @@ def keyword_fraction(df: DataFrame, key: str, category: str, hit: Column, out: s
 
 
 def team_features(edges: DataFrame, providers: DataFrame, encounters: DataFrame) -> DataFrame:
-    """Care team make-up and the primary surgeon's case volumes, one row per case, missing as 0."""
+    """Care team make-up and the primary surgeon's case volumes, one row per case, missing as 0.
+
+    Edges are shuffled once, by case and into parts of bounded size, so no task aggregates more than its part.
+    """
     people = providers.select(
         normalize_id(F.col("ProvID")).alias("ProvID"), yn(F.col("IsResident")).alias("__r"),
         yn(F.col("EmployedCRNA")).alias("__c"), yn(F.col("IsHospitalist")).alias("__h"),
         number(F.col("CaseVolume2yr")).alias("__v2"), number(F.col("CaseVolume5yr")).alias("__v5"))
-    pairs = edges.select(normalize_id(F.col("LogID")).alias("LogID"),
-                         normalize_id(F.col("ProvID")).alias("ProvID")).distinct()
-    team = pairs.join(people, "ProvID", "left").groupBy("LogID").agg(
-        F.count_distinct("ProvID").alias("team_size"), F.sum("__r").alias("n_residents"),
+    pairs = in_parts(edges.select(normalize_id(F.col("LogID")).alias("LogID"), normalize_id(F.col("ProvID")).alias("ProvID")), "LogID").distinct()
+    # One row per provider, so the pairs stay distinct behind the join.
+    known = people.groupBy("ProvID").agg(*[F.sum(c).alias(c) for c in ("__r", "__c", "__h")])
+    team = pairs.join(known, "ProvID", "left").groupBy("LogID").agg(
+        F.count("ProvID").alias("team_size"), F.sum("__r").alias("n_residents"),
         F.sum("__c").alias("n_crna"), F.sum("__h").alias("n_hospitalists"))
     for flag, source in (("has_resident", "n_residents"), ("has_crna", "n_crna"), ("has_hospitalist", "n_hospitalists")):
         team = team.withColumn(flag, (F.col(source) > 0).cast("int"))

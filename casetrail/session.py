@@ -48,3 +48,14 @@ def spread(df: DataFrame, split_bytes: int = 128 * 1024 * 1024) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if estimate < cores * split_bytes else df
+
+
+def in_parts(df: DataFrame, key: str, part_bytes: int = 4 * 1024 * 1024) -> DataFrame:
+    """Shuffle rows by a key into parts of about ``part_bytes`` of source files, so that a task's share does not grow with the input.
+
+    For rows read from a source, as the planner's size estimate decides (columnar files hold a row in a few bytes);
+    the session's number of parts is the least.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(least, min(-(-estimate // part_bytes), 10_000)), key)

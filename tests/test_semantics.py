@@ -18,6 +18,7 @@ from casetrail.operators import temporal as J
 from casetrail.operators import text as X
 from casetrail.operators.models import smd_tiers
 from casetrail.plans import clinical as C
+from casetrail.session import in_parts
 
 
 def ts(text):
@@ -301,3 +302,21 @@ def test_wide_row(spark):
     assert all(bare[c] == 0 for c in zero) and bare["PatientType"] == "I" and bare["Diabetes Mellitus"] == "No" and "Yes" not in bare
     known = {*zero, "LogID", "PAT_ID", "SurgeryDate", "PAT_MRN_ID", "PatientType"}
     assert all(v in (None, "No") for c, v in bare.asDict().items() if c not in known)
+
+
+def test_in_parts_follow_the_size_of_the_rows(spark):
+    """Parts grow in number with the rows, not in size; the session's number is the least."""
+    assert in_parts(spark.range(100_000), "id", 8_000).rdd.getNumPartitions() == 100
+    assert in_parts(spark.range(10), "id", 8_000).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_team_features_shuffles_its_edges_once(spark):
+    """Repeated and null ids, a provider listed twice, one that is not listed; edges are not expanded to count providers."""
+    edges = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (1, None), (2, 12), (None, 10), (3, None)], "LogID int, ProvID int")
+    people = spark.createDataFrame([(10, "Y", "0", None, 5, 9), (10, "Y", "1", "yes", 5, 9), (11, "N", None, None, 7, 8)],
+                                   "ProvID int, IsResident string, EmployedCRNA string, IsHospitalist string, CaseVolume2yr int, CaseVolume5yr int")
+    cases = spark.createDataFrame([(1, 11), (2, 99), (3, None)], "LogID int, PrimarySurgID int")
+    got = R.team_features(edges, people, cases)
+    rows = {r.LogID: (r.team_size, r.n_residents, r.n_crna, r.has_resident, r.surg_casevol_2yr, r.surg_vol_unmatched) for r in got.collect()}
+    assert rows == {"1": (2, 2, 1, 1, 7.0, 0), "2": (1, 0, 0, 0, 0.0, 1), "3": (0, 0, 0, 0, 0.0, 1)}
+    assert "partial_count(distinct" not in got._jdf.queryExecution().executedPlan().toString()
