@@ -302,10 +302,12 @@ SELECT o.o_orderkey AS "LogID", max((b.st BETWEEN o.o_orderdate - INTERVAL 72 HO
 FROM orders o JOIN b ON b.pat = o.o_custkey AND b.ot >= o.o_orderdate - INTERVAL 7 DAY AND b.ot < o.o_orderdate + INTERVAL 1 DAY GROUP BY 1""")
 def transfusions(t: Tables) -> DataFrame:
     keys = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("PAT_ID"))
-    rows = t.lineitem.join(keys, "l_orderkey").withColumn("ORDER_ID", F.md5(F.concat_ws(
-        "|", *[F.col(c).cast("string") for c in t.lineitem.columns])))
-    orders = rows.select("PAT_ID", "ORDER_ID", F.col("l_shipdate").alias("ORDER_TIME"))
-    blood = rows.select("ORDER_ID", F.lit("Y").alias("IS_BLOOD_YN"), F.concat(
+    # The digest of a line, in 16 bytes, is formed where the line is read, so that no other columns are shuffled. It begins with the
+    # order's key: a line without an order in the table has no equal among the joined ones, so blood is read without the join.
+    lines = t.lineitem.where("l_orderkey IS NOT NULL").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", F.unhex(F.md5(F.concat_ws(
+        "|", *[F.col(c).cast("string") for c in t.lineitem.columns]))).alias("ORDER_ID"))
+    orders = lines.join(keys, "l_orderkey").select("PAT_ID", "ORDER_ID", F.col("l_shipdate").alias("ORDER_TIME"))
+    blood = lines.select("ORDER_ID", F.lit("Y").alias("IS_BLOOD_YN"), F.concat(
         F.lit("E033"), F.when(F.col("l_linenumber") % 2 == 0, "2").otherwise("6"), F.lit("V")).alias("BLOOD_PRODUCT_CODE"),
         F.timestamp_micros(F.unix_micros("l_shipdate") + F.col("l_quantity").cast("long") * 7_200_000_000).alias("BLOOD_START_INSTANT"))
     cases = t.orders.select(F.col("o_orderkey").alias("LogID"), F.col("o_custkey").alias("PAT_ID"), F.to_date("o_orderdate").alias(

@@ -275,7 +275,7 @@ def transfusion_flag(cases: DataFrame, orders: DataFrame, blood: DataFrame, anch
     """
     framed = cases.withColumn("__from", shift(F.col(day).cast("timestamp"), "day", -7)).withColumn(
         "__to", shift(F.col(day).cast("timestamp"), "day", 1))
-    near = interval_join(framed, orders, ["PAT_ID"], "__from", "__to", "ORDER_TIME", 8 * 86400).where(
+    near = interval_join(framed, orders, ["PAT_ID"], "__from", "__to", "ORDER_TIME", 16 * 86400).where(
         F.col("ORDER_TIME") < F.col("__to"))
     red = blood.where((F.col("IS_BLOOD_YN") == "Y") & F.left("BLOOD_PRODUCT_CODE", F.lit(5)).isin(*fixed.RED_CELL_CODES))
     joined = near.join(red, "ORDER_ID")
