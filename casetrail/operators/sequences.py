@@ -15,8 +15,12 @@ from casetrail.functions.clock import (boundaries, day_cycle, elapsed_bucket, fl
                                        seconds_between)
 from casetrail.operators.ordering import DAY, null_safe_join, ordered, time_chunk, with_key_totals
 from casetrail.operators.ranks import grouped_quantiles, top_k, value_band
+from casetrail.operators.temporal import bounded
 from casetrail.session import cut_lineage
 
+# Shares the rows of a frequent feature are dealt into where features do not fit a broadcast.
+SALTS = 64
+
 
 # ---- positions and gaps ----
 def sequence(events: DataFrame, keys: Sequence[str], at: str, tie: Sequence[str], seq: str = "SeqInEncounter",
@@ -245,9 +249,17 @@ def truncate_at(events: DataFrame, keys: Sequence[str], position: str, token: st
 
 def support_filter(features: DataFrame, train: DataFrame, key: str, minimum: int = 50) -> DataFrame:
     """Keep features that at least ``minimum`` train cases show."""
-    seen = features.where(F.col("value") > 0).join(train.select(key).distinct(), key, "left_semi")
+    # Features are a union of parts: a semi join would be pushed into each of them, with buffers of its own in the same task.
+    seen = features.where(F.col("value") > 0).join(train.select(key).distinct(), key)
     kept = seen.groupBy("feature").agg(F.count_distinct(key).alias("__n")).where(F.col("__n") >= minimum)
-    return features.join(kept.select("feature"), "feature", "left_semi")
+    # Most cases show the same few features, so rows must not meet them by feature alone: few names travel to the rows, many are repeated
+    # over salts.
+    names = cut_lineage(kept.select("feature"))
+    if bounded(names):
+        return features.join(F.broadcast(names), "feature", "left_semi")
+    dealt = features.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    salted = names.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(salted, ["feature", "__salt"], "left_semi").drop("__salt")
 
 
 # ---- bundles ----

@@ -42,3 +42,24 @@ def test_transfusion_lines_are_shuffled_as_digests(spark, tmp_path):
     assert by_key == dict.fromkeys(range(6), 1)
     inputs = shuffled(got)
     assert inputs and not any("l_extendedprice" in i or "l_returnflag" in i for i in inputs)
+
+
+def test_support_filter_meets_names_at_the_rows(spark, monkeypatch):
+    from casetrail.operators import sequences as Q
+    rows = [(c, f"f{c % k}", float(v)) for c in range(30) for k, v in ((1, 1), (2, 1), (3, c % 2))] + [(None, "f0", 1.0), (3, None, 1.0)]
+    parts = [spark.createDataFrame(rows[i::3], "case int, feature string, value double") for i in range(3)]
+    features = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    train = features.where("case % 2 = 0")
+    shown = {}
+    for c, f, v in rows:
+        if c is not None and c % 2 == 0 and v > 0:
+            shown.setdefault(f, set()).add(c)
+    want = sorted((str(r) for r in rows if len(shown.get(r[1], ())) >= 10))
+    few = Q.support_filter(features, train, "case", 10)
+    assert sorted(str(tuple(r)) for r in few.select("case", "feature", "value").collect()) == want
+    # Rows of a frequent feature would all meet in one task.
+    assert not shuffled(few.select("*"))
+    monkeypatch.setattr(Q, "bounded", lambda df: False)
+    many = Q.support_filter(features, train, "case", 10)
+    assert sorted(str(tuple(r)) for r in many.select("case", "feature", "value").collect()) == want
+    assert any("__salt" in i for i in shuffled(many.select("*")))
