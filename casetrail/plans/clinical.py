@@ -24,6 +24,9 @@ from casetrail.operators.temporal import (asof, broadcast_if_bounded, covering_a
 # Shares a patient's cases are dealt into where they meet the patient's history.
 SALTS = 8
 
+# Stretch of time whose rows of one patient are ordered together, about as many rows as its summary is worth.
+HISTORY_CHUNK = 365 * 86400
+
 
 def open_end() -> Column:
     """Time that stands for "not ended yet"."""
@@ -72,7 +75,7 @@ def readmission_label(cases: DataFrame, adt: DataFrame, stays: DataFrame, days:
                        "PAT_ENC_CSN_ID", "left_semi")
                  .select("PAT_ID", F.col("EFFECTIVE_TIME").alias("AdmitTime")).distinct()
                  .withColumn("Admit", F.col("AdmitTime")))
-    next_one = asof(indexed, unplanned, ["PAT_ID"], "DischargeTime", "AdmitTime", ["Admit"], "forward", strict=True)
+    next_one = asof(indexed, unplanned, ["PAT_ID"], "DischargeTime", "AdmitTime", ["Admit"], "forward", strict=True, chunk_seconds=HISTORY_CHUNK)
     inside = F.col("Admit") < shift(F.col("SurgeryDate").cast("timestamp"), "day", days + 1)
     found = next_one.select("LogID", F.when(inside, F.datediff(F.to_date("Admit"), F.to_date("SurgeryDate"))).alias(
         "DaysToReadmission"))
@@ -202,12 +205,15 @@ def dx_history(cases: DataFrame, problems: DataFrame, encounter_codes: DataFrame
         F.coalesce(F.col("resolved").cast("timestamp"), open_end()).alias("__b")).distinct()
     dated = encounter_codes.where(F.col("at").isNotNull()).select("PAT_ID", "code", F.col("at").cast("timestamp").alias("at"))
     if key == "PAT_ID":
-        # A code of [t, t + months] holds an anchor exactly when it lies in the months before that anchor.
-        recent = asof(dated, cases.select("PAT_ID", F.col(anchor).alias("__an")).distinct().withColumn(
-            "__hit", F.col("__an")), ["PAT_ID"], "at", "__an", ["__hit"], "forward").where(
+        # Both kinds meet the first anchor from their time on, in one pass. A problem counts if it has not ended by then; a code of
+        # [t, t + months] holds an anchor exactly when it lies in the months before that anchor.
+        points = cases.select("PAT_ID", F.col(anchor).alias("__an")).distinct().withColumn("__hit", F.col("__an"))
+        lines = spans.select("PAT_ID", "code", F.col("__a").alias("at"), "__b").unionByName(
+            dated.withColumn("__b", F.lit(None).cast("timestamp")))
+        met = asof(lines, points, ["PAT_ID"], "at", "__an", ["__hit"], "forward", chunk_seconds=HISTORY_CHUNK)
+        counts = F.when(F.col("__b").isNotNull(), F.col("__hit") <= F.col("__b")).otherwise(
             F.col("at") >= shift(F.col("__hit"), "month", -months))
-        active = covering_anchor(spans, cases, ["PAT_ID"], "__a", "__b", anchor)
-        return union_distinct(active.select(key, "code"), recent.select(key, "code"))
+        return met.where(counts).select(key, "code").distinct()
     base = cases.select(key, "PAT_ID", anchor).distinct()
     # Spans of one code that start together merge; cases of one patient are dealt over salts, so no task owns a patient.
     merged = spans.groupBy("PAT_ID", "code", "__a").agg(F.max("__b").alias("__b")).withColumn(
@@ -243,12 +249,13 @@ def medication_flags(cases: DataFrame, medications: DataFrame, names: DataFrame
     spans = table.where(F.col("START_DATE").isNotNull()).select(
         "PAT_ID", F.upper("GENERIC").alias("__g"), F.col("START_DATE").cast("timestamp").alias("__a"),
         F.least(*ends).alias("__b"))
-    spans = spans.withColumn("__a30", shift(F.col("__a"), "day", 30))
-    used = covering_anchor(spans, cases, ["PAT_ID"], "__a", "__b", anchor).withColumn("__long", F.lit(0))
-    long_use = covering_anchor(spans, cases, ["PAT_ID"], "__a30", "__b", anchor).withColumn("__long", F.lit(1))
-    return flag_pivot(used.unionByName(long_use), ["PAT_ID"], {
-        n: contains_any(F.col("__g"), words) & (F.col("__long") == int(chronic))
-        for n, (words, chronic) in fixed.MED_FLAGS.items()})
+    # The last anchor up to the end tells both kinds of use; of uses that end together the one that began first decides.
+    spans = spans.groupBy("PAT_ID", "__g", "__b").agg(F.min("__a").alias("__a"))
+    points = cases.select("PAT_ID", F.col(anchor).alias("__an")).distinct().withColumn("__hit", F.col("__an"))
+    used = asof(spans, points, ["PAT_ID"], "__b", "__an", ["__hit"], chunk_seconds=HISTORY_CHUNK).where(F.col("__hit") >= F.col("__a"))
+    long_use = F.col("__hit") >= shift(F.col("__a"), "day", 30)
+    return flag_pivot(used, ["PAT_ID"], {n: contains_any(F.col("__g"), words) & (long_use if chronic else F.lit(True))
+                                         for n, (words, chronic) in fixed.MED_FLAGS.items()})
 
 
 def smoking_status(cases: DataFrame, history: DataFrame, key: str = "PAT_ID", anchor: str = "__at") -> DataFrame:
@@ -364,8 +371,11 @@ def bulk_features(cases: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFram
     """
     keys = {"dx": "PAT_ID", "meds": "PAT_ID", "smoking": "PAT_ID", "demographics": "PAT_ID", "social": "HSP_ACCOUNT_ID"}
     wide = cases
-    for name, block in blocks.items():
-        wide = wide.join(block, keys.get(name, "LogID"), "left")
+    # Key by key, so that the growing row is shuffled once per key; the blocks by case, the widest, come last.
+    for key in ("HSP_ACCOUNT_ID", "PAT_ID", "LogID"):
+        for name, block in blocks.items():
+            if keys.get(name, "LogID") == key:
+                wide = wide.join(block, key, "left")
 
     def col(name: str, kind: str = "string") -> Column:
         return F.col(f"`{name}`") if name in wide.columns else F.lit(None).cast(kind)
