@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casetrail.operators.ranks import hashed_rank, top_k
+from casetrail.operators.ranks import hashed_order, hashed_rank, top_k
 from casetrail.operators.temporal import bounded
 from casetrail.session import cut_lineage
 
@@ -419,20 +419,49 @@ def hyper_propagate(incidence: DataFrame, values: DataFrame, case: str, columns:
 
 
 # ---- random walks ----
-def _indexed_neighbours(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, DataFrame]:
-    """(src, idx, dst, degree of dst) and (node, degree).
+#: Neighbours of a node that travel as one row; a hub has many such rows.
+_BLOCK = 512
 
-    Neighbours carry a number, so a step joins on (node, number) and a hub's visitors spread over its neighbours.
+
+def _walk_tables(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Neighbours by blocks (src, blk, dsts, degs), distinct pairs (src, dst), and (node, degree).
+
+    Neighbours carry a number. A step joins on (node, block of the number), so a hub's visitors spread over its blocks,
+    and what a step shuffles besides the walkers are rows of up to ``_BLOCK`` neighbours with their degrees.
     """
     links = edges.select(F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst")).where(
         F.col("src").isNotNull() & F.col("dst").isNotNull())
-    numbered = hashed_rank(links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies"))
-                           .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-                           .drop("copies"), ["src"], ["src", "dst", "copy"], rank_as="idx", total_as="deg").drop("copy")
-    degree = numbered.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    table = numbered.select("src", (F.col("idx") - 1).alias("idx"), "dst").join(
-        degree.select(F.col("src").alias("dst"), F.col("deg").alias("dst_deg")), "dst", "left")
-    return table, degree.select(F.col("src").alias("node"), "deg")
+    counted = cut_lineage(links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies")))
+    degree = cut_lineage(counted.groupBy("src").agg(F.sum("copies").alias("deg")))
+    pairs = counted.join(degree.select(F.col("src").alias("dst"), F.col("deg").alias("dst_deg")), "dst", "left")
+    copies = pairs.select("src", "dst", F.coalesce("dst_deg", F.lit(0)).alias("dst_deg"),
+                          F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return _numbered_blocks(copies, degree), counted.select("src", "dst"), degree.select(F.col("src").alias("node"), "deg")
+
+
+def _numbered_blocks(copies: DataFrame, degree: DataFrame) -> DataFrame:
+    """Neighbours in md5 order by blocks of ``_BLOCK`` numbers: (src, blk, dsts, degs).
+
+    The first hex digits of the hash split a hub into cells of about ``_BLOCK`` neighbours; cells are sorted as arrays,
+    and what lies across two blocks is cut once the sizes of the cells before are known.
+    """
+    digits = F.least(F.lit(8), F.greatest(F.lit(0), F.ceil(F.log2(F.col("deg") / _BLOCK) / 4))).cast("int")
+    sized = copies.join(degree.select("src", digits.alias("__digits")), "src")
+    hashed = sized.withColumn("__h", hashed_order(42, "src", "dst", "copy")).withColumn("cell", F.expr("left(__h, __digits)"))
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.unhex("__h").alias("h"), "dst", "copy", "dst_deg")))
+    cells = cut_lineage(hashed.groupBy("src", "cell").agg(sorted_.alias("__n")).select(
+        "src", "cell", F.size("__n").cast("long").alias("n"), F.col("__n.dst").alias("dsts"), F.col("__n.dst_deg").alias("degs")))
+    whole, parts = cells.where((F.col("cell") == "") & (F.col("n") <= _BLOCK)), cells.where((F.col("cell") != "") | (F.col("n") > _BLOCK))
+    before = Window.partitionBy("src").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parts.select("src", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    low, high = F.floor(F.col("begin") / _BLOCK), F.floor((F.col("begin") + F.col("n") - 1) / _BLOCK)
+    dealt = parts.join(begins, ["src", "cell"]).withColumn("blk", F.explode(F.sequence(low, high)))
+    start = F.greatest(F.lit(0), F.col("blk") * _BLOCK - F.col("begin"))
+    take = (F.least(F.col("n"), (F.col("blk") + 1) * _BLOCK - F.col("begin")) - start).cast("int")
+    cut = dealt.select("src", "blk", F.struct("begin", *[F.slice(c, (start + 1).cast("int"), take).alias(c) for c in ("dsts", "degs")]).alias("__s"))
+    joined = cut.groupBy("src", "blk").agg(F.array_sort(F.collect_list("__s")).alias("__s")).select(
+        "src", "blk", F.flatten("__s.dsts").alias("dsts"), F.flatten("__s.degs").alias("degs"))
+    return cut_lineage(whole.select("src", F.lit(0).cast("long").alias("blk"), "dsts", "degs").unionByName(joined))
 
 
 def _draw(seed: int, *parts: Column) -> Column:
@@ -441,29 +470,36 @@ def _draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def _walkers(degree: DataFrame, per_node: int) -> DataFrame:
+    """Walkers at their start: (walk, start, path so far, degree of its last node)."""
+    return degree.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select(
+        F.concat_ws("#", "node", F.col("rep").cast("string")).alias("walk"), F.col("node").alias("start"),
+        F.array("node").alias("path"), "deg")
+
+
+def _proposed(walkers: DataFrame, blocks: DataFrame, draw: Column) -> DataFrame:
+    """Walkers with the neighbour that a draw names, ``dst`` and ``dst_deg``; null where the last node has none."""
+    moving = walkers.withColumn("src", F.element_at("path", -1)).withColumn(
+        "__idx", F.when(F.col("deg") > 0, F.pmod(draw, F.col("deg")))).withColumn("blk", F.floor(F.col("__idx") / _BLOCK))
+    place = F.pmod(F.col("__idx"), F.lit(_BLOCK)).cast("int")
+    return moving.join(blocks, ["src", "blk"], "left").withColumns(
+        {"dst": F.get("dsts", place), "dst_deg": F.get("degs", place)}).drop("src", "blk", "__idx", "dsts", "degs")
+
+
 def random_walks(edges: DataFrame, src: str, dst: str, length: int = 10, per_node: int = 5, seed: int = 42) -> DataFrame:
     """Uniform walks from every node: (walk, start, step, node) rows; a walk stops at a node without neighbours.
 
     The table of walkers is checkpointed now and then, so a lost executor never replays the whole walk.
     """
-    table, degree = _indexed_neighbours(edges, src, dst)
-    table = cut_lineage(table)
-    walkers = (degree.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
-               .select(F.concat_ws("#", "node", F.col("rep").cast("string")).alias("walk"), F.col("node").alias("start"),
-                       F.lit(0).alias("step"), "node", "deg"))
-    walkers = cut_lineage(walkers)
-    parts = [walkers]
+    blocks, _, degree = _walk_tables(edges, src, dst)
+    walkers = _walkers(degree, per_node)
     for step in range(1, length):
-        moving = parts[-1].where(F.col("deg") > 0)
-        pick = F.pmod(_draw(seed, F.col("walk"), F.lit(step)), F.col("deg"))
-        moved = (moving.withColumn("idx", pick).withColumnRenamed("node", "src").join(table, ["src", "idx"])
-                 .select("walk", "start", F.lit(step).alias("step"), F.col("dst").alias("node"),
-                         F.coalesce("dst_deg", F.lit(0)).alias("deg")))
-        parts.append(cut_lineage(moved) if step % 3 == 0 and step + 1 < length else moved)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.drop("deg")
+        found = _proposed(walkers, blocks, _draw(seed, F.col("walk"), F.lit(step)))
+        walkers = found.select("walk", "start", F.when(F.col("dst").isNull(), F.col("path")).otherwise(
+            F.array_append("path", F.col("dst"))).alias("path"), F.coalesce("dst_deg", F.lit(0)).alias("deg"))
+        if step % 3 == 0 and step + 1 < length:
+            walkers = cut_lineage(walkers)
+    return walkers.select("walk", "start", F.posexplode("path").alias("step", "node"))
 
 
 def biased_walks(edges: DataFrame, src: str, dst: str, p: float, q: float, length: int = 10, per_node: int = 5,
@@ -471,47 +507,58 @@ def biased_walks(edges: DataFrame, src: str, dst: str, p: float, q: float, lengt
     """Second-order walks: going back weighs 1/p, staying near the previous node 1, moving out 1/q.
 
     Rejection sampling: a uniform neighbour is proposed and accepted with its weight over the largest weight. Only
-    whether (previous, proposed) is an edge must be looked up, so no neighbour list is ever collected. Walkers whose
-    proposals are all refused get further rounds until each has moved.
+    whether (previous, proposed) is an edge must be looked up, and only where the draw does not decide by itself. Every
+    walker first meets one proposal; those refused meet the others of ``proposals``, then further rounds until each has
+    moved.
     """
-    table, degree = _indexed_neighbours(edges, src, dst)
-    table = cut_lineage(table)
-    pairs = table.select(F.col("src").alias("prev"), "dst").distinct().withColumn("__near", F.lit(1))
-    pairs = cut_lineage(pairs)
-    most = max(1.0 / p, 1.0, 1.0 / q)
-    current = (degree.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))))
-               .select(F.concat_ws("#", "node", F.col("rep").cast("string")).alias("walk"), F.col("node").alias("start"),
-                       F.lit(0).alias("step"), F.lit(None).cast("string").alias("prev"), "node", "deg"))
-    current = cut_lineage(current)
-    parts = [current]
+    blocks, pairs, degree = _walk_tables(edges, src, dst)
+    most, low, high = max(1.0 / p, 1.0, 1.0 / q), min(1.0, 1.0 / q), max(1.0, 1.0 / q)
+
+    def share(node: Column, deg: Column) -> Column:
+        return F.pmod(F.xxhash64(node), F.greatest(F.lit(1).cast("long"), F.ceil(deg / _BLOCK)))
+
+    near = None
+    if low < high:
+        sized = pairs.join(degree.select(F.col("node").alias("src"), "deg"), "src")
+        near = cut_lineage(sized.groupBy(F.col("src").alias("prev"), share(F.col("dst"), F.col("deg")).alias("part")).agg(
+            F.collect_list("dst").alias("__near")))
+
+    def judged(walkers: DataFrame, label: int) -> DataFrame:
+        """Each row's proposal of its number ``try``, with ``ok`` whether it is accepted (a stopped walk is, as it stands)."""
+        seen = _proposed(walkers, blocks, _draw(seed, F.col("walk"), F.lit(label), F.col("try")))
+        seen = seen.withColumn("prev", F.try_element_at("path", F.lit(-2))).withColumn(
+            "chance", _draw(seed + 1, F.col("walk"), F.lit(label), F.col("try")) / F.lit(float(16 ** 15)))
+        weight = F.when(F.col("prev").isNull(), most).when(F.col("dst") == F.col("prev"), 1.0 / p)
+        if near is None:
+            weight = weight.otherwise(1.0)
+        else:
+            weight = weight.when(F.col("chance") < low / most, most).when(F.col("chance") >= high / most, 0.0)
+            seen = seen.withColumn("known", weight).withColumn("part", F.when(F.col("known").isNull(), share(F.col("dst"), F.col("prev_deg")))
+                                                               .otherwise(-1 - F.pmod(F.xxhash64("walk"), F.lit(1024))))
+            seen = seen.join(near, ["prev", "part"], "left")
+            inside = F.coalesce(F.array_contains("__near", F.col("dst")), F.lit(False))
+            weight = F.coalesce("known", F.when(inside, 1.0).otherwise(1.0 / q))
+        return seen.withColumn("ok", F.col("dst").isNull() | (F.col("chance") < weight / most)).select(*state, "try", "dst", "dst_deg", "ok")
+
+    state = ["walk", "start", "path", "prev_deg", "deg"]
+    # What a walker is after a move; a walk that stands at a node without neighbours stays as it is.
+    path = F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("dst")))
+    after = [path.alias("path"), F.col("deg").alias("prev_deg"), F.coalesce("dst_deg", F.lit(0)).alias("deg")]
+    current = _walkers(degree, per_node).withColumn("prev_deg", F.lit(0).cast("long")).select(*state)
     for step in range(1, length):
-        waiting, moved_parts, round_no = current.where(F.col("deg") > 0), [], 0
-        while True:
-            tries = waiting.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(proposals - 1))))
-            label = F.lit(step * 1000 + round_no)
-            tries = tries.withColumn("idx", F.pmod(_draw(seed, F.col("walk"), label, F.col("try")), F.col("deg")))
-            seen = (tries.withColumnRenamed("node", "src").join(table, ["src", "idx"])
-                    .join(pairs, ["prev", "dst"], "left"))
-            weight = (F.when(F.col("prev").isNull(), most).when(F.col("dst") == F.col("prev"), 1.0 / p)
-                      .when(F.col("__near") == 1, 1.0).otherwise(1.0 / q))
-            chance = _draw(seed + 1, F.col("walk"), label, F.col("try")) / F.lit(float(16 ** 15))
-            accepted = seen.where(chance < weight / most).groupBy("walk").agg(
-                F.min_by(F.struct("start", F.col("src").alias("prev"), F.col("dst").alias("node"),
-                                  F.coalesce("dst_deg", F.lit(0)).alias("deg")), "try").alias("m"))
-            moved = cut_lineage(accepted.select("walk", "m.start", F.lit(step).alias("step"), "m.prev", "m.node", "m.deg"))
-            moved_parts.append(moved)
-            waiting = cut_lineage(waiting.join(moved.select("walk"), "walk", "left_anti"))
-            round_no += 1
-            if waiting.isEmpty():
-                break
-        current = moved_parts[0]
-        for part in moved_parts[1:]:
-            current = current.unionByName(part)
-        parts.append(current)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.drop("deg", "prev")
+        first = cut_lineage(judged(current.withColumn("try", F.lit(0)), step * 1000))
+        current, waiting = first.where("ok").select("walk", "start", *after), first.where(~F.col("ok")).select(*state)
+        round_no, begin = 0, 1
+        while not waiting.isEmpty():
+            if begin < proposals:
+                tries = waiting.withColumn("try", F.explode(F.sequence(F.lit(begin), F.lit(proposals - 1))))
+                best = judged(tries, step * 1000 + round_no).withColumn("__after", F.struct(*after)).groupBy("walk").agg(
+                    F.min_by("__after", F.when(F.col("ok"), F.col("try"))).alias("m"), *[F.any_value(c).alias(c) for c in state[1:]])
+                best = cut_lineage(best)
+                moved = best.where(F.col("m").isNotNull()).select("walk", "start", "m.path", "m.prev_deg", "m.deg")
+                current, waiting = current.unionByName(moved), best.where(F.col("m").isNull()).select(*state)
+            round_no, begin = round_no + 1, 0
+    return current.select("walk", "start", F.posexplode("path").alias("step", "node"))
 
 
 def walk_embeddings(walks: DataFrame, dim: int = 64, window: int = 5, seed: int = 42, iterations: int = 5) -> DataFrame:

@@ -1,5 +1,6 @@
 """Graph operators against brute force on small fixtures."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -162,6 +163,58 @@ def test_walks_follow_edges(spark, links):
     assert again == {(r["walk"], r["step"], r["node"]) for r in G.random_walks(df.repartition(3), "a", "b", 6, 2).collect()}
 
 
+def walked(edges, length, per_node, seed=42, weights=None, proposals=8):
+    """Walks by hand from the documented draws; ``weights``: (1/p, 1/q) of second-order walks."""
+    def draw(*parts):
+        return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+    near, copies = defaultdict(list), Counter()
+    for a, b in edges:
+        copies[a, b] += 1
+        near[a].append((hashlib.md5(f"42:{a}:{b}:{copies[a, b]}".encode()).hexdigest(), b))
+    near, rows = {a: [b for _, b in sorted(v)] for a, v in near.items()}, set()
+    for start in near:
+        for walk in (f"{start}#{k}" for k in range(per_node)):
+            path = [start]
+            for step in range(1, length):
+                at = near.get(path[-1])
+                if not at:
+                    break
+                if weights is None:
+                    path.append(at[draw(seed, walk, step) % len(at)])
+                    continue
+                most = max(1.0, *weights)
+                for label, k in ((step * 1000 + r, k) for r in range(99) for k in range(proposals)):
+                    to = at[draw(seed, walk, label, k) % len(at)]
+                    prev = path[-2] if step > 1 else None
+                    weight = most if prev is None else weights[0] if to == prev else 1.0 if to in near[prev] else weights[1]
+                    if draw(seed + 1, walk, label, k) / float(16 ** 15) < weight / most:
+                        path.append(to)
+                        break
+            rows |= {(walk, start, k, n) for k, n in enumerate(path)}
+    return rows
+
+
+@pytest.mark.parametrize("block,p,q,proposals", [(3, 4.0, 0.5, 2), (512, 0.5, 1.0, 8)])
+def test_walks_by_blocks_equal_walks_by_hand(spark, monkeypatch, block, p, q, proposals):
+    """A hub of 60 neighbours in several blocks, repeated edges, nodes without a way out, near and far moves."""
+    monkeypatch.setattr(G, "_BLOCK", block)
+    rng = random.Random(5)
+    edges = [("h", f"n{i}") for i in range(60)] + [(f"n{i}", "h") for i in range(0, 60, 2)] + [("h", "n7")] * 9
+    edges += [(f"n{i}", f"n{rng.randrange(60)}") for i in range(50) for _ in range(3)]
+    df = spark.createDataFrame([*edges, ("n1", None), (None, "n1")], "a string, b string")
+    blocks, _, degree = G._walk_tables(df, "a", "b")
+    sizes = Counter(a for a, _ in edges)
+    assert {r["node"]: r["deg"] for r in degree.collect()} == sizes
+    rows = blocks.collect()
+    assert Counter(r["src"] for r in rows) == {a: -(-n // block) for a, n in sizes.items()}
+    assert all(len(r["dsts"]) == len(r["degs"]) <= block and r["degs"] == [sizes[b] for b in r["dsts"]] for r in rows)
+    got = G.random_walks(df, "a", "b", 5, 2)
+    assert sorted(got.collect()) == sorted(walked(edges, 5, 2))
+    got = G.biased_walks(df, "a", "b", p, q, 4, 1, proposals=proposals)
+    assert sorted(got.collect()) == sorted(walked(edges, 4, 1, weights=(1 / p, 1 / q), proposals=proposals))
+
+
 def test_biased_walks_weigh_returns(spark):
     """Star with three leaves: from a leaf the walk must return to the hub, then 1/p against 1/q decides."""
     edges = [("h", f"l{i}") for i in range(3)] + [(f"l{i}", "h") for i in range(3)]
