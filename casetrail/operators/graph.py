@@ -561,6 +561,10 @@ def biased_walks(edges: DataFrame, src: str, dst: str, p: float, q: float, lengt
     return current.select("walk", "start", F.posexplode("path").alias("step", "node"))
 
 
+#: Walks that a partition of the skip-gram training has at least where more than a quarter of the cores take part.
+_WALKS = 200_000
+
+
 def walk_embeddings(walks: DataFrame, dim: int = 64, window: int = 5, seed: int = 42, iterations: int = 5) -> DataFrame:
     """Skip-gram vectors of walk nodes: (node, emb_0 ..).
 
@@ -570,7 +574,10 @@ def walk_embeddings(walks: DataFrame, dim: int = 64, window: int = 5, seed: int
     from pyspark.ml.functions import vector_to_array
     sentences = walks.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("s")).select(
         F.transform("s", lambda x: x["node"]).alias("sentence"))
-    parts = max(1, sentences.sparkSession.sparkContext.defaultParallelism // 4)
+    # Vocabulary count and training read the sentences again.
+    sentences = cut_lineage(sentences)
+    cores = sentences.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, cores // 4, min(cores, sentences.count() // _WALKS))
     model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, seed=seed, maxIter=iterations, numPartitions=parts,
                      inputCol="sentence", outputCol="v").fit(sentences)
     vectors = model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("v"))

@@ -215,6 +215,18 @@ def test_walks_by_blocks_equal_walks_by_hand(spark, monkeypatch, block, p, q, pr
     assert sorted(got.collect()) == sorted(walked(edges, 4, 1, weights=(1 / p, 1 / q), proposals=proposals))
 
 
+def test_skip_gram_takes_more_cores_for_many_walks(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+    used, cores = [], spark.sparkContext.defaultParallelism
+    fit = Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, df: used.append(self.getNumPartitions()) or fit(self, df))
+    walks = spark.range(120).selectExpr("concat('w', id div 3) AS walk", "CAST(id % 3 AS INT) AS step", "concat('n', id % 7) AS node")
+    for least in (G._WALKS, 10, 1):
+        monkeypatch.setattr(G, "_WALKS", least)
+        assert G.walk_embeddings(walks, 2, iterations=1).count() == 7
+    assert used == [max(1, cores // 4), max(1, cores // 4, min(cores, 4)), min(cores, 40)]
+
+
 def test_biased_walks_weigh_returns(spark):
     """Star with three leaves: from a leaf the walk must return to the hub, then 1/p against 1/q decides."""
     edges = [("h", f"l{i}") for i in range(3)] + [(f"l{i}", "h") for i in range(3)]
