@@ -149,8 +149,8 @@ def _(t: Tables) -> DataFrame:
 @query("m13_select_vars")
 def _(t: Tables) -> DataFrame:
     f = cut_lineage(model_frame(t))
-    rows = [("l1", ",".join(M.select_vars(f, _X, "l1"))), ("importance", ",".join(M.select_vars(f, _X, "importance", k=2, numTrees=10))),
-            ("forward", ",".join(M.select_vars(f, ["p", "q"], "forward", ids=["id"], k=2)))]
+    rows = [("l1", ",".join(M.select_vars(f, _X, "l1"))), ("importance", ",".join(M.select_vars(f, _X, "importance", k=2))),
+            ("forward", ",".join(M.select_vars(f, _X, "forward", ids=["id"])))]
     return t.spark.createDataFrame(rows, "method string, columns string")
 
 

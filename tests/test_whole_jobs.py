@@ -32,3 +32,17 @@ def test_boosted_query_fits_all_rounds(spark, orders, monkeypatch):
     columns, learner = found.value.args
     assert columns == ["p", "q", "price", "late"]
     assert (learner.getMaxIter(), learner.getMaxDepth()) == (400, 5)
+
+
+def test_selection_query_searches_all_columns(spark, orders, monkeypatch):
+    seen, forests = [], []
+
+    def select(train, columns, method, label="y", k=20, ids=(), strength=0.01, **parameters):
+        seen.append((method, list(columns)))
+        forests.append(parameters)
+        return list(columns)
+
+    monkeypatch.setattr(M, "select_vars", select)
+    registry.QUERIES["m13_select_vars"](spark, orders)
+    assert seen == [(m, ["p", "q", "price", "late"]) for m in ("l1", "importance", "forward")]
+    assert all("numTrees" not in p for p in forests)
