@@ -341,8 +341,8 @@ def type_average(embeddings: DataFrame, types: DataFrame, key: str, kind: str, c
         *[F.avg(c).alias(c) for c in columns])
 
 
-#: Most values of a table of vectors that is broadcast.
-_VALUES = 2_000_000
+#: Most values of a table of vectors that is broadcast, and most sums that a task holds.
+_VALUES, _SUMS = 2_000_000, 8_000_000
 
 
 def pool_embeddings(links: DataFrame, embeddings: DataFrame, case: str, key: str, columns: Sequence[str],
@@ -354,10 +354,19 @@ def pool_embeddings(links: DataFrame, embeddings: DataFrame, case: str, key: str
     vectors (``zero``), or, for weights, counted as zero unless no weight or vector remains, when known vectors are
     averaged plainly (``zero_weighted``). Weights of 0 or less are left out. Cases with nothing known get zeros.
     """
+    most = _VALUES // max(1, len(columns))
+    few = bounded(embeddings, most)
+    if not few:
+        # Of many vectors those that occur may be few.
+        embeddings = embeddings.join(links.select(key).distinct(), key, "left_semi")
+        few = bounded(embeddings, most)
     lut = embeddings.dropDuplicates([key]).select(F.col(key), *[F.col(c) for c in columns], F.lit(1).alias("__known"))
-    if bounded(embeddings, _VALUES // max(1, len(columns))):
-        # Narrow links are shuffled by case before they take up vectors, instead of vectors once per link.
-        links, lut = links.repartition(case), F.broadcast(lut)
+    if few:
+        # Narrow links are shuffled by case before they take up vectors, instead of vectors once per link, into parts
+        # of which the sums fit in memory even if every link is a case.
+        least = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(least, -(-links.count() * (len(columns) + 8) // _SUMS))
+        links, lut = links.repartition(parts, case), F.broadcast(lut)
     rows = links.join(lut, key, "left")
     if averages is not None and kind is not None:
         fallback = averages.select(kind, *[F.col(c).alias(f"__t_{c}") for c in columns], F.lit(1).alias("__typed"))
