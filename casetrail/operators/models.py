@@ -23,7 +23,7 @@ from casetrail.operators.prep import perturb
 from casetrail.operators.ranks import top_k
 from casetrail.operators.sampling import class_weights, kfold, rank_bins, stratified_split
 from casetrail.operators.temporal import bounded
-from casetrail.session import cut_lineage
+from casetrail.session import cut_lineage, run_once
 
 
 def learner(kind: str, label: str = "y", weight: str | None = "weight", **parameters) -> Estimator:
@@ -176,18 +176,17 @@ def select_vars(train: DataFrame, columns: Sequence[str], method: str, label: st
 def permutation_importance(model: PipelineModel, df: DataFrame, groups: Mapping[str, Sequence[str]], ids: Sequence[str],
                            label: str = "y", repeats: int = 3, seed: int = 42) -> DataFrame:
     """Mean drop of average precision when a source column's block (its one-hot columns) is dealt to other rows."""
-    rows = df.withColumn("__model", F.lit("base"))
-    total = score(model, rows).select("__model", label, "p")
+    def area(rows: DataFrame) -> list[float | None]:
+        scored = score(model, rows).select(F.lit(0).alias("__model"), label, "p")
+        return [r["auprc"] for r in run_once(stats.average_precision(scored, ["__model"], label)).collect()]
+
+    # One permutation after the other, so that only one's shuffles lie on disk.
+    base, drops = area(df), []
     for name, columns in groups.items():
         for r in range(repeats):
-            moved = perturb(df, columns, "shuffle", ids=ids, seed=f"{seed}:{name}:{r}").withColumn(
-                "__model", F.lit(f"{name}\t{r}"))
-            total = total.unionByName(score(model, moved).select("__model", label, "p"))
-    metrics = stats.average_precision(total, ["__model"], label)
-    base = metrics.where(F.col("__model") == "base").select("auprc").scalar()
-    drops = metrics.where(F.col("__model") != "base").select(
-        F.split("__model", "\t")[0].alias("feature"), (base - F.col("auprc")).alias("drop"))
-    return drops.groupBy("feature").agg(F.avg("drop").alias("importance"))
+            moved = area(perturb(df, columns, "shuffle", ids=ids, seed=f"{seed}:{name}:{r}"))
+            drops += [(name, a - b if a is not None and b is not None else None) for a, b in zip(base, moved, strict=True)]
+    return df.sparkSession.createDataFrame(drops, "feature string, drop double").groupBy("feature").agg(F.avg("drop").alias("importance"))
 
 
 #: Rows of a group per block of vectors, and rows of a group from which its starts are drawn.

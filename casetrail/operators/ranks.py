@@ -87,7 +87,8 @@ def hashed_rank(df: DataFrame, strata: Sequence[str], ids: Sequence[str], seed:
     The first hex digits of the hash split every stratum into evenly sized bands, so one stratum may hold most rows.
     """
     strata = list(strata)
-    hashed = df.withColumn("__hr_h", hashed_order(seed, *ids)).withColumn("__rk_band", F.substring("__hr_h", 1, 3))
+    # The digest's bytes have the order of its hex digits and half their length.
+    hashed = df.withColumn("__hr_h", F.unhex(hashed_order(seed, *ids))).withColumn("__rk_band", F.substring(F.hex("__hr_h"), 1, 3))
     inside = hashed.withColumn(
         "__hr_pos", F.row_number().over(Window.partitionBy(*strata, "__rk_band").orderBy("__hr_h", *ids)).cast("long"))
     across = (Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(1))).orderBy("__rk_band")

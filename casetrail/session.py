@@ -31,12 +31,30 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/casetrail-{spark.sparkContext.applicationId}"
 
 
+#: With this setting the files of a plan's shuffles go when it has run; a plan that runs again writes them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def run_once(df: DataFrame) -> DataFrame:
+    """The same rows by a plan of its own that is meant to run once: its shuffle files do not stay until the session's garbage
+    is collected. A Spark without this setting keeps them as before."""
+    conf = df.sparkSession.conf
+    if not conf.isModifiable(_CLEANUP):
+        return df
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*")  # the setting counts when the plan is made
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: a lost executor costs one re-read and not the whole iteration."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return run_once(df).checkpoint(eager=True)
 
 
 def spread(df: DataFrame, split_bytes: int = 128 * 1024 * 1024) -> DataFrame:

@@ -1,9 +1,13 @@
 """What a task or the driver holds, and what is shuffled, stays bounded where tables grow."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from casetrail.operators import graph as G
+from casetrail.operators import models as M
+from casetrail.session import cut_lineage
 
 
 def plan(df) -> str:
@@ -30,3 +34,31 @@ def test_pooling_deals_cases_over_parts_that_fit(spark, monkeypatch, many):
         assert G.pool_embeddings(links, vectors, "c", "v", ["e"]).rdd.getNumPartitions() >= 4000 * 9 // 600
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def shuffle_files(spark, most: int) -> int:
+    """Shuffle files on disk, after they have had time to go down to ``most``."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(50):
+        n = sum(1 for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f)
+        if n <= most:
+            break
+        time.sleep(0.1)
+    return n
+
+
+def test_checkpoint_keeps_no_shuffle_files(spark):
+    before = shuffle_files(spark, 0)
+    df = cut_lineage(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count())
+    assert shuffle_files(spark, before) <= before
+    assert df.agg(F.sum("count")).first()[0] == 5000
+
+
+def test_permutations_keep_no_shuffle_files(spark):
+    rows = cut_lineage(spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.rand(1)).alias("x"), F.rand(2).alias("z")))
+    model = M.train_model(rows, ["x", "z"], "logistic")
+    before = shuffle_files(spark, 0)
+    found = M.permutation_importance(model, rows, {"x": ["x"], "z": ["z"]}, ["id"])
+    assert shuffle_files(spark, before) <= before
+    drop = {r["feature"]: r["importance"] for r in found.collect()}
+    assert set(drop) == {"x", "z"} and drop["x"] > 0.1 > abs(drop["z"])
