@@ -20,6 +20,7 @@ from casetrail.operators.sampling import stratified_sample
 from casetrail.operators.sequences import first_last
 from casetrail.operators.temporal import (asof, broadcast_if_bounded, covering_anchor, interval_join, lookback, scd2_current, scd2_join, to_intervals,
                                           window_counts)
+from casetrail.session import stored
 
 # Shares a patient's cases are dealt into where they meet the patient's history.
 SALTS = 8
@@ -375,7 +376,8 @@ def bulk_features(cases: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFram
     for key in ("HSP_ACCOUNT_ID", "PAT_ID", "LogID"):
         for name, block in blocks.items():
             if keys.get(name, "LogID") == key:
-                wide = wide.join(block, key, "left")
+                # Written first: what a block shuffles goes before the next block begins.
+                wide = wide.join(stored(block), key, "left")
 
     def col(name: str, kind: str = "string") -> Column:
         return F.col(f"`{name}`") if name in wide.columns else F.lit(None).cast(kind)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casetrail.operators import graph as G
 from casetrail.operators import models as M
+from casetrail.plans import clinical as C
 from casetrail.session import cut_lineage
 
 
@@ -62,3 +63,17 @@ def test_permutations_keep_no_shuffle_files(spark):
     assert shuffle_files(spark, before) <= before
     drop = {r["feature"]: r["importance"] for r in found.collect()}
     assert set(drop) == {"x", "z"} and drop["x"] > 0.1 > abs(drop["z"])
+
+
+def test_wide_row_keeps_no_shuffle_files_of_its_blocks(spark):
+    cases = spark.range(200).select(F.col("id").alias("LogID"), (F.col("id") % 50).alias("PAT_ID"), F.col("id").alias("EncounterCSN"), F.lit("2020-01-01").cast("date").alias("SurgeryDate"),
+                                    F.lit("M").alias("PAT_MRN_ID"), F.lit("1950-01-01").cast("date").alias("BirthDate"), F.lit(1).alias("SEX_C"), F.lit(1).alias("PAT_TYPE_C"),
+                                    F.lit(1).alias("ACCT_BASECLS_HA_C"), F.lit(1).alias("ASA_RATE_C"), F.col("id").alias("HSP_ACCOUNT_ID"), F.lit("C").alias("PrimaryCPT"))
+    counts = spark.range(4000).groupBy((F.col("id") % 100).alias("LogID")).agg(F.count(F.lit(1)).alias("OtherProcedures"))
+    before = shuffle_files(spark, 0)
+    wide = C.bulk_features(cases, {"procedures": counts})
+    plan_leaves = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan_leaves  # the block is read, not computed again
+    assert shuffle_files(spark, before) <= before
+    found = {r["LogID"]: r["# of Other Procedures"] for r in wide.collect()}
+    assert len(found) == 200 and (found[5], found[150]) == (40, 0)
