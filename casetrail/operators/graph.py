@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from casetrail.operators.ranks import hashed_order, hashed_rank, top_k
 from casetrail.operators.temporal import bounded
-from casetrail.session import cut_lineage
+from casetrail.session import cut_lineage, stored
 
 
 # ---- building ----
@@ -140,9 +140,14 @@ def _met(short: DataFrame, dedupe: bool, on: Sequence[str], carried: Sequence[st
     Both cases' lists are at hand where they meet, so no pairs are shuffled. A pair counts at the first node its lists
     share. ``carried`` columns come along, those of the other case as ``<name>_o``.
     """
-    theirs = (short if other is None else other).select(*on, *[F.col(x).alias(f"{x}_o") for x in ("c", "ns", *([] if dedupe else ["ms"]), *carried)])
+    names = list(dict.fromkeys([*on, "n", "c", "ns", *([] if dedupe else ["ms"]), *carried]))
+    # Both sides are the same columns in the same order under new names, so that equal sides are shuffled once.
+    left, right = (side.select(*[F.col(x).alias(f"{x}_{suffix}") for x in names]) for side, suffix in (
+        (short, "c"), (short if other is None else other, "o")))
+    met = left.join(right, [F.col(f"{x}_c") == F.col(f"{x}_o") for x in on]).select(
+        *[F.col(f"{x}_c").alias(x) for x in names], *[f"{x}_o" for x in names if x not in on])
     # A generator, so that the common nodes are found once.
-    pairs = short.join(theirs, list(on)).where((F.col("c") < F.col("c_o")) & wanted).withColumn(
+    pairs = met.where((F.col("c") < F.col("c_o")) & wanted).withColumn(
         "common", F.explode(F.array(F.array_intersect("ns", "ns_o")))).where(F.get("common", F.lit(0)) == F.col("n"))
     nodes = F.size("common").cast("long")
     ours, others = F.map_from_arrays("ns", "ms"), F.map_from_arrays("ns_o", "ms_o")
@@ -232,7 +237,7 @@ def _rare_pairs(rare: DataFrame, member: DataFrame, overlap: DataFrame, dedupe:
     are shuffled.
     """
     place = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("m"), F.asc("c")))
-    lists = cut_lineage(_listed(rare.withColumn("at", place), ["n"], ["at"]).join(member, "c", "left"))
+    lists = stored(_listed(rare.withColumn("at", place), ["n"], ["at"]).join(member, "c", "left"))
     short = lists.where("few").select("c", "k", F.col("all.n").alias("ns"), F.col("all.m").alias("ms"), F.inline(F.transform("all", lambda l: F.struct(l["n"].alias("n"), l["at"].alias("at")))))
     both = F.col("k").isNotNull() & F.col("k_o").isNotNull()
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("int")
@@ -301,12 +306,16 @@ def cooccurrence_knn(incidence: DataFrame, case: str, node: str, k: int = 8, ded
     per_class = top_k(overlap.join(heads, "k2").select("k", "o", F.col("h").alias("shared")), ["k"],
                       [F.desc("shared"), F.asc("o")], k + 1)
     over_hubs = member.join(per_class, "k").where(F.col("c") != F.col("o")).select("c", "o", "shared")
-    best = scored.unionByName(over_hubs).groupBy("c", "o").agg(F.max("shared").alias("shared"))
+    # A pair's full score is no less than its score over hubs, so each case's k best of ``scored`` are enough; what is left
+    # of both is dealt by case once.
+    best = top_k(scored, ["c"], [F.desc("shared"), F.asc("o")], k).unionByName(over_hubs).repartition("c").groupBy("c", "o").agg(
+        F.max("shared").alias("shared"))
     kept = top_k(best, ["c"], [F.desc("shared"), F.asc("o")], k)
-    edges = kept.select(F.col("c").alias("src"), F.col("o").alias("dst"), "shared")
     if not symmetric:
-        return edges
-    return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared")).distinct()
+        return kept.select(F.col("c").alias("src"), F.col("o").alias("dst"), "shared")
+    pairs = stored(kept).select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "shared").distinct()
+    return pairs.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "shared"),
+                                         F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "shared"))))
 
 
 # ---- neighbourhood aggregates ----

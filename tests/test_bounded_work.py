@@ -77,3 +77,31 @@ def test_wide_row_keeps_no_shuffle_files_of_its_blocks(spark):
     assert shuffle_files(spark, before) <= before
     found = {r["LogID"]: r["# of Other Procedures"] for r in wide.collect()}
     assert len(found) == 200 and (found[5], found[150]) == (40, 0)
+
+
+def test_meeting_cases_are_shuffled_once(spark):
+    short = cut_lineage(spark.range(60).select((F.col("id") % 20).alias("c"), F.array(F.lit(1), F.lit(2)).alias("ns"), (F.col("id") % 2 + 1).cast("int").alias("n")).distinct())
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        met = G._met(short, True, ["n"], [], F.lit(True))
+        assert plan(met).count("ReusedExchange") == 1
+        assert met.count() == len({(a, b) for a in range(20) for b in range(a + 1, 20) if a % 2 == b % 2 == 0})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_neighbours_by_cooccurrence_with_hubs(spark):
+    """Pairs that meet over hubs, over rare nodes and over both, against all pairs."""
+    links = [(c, n) for c in range(40) for n in ({c % 3, 100 + c % 7, 200 + c % 11} | ({300} if c % 4 else set()))]
+    df = spark.createDataFrame(links, "c long, n long")
+    before = shuffle_files(spark, 0)
+    got = G.cooccurrence_knn(df, "c", "n", 3, hub_degree=8)
+    assert shuffle_files(spark, before) <= before
+    own = {c: {n for x, n in links if x == c} for c in range(40)}
+    want = set()
+    for c in own:
+        near = sorted((-len(own[c] & own[o]), o) for o in own if o != c and own[c] & own[o])[:3]
+        want |= {e for s, o in near for e in ((c, o, -s), (o, c, -s))}
+    assert sorted((r["src"], r["dst"], r["shared"]) for r in got.collect()) == sorted(want)
