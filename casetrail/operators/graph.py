@@ -7,6 +7,7 @@ grouped by the set of hubs they touch, and hub contributions are computed betwee
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -670,20 +671,28 @@ def svd_embed(incidence: DataFrame, case: str, node: str, value: Column, k: int,
 
 
 # ---- nearest neighbours in feature space ----
-def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: int = 32, block_rows: int = 4096,
+#: Visits of vectors to blocks whose shuffles lie on disk together.
+_VISITS = 4_000_000
+
+
+def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: int = 32, block_rows: int | None = None,
               symmetric: bool = True) -> DataFrame:
     """Exact Euclidean k nearest neighbours as edges (src, dst, distance), ties by smaller id.
 
     Vectors go to the nearest of a bounded number of pivots and, inside a pivot, to blocks of bounded size. A first
     pass inside each block bounds every vector's k-th distance. The second pass sends a vector only to the pivots that
     the triangle inequality cannot rule out and compares blocks of vectors with blocks of vectors; every task keeps
-    the k best per vector that its bound allows, so neither all pairs nor a whole group ever exists.
+    the k best per vector that its bound allows, so neither all pairs nor a whole group ever exists. Blocks have
+    ``block_rows`` vectors, by default a 32nd of all (4096 at least, 32,768 at most), as vectors are shuffled once per block they
+    meet. More than ``_VISITS`` of these are made by slices of the vectors, one after the other.
     """
     import numpy as np
     import pandas as pd
     spark = vectors.sparkSession
-    given = vectors.select(F.col(key).cast("string").alias("member"), F.col(vector).cast("array<double>").alias("v"))
-    given = cut_lineage(given.withColumn("id", F.sha2(F.to_json("v"), 256)))
+    # Single precision stays as it is where vectors travel; all arithmetic is in doubles.
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    given = vectors.select(F.col(key).cast("string").alias("member"), F.col(vector).cast(kind).alias("v"))
+    given = stored(given.withColumn("id", F.sha2(F.to_json(F.col("v").cast("array<double>")), 256)))
     # Equal vectors are searched once. Their k + 1 smallest ids stand for all copies in any neighbour list.
     member = given.select("member", "id")
     heads = top_k(member, ["id"], [F.asc("member")], k + 1)
@@ -695,6 +704,9 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
         """Object series, as an Arrow-backed one may come in several or no chunks."""
         return pd.Series(list(values), dtype=object)
 
+    def matrix(values):
+        return np.stack(values.to_numpy()).astype(float)
+
     def distances(a, b):
         square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
         return np.sqrt(np.maximum(square, 0.0))
@@ -702,15 +714,16 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
     def locate(batches):
         for pdf in batches:
             if len(pdf):
-                d = distances(np.stack(pdf["v"].to_numpy()), shared.value)
+                d = distances(matrix(pdf["v"]), shared.value)
                 yield pd.DataFrame({"id": text(pdf["id"]), "v": list(pdf["v"]), "pivot": d.argmin(1), "dist": d.min(1),
                                     "all": list(d)})
 
-    placed = cut_lineage(base.mapInPandas(locate, "id string, v array<double>, pivot int, dist double, all array<double>"))
+    placed = stored(base.mapInPandas(locate, f"id string, v {kind}, pivot int, dist double, all array<double>"))
     stats = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()
+    total = sum(r["n"] for r in stats)
+    block_rows = block_rows or min(32_768, max(4096, total // 32))
     blocks = {r["pivot"]: max(1, -(-r["n"] // block_rows)) for r in stats}
     radius = {r["pivot"]: r["radius"] for r in stats}
-    total = sum(r["n"] for r in stats)
     chunks = max(1, -(-total // block_rows))
     block_of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("pivot")]
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), block_of).cast("int"))
@@ -753,7 +766,7 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
     def first_pass(pdf):
         bound = np.full(len(pdf), np.inf)
         if len(pdf) > k:
-            v = np.stack(pdf["v"].to_numpy())
+            v = matrix(pdf["v"])
             for at, square, slack in screened(v, v):
                 here = np.arange(len(square))
                 square[here, at + here] = np.inf
@@ -762,32 +775,43 @@ def knn_edges(vectors: DataFrame, key: str, vector: str, k: int = 10, pivots: in
 
     bounds = placed.select("id", "v", "pivot", "block").groupBy("pivot", "block").applyInPandas(
         first_pass, "id string, bound double")
-    limits = placed.join(bounds, "id")
+    limits = stored(placed.join(bounds, "id"))
     radii = F.array(*[F.lit(float(radius.get(i, -1.0))) for i in range(len(chosen))])
     counts = F.array(*[F.lit(int(blocks.get(i, 0))) for i in range(len(chosen))])
     reach = F.filter(F.sequence(F.lit(0), F.lit(len(chosen) - 1)), lambda i: (counts[i] > 0) & (
         F.element_at("all", i + 1) - radii[i] <= F.col("bound") * (1 + 1e-9) + 1e-9))
-    visits = (limits.select("id", "v", (F.col("bound") * (1 + 1e-9) + 1e-9).alias("limit"), F.explode(reach).alias("pivot"))
-              .withColumn("block", F.explode(F.sequence(F.lit(0), (block_of - 1).cast("int"))))
-              .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")))
-    wanted = visits.select("pivot", "block", "chunk").distinct()
-    targets = placed.select("id", "v", "pivot", "block").join(wanted, ["pivot", "block"]).select(
-        F.col("id").alias("t_id"), F.col("v").alias("t_v"), F.col("pivot").alias("t_pivot"), F.col("block").alias("t_block"),
-        F.col("chunk").alias("t_chunk"))
-
     def compare(left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"src": text([]), "dst": text([]), "distance": pd.Series([], dtype="float64")})
-        return best(left["id"].to_numpy(dtype=object), right["t_id"].to_numpy(dtype=object), np.stack(left["v"].to_numpy()),
-                    np.stack(right["t_v"].to_numpy()), left["limit"].to_numpy())
+        return best(left["id"].to_numpy(dtype=object), right["t_id"].to_numpy(dtype=object), matrix(left["v"]), matrix(right["t_v"]),
+                    left["limit"].to_numpy())
 
     by = ["pivot", "block", "chunk"]
-    partial = visits.groupBy(*by).cogroup(targets.groupBy(*[f"t_{c}" for c in by])).applyInPandas(
-        compare, "src string, dst string, distance double")
+    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")
     own = base.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("distance"))
-    near = partial.unionByName(own).withColumnRenamed("dst", "id").join(heads, "id").select(
-        F.col("src").alias("id"), F.col("member").alias("dst"), "distance")
-    per_group = top_k(near, ["id"], [F.asc("distance"), F.asc("dst")], k + 1)
+
+    def nearest(some: DataFrame) -> DataFrame:
+        """The k + 1 nearest of some of the vectors, all of a chunk or none."""
+        visits = (some.select("id", "v", (F.col("bound") * (1 + 1e-9) + 1e-9).alias("limit"), F.explode(reach).alias("pivot"))
+                  .withColumn("block", F.explode(F.sequence(F.lit(0), (block_of - 1).cast("int")))).withColumn("chunk", chunk))
+        wanted = visits.select(*by).distinct()
+        targets = placed.select("id", "v", "pivot", "block").join(wanted, ["pivot", "block"]).select(
+            F.col("id").alias("t_id"), F.col("v").alias("t_v"), F.col("pivot").alias("t_pivot"), F.col("block").alias("t_block"),
+            F.col("chunk").alias("t_chunk"))
+        partial = visits.groupBy(*by).cogroup(targets.groupBy(*[f"t_{c}" for c in by])).applyInPandas(
+            compare, "src string, dst string, distance double")
+        itself = own.join(some.select(F.col("id").alias("src")), "src", "left_semi") if slices > 1 else own
+        near = partial.unionByName(itself).withColumnRenamed("dst", "id").join(heads, "id").select(
+            F.col("src").alias("id"), F.col("member").alias("dst"), "distance")
+        return top_k(near, ["id"], [F.asc("distance"), F.asc("dst")], k + 1)
+
+    count = limits.select(F.aggregate(reach, F.lit(0).cast("long"), lambda n, i: n + counts[i]).alias("n")).agg(F.sum("n")).first()[0]
+    slices = min(chunks, max(1, -(-(count or 0) // _VISITS)))
+    if slices == 1:
+        per_group = nearest(limits)
+    else:
+        parts = [stored(nearest(limits.where(F.pmod(chunk, F.lit(slices)) == i))) for i in range(slices)]
+        per_group = reduce(DataFrame.unionByName, parts)
     pairs = member.withColumnRenamed("member", "src").join(per_group, "id").where(F.col("src") != F.col("dst"))
     edges = top_k(pairs.select("src", "dst", "distance"), ["src"], [F.asc("distance"), F.asc("dst")], k)
     if not symmetric:

@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,23 @@ def test_neighbours_by_cooccurrence_with_hubs(spark):
         near = sorted((-len(own[c] & own[o]), o) for o in own if o != c and own[c] & own[o])[:3]
         want |= {e for s, o in near for e in ((c, o, -s), (o, c, -s))}
     assert sorted((r["src"], r["dst"], r["shared"]) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_by_slices_are_exact(spark, monkeypatch, kind):
+    """Slices of the vectors, one after the other, each leaving no shuffle files."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)).astype("float32" if kind == "float" else "float64")
+    x[50:60] = x[0]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], f"id long, v array<{kind}>")
+    calls = []
+    keep = G.stored
+    monkeypatch.setattr(G, "stored", lambda d: calls.append(1) or keep(d), raising=False)
+    monkeypatch.setattr(G, "_VISITS", 300, raising=False)
+    edges = G.knn_edges(df, "id", "v", 3, pivots=6, block_rows=32, symmetric=False)
+    assert len(calls) > 5  # three intermediates and the slices
+    d = np.sqrt(((x.astype(float)[:, None] - x.astype(float)[None]) ** 2).sum(-1))
+    want = {(str(i), str(j)) for i in range(300) for j in sorted((j for j in range(300) if j != i), key=lambda j: (d[i, j], str(j)))[:3]}
+    got = edges.collect()
+    assert {(r["src"], r["dst"]) for r in got} == want
+    assert all(r["distance"] == pytest.approx(d[int(r["src"]), int(r["dst"])], abs=1e-12) for r in got)
