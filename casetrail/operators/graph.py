@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casetrail.operators import skipgram
 from casetrail.operators.ranks import hashed_order, hashed_rank, top_k
 from casetrail.operators.temporal import bounded
 from casetrail.session import cut_lineage, stored
@@ -582,19 +583,26 @@ def biased_walks(edges: DataFrame, src: str, dst: str, p: float, q: float, lengt
 
 #: Walks that a partition of the skip-gram training has at least where more than a quarter of the cores take part.
 _WALKS = 200_000
+#: Most numbers of a matrix of vectors that MLlib trains.
+_MATRIX = 5_000_000
 
 
 def walk_embeddings(walks: DataFrame, dim: int = 64, window: int = 5, seed: int = 42, iterations: int = 5) -> DataFrame:
     """Skip-gram vectors of walk nodes: (node, emb_0 ..).
 
-    MLlib keeps two vocabulary matrices of 4-byte numbers on the driver and on every executor: 8 * dim bytes a node.
+    MLlib keeps two vocabulary matrices of 4-byte numbers on the driver and on every executor: 8 * dim bytes a node. More
+    than ``_MATRIX`` numbers in each are trained by buckets of nodes instead (``skipgram.fit``).
     """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
     sentences = walks.groupBy("walk").agg(F.array_sort(F.collect_list(F.struct("step", "node"))).alias("s")).select(
-        F.transform("s", lambda x: x["node"]).alias("sentence"))
+        "walk", F.transform("s", lambda x: x["node"]).alias("sentence"))
     # Vocabulary count and training read the sentences again.
     sentences = cut_lineage(sentences)
+    nodes = sentences.select(F.explode("sentence").alias("node")).distinct().count()
+    if nodes * dim > _MATRIX:
+        return vector_columns(skipgram.fit(sentences, nodes, dim, window, seed, iterations), "v", dim)
+    sentences = sentences.select("sentence")
     cores = sentences.sparkSession.sparkContext.defaultParallelism
     parts = max(1, cores // 4, min(cores, sentences.count() // _WALKS))
     model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, seed=seed, maxIter=iterations, numPartitions=parts,
