@@ -377,7 +377,7 @@ def pool_embeddings(links: DataFrame, embeddings: DataFrame, case: str, key: str
         # of which the sums fit in memory even if every link is a case.
         least = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parts = max(least, -(-links.count() * (len(columns) + 8) // _SUMS))
-        links, lut = links.repartition(parts, case), F.broadcast(lut)
+        links, lut = links.repartition(parts, case) if parts > least else links.repartition(case), F.broadcast(lut)
     rows = links.join(lut, key, "left")
     if averages is not None and kind is not None:
         fallback = averages.select(kind, *[F.col(c).alias(f"__t_{c}") for c in columns], F.lit(1).alias("__typed"))
